@@ -13,5 +13,17 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates,)}
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(C.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import languages
+
+    return languages(C.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op4_languages)}
 SQL: dict[str, str] = {}
