@@ -44,7 +44,10 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     """A hash of values[starts:ends] for each span that depends on nothing outside it."""
     n = len(values)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=total[1:])
+    term = values.astype(np.uint64)
+    term += np.uint64(1)
+    term *= powers(BASE, n)
+    np.cumsum(term, out=total[1:])
     return mix((total[ends] - total[starts]) * powers(INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
