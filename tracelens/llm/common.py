@@ -38,6 +38,11 @@ def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(path: str) -> None:
+    """Counts a folder among the work tables."""
+    _tables.append(path)
+
+
 def mark() -> int:
     """How many work tables there are; for release()."""
     return len(_tables)

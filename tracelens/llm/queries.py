@@ -25,5 +25,23 @@ def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(C.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op4_languages)}
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(C.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), "byte", with_ids=False)
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .store import stored
+
+    return stored(C.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), "word")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op4_languages, op5_pack, op7_token_store)}
 SQL: dict[str, str] = {}
