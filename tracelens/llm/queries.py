@@ -43,5 +43,17 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(C.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), "word")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op4_languages, op5_pack, op7_token_store)}
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import edited_and_next
+
+    return edited_and_next(C.documents(spark, sf_dir))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(C.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op7_token_store, op10_secrets)}
 SQL: dict[str, str] = {}
