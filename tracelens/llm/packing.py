@@ -138,7 +138,8 @@ def pack(docs: DataFrame, path: str, kind: str = "byte", length: int = LENGTH, e
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    joined = table.select("row", "doc_id", "n", "ids").join(placed, F.col("row") == F.col("r")).select("doc_id", "n", "ids", "position")
+    # a sort-merge join at every size: the places of all rows are no side to broadcast
+    joined = table.select("row", "doc_id", "n", "ids").join(placed.hint("merge"), F.col("row") == F.col("r")).select("doc_id", "n", "ids", "position")
     return joined.mapInArrow(run, ddl)
 
 
