@@ -55,5 +55,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(C.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op7_token_store, op10_secrets)}
-SQL: dict[str, str] = {}
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(C.documents(spark, sf_dir))
+
+
+def op8_sql() -> str:
+    from .licenses import oracle
+
+    return oracle()
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op7_token_store, op8_licenses, op10_secrets)
+}
+SQL: dict[str, str] = {"op8_licenses": op8_sql()}
