@@ -55,6 +55,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(C.documents(spark, sf_dir))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .knn import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Queries by ids divisible by 50 against all rows; whole numbers, so sums are exact.
+OP6_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+      FROM e q, e x WHERE q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -69,6 +86,6 @@ def op8_sql() -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op7_token_store, op8_licenses, op10_secrets)
+    for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op6_top_k, op7_token_store, op8_licenses, op10_secrets)
 }
-SQL: dict[str, str] = {"op8_licenses": op8_sql()}
+SQL: dict[str, str] = {"op6_top_k": OP6_SQL, "op8_licenses": op8_sql()}
