@@ -44,15 +44,22 @@ def held(path: str) -> None:
 
 
 def mark() -> int:
-    """How many work tables there are; for release()."""
+    """How many work tables there are; for taken()."""
     return len(_tables)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the work tables made after mark() returned `since`; call it once nothing reads them."""
+def taken(since: int = 0) -> list[str]:
+    """The work tables made after mark() returned `since`, for delete(); they are no longer kept track of here."""
+    out = _tables[since:]
+    del _tables[since:]
+    return out
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes work tables; call it once nothing reads them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_tables) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_tables.pop().rpartition("/")[0])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p.rpartition("/")[0])
         path.getFileSystem(conf).delete(path, True)
 
 

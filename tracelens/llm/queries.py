@@ -49,6 +49,18 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_and_next(C.documents(spark, sf_dir))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
@@ -86,6 +98,6 @@ def op8_sql() -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op6_top_k, op7_token_store, op8_licenses, op10_secrets)
+    for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op6_top_k, op7_token_store, op8_licenses, op9_main_text, op10_secrets, pipeline)
 }
 SQL: dict[str, str] = {"op6_top_k": OP6_SQL, "op8_licenses": op8_sql()}
