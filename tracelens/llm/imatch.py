@@ -19,14 +19,13 @@ from . import common as C
 SLOT_BITS, RARE, COMMON, FEW = 20, 0.002, 0.2, 4
 #: A lexicon of rate j keeps a term with chance 2 ** -j; COPIES lexicons of each, and the whole lexicon.  Small
 #: ones hold a term or two of a document, so that a document that is half changed keeps some hashes.
-RATES, COPIES = (3, 5, 6, 7, 8, 9, 10), 12
+RATES, COPIES = (3, 5, 7, 9), 8
 ROWS_EACH = 1000
 
 
-def terms(text: Column) -> Column:
-    """Hashes of the distinct terms of a text; null: none."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+def words(text: Column) -> Column:
+    """The terms of a text in order, repeats too; null: none."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def slot(term: Column) -> Column:
@@ -36,8 +35,8 @@ def slot(term: Column) -> Column:
 def lexicon(docs: DataFrame, text: str = "text", rare: float = RARE, common: float = COMMON) -> DataFrame:
     """One row, `lexicon`: a byte for each slot, '1' where its document frequency is in the band."""
     n = docs.count()
-    each = docs.select(F.explode(F.array_distinct(F.transform(terms(F.col(text)), slot))).alias("slot"))
-    kept = each.groupBy("slot").agg(F.count("*").alias("df")).filter(F.col("df").between(rare * n, common * n))
+    each = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
+    kept = each.groupBy(slot(F.xxhash64("term")).alias("slot")).agg(F.count("*").alias("df")).filter(F.col("df").between(rare * n, common * n))
     block = 12
     filled = kept.groupBy(F.shiftright("slot", block).alias("block")).agg(F.collect_list(F.col("slot").bitwiseAND((1 << block) - 1)).alias("in"))
     drawn = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit((1 << block) - 1).cast("long")), lambda i: F.when(F.array_contains("in", i), "1").otherwise("0")), "")
@@ -48,26 +47,31 @@ def lexicon(docs: DataFrame, text: str = "text", rare: float = RARE, common: flo
     return rows.agg(whole.cast("binary").alias("lexicon"))
 
 
-def kept_terms(all_terms: Column, bitmap: Column) -> Column:
-    """For each array of terms, those in the lexicon, sorted; all of them if fewer than FEW are."""
+def kept_terms(texts: list[Column], bitmap: Column) -> Column:
+    """For each text the hashes of its distinct terms in the lexicon, sorted; of all its terms if fewer than FEW are."""
+    hashes = F.array(*[F.transform(words(t), lambda w: F.xxhash64(w)) for t in texts])
 
     def keep(ts: Column) -> Column:
-        inside = F.filter(ts, lambda t: F.substring(bitmap, (slot(t) + 1).cast("int"), 1) == F.lit(b"1"))
-        return F.sort_array(inside)
+        inside = F.array_distinct(F.filter(ts, lambda t: F.substring(bitmap, (slot(t) + 1).cast("int"), 1) == F.lit(b"1")))
+        return F.transform(F.array(inside), lambda k: F.sort_array(F.when(F.size(k) < FEW, F.array_distinct(ts)).otherwise(k)))[0]
 
-    return F.transform(all_terms, keep)
+    return F.transform(hashes, keep)
 
 
 def _drawn(term: Column, copy: Column, rate: int) -> Column:
     return F.xxhash64(term, copy).bitwiseAND((1 << rate) - 1) == 0
 
 
+#: The digest of no terms: Spark's hash of an empty array is its seed.
+NONE = "002A"
+
+
 def _digest(part: Column, digits: int) -> Column:
-    return F.when(F.size(part) == 0, "").otherwise(F.lpad(F.hex(F.xxhash64(part).bitwiseAND((1 << 4 * digits) - 1)), digits, "0"))
+    return F.lpad(F.hex(F.xxhash64(part).bitwiseAND((1 << 4 * digits) - 1)), digits, "0")
 
 
 def fingerprint(kept: Column) -> Column:
-    """Hashes of the kept terms, and of their parts in each random lexicon, joined by dots; empty parts are empty.
+    """Hashes of the kept terms, and of their parts in each random lexicon, joined by dots; NONE for empty parts.
 
     A copy's lexicons are nested, so the smaller ones look only at what the largest keeps.
     """
@@ -78,7 +82,7 @@ def fingerprint(kept: Column) -> Column:
         rest = [_digest(F.filter(part, _nested(c, j)), 4) for j in RATES[1:]]
         return F.concat_ws(".", _digest(part, 4), *rest)
 
-    return F.concat_ws(".", _digest(kept, 8), F.array_join(F.transform(large, of_copy), "."))
+    return F.concat_ws(".", _digest(kept, 4), F.array_join(F.transform(large, of_copy), "."))
 
 
 def _nested(copy: Column, rate: int):
@@ -88,18 +92,18 @@ def _nested(copy: Column, rate: int):
 def likeness(a: Column, b: Column) -> Column:
     """Equal hashes of two fingerprints by hashes that are not empty in both; two without any: 1."""
     x, y = F.split(a, "\\.", -1), F.split(b, "\\.", -1)
-    both = F.zip_with(x, y, lambda p, q: F.struct(((p == q) & (p != "")).cast("int").alias("same"), ((p != "") | (q != "")).cast("int").alias("any")))
+    both = F.zip_with(x, y, lambda p, q: F.struct(((p == q) & (p != NONE)).cast("int").alias("same"), ((p != NONE) | (q != NONE)).cast("int").alias("any")))
     sums = F.aggregate(both, F.expr("struct(0 AS same, 0 AS any)"), lambda s, v: F.struct((s["same"] + v["same"]).alias("same"), (s["any"] + v["any"]).alias("any")))
     return F.transform(F.array(sums), lambda s: F.when(s["any"] == 0, F.lit(1.0)).otherwise(s["same"] / s["any"]))[0]
 
 
 def _with_kept(df: DataFrame, texts: list[Column], bitmap: DataFrame) -> DataFrame:
-    """Adds __kept: for each text its kept terms."""
-    lists = df.withColumn("__terms", F.array(*[terms(t) for t in texts]))
-    looked = lists.withColumn("__lexicon", bitmap.scalar())
-    looked = looked.withColumn("__in", kept_terms(F.col("__terms"), F.col("__lexicon"))).drop("__lexicon")
-    few = F.zip_with("__in", "__terms", lambda k, t: F.when(F.size(k) < FEW, F.sort_array(t)).otherwise(k))
-    return looked.withColumn("__kept", few).drop("__terms", "__in")
+    """Adds __kept: for each text its kept terms.
+
+    The bitmap is a scalar subquery that is used once, so the optimizer moves it into the lambda, where it
+    is one array for all rows; as a column of its own it would be copied for each term.
+    """
+    return df.withColumn("__lexicon", bitmap.scalar()).withColumn("__kept", kept_terms(texts, F.col("__lexicon"))).drop("__lexicon")
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -131,11 +135,10 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     spread = spread.select("doc_id", "key", "text", F.col("at.part").alias("part"), F.col("at.guest").alias("guest"))
     order = W.partitionBy("part").orderBy("guest", "key", "text")
     half = F.floor(F.length("text") / 2).cast("int")
-    both = spread.withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
-    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half)))
-    both = _with_kept(both, [F.col("text"), F.col("edited")], bitmap)
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))
+    both = _with_kept(spread.withColumn("next", F.lead("text", 1, "").over(order)), [F.col("text"), edited], bitmap)
     both = both.select(
-        "doc_id", "key", "text", "part", "guest", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "doc_id", "key", "text", "part", "guest", F.length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
         fingerprint(F.col("__kept")[0]).alias("fingerprint"), fingerprint(F.col("__kept")[1]).alias("edited_fingerprint"),
     )
     last = both.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).filter("NOT guest")
