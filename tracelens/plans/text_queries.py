@@ -1,0 +1,179 @@
+"""Text operators over conversations and documents; what the texts lack is added by rule."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import parse as P
+from ..functions import text as T
+from . import fixtures as X
+from .registry import query
+
+_TRIM = r"regexp_replace({0}, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g')"
+trim = _TRIM.format
+_FENCED = "CASE WHEN turn % 5 = 0 THEN '```py' || chr(10) || text || chr(10) || '```' || chr(10) || 'after' WHEN turn % 5 = 1 THEN text || chr(10) || '```open' ELSE text END"
+_STRIP = f"""
+lines AS (SELECT conv_id, turn, unnest(string_split({_FENCED}, chr(10))) AS line, generate_subscripts(string_split({_FENCED}, chr(10)), 1) AS pos FROM conversations),
+fence AS (SELECT *, {trim('line')} LIKE '```%' AS f FROM lines),
+par AS (SELECT *, sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS n FROM fence),
+kept AS (SELECT conv_id, turn, pos, CASE WHEN f THEN '[code block]' ELSE line END AS line FROM par WHERE (f AND n % 2 = 1) OR (NOT f AND n % 2 = 0)),
+stripped AS (SELECT conv_id, turn, string_agg(line || chr(10), '' ORDER BY pos) AS text FROM kept GROUP BY conv_id, turn)"""
+
+
+def cut_sql(x: str, limit: int) -> str:
+    """The longest start of whole characters in `limit` bytes: of starts of limit / 4 to limit characters."""
+    return f"CASE WHEN strlen({x}) <= {limit} THEN {x} ELSE left({x}, list_max(list_filter(range({limit // 4}, {limit} + 1), lambda k: strlen(left({x}, k)) <= {limit}))) || '...' END"
+
+
+@query("SELECT conv_id, turn, sha256(CASE WHEN conv_id % 2 = 0 THEN role ELSE '' END || chr(0) || CAST(turn AS VARCHAR) || chr(0) || text) AS fp FROM conversations")
+def fingerprint(spark, sf_dir):
+    role = F.when(F.col("conv_id") % 2 == 0, F.col("role"))
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.fingerprint(role, "turn", "text").alias("fp"))
+
+
+@query("SELECT doc_id, CAST((strlen(text) * 2) // 9 AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return X.table(spark, sf_dir, "documents").select("doc_id", T.token_estimate("text").alias("tokens"))
+
+
+@query(f"SELECT doc_id, {cut_sql('text', 100)} AS cut FROM documents")
+def byte_cut(spark, sf_dir):
+    return X.table(spark, sf_dir, "documents").select("doc_id", T.byte_cut("text", 100).alias("cut"))
+
+
+@query(f"WITH {_STRIP[1:]} SELECT c.conv_id, c.turn, coalesce(s.text, '') AS text FROM conversations c LEFT JOIN stripped s USING (conv_id, turn)")
+def strip_code_blocks(spark, sf_dir):
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_code_blocks(X.fenced()).alias("text"))
+
+
+@query(f"WITH {_STRIP[1:]}, t AS (SELECT c.conv_id, c.turn, {trim("coalesce(s.text, '')")} AS x FROM conversations c LEFT JOIN stripped s USING (conv_id, turn)) SELECT conv_id, turn, {cut_sql('x', 120)} AS text FROM t")
+def compress_assistant(spark, sf_dir):
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.compress_assistant(X.fenced(), 120).alias("text"))
+
+
+_LISTED = "CASE turn % 5 WHEN 0 THEN '- ' || text WHEN 1 THEN '• ' || text WHEN 2 THEN turn || '.  ' || text WHEN 3 THEN '-- ' || text ELSE text END"
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, {_LISTED} AS x FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(x, '^(?:- |• |\\* )') THEN {trim("regexp_replace(x, '^(?:- |• |\\* )', '')")} WHEN regexp_matches(x, '^[0-9]+\\.') THEN {trim("regexp_replace(x, '^[0-9]+\\.', '')")} ELSE x END AS text FROM l""")
+def strip_list_prefix(spark, sf_dir):
+    k, t = F.col("turn") % 5, F.col("text")
+    x = F.when(k == 0, F.concat(F.lit("- "), t)).when(k == 1, F.concat(F.lit("• "), t)).when(k == 2, F.concat(F.col("turn").cast("string"), F.lit(".  "), t)).when(k == 3, F.concat(F.lit("-- "), t)).otherwise(t)
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_list_prefix(x).alias("text"))
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, {trim("CASE turn % 3 WHEN 0 THEN '```md' || chr(10) || text || chr(10) || '```' || chr(10) WHEN 1 THEN '```' || chr(10) || text ELSE text END")} AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN t LIKE '```%' THEN {trim("regexp_replace(" + trim("CASE WHEN contains(t, chr(10)) THEN substr(t, instr(t, chr(10)) + 1) ELSE t END") + ", '```$', '')")} ELSE t END AS text FROM l""")
+def strip_code_fence(spark, sf_dir):
+    k, t = F.col("turn") % 3, F.col("text")
+    x = F.when(k == 0, F.concat(F.lit("```md\n"), t, F.lit("\n```\n"))).when(k == 1, F.concat(F.lit("```\n"), t)).otherwise(t)
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_code_fence(x).alias("text"))
+
+
+_ANSWERS = ["", "None.", " N/A ", "(empty response)", "(None) of that matters to how they work", "I don't see anything here at all", "[some observation about the owner]", "Prefers small steps over big rewrites", "short", "((no observations were found in it"]
+_ANSWER_SQL = "CASE conv_id % 10 " + " ".join("WHEN {} THEN '{}'".format(i, a.replace("'", "''")) for i, a in enumerate(_ANSWERS)) + " END"
+
+
+def _answer():
+    return F.element_at(F.array(*[F.lit(a) for a in _ANSWERS]), (F.col("conv_id") % 10 + 1).cast("int"))
+
+
+@query(f"SELECT conv_id, turn, ({trim(_ANSWER_SQL)} = '' OR lower({trim(_ANSWER_SQL)}) IN ('none','none.','n/a','empty','(none)','(empty)','(empty response)')) AS empty FROM conversations")
+def is_empty(spark, sf_dir):
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_empty(_answer()).alias("empty"))
+
+
+_STARTS = " OR ".join("starts_with(low, '{}')".format(s.replace("'", "''")) for s in T.IRRELEVANT_STARTS)
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, {trim(_ANSWER_SQL)} AS t FROM conversations), b AS (SELECT *, {trim("ltrim(lower(t), '(')")} AS low FROM a)
+SELECT conv_id, turn, (strlen(t) >= 20 AND low NOT IN ('(empty)','(empty response)','(none)','n/a','none','empty') AND NOT ({_STARTS}) AND NOT (t LIKE '[%' AND t LIKE '%]')) AS relevant FROM b""")
+def is_relevant(spark, sf_dir):
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_relevant(_answer()).alias("relevant"))
+
+
+@query(X.VIEWS + """SELECT source, conv_id, idx, CASE WHEN idx % 3 = 0 THEN '[2024-01-01]' || chr(10) ELSE '' END || CASE WHEN idx % 4 = 0 THEN 'Quote: "' || left(text, 10) || '"' || chr(10) ELSE '' END || 'Observation: ' || text AS shown FROM obs""")
+def observation_format(spark, sf_dir):
+    date, quote = F.when(F.col("idx") % 3 == 0, "2024-01-01"), F.when(F.col("idx") % 4 == 0, F.left("text", F.lit(10)))
+    return X.observations(spark, sf_dir).select("source", "conv_id", "idx", T.observation_format(date, quote, "text").alias("shown"))
+
+
+@query("SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024) ELSE printf('%d B', n) END AS size FROM (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents)")
+def format_bytes(spark, sf_dir):
+    return X.table(spark, sf_dir, "documents").select("doc_id", T.format_bytes(F.octet_length("text")).alias("size"))
+
+
+@query(f"SELECT conv_id, turn, regexp_replace(lower({trim('x')}), '^[\"'']+|[\"'']+$', '', 'g') AS label FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN ' \"' || left(text, 12) || '\" ' WHEN 1 THEN '''' || left(text, 12) || '''' ELSE left(text, 12) END AS x FROM conversations)")
+def normal_label(spark, sf_dir):
+    k, t = F.col("turn") % 3, F.left("text", F.lit(12))
+    x = F.when(k == 0, F.concat(F.lit(' "'), t, F.lit('" '))).when(k == 1, F.concat(F.lit("'"), t, F.lit("'"))).otherwise(t)
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normal_label(x).alias("label"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN b >= 12000 THEN 'high' WHEN b >= 4000 THEN 'medium' ELSE 'low' END AS effort, least(2.0 * power(2.0, turn), 60.0) AS backoff FROM (SELECT *, conv_id * 37 % 20000 AS b FROM conversations)")
+def effort_and_backoff(spark, sf_dir):
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.effort(F.col("conv_id") * 37 % 20000).alias("effort"), T.backoff_seconds("turn").alias("backoff"))
+
+
+_PARSED = "'preamble' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'Quote: \"' || left(replace(text, chr(10), ' '), 20) || '\"' || chr(10) || chr(10) ELSE '' END || '- Observation: ' || left(replace(text, chr(10), ' '), 40) || chr(10) || CASE WHEN turn % 3 = 0 THEN 'Quote: lost' || chr(10) || 'talk' || chr(10) ELSE '' END || '2. Observation: second'"
+
+
+def _parsed():
+    flat, nl = F.regexp_replace("text", "\n", " "), F.lit("\n")
+    return F.concat(
+        F.lit("preamble\n"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit('Quote: "'), F.left(flat, F.lit(20)), F.lit('"\n\n'))).otherwise(""),
+        F.lit("- Observation: "), F.left(flat, F.lit(40)), nl, F.when(F.col("turn") % 3 == 0, F.lit("Quote: lost\ntalk\n")).otherwise(""), F.lit("2. Observation: second"),
+    )
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, unnest(string_split({_PARSED}, chr(10))) AS line, generate_subscripts(string_split({_PARSED}, chr(10)), 1) AS pos FROM conversations),
+s AS (SELECT conv_id, turn, pos, {trim("regexp_replace(" + trim('line') + ", '^(?:- |• |\\* |[0-9]+\\.)', '')")} AS line FROM l),
+b AS (SELECT *, lag(line) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS before FROM s WHERE line <> ''),
+o AS (SELECT *, {trim('substr(line, 14)')} AS observation, nullif(trim({trim('substr(before, 8)')}, '"'), '') AS q FROM b WHERE line LIKE 'Observation: %')
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS INTEGER) AS n, CASE WHEN before LIKE 'Quote: %' THEN q END AS quote, observation FROM o WHERE observation <> ''""")
+def parse_observations(spark, sf_dir):
+    out = X.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(P.observations(_parsed())).alias("n", "o"))
+    return out.select("conv_id", "turn", "n", "o.quote", "o.observation")
+
+
+@query("SELECT conv_id, turn, k, v FROM (SELECT conv_id, turn, unnest([1, 2, 3]) AS k, unnest(['label ' || turn, 'last. one', 'c' || conv_id]) AS v FROM conversations)")
+def parse_labels(spark, sf_dir):
+    t = F.concat(F.lit("Here:\n1. label "), F.col("turn").cast("string"), F.lit("\n2. first\n2. last. one\n3: none\n3.  c"), F.col("conv_id").cast("string"), F.lit("\n9. out\n4."))
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(P.numbered_labels(t, F.lit(4))).alias("k", "v"))
+
+
+@query("SELECT conv_id, turn, unnest(['theme ' || turn, 'b']) AS theme FROM conversations")
+def parse_theme_lines(spark, sf_dir):
+    t = F.concat(F.lit("x\n THEME: theme "), F.col("turn").cast("string"), F.lit("\nTHEME: \nTHEME:none\nTHEME:  b "))
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(P.themes(t)).alias("theme"))
+
+
+@query("SELECT conv_id, turn, unnest(['label a', 'x -> y', 'q']) AS label, unnest(['Theme ' || turn, 'z', 'Last']) AS theme FROM conversations")
+def parse_theme_map(spark, sf_dir):
+    t = F.concat(F.lit('- "Label A" -> Theme '), F.col("turn").cast("string"), F.lit("\nx -> y → z\n-> none\nq -> 'First'\nQ → \"Last\"\nno arrow"))
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(P.theme_map(t)).alias("label", "theme"))
+
+
+@query("SELECT conv_id, turn, unnest(['reasoning', 'voice']) AS dimension, unnest([CAST(turn % 10 AS INTEGER), 4]) AS score FROM conversations")
+def parse_scores(spark, sf_dir):
+    t = F.concat(F.lit("RESPONSE_A: reasoning=1\nRESPONSE_B: voice=9\nRESPONSE_A: reasoning="), (F.col("turn") % 10).cast("string"), F.lit(" voice=2 voice=4"))
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(P.scores(t, "A")).alias("dimension", "score"))
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'neither' END AS preferred, CASE WHEN turn % 2 = 0 THEN 'because ' || turn ELSE '' END AS rationale FROM conversations")
+def parse_preference(spark, sf_dir):
+    who = F.element_at(F.array(F.lit("a"), F.lit("B (strongly)"), F.lit("tie")), (F.col("turn") % 3 + 1).cast("int"))
+    t = F.concat(F.lit("PREFERRED: "), who, F.when(F.col("turn") % 2 == 0, F.concat(F.lit("\nRATIONALE:  because "), F.col("turn").cast("string"))).otherwise(""))
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", P.preference(t)["preferred"].alias("preferred"), P.preference(t)["rationale"].alias("rationale"))
+
+
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN 'nothing' ELSE '[{\"id\": ' || turn || '}]' END AS json FROM conversations")
+def extract_json_array(spark, sf_dir):
+    j, k = F.concat(F.lit('[{"id": '), F.col("turn").cast("string"), F.lit("}]")), F.col("turn") % 4
+    t = F.when(k == 0, F.concat(F.lit("  "), j)).when(k == 1, F.concat(F.lit("Sure:\n```json\n"), j, F.lit("\n```\nbye"))).when(k == 2, F.concat(F.lit("Here: "), j, F.lit(" done"))).otherwise(" nothing ")
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", P.json_array(t).alias("json"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b', '[IP]', 'g') AS text FROM documents")
+def scrub_pii(spark, sf_dir):
+    return X.table(spark, sf_dir, "documents").select("doc_id", T.scrub("text").alias("text"))
