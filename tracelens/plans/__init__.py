@@ -1,6 +1,6 @@
 """Queries over the test tables."""
 
-from . import flow_queries, text_queries
+from . import flow_queries, profile_queries, text_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "flow_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "flow_queries", "profile_queries", "text_queries"]
