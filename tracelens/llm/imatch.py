@@ -49,17 +49,19 @@ def lexicon(docs: DataFrame, text: str = "text", rare: float = RARE, common: flo
 
 def kept_terms(texts: list[Column], bitmap: Column) -> Column:
     """For each text the hashes of its distinct terms in the lexicon, sorted; of all its terms if fewer than FEW are."""
-    hashes = F.array(*[F.transform(words(t), lambda w: F.xxhash64(w)) for t in texts])
+    lists = F.array(*[words(t) for t in texts])
+    hashed = lambda ws: F.array_distinct(F.transform(ws, lambda w: F.xxhash64(w)))
 
-    def keep(ts: Column) -> Column:
-        inside = F.array_distinct(F.filter(ts, lambda t: F.substring(bitmap, (slot(t) + 1).cast("int"), 1) == F.lit(b"1")))
-        return F.transform(F.array(inside), lambda k: F.sort_array(F.when(F.size(k) < FEW, F.array_distinct(ts)).otherwise(k)))[0]
+    def keep(ws: Column) -> Column:
+        inside = hashed(F.filter(ws, lambda w: F.substring(bitmap, (slot(F.xxhash64(w)) + 1).cast("int"), 1) == F.lit(b"1")))
+        return F.transform(F.array(inside), lambda k: F.sort_array(F.when(F.size(k) < FEW, hashed(ws)).otherwise(k)))[0]
 
-    return F.transform(hashes, keep)
+    return F.transform(lists, keep)
 
 
 def _drawn(term: Column, copy: Column, rate: int) -> Column:
-    return F.xxhash64(term, copy).bitwiseAND((1 << rate) - 1) == 0
+    """Whether a term is in a lexicon of a copy: the copy's bits of its hash are zero."""
+    return F.call_function("shiftright", term, copy * 7).bitwiseAND((1 << rate) - 1) == 0
 
 
 #: The digest of no terms: Spark's hash of an empty array is its seed.
