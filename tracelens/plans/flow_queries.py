@@ -203,13 +203,13 @@ def obs_per_source(spark, sf_dir):
     return X.observations(spark, sf_dir).groupBy("source").agg(F.count("*").alias("observations"))
 
 
-@query("WITH u AS (SELECT role AS stage, strlen(text) AS i, turn * 7 AS o FROM conversations) SELECT stage, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round(sum(i * 0.000003 + o * 0.000015), 6) AS cost FROM u GROUP BY ROLLUP (stage)")
+@query("WITH u AS (SELECT role AS stage, strlen(text) AS i, turn * 7 AS o FROM conversations) SELECT stage, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(round(sum(i * 3e-6 + o * 1.5e-5), 6) AS DOUBLE) AS cost FROM u GROUP BY ROLLUP (stage)")
 def usage_rollup(spark, sf_dir):
     u = X.table(spark, sf_dir, "conversations").select(F.col("role").alias("stage"), F.octet_length("text").cast("long").alias("input_tokens"), (F.col("turn") * 7).alias("output_tokens"))
     return E.usage_totals(u.withColumn("cost", F.col("input_tokens") * 3e-6 + F.col("output_tokens") * 1.5e-5)).withColumn("cost", F.round("cost", 6))
 
 
-@query(V + "SELECT count_if(s.last_modified = e.last_modified) AS hit, count_if(s.last_modified IS DISTINCT FROM e.last_modified) AS miss FROM entries e LEFT JOIN stored s USING (source, conv_id)")
+@query(V + "SELECT CAST(count_if(s.last_modified = e.last_modified) AS BIGINT) AS hit, CAST(count_if(s.last_modified IS DISTINCT FROM e.last_modified) AS BIGINT) AS miss FROM entries e LEFT JOIN stored s USING (source, conv_id)")
 def cache_hit_miss(spark, sf_dir):
     old = X.stored(spark, sf_dir).withColumnRenamed("last_modified", "old")
     j = X.entries(spark, sf_dir).join(old, ["source", "conv_id"], "left")
@@ -217,7 +217,7 @@ def cache_hit_miss(spark, sf_dir):
     return j.agg(F.count_if(hit).alias("hit"), F.count_if(~hit).alias("miss"))
 
 
-@query(V + ", d AS (SELECT e.*, s.last_modified AS old FROM entries e LEFT JOIN stored s USING (source, conv_id)) SELECT source, count(*) AS discovered, count_if(old IS NULL OR last_modified > old) AS uploaded, count_if(NOT (old IS NULL OR last_modified > old)) AS skipped, CAST(coalesce(sum(size_bytes) FILTER (old IS NULL OR last_modified > old), 0) AS BIGINT) AS n_bytes FROM d GROUP BY source")
+@query(V + ", d AS (SELECT e.*, s.last_modified AS old FROM entries e LEFT JOIN stored s USING (source, conv_id)) SELECT source, count(*) AS discovered, CAST(count_if(old IS NULL OR last_modified > old) AS BIGINT) AS uploaded, CAST(count_if(NOT (old IS NULL OR last_modified > old)) AS BIGINT) AS skipped, CAST(coalesce(sum(size_bytes) FILTER (old IS NULL OR last_modified > old), 0) AS BIGINT) AS n_bytes FROM d GROUP BY source")
 def import_counts(spark, sf_dir):
     e = X.entries(spark, sf_dir).withColumnRenamed("last_modified", "updated_at")
     d = I.changed_since(e, X.stored(spark, sf_dir), ["source", "conv_id"])
@@ -351,7 +351,7 @@ def _preferred(spark, sf_dir):
     return E.blinded(q.withColumn("preferred", F.when(k == 0, "A").when(k == 1, "B").otherwise("neither")), "conv_id")
 
 
-@query(f"SELECT count_if((preferred = 'A') = ours_is_a AND preferred <> 'neither') AS n_ours, count_if((preferred = 'A') <> ours_is_a AND preferred <> 'neither') AS n_base, count_if(preferred = 'neither') AS n_neither FROM ({_PREFERRED})")
+@query(f"SELECT CAST(count_if((preferred = 'A') = ours_is_a AND preferred <> 'neither') AS BIGINT) AS n_ours, CAST(count_if((preferred = 'A') <> ours_is_a AND preferred <> 'neither') AS BIGINT) AS n_base, CAST(count_if(preferred = 'neither') AS BIGINT) AS n_neither FROM ({_PREFERRED})")
 def eval_preferences(spark, sf_dir):
     return E.preferences(_preferred(spark, sf_dir))
 
