@@ -182,3 +182,18 @@ def test_stream_ingest(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
         ingest(spark, src, schema, out, str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.conversation_id, r.title) for r in spark.read.parquet(out).collect()) == [("1", "new"), ("2", "x")]
+
+
+def test_sessions(spark, tmp_path):
+    from tracelens.operators.sessions import Sessions, active_sources, default_sources, first_diff, sources_for
+
+    s = Sessions(spark, f"file://{tmp_path}/sessions", StubClient())
+    a, _ = s.ask("one?", "doc")
+    s.ask("two?", "doc", a)
+    b, _ = s.ask("other?", "doc")
+    assert [r for r, _ in s.turns(a)] == ["user", "assistant"] * 2 and len(s.turns(b)) == 2
+    with pytest.raises(KeyError):
+        s.ask("x", "doc", "unknown")
+    assert first_diff(None, "x", StubClient()) == "Initial version." and len(default_sources()) == 5
+    assert sources_for(["slack", "nope", "codex"]) == ["codex", "slack"]
+    assert active_sources(spark.createDataFrame([], "source string")) == default_sources()
