@@ -44,14 +44,21 @@ def token_estimate(x) -> Column:
     return F.floor(F.octet_length(col(x)) * 2 / 9).cast("long")
 
 
+def bound(x: Column, use) -> Column:
+    """use(x) with x computed once, however often it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
 def byte_cut(x, limit: int, mark: str = "...") -> Column:
     """The text, or its longest start of whole characters in `limit` bytes and the mark."""
-    x = col(x)
-    fits = F.octet_length(x) <= limit
-    start = F.left(x, F.lit(limit))
-    # of a start of `limit` characters, drop as many as are over; characters are four bytes at most
-    cut = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, limit.bit_length()))), F.struct(F.lit(0).alias("lo"), F.lit(limit).alias("hi")), lambda s, _: _halve(s, start, limit))
-    return F.when(fits, x).otherwise(F.concat(F.left(x, cut["lo"]), F.lit(mark)))
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(limit).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(max(1, limit.bit_length())))
+
+    def cut(t: Column) -> Column:
+        longest = bound(F.left(t, F.lit(limit)), lambda start: F.left(start, F.aggregate(steps, whole, lambda s, _: _halve(s, start, limit), lambda s: s["lo"])))
+        return F.when(F.octet_length(t) <= limit, t).otherwise(F.concat(longest, F.lit(mark)))
+
+    return bound(col(x), cut)
 
 
 def _halve(s: Column, start: Column, limit: int) -> Column:
