@@ -197,3 +197,21 @@ def test_sessions(spark, tmp_path):
     assert first_diff(None, "x", StubClient()) == "Initial version." and len(default_sources()) == 5
     assert sources_for(["slack", "nope", "codex"]) == ["codex", "slack"]
     assert active_sources(spark.createDataFrame([], "source string")) == default_sources()
+
+
+def test_blind_evaluation(spark, tmp_path):
+    from tracelens.operators.evaluate import dimension_means, preferences
+    from tracelens.plans.evaluation import evaluate
+
+    class Counting(StubClient):
+        def _answer(self, text):
+            if "broken" in text:
+                raise ValueError("no answer")
+            return f"about {text}"
+
+    q = spark.createDataFrame([(i, "meta", "broken" if i == 3 else f"question {i}") for i in range(6)], "id long, category string, prompt string")
+    got = evaluate(Profile(spark, f"file://{tmp_path}/e", Counting()), q, "the document").persist()
+    rows = {r.id: r for r in got.collect()}
+    assert rows[3].error and all(rows[i].error is None and set(rows[i].base) == {"reasoning", "voice", "awareness"} for i in rows if i != 3)
+    p = preferences(got.filter("error IS NULL")).first()
+    assert p.n_ours + p.n_base == 5 and {r.dimension: r.n for r in dimension_means(got.filter("error IS NULL")).collect()} == {"reasoning": 5, "voice": 5, "awareness": 5}

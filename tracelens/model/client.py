@@ -55,6 +55,14 @@ class StubClient:
     def _summarize(self, text: str) -> str:
         return f"{len(text.splitlines())} lines"
 
+    def _judge(self, text: str) -> str:
+        h = hashlib.md5(text.encode()).hexdigest()
+        side = lambda i: " ".join(f"{d}={int(h[i + k], 16) % 6}" for k, d in enumerate(("reasoning", "voice", "awareness")))
+        return f"RESPONSE_A: {side(0)}\nRESPONSE_B: {side(3)}"
+
+    def _prefer(self, text: str) -> str:
+        return f"PREFERRED: {'AB'[int(hashlib.md5(text.encode()).hexdigest()[0], 16) % 2]}\nRATIONALE: by rule"
+
     def _thesis(self, text: str) -> str:
         return "\n".join(line.removeprefix("### ") for line in text.splitlines() if line.startswith("### Cluster"))
 
