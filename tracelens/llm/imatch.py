@@ -4,8 +4,11 @@ Terms are lower-cased runs of letters and digits.  Document frequencies are coun
 slots of the terms' hashes over all documents, so the lexicon is a bitmap of fixed size at every corpus size; a
 slot is in the lexicon if RARE <= df / N <= COMMON, that is ln(1 / COMMON) <= idf <= ln(1 / RARE).  A
 document keeps its distinct terms in the lexicon (all its terms, if fewer than FEW are), sorts them, and
-hashes each of RATES x COPIES random parts of them.  The likeness of two fingerprints is the part of equal
-hashes among those that are not empty in both.  Everything is a DataFrame expression.
+hashes those of the whole lexicon and of each of its random subsets.  The subsets are drawn by the terms' own
+hash: 2 ** COARSE that share the lexicon out, each of them in 2 ** FINE more, and of each of these nested smaller
+ones, so a text of a dozen terms and one of thousands both have subsets of one or two of their terms, which survive
+when half of the text is changed.  The likeness of two fingerprints is the part of equal hashes among those that
+are not empty in both.  Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -17,9 +20,9 @@ from pyspark.sql import Window as W
 from . import common as C
 
 SLOT_BITS, RARE, COMMON, FEW = 20, 0.002, 0.2, 4
-#: A lexicon of rate j keeps a term with chance 2 ** -j; COPIES lexicons of each, and the whole lexicon.  Small
-#: ones hold a term or two of a document, so that a document that is half changed keeps some hashes.
-RATES, COPIES = (3, 5, 7, 9), 8
+#: Bits of a term's hash that say which coarse subset it is in, which fine one of that, and the bits that are zero in
+#: each nested subset of a fine one: rates of 1/16, 1/64, 1/256 and 1/1024 of the lexicon.
+COARSE, FINE, NESTED = 4, 2, (2, 2)
 ROWS_EACH = 1000
 
 
@@ -59,36 +62,41 @@ def kept_terms(texts: list[Column], bitmap: Column) -> Column:
     return F.transform(lists, keep)
 
 
-def _drawn(term: Column, copy: Column, rate: int) -> Column:
-    """Whether a term is in a lexicon of a copy: the copy's bits of its hash are zero."""
-    return F.call_function("shiftright", term, copy * 7).bitwiseAND((1 << rate) - 1) == 0
+#: Hex digits of a part's hash, and the hash of no terms: Spark's hash of an empty array is its seed.
+DIGITS, NONE = 3, "02A"
 
 
-#: The digest of no terms: Spark's hash of an empty array is its seed.
-NONE = "002A"
+def _digest(part: Column) -> Column:
+    return F.lpad(F.hex(F.xxhash64(part).bitwiseAND((1 << 4 * DIGITS) - 1)), DIGITS, "0")
 
 
-def _digest(part: Column, digits: int) -> Column:
-    return F.lpad(F.hex(F.xxhash64(part).bitwiseAND((1 << 4 * digits) - 1)), digits, "0")
+def _shared_out(part: Column, used: int, bits: int, each) -> Column:
+    """each(the terms of a part whose next `bits` bits are k, the bits used) for all k, joined by dots."""
+    ks = F.sequence(F.lit(0), F.lit((1 << bits) - 1))
+    return F.array_join(F.transform(ks, lambda k: each(F.filter(part, lambda t: _bits(t, used, bits) == k), used + bits)), ".")
 
 
-def fingerprint(kept: Column) -> Column:
-    """Hashes of the kept terms, and of their parts in each random lexicon, joined by dots; NONE for empty parts.
+def _bits(term: Column, used: int, bits: int) -> Column:
+    """Bits of a term's hash from its top, where the lexicon's slots do not look."""
+    return F.call_function("shiftright", term, F.lit(64 - used - bits)).bitwiseAND((1 << bits) - 1)
 
-    A copy's lexicons are nested, so the smaller ones look only at what the largest keeps.
-    """
-    copies = F.sequence(F.lit(0), F.lit(COPIES - 1))
-    large = F.transform(copies, lambda c: F.filter(kept, lambda t: _drawn(t, c, RATES[0])))
 
-    def of_copy(part: Column, c: Column) -> Column:
-        rest = [_digest(F.filter(part, _nested(c, j)), 4) for j in RATES[1:]]
-        return F.concat_ws(".", _digest(part, 4), *rest)
+def fingerprint(kept: Column) -> Column:
+    """Hashes of the kept terms, and of their parts in each random subset of the lexicon, joined by dots; NONE for empty parts."""
+
+    def nested(part: Column, used: int, rates=NESTED) -> list[Column]:
+        if not rates:
+            return [_digest(part)]
+        inner = F.filter(part, lambda t: _bits(t, used, rates[0]) == 0)
+        return [_digest(part), F.transform(F.array(inner), lambda p: F.concat_ws(".", *nested(p, used + rates[0], rates[1:])))[0]]
 
-    return F.concat_ws(".", _digest(kept, 4), F.array_join(F.transform(large, of_copy), "."))
+    def fine(part: Column, used: int) -> Column:
+        return F.concat_ws(".", *nested(part, used))
 
+    def coarse(part: Column, used: int) -> Column:
+        return F.concat_ws(".", _digest(part), _shared_out(part, used, FINE, fine))
 
-def _nested(copy: Column, rate: int):
-    return lambda t: _drawn(t, copy, rate)
+    return F.concat_ws(".", _digest(kept), _shared_out(kept, 0, COARSE, coarse))
 
 
 def likeness(a: Column, b: Column) -> Column:
