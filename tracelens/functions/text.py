@@ -135,12 +135,59 @@ def normal_label(x) -> Column:
 def format_bytes(x) -> Column:
     """B, KB or MB, one decimal."""
     n = col(x)
-    return F.when(n >= 1048576, F.format_string("%.1f MB", F.bround(n / 1048576, 1))).when(n >= 1024, F.format_string("%.1f KB", F.bround(n / 1024, 1))).otherwise(F.format_string("%d B", n.cast("long")))
+    return F.when(n >= 1048576, F.format_string("%.1fMB", F.bround(n / 1048576, 1))).when(n >= 1024, F.format_string("%.1fKB", F.bround(n / 1024, 1))).otherwise(F.format_string("%dB", n.cast("long")))
 
 
 def format_tokens(x) -> Column:
-    n = col(x)
-    return F.when(n >= 1000, F.format_string("%.1fk", F.bround(n / 1000, 1))).otherwise(n.cast("long").cast("string"))
+    """A dash for none, whole thousands with a k from 1000."""
+    n = col(x).cast("long")
+    return F.when(n == 0, "—").when(n >= 1000, F.format_string("%dk", F.floor(n / 1000))).otherwise(n.cast("string"))
+
+
+def format_duration(millis) -> Column:
+    """Milliseconds below a second, else seconds with one decimal."""
+    n = col(millis).cast("long")
+    return F.when(n < 1000, F.format_string("%dms", n)).otherwise(F.format_string("%.1fs", n / 1000))
+
+
+def word_wrap(x, width: int, indent: str = "") -> Column:
+    """Words in lines of at most `width` bytes, the indent counted; a longer word has a line of its own."""
+    words = F.filter(F.split(col(x), f"{SPACE}+"), lambda w: w != "")
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))
+
+    def add(acc: Column, w: Column) -> Column:
+        full = F.octet_length(acc["line"]) + 1 + F.octet_length(w) > width
+        fresh = F.concat(F.lit(indent), w)
+        return (
+            F.when(acc["line"] == "", F.struct(acc["done"].alias("done"), fresh.alias("line")))
+            .when(full, F.struct(F.concat(acc["done"], acc["line"], F.lit("\n")).alias("done"), fresh.alias("line")))
+            .otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["line"], F.lit(" "), w).alias("line")))
+        )
+
+    return F.aggregate(words, start, add, lambda acc: F.concat(acc["done"], acc["line"]))
+
+
+#: The character references of forms, in the order they are replaced.
+REFERENCES = [("&amp;", "&"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&apos;", "'")]
+
+
+def html_unescape(x) -> Column:
+    out = col(x)
+    for name, mark in REFERENCES:
+        out = F.replace(out, F.lit(name), F.lit(mark))
+    return out
+
+
+def throttled(status, message, remaining=None) -> Column:
+    """Whether an answer says to slow down: 429, 403 with no calls remaining, or a message that names a rate limit."""
+    left = F.coalesce(col(remaining), F.lit("")) if remaining is not None else F.lit("1")
+    said = F.coalesce(col(message), F.lit("")).rlike("429|rate_limit|ThrottlingException|Too many tokens")
+    return F.coalesce((col(status) == 429) | ((col(status) == 403) & left.isin("", "0")), F.lit(False)) | said
+
+
+def retry_after(header, reset, now) -> Column:
+    """Seconds to wait: what the header says if it is a number, else until the reset time (both in seconds), else 0."""
+    return F.coalesce(col(header).try_cast("long"), F.greatest(col(reset).try_cast("long") - col(now), F.lit(0)), F.lit(0))
 
 
 def effort(budget) -> Column:

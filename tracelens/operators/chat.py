@@ -54,6 +54,19 @@ def attributed(author, owner, body, kind: str = "GitHub comment") -> Column:
     return F.when(F.lower(col(author)) == F.lower(col(owner)), col(body)).otherwise(F.concat(F.lit(f"[{kind} by @"), col(author), F.lit("]\n"), col(body)))
 
 
+#: Fixed value: what stands above the text of a pull request, which often no person wrote.
+GENERATED = "[Auto-generated PR description — not authored by the user]\n"
+
+
+def described(author, owner, body) -> Column:
+    """A pull request's own text, marked as generated, and attributed to others."""
+    return attributed(author, owner, F.concat(F.lit(GENERATED), col(body)))
+
+
+def chat_line(name, text) -> Column:
+    return F.concat(F.lit("@"), col(name), F.lit(": "), F.coalesce(col(text), F.lit("")))
+
+
 def owned_threads(messages: DataFrame, key: list[str], owner: Column, least: int = OWNER_MESSAGES) -> DataFrame:
     """Messages of threads with `least` messages of the owner."""
     kept = messages.groupBy(*key).agg(F.count_if(owner).alias("__n")).filter(F.col("__n") >= least).select(*key)

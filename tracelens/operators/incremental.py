@@ -25,6 +25,21 @@ def changed_since(found: DataFrame, stored: DataFrame, key: list[str], updated:
     return found.join(old, key, "left").withColumn("status", status).drop("__at")
 
 
+def upload_totals(compared: DataFrame, by: str = "source", size: str = "size_bytes") -> DataFrame:
+    """by, discovered, uploaded, skipped, bytes (of what is uploaded) of rows with a `status` of changed_since()."""
+    sent = F.col("status") != "same"
+    return compared.groupBy(by).agg(
+        F.count("*").alias("discovered"), F.count_if(sent).alias("uploaded"), F.count_if(~sent).alias("skipped"),
+        F.coalesce(F.sum(F.when(sent, F.col(size))), F.lit(0)).cast("long").alias("bytes"),
+    )
+
+
+def rejects(rows: DataFrame, required: list[str]) -> DataFrame:
+    """Adds `missing`: the first required column that is null or empty; null for rows that are good."""
+    first = F.coalesce(*[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(c)) for c in required])
+    return rows.withColumn("missing", first)
+
+
 def newest(rows: DataFrame, n: int, modified: str, key: list[str]) -> DataFrame:
     """The n newest, ties by key; 0: all."""
     return rows.orderBy(F.desc(modified), *key).limit(n) if n else rows

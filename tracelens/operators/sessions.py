@@ -52,6 +52,14 @@ def newest_kept(cache: DataFrame, most: int, modified: str = "modified", key: st
     return cache.orderBy(F.desc(modified), key).limit(most)
 
 
+def with_children(conversations: DataFrame, key: str = "conversation_id", parent: str = "parent_id") -> DataFrame:
+    """Adds `subagent_ids`: the sorted ids of the conversations whose parent a row is; none: an empty array."""
+    own = conversations.filter(F.coalesce(F.col(parent).cast("string"), F.lit("")) != "").groupBy(F.col(parent).alias("__parent")).agg(F.sort_array(F.collect_set(key)).alias("subagent_ids"))
+    none = F.array().cast(own.schema["subagent_ids"].dataType)
+    joined = conversations.join(own, F.col(key) == F.col("__parent"), "left").drop("__parent")
+    return joined.withColumn("subagent_ids", F.coalesce("subagent_ids", none))
+
+
 def transfer_group(domain) -> Column:
     return F.when(col(domain).isin("in-domain", "adjacent", "out-of-domain"), "domain").otherwise("universal")
 

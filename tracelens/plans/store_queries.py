@@ -41,15 +41,16 @@ def repo_urls(spark, sf_dir):
     return X.table(spark, sf_dir, "customer").select("c_custkey", T.repo_of(url).alias("r")).select("c_custkey", "r.owner", "r.repo")
 
 
-@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'a.b' ELSE 'plain' END AS model, CASE turn % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'domain' WHEN 2 THEN 'domain' ELSE 'universal' END AS grp, CASE WHEN turn >= 1 THEN turn || '.0k' ELSE '0' END AS tokens FROM conversations")
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'a.b' ELSE 'plain' END AS model, CASE turn % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'domain' WHEN 2 THEN 'domain' ELSE 'universal' END AS grp, CASE WHEN turn = 0 THEN '—' WHEN turn * 700 >= 1000 THEN (turn * 700 // 1000) || 'k' ELSE '' || turn * 700 END AS tokens FROM conversations")
 def short_names(spark, sf_dir):
     k = F.col("turn") % 3
     model = F.when(k == 0, "a.b.c").when(k == 1, "a.b").otherwise("plain")
     domain = F.element_at(F.array(*[F.lit(x) for x in ("in-domain", "adjacent", "out-of-domain", "meta")]), (F.col("turn") % 4 + 1).cast("int"))
-    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.short_model(model).alias("model"), S.transfer_group(domain).alias("grp"), T.format_tokens(F.col("turn") * 1000).alias("tokens"))
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.short_model(model).alias("model"), S.transfer_group(domain).alias("grp"), T.format_tokens(F.col("turn") * 700).alias("tokens"))
 
 
-@query(X.VIEWS + "SELECT array_to_string(list_sort(list(source || ' ' || n)), ', ') AS shown FROM (SELECT source, count(*) AS n FROM entries GROUP BY source)")
+@query(X.VIEWS + "SELECT '(' || array_to_string(list_sort(list(source || ': ' || n)), ', ') || ')' AS shown FROM (SELECT source, count(*) AS n FROM entries GROUP BY source)")
 def source_breakdown_line(spark, sf_dir):
     n = X.entries(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
-    return n.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("source"), F.lit(" "), F.col("n").cast("string")))), ", ").alias("shown"))
+    parts = F.array_sort(F.collect_list(F.concat(F.col("source"), F.lit(": "), F.col("n").cast("string"))))
+    return n.agg(F.concat(F.lit("("), F.array_join(parts, ", "), F.lit(")")).alias("shown"))

@@ -98,7 +98,7 @@ def observation_format(spark, sf_dir):
     return X.observations(spark, sf_dir).select("source", "conv_id", "idx", T.observation_format(date, quote, "text").alias("shown"))
 
 
-@query("SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024) ELSE printf('%d B', n) END AS size FROM (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents)")
+@query("SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1fMB', n / 1048576) WHEN n >= 1024 THEN printf('%.1fKB', n / 1024) ELSE printf('%dB', n) END AS size FROM (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents)")
 def format_bytes(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", T.format_bytes(F.octet_length("text")).alias("size"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,6 +14,19 @@ PAYLOAD_BYTES = 16_384
 SYNTHETIC = r"^(# AGENTS\.md instructions|<environment_context>|<INSTRUCTIONS>)"
 
 
+def payload(x) -> Column:
+    """What a tool got or gave: JSON as it is, other text as a JSON string; null if blank or above PAYLOAD_BYTES."""
+    t = trim_space(x)
+    quoted = F.to_json(F.array(t))
+    return F.when((t == "") | (F.octet_length(t) > PAYLOAD_BYTES), F.lit(None).cast("string")).when(F.try_parse_json(t).isNotNull(), t).otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2))
+
+
+def synthetic(x) -> Column:
+    """Whether a user's message is blank or begins as no person's does."""
+    t = trim_space(x)
+    return (t == "") | t.rlike(SYNTHETIC)
+
+
 def claude_code(spark: SparkSession, root: str) -> DataFrame:
     """Sessions under root/projects, a file each; files under {id}/subagents are children.  Titles from root/history.jsonl.
 
@@ -48,11 +61,7 @@ def codex(spark: SparkSession, root: str) -> DataFrame:
     meta = v.groupBy("path").agg(F.min_by(get("p", "$.id"), F.when(F.col("type") == "session_meta", F.col("line"))).alias("id"), F.min_by(get("p", "$.cwd"), F.when(F.col("type") == "session_meta", F.col("line"))).alias("project"), F.min("timestamp").alias("created_at"), F.max("timestamp").alias("seen_at"))
     events = v.filter((F.col("type") == "event_msg") & F.col("kind").isin("user_message", "agent_message")).withColumn("role", F.when(F.col("kind") == "user_message", "user").otherwise("assistant")).withColumn("content", get("p", "$.message")).withColumn("tools", F.expr(NO_TOOLS))
     items = v.filter((F.col("type") == "response_item") & (F.col("kind") == "message") & get("p", "$.role").isin("user", "assistant")).withColumn("role", get("p", "$.role")).withColumn("content", text_of(get("p", "$.content", "variant"), ["input_text", "output_text", "text"])).withColumn("tools", F.expr(NO_TOOLS))
-    items = items.filter((F.col("role") == "assistant") | ~trim_space("content").rlike(SYNTHETIC)).join(events.select("path").distinct(), "path", "left_anti")
-
-    def payload(x):
-        t = trim_space(x)
-        return F.when((t == "") | (F.octet_length(t) > PAYLOAD_BYTES), F.lit(None).cast("string")).when(F.try_parse_json(t).isNotNull(), t).otherwise(F.to_json(F.array(t)).substr(F.lit(2), F.length(F.to_json(F.array(t))) - 2))
+    items = items.filter((F.col("role") == "assistant") | ~synthetic("content")).join(events.select("path").distinct(), "path", "left_anti")
 
     calls = v.filter(F.col("kind").isin("function_call", "custom_tool_call"))
     outs = v.filter(F.col("kind").isin("function_call_output", "custom_tool_call_output")).select(F.col("path").alias("op"), get("p", "$.call_id").alias("oc"), "line", payload(get("p", "$.output")).alias("output")).groupBy("op", "oc").agg(F.max_by("output", "line").alias("output"))
