@@ -5,9 +5,10 @@ bit l is set in the slots of both its hashes, so one AND of two slots returns al
 it.  A text's score for l is the number of its n-grams (repeats counted) in l, less what the filter's
 false positives give by chance: (hits - n * fp) / (1 - fp).  The largest wins.
 
-Learning: the n-grams of at most LEARN labelled texts of each language (those of least hash of the id);
-an n-gram enters a language if its rate there is at least RATE and at least SHARPNESS times the
-mean rate over the languages.  Prediction reads whole texts, lower-cased.
+Learning: the n-grams of at most LEARN labelled texts of each language (those of least hash of the id), whole, are
+counted where the texts are; an n-gram enters a language if its rate there is at least RATE and at least
+SHARPNESS times the mean rate over the languages, so at most 1 / RATE n-grams of a language and size come to
+the driver.  Prediction reads whole texts, lower-cased.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import Window as W
 from . import common as C
 from . import words
 
-#: Labelled texts of a language at most, and their characters that are counted at most.
-LEARN, LEARN_CHARS = 1500, 4000
+#: Labelled texts that teach a language at most.
+LEARN = 1500
 SIZES, SLOT_BITS, RATE, SHARPNESS = (2, 3, 4), 20, 2e-5, 1.6
 UNKNOWN = "und"
 
@@ -48,32 +49,27 @@ def letters_only(raw: bytes) -> np.ndarray:
 class Filter:
     """The learned filter: `langs` in order, `slots` of masks, and each language's rate of false positives by size."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.langs = sorted(samples)
+    def __init__(self, langs: list[str], rates: dict[int, dict[int, dict[str, float]]]):
+        """rates: by size and n-gram (as an unsigned number), its rate in the languages that have it."""
+        self.langs = sorted(langs)
         if len(self.langs) > 64:
             raise ValueError("at most 64 languages")
         self.slots = {}
         self.fp = np.zeros((len(self.langs), len(SIZES)))
         for at, size in enumerate(SIZES):
-            found = []
-            for lang in self.langs:
-                raw = " ".join(["", *(t[:LEARN_CHARS] for t in samples[lang]), ""]).lower().encode("utf-8", "replace")
-                data, keep = letters_only(raw)
-                found.append(np.unique(ngrams(data[keep], size), return_counts=True))
-            every = np.unique(np.concatenate([f[0] for f in found])) if found else np.zeros(0, np.uint64)
-            rate = np.zeros((len(found), len(every)))
-            for i, (gram, count) in enumerate(found):
-                rate[i, np.searchsorted(every, gram)] = count / max(1, count.sum())
-            inside = (rate >= RATE) & (rate >= SHARPNESS * rate.mean(0)) if len(found) > 1 else rate > 0
+            found = rates.get(size, {})
+            every = np.array(sorted(found), np.uint64)
+            rate = np.array([[found[g].get(lang, 0.0) for g in sorted(found)] for lang in self.langs]).reshape(len(self.langs), len(every))
+            inside = (rate >= RATE) & (rate >= SHARPNESS * rate.mean(0)) if len(self.langs) > 1 else rate > 0
             slots = np.zeros(1 << SLOT_BITS, np.uint64)
-            for i in range(len(found)):
+            for i in range(len(self.langs)):
                 gram = every[inside[i]]
                 for slot in self.places(gram):
                     slots[slot] |= np.uint64(1 << i)
-            for i in range(len(found)):
+            for i in range(len(self.langs)):
                 fill = float(((slots >> np.uint64(i)) & np.uint64(1)).mean())
                 self.fp[i, at] = fill**2
-            self.slots[size] = slots.astype(np.uint8) if len(found) <= 8 else slots
+            self.slots[size] = slots.astype(np.uint8) if len(self.langs) <= 8 else slots
 
     @staticmethod
     def places(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,18 +101,41 @@ class Filter:
         return np.maximum(out, 0)
 
 
+def _counted(parts):
+    """The n-grams of each batch of (lang, text): how often each occurs in a language."""
+    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
+    for part in parts:
+        langs = np.array(part.column(0).to_pylist(), object)
+        texts = part.column(1).to_pylist()
+        for lang in sorted(set(langs)):
+            own = [texts[i] for i in np.flatnonzero(langs == lang)]
+            for lo, hi in words.slices(own, 2_000_000):
+                raw = " ".join(["", *own[lo:hi], ""]).lower().encode("utf-8", "replace")
+                data, keep = letters_only(raw)
+                for size in SIZES:
+                    gram, n = np.unique(ngrams(data[keep], size), return_counts=True)
+                    one = [pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), size, np.int32)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(one, schema=schema)
+
+
 def learn(labelled: DataFrame, limit: int = LEARN) -> Filter:
-    """The filter of labelled(doc_id, text, lang); null texts and langs teach nothing.  At most `limit` texts a language come to the driver."""
+    """The filter of labelled(doc_id, text, lang), from at most `limit` whole texts a language; null texts and langs teach nothing."""
+    C.batches(labelled.sparkSession)
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     # a language's share of bins first, so that no language's rows are ordered in one task
-    rows = rows.select("lang", F.xxhash64("doc_id", F.lit(3)).alias("h"), F.substring("text", 1, LEARN_CHARS).alias("text"))
+    rows = rows.select("lang", F.xxhash64("doc_id", F.lit(3)).alias("h"), "text")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     near = rows.join(F.broadcast(counts), "lang").filter((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) * F.col("n") <= 1.2 * limit + 20)
     ranked = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= limit)
-    samples: dict[str, list[str]] = {}
-    for r in ranked.select("lang", "text").toLocalIterator():
-        samples.setdefault(r["lang"], []).append(r["text"])
-    return Filter(samples)
+    grams = ranked.select("lang", "text").mapInArrow(_counted, "lang string, size int, gram long, n long")
+    grams = C.saved(grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = grams.groupBy("lang", "size").agg(F.sum("n").alias("total"))  # a row for each language and size
+    rated = grams.join(F.broadcast(totals), ["lang", "size"]).groupBy("size", "gram")
+    rated = rated.agg(F.collect_list(F.struct("lang", (F.col("n") / F.col("total")).alias("rate"))).alias("rates"), F.max(F.col("n") / F.col("total")).alias("most"))
+    rates: dict[int, dict[int, dict[str, float]]] = {}
+    for r in rated.filter(F.col("most") >= RATE).select("size", "gram", "rates").toLocalIterator():
+        rates.setdefault(r["size"], {})[r["gram"] % 2**64] = {x["lang"]: x["rate"] for x in r["rates"]}
+    return Filter([r["lang"] for r in counts.collect()], rates)
 
 
 def identify(docs: DataFrame, model: Filter) -> DataFrame:
