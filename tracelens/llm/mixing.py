@@ -23,6 +23,12 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def draw(doc_id: Column, seed: int) -> Column:
+    """A number between 0 and 1 (neither of them) from 52 bits of a digest that SQL has too."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"-{seed}")))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
     """source, source_size, target for each row of sizes(source, source_size): one row a source.
 
@@ -50,8 +56,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     Null texts have size 0; a null source is a source, the last; a row of size 0 is taken 0 times unless
     its copies are certain.  Rows with equal ids share one draw and are ordered by size.  Reruns agree.
     """
-    u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    base = C.saved(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), u.alias("u")), "sizes")
+    base = C.saved(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("u")), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, share, most, weights)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -73,6 +78,23 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     return at.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
+#: mix() of `documents` with the parameters above, in DuckDB's SQL.
+SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '-{SEED}'), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST({1 << 52} AS DOUBLE) AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST({list(WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS w, CAST({MOST} AS DOUBLE) * source_size AS cap FROM s),
+l AS (SELECT *, (CAST({SHARE} AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, coalesce(least(cap, m * w), cap) AS target FROM (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS m FROM l)),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS due FROM t),
+p AS (SELECT *, floor(due) AS certain, due - floor(due) AS p, target - floor(due) * source_size AS rest FROM c),
+r AS (SELECT d.*, p.* EXCLUDE (source), CASE WHEN p > 0 THEN u / (1 - u) * ((1 - p) / p) END AS rank FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+x AS (SELECT *, certain + CASE WHEN p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(size AS DOUBLE) / 2 <= rest THEN 1 ELSE 0 END AS copies FROM r)
+SELECT doc_id, size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM x
+"""
+
+
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it.  doc_id should be unique and not null."""
     chosen = mix(docs, **parameters).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))

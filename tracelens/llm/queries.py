@@ -100,4 +100,10 @@ QUERIES = {
     f.__name__: f
     for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op6_top_k, op7_token_store, op8_licenses, op9_main_text, op10_secrets, pipeline)
 }
-SQL: dict[str, str] = {"op6_top_k": OP6_SQL, "op8_licenses": op8_sql()}
+def op2_sql() -> str:
+    from .mixing import SQL as sql
+
+    return sql
+
+
+SQL: dict[str, str] = {"op2_mix_sources": op2_sql(), "op6_top_k": OP6_SQL, "op8_licenses": op8_sql()}
