@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import parse, text
 from tracelens.model.client import Limiter, StubClient, Throttled, with_retry
-from tracelens.operators import incremental, turns
+from tracelens.operators import incremental, ordered, turns
 from tracelens.plans.profile import Profile
 
 
@@ -215,3 +215,29 @@ def test_blind_evaluation(spark, tmp_path):
     assert rows[3].error and all(rows[i].error is None and set(rows[i].base) == {"reasoning", "voice", "awareness"} for i in rows if i != 3)
     p = preferences(got.filter("error IS NULL")).first()
     assert p.n_ours + p.n_base == 5 and {r.dimension: r.n for r in dimension_means(got.filter("error IS NULL")).collect()} == {"reasoning": 5, "voice": 5, "awareness": 5}
+
+
+def test_ranks_and_budgets_match_a_loop(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1, 5, 5, rng.randint(0, 90)]), rng.choice([0, 3, 9, 40])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, g string, k int, tok long")
+    got = {r.id: r["place"] for r in ordered.ranked(df, "k", ["id"], "place").collect()}
+    assert [got[r[0]] for r in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))] == list(range(1, 601))
+    assert ordered.ranked(df.limit(0), "k", ["id"], "place").count() == 0
+    for by, budget, least in ((["g"], 100, True), (["g"], 2, True), ([], 150, False)):
+        kept = ordered.budget_prefix(df, by, [F.col("id")], "tok", budget, least, F.floor(F.col("id") / 50))
+        want, used = set(), {}
+        for i, g, _, tok in rows:
+            group = g if by else 0
+            first = group not in used
+            used[group] = used.get(group, 0) + tok
+            if used[group] <= budget or (first and least):
+                want.add(i)
+        assert {r.id for r in kept.collect()} == want and kept.columns == df.columns
+
+
+def test_service_answers_and_forms(spark):
+    assert one(spark, text.html_unescape("s"), s="&amp;lt;&quot;&apos;") == "<\"'"
+    assert [one(spark, text.word_wrap("s", 9), s=s) for s in ("", "  ", "aa bb cc dd", "abcdefghijkl a")] == ["", "", "aa bb cc\ndd", "abcdefghijkl\na"]
+    assert [one(spark, text.format_tokens(F.col("s").cast("long")), s=s) for s in ("0", "999", "1999")] == ["—", "999", "1k"]
+    assert [one(spark, text.retry_after("s", F.lit("40"), F.lit(10)), s=s) for s in ("7", "x", None)] == [7, 30, 30]

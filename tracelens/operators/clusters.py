@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .ordered import budget_prefix, ranked
 
 LEAST_MEMBERS, SAMPLE_TOKENS, NOISE_TOKENS = 3, 10_000, 10_000
 
@@ -25,27 +26,17 @@ def clustered(rows: DataFrame, least: int = LEAST_MEMBERS, theme: str = "theme")
     return rows.join(sizes, theme, "left").withColumn("cluster", F.when(F.col("members").isNotNull(), F.col(theme)))
 
 
-def budget_prefix(rows: DataFrame, by: list[str], order: list[Column], tokens: str, budget: int, at_least_one: bool) -> DataFrame:
-    """Rows in order until their tokens would pass the budget; the first even so, if at_least_one."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    total = F.sum(tokens).over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    kept = rows.withColumn("total", total)
-    if at_least_one:
-        return kept.withColumn("rn", F.row_number().over(w.orderBy(*order))).filter((F.col("total") <= budget) | (F.col("rn") == 1)).drop("total", "rn")
-    return kept.filter(F.col("total") <= budget).drop("total")
-
-
 def sampled(clustered_rows: DataFrame, key: list[str], tokens: str, seed: int = 42, budget: int = SAMPLE_TOKENS) -> DataFrame:
     """Each cluster's members in the order of a hash of seed and key, within the budget, one at least."""
     mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
     members = clustered_rows.filter("cluster IS NOT NULL").withColumn("mixed", mixed)
-    return budget_prefix(members, ["cluster"], [F.col("mixed"), *[F.col(k) for k in key]], tokens, budget, True)
+    return budget_prefix(members, ["cluster"], [F.col("mixed"), *[F.col(k) for k in key]], tokens, budget, True, F.left("mixed", F.lit(3)))
 
 
 def numbered(samples: DataFrame) -> DataFrame:
     """cluster, n, number: clusters by sampled members, most first, ties by name."""
     n = samples.groupBy("cluster").agg(F.count("*").alias("n"))
-    return n.withColumn("number", F.row_number().over(W.orderBy(F.desc("n"), "cluster")))
+    return ranked(n, "n", ["cluster"], "number").withColumn("number", F.col("number").cast("int"))
 
 
 def missing_from(outline: DataFrame, clusters: int, text: str = "text") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ordered import ranked
+
 
 def without(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not done."""
@@ -46,9 +48,8 @@ def newest(rows: DataFrame, n: int, modified: str, key: list[str]) -> DataFrame:
 
 
 def dispatch(rows: DataFrame, buckets: int, size: str, key: list[str]) -> DataFrame:
-    """Adds `bucket`: largest first, dealt in turn.  rows is metadata, one row a unit of work."""
-    rank = F.row_number().over(W.orderBy(F.desc(size), *key))
-    return rows.withColumn("bucket", ((rank - 1) % buckets).cast("int"))
+    """Adds `bucket`: largest first, dealt in turn."""
+    return ranked(rows, size, key, "__rank").withColumn("bucket", ((F.col("__rank") - 1) % buckets).cast("int")).drop("__rank")
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

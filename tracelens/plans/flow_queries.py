@@ -8,6 +8,7 @@ from ..operators import chat as H
 from ..operators import clusters as C
 from ..operators import evaluate as E
 from ..operators import incremental as I
+from ..operators import ordered as O
 from ..operators import turns as U
 from . import fixtures as X
 from .registry import query
@@ -172,7 +173,8 @@ def cluster_samples(spark, sf_dir):
 @query(V + ", r AS (SELECT *, sum(strlen(text) * 2 // 9) OVER (ORDER BY conv_id, idx ROWS UNBOUNDED PRECEDING) AS total FROM clustered WHERE cluster IS NULL) SELECT conv_id, idx FROM r WHERE total <= 300")
 def noise_budget(spark, sf_dir):
     n = _clustered(spark, sf_dir).filter("cluster IS NULL").withColumn("tok", F.floor(F.octet_length("text") * 2 / 9))
-    return C.budget_prefix(n, [], [F.col("conv_id"), F.col("idx")], "tok", 300, False).select("conv_id", "idx")
+    coarse = O.range_of(F.col("conv_id"), O.range_bounds(n, "conv_id"))
+    return O.budget_prefix(n, [], [F.col("conv_id"), F.col("idx")], "tok", 300, False, coarse).select("conv_id", "idx")
 
 
 @query(V + _SAMPLED + ", n AS (SELECT cluster, count(*) AS n FROM sampled GROUP BY cluster) SELECT cluster, n, CAST(row_number() OVER (ORDER BY n DESC, cluster) AS INTEGER) AS number FROM n")

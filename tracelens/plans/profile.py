@@ -16,6 +16,7 @@ from ..model.client import Client, StubClient
 from ..model.stage import respond, work_root, written
 from ..operators import clusters as K
 from ..operators.incremental import newest, stale, upsert
+from ..operators.ordered import budget_prefix
 from ..operators.turns import HUMAN_SOURCES, chunks, is_human_source, turn_lines, turn_pairs
 
 KEY = ["source", "conv_id"]
@@ -131,7 +132,7 @@ class Profile:
             gap = K.missing_from(thesis, n).first()["missing"]
             if gap:
                 raise RuntimeError(f"the outline lacks Cluster {gap}")
-            noise = K.budget_prefix(rows.filter("cluster IS NULL"), [], [F.col(c) for c in (*KEY, "idx")], "tok", K.NOISE_TOKENS, False)
+            noise = budget_prefix(rows.filter("cluster IS NULL"), [], [F.col(c) for c in (*KEY, "idx")], "tok", K.NOISE_TOKENS, False, F.col(KEY[0]))
             left = noise.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*KEY, "idx", "text"))), lambda r: r["text"]), "\n").alias("noise"))
             text = thesis.select(F.col("text").alias("thesis")).join(outline.select("input")).join(left)
             self._version(ts, self._ask("compose", text.select(F.lit("compose").alias("req_id"), F.lit(PROMPTS["compose"]).alias("system"), F.concat_ws("\n\n", "thesis", "input", "noise").alias("input"))))
