@@ -5,10 +5,10 @@ slots of the terms' hashes over all documents, so the lexicon is a bitmap of fix
 slot is in the lexicon if RARE <= df / N <= COMMON, that is ln(1 / COMMON) <= idf <= ln(1 / RARE).  A
 document keeps its distinct terms in the lexicon (all its terms, if fewer than FEW are), sorts them, and
 hashes those of the whole lexicon and of each of its random subsets.  The subsets are drawn by the terms' own
-hash: 2 ** COARSE that share the lexicon out, each of them in 2 ** FINE more, and of each of these nested smaller
-ones, so a text of a dozen terms and one of thousands both have subsets of one or two of their terms, which survive
-when half of the text is changed.  The likeness of two fingerprints is the part of equal hashes among those that
-are not empty in both.  Everything is a DataFrame expression.
+hash: 64 fine ones share the lexicon out, the coarse ones are unions of them, and nested ones are parts of them, so
+a text of a dozen terms and one of thousands both have subsets of one or two of their terms, which survive when half
+of the text is changed.  The likeness of two fingerprints is the part of equal hashes among those that are not empty
+in both.  Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import Window as W
 from . import common as C
 
 SLOT_BITS, RARE, COMMON, FEW = 20, 0.002, 0.2, 4
-#: Bits of a term's hash that say which coarse subset it is in, which fine one of that, and the bits that are zero in
-#: each nested subset of a fine one: rates of 1/16, 1/64, 1/256 and 1/1024 of the lexicon.
-COARSE, FINE, NESTED = 4, 2, (2, 2)
+#: Bits of a term's hash that say which fine subset it is in; how many fine subsets a coarse one unites; and the bits
+#: that are zero in each nested subset: rates of 1/64, 1/16 and 1/4, and 1/256 and 1/1024, of the lexicon.
+FINE, UNITED, NESTED = 6, (4, 16), (2, 2)
 ROWS_EACH = 1000
 
 
@@ -62,49 +62,67 @@ def kept_terms(texts: list[Column], bitmap: Column) -> Column:
     return F.transform(lists, keep)
 
 
-#: Hex digits of a part's hash, and the hash of no terms: Spark's hash of an empty array is its seed.
-DIGITS, NONE = 3, "02A"
+#: Hex digits of a part's hash, and what stands for a part without terms (no part's hash).
+DIGITS, NONE = 3, "---"
 
 
-def _digest(part: Column) -> Column:
-    return F.lpad(F.hex(F.xxhash64(part).bitwiseAND((1 << 4 * DIGITS) - 1)), DIGITS, "0")
+def _digest(hashed: Column) -> Column:
+    return F.lpad(F.hex(hashed.bitwiseAND((1 << 4 * DIGITS) - 1)), DIGITS, "0")
 
 
-def _shared_out(part: Column, used: int, bits: int, each) -> Column:
-    """each(the terms of a part whose next `bits` bits are k, the bits used) for all k, joined by dots."""
-    ks = F.sequence(F.lit(0), F.lit((1 << bits) - 1))
-    return F.array_join(F.transform(ks, lambda k: each(F.filter(part, lambda t: _bits(t, used, bits) == k), used + bits)), ".")
+def _parts(terms: Column) -> Column:
+    """The hash of each of the 2 ** FINE parts of sorted terms, a dot after each.
+
+    A part's terms have the same first bits, so they follow each other and one pass closes part after part.
+    """
+    n = 1 << FINE
+    none = NONE + "."
+    part = lambda t: (F.call_function("shiftright", t, F.lit(64 - FINE)) + (n >> 1)).cast("int")
+    closed = lambda s: F.when(s["at"] >= 0, F.concat(s["done"], _digest(s["h"]), F.lit("."))).otherwise(s["done"])
+    start = F.struct(F.lit("").alias("done"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("h"))
+
+    def add(s: Column, t: Column) -> Column:
+        return F.when(part(t) == s["at"], F.struct(s["done"].alias("done"), s["at"].alias("at"), F.xxhash64(s["h"], t).alias("h"))).otherwise(
+            F.struct(F.concat(closed(s), F.repeat(F.lit(none), part(t) - s["at"] - 1)).alias("done"), part(t).alias("at"), F.xxhash64(t).alias("h"))
+        )
+
+    return F.aggregate(terms, start, add, lambda s: F.concat(closed(s), F.repeat(F.lit(none), F.lit(n - 1) - s["at"])))
 
 
-def _bits(term: Column, used: int, bits: int) -> Column:
-    """Bits of a term's hash from its top, where the lexicon's slots do not look."""
-    return F.call_function("shiftright", term, F.lit(64 - used - bits)).bitwiseAND((1 << bits) - 1)
+def _united(fine: Column, each: int) -> Column:
+    """The hashes of unions of `each` successive fine parts, from the parts' own hashes; a dot after each."""
+    width = each * (DIGITS + 1)
+    starts = F.sequence(F.lit(1), F.lit((1 << FINE) * (DIGITS + 1)), F.lit(width))
+
+    def hashed(at: Column) -> Column:
+        own = F.substring(fine, at, F.lit(width))
+        return F.when(own == (NONE + ".") * each, NONE).otherwise(_digest(F.xxhash64(own)))
+
+    return F.concat(F.array_join(F.transform(starts, hashed), "."), F.lit("."))
 
 
 def fingerprint(kept: Column) -> Column:
-    """Hashes of the kept terms, and of their parts in each random subset of the lexicon, joined by dots; NONE for empty parts."""
+    """Hashes of the kept terms, and of their parts in each random subset of the lexicon, with dots between; NONE for empty parts."""
 
-    def nested(part: Column, used: int, rates=NESTED) -> list[Column]:
+    def nested(terms: Column, used: int, rates: tuple) -> list[Column]:
         if not rates:
-            return [_digest(part)]
-        inner = F.filter(part, lambda t: _bits(t, used, rates[0]) == 0)
-        return [_digest(part), F.transform(F.array(inner), lambda p: F.concat_ws(".", *nested(p, used + rates[0], rates[1:])))[0]]
-
-    def fine(part: Column, used: int) -> Column:
-        return F.concat_ws(".", *nested(part, used))
+            return []
+        inner = F.filter(terms, lambda t: F.call_function("shiftright", t, F.lit(64 - used - rates[0])).bitwiseAND((1 << rates[0]) - 1) == 0)
+        return [F.transform(F.array(inner), lambda p: F.concat(_parts(p), *nested(p, used + rates[0], rates[1:])))[0]]
 
-    def coarse(part: Column, used: int) -> Column:
-        return F.concat_ws(".", _digest(part), _shared_out(part, used, FINE, fine))
+    def whole(fine: Column) -> Column:
+        return F.concat(F.when(F.size(kept) == 0, NONE).otherwise(_digest(F.xxhash64(kept))), F.lit("."), *[_united(fine, n) for n in UNITED], fine)
 
-    return F.concat_ws(".", _digest(kept), _shared_out(kept, 0, COARSE, coarse))
+    first = F.transform(F.array(_parts(kept)), whole)[0]
+    return F.rtrim(F.concat(first, *nested(kept, FINE, NESTED)), F.lit("."))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Equal hashes of two fingerprints by hashes that are not empty in both; two without any: 1."""
-    x, y = F.split(a, "\\.", -1), F.split(b, "\\.", -1)
-    both = F.zip_with(x, y, lambda p, q: F.struct(((p == q) & (p != NONE)).cast("int").alias("same"), ((p != NONE) | (q != NONE)).cast("int").alias("any")))
-    sums = F.aggregate(both, F.expr("struct(0 AS same, 0 AS any)"), lambda s, v: F.struct((s["same"] + v["same"]).alias("same"), (s["any"] + v["any"]).alias("any")))
-    return F.transform(F.array(sums), lambda s: F.when(s["any"] == 0, F.lit(1.0)).otherwise(s["same"] / s["any"]))[0]
+    one = 1 << 32  # equal ones are counted above this bit, all below
+    score = lambda p, q: F.when(p != q, F.lit(1).cast("long")).when(p == NONE, F.lit(0).cast("long")).otherwise(F.lit(one + 1))
+    sums = F.aggregate(F.zip_with(F.split(a, "\\.", -1), F.split(b, "\\.", -1), score), F.lit(0).cast("long"), lambda s, v: s + v)
+    return F.transform(F.array(sums), lambda s: F.when(s == 0, F.lit(1.0)).otherwise(F.shiftright(s, 32) / s.bitwiseAND(one - 1)))[0]
 
 
 def _with_kept(df: DataFrame, texts: list[Column], bitmap: DataFrame) -> DataFrame:
