@@ -141,6 +141,35 @@ def test_fingerprints_and_edits(spark):
             assert got[i].near_edited == 1
 
 
+def test_one_term_changes_only_the_hashes_of_its_subsets(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        terms = sorted(rng.getrandbits(64) - (1 << 63) for _ in range(rng.choice([0, 1, 2, 20, 400])))
+        more = rng.getrandbits(64) - (1 << 63)
+        rows.append((terms, sorted([*terms, more]), more))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, more long")
+    for r in df.select("a", "more", imatch.fingerprint(F.col("a")).alias("x"), imatch.fingerprint(F.col("b")).alias("y")).collect():
+        x, y = r.x.split("."), r.y.split(".")
+        part = lambda t: (t + (1 << 63)) >> 58
+        low = lambda t, bits: (t >> (58 - bits)) & ((1 << bits) - 1)
+        at, n = part(r.more), 64
+        of = [0, 1 + at // 4, 17 + at // 16, 21 + at, *([21 + n + at] * (low(r.more, 2) == 0)), *([21 + 2 * n + at] * (low(r.more, 4) == 0))]
+        assert len(x) == len(y) == 21 + 3 * n
+        assert {i for i in range(len(x)) if x[i] != y[i]} <= set(of) and x[21 + at] != y[21 + at]
+        for level, bits in ((21, 0), (21 + n, 2), (21 + 2 * n, 4)):
+            full = {part(t) for t in r.a if low(t, bits) == 0}
+            assert {i for i in range(n) if x[level + i] != imatch.NONE} == full
+
+
+def test_half_edited_texts_are_nearer_than_the_next(spark):
+    rng = random.Random(9)
+    terms = ["".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(4000)]
+    texts = [" ".join(rng.choices(terms, k=rng.choice([40, 150, 900]))) for _ in range(200)]
+    got = imatch.edited_and_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(r.near_edited > r.near_next for r in got) >= 0.97 * len(got)
+
+
 def test_fingerprints_on_odd_rows_and_plan(odd, empty):
     df = imatch.edited_and_next(odd)
     assert "__lexicon" not in df._jdf.queryExecution().executedPlan().toString()  # else it is copied for each term
@@ -149,6 +178,15 @@ def test_fingerprints_on_odd_rows_and_plan(odd, empty):
     assert imatch.fingerprints(odd).count() == 8
 
 
+def test_language_reads_whole_texts(spark):
+    words_of = {"en": "ethanosri", "fr": "eéuxailn"}
+    rng = random.Random(6)
+    text = lambda lang, n: " ".join("".join(rng.choice(words_of[lang]) for _ in range(5)) for _ in range(n))
+    rows = [(i, "1 " * 4000 + text(lang, 400), lang, "s") for i, lang in enumerate(["en", "fr"] * 20)]
+    got = language.languages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == ["en", "fr"] * 20
+
+
 def test_language_held_out(spark, odd, empty):
     rng = random.Random(5)
     rows = []
