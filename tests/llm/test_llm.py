@@ -305,6 +305,28 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd).count() == 8 and licenses.scan(empty).count() == 0
 
 
+def test_licenses_of_whole_texts(spark):
+    text = lambda name: (licenses.TEXTS / f"{name}.txt").read_text()
+    known = {i: t for i, t in licenses.KNOWN if len(t) > 200}
+    owner = "\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n"
+    gpl2 = text("GPL-2.0")
+    want = [
+        ("MIT", "MIT License" + owner + known["MIT"].replace("The above copyright", "The above\ncopyright")),
+        ("MIT", known["MIT"].replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT")),
+        ("MIT", "Copyright 2020 Someone, Inc. " + known["MIT"]),
+        ("ISC", "ISC License" + owner + known["ISC"]),
+        ("BSD-3-Clause", "BSD 3-Clause License" + owner + known["BSD-3-Clause"].replace("1. R", "\n* R").replace("2. R", "\n* R").replace("3. N", "\n* N")),
+        *((name, text(name)) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")),
+        ("GPL-2.0", gpl2[: gpl2.index("END OF TERMS")].replace("51 Franklin Street, Fifth Floor", "59 Temple Place, Suite 330").replace("02110-1301 USA", "02111-1307 USA", 1)),
+        ("Apache-2.0", " ".join(text("Apache-2.0").split("END OF TERMS")[0].split())),
+        (None, text("Apache-2.0").replace("You must retain", "You must not retain")),
+    ]
+    rows = [(i, t) for i, (_, t) in enumerate(want)] + [(100, "Copyright 2020 Someone. Licensed under the MIT License.\nText.")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].license_id for i in range(len(want))] == [i for i, _ in want]
+    assert got[100].notices == "MIT"
+
+
 def test_main_text_held_out():
     model, rng = pages.default_model(), random.Random(99)
     wrong = total = 0

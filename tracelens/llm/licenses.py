@@ -1,12 +1,16 @@
 """License scans by canonical digests: a text is a licence if its canonical form is that of a known one.
 
-The canonical form is lower case, without copyright lines, with equivalent spellings made one and anything
-but letters and digits as one space.  Whole texts, and each line of them as a text of its own (a notice),
-are hashed and joined to the digests of the known licences.  Everything is a DataFrame expression.
+The canonical form is lower case, without copyright statements, with equivalent spellings made one and
+anything but letters and digits as one space.  Whole texts, and each line of them as a text of its own (a
+notice), are hashed and joined to the digests of the known licences.  Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,21 +40,65 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 ]
 
-#: A line that only says whose the copyright is, and spellings that count as one.
+#: How whole texts are headed, by id; and the address line that the GNU texts have had.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC"],
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License", "Zero Clause BSD License", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License"],
+}
+TEXTS = Path(__file__).parent / "license_texts"
+ADDRESS = r"(?m)^ *51 Franklin Street, Fifth Floor, Boston, MA  ?02110-1301,? +USA *$"
+ADDRESSES = ["", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
+#: What follows the terms in some copies only: how to apply them.
+APPENDIX = r"(?m)^ *(END OF TERMS AND CONDITIONS|ADDENDUM: How to use this License|EXHIBIT A -Mozilla|Exhibit A - Source Code Form) ?.*$"
+
+
+@cache
+def catalogue() -> list[tuple[str, str]]:
+    """KNOWN, and (license_id, text) of the usual forms of whole texts: titles, list markers, with and without an appendix."""
+    out = list(KNOWN)
+    for name, text in KNOWN:
+        if len(text) < 200:
+            continue
+        marked = [text]
+        if "1. " in text:  # numbered, lettered, or with bullets
+            marked += [re.sub(r"\b([123])\. (?=[RN])", lambda m: f"{'abc'[int(m[1]) - 1]}. ", text), re.sub(r"\b[123]\. (?=[RN])", "* ", text)]
+        out += [(name, f"{title}\n{t}") for t in marked for title in ["", *TITLES[name]]]
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text()
+        heads = [text] + [re.sub(ADDRESS, a, text, count=1) for a in ADDRESSES if re.search(ADDRESS, text)]
+        for t in heads:
+            m = re.search(APPENDIX, t)
+            out += [(path.stem, x) for x in ([t, t[: m.start()], t[: m.start()] + m[1]] if m else [t])]
+        if path.stem in TITLES:
+            out += [(path.stem, f"{title}\n{text}") for title in TITLES[path.stem]]
+    return out
+
+
+#: A line that only says whose the copyright is (as the query's SQL has it), and spellings that count as one.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("organisation", "organization"), ("authorisation", "authorization"), ("favour", "favor"), ("https", "http"), ("copyright owner", "copyright holder")]
+#: Such a statement alone: it ends before a licence notice on its line, and a line of running text that begins with the word is none.
+STATEMENT = (
+    r"(?m)^[^a-z0-9\n]*(?:copyright(?![a-z])(?![^a-z0-9\n]*(?:holders?|owners?|notices?|laws?|licen[cs]es?|statements?|disclaimers?|line|also|on|in|is|and|or|to|as)\b)"
+    r"|\(c\)(?!\s+(?:you|if|under|representations|the licen[cs]es?)\b)|©|all rights reserved)[^\n]*?"
+    r"(?=$|[^\p{L}\p{N}\n]+(?:licen[cs]ed under|released under|distributed under|this work is|this software is|this program is|permission is|permission to|redistribution and|spdx-license-identifier))"
+)
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; null stays null."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), r"[^\p{L}\p{N}]+", " ")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), STATEMENT, " "), r"[^\p{L}\p{N}]+", " ")
     for have, want in SPELLINGS:
         out = F.replace(out, F.lit(have), F.lit(want))
     return F.trim(out)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license_id, digest: one row a digest (of ids that share one, the first by code point)."""
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """license_id, digest of known, or of the catalogue: one row a digest (of ids that share one, the first by code point)."""
+    known = catalogue() if known is None else known
     rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known])).alias("k")).select("k.*")
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
@@ -76,7 +124,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def oracle() -> str:
-    """The query's rows over `documents` as DuckDB SQL."""
+    """The query's rows over `documents` as DuckDB SQL, as far as KNOWN and whole copyright lines go."""
 
     def form(x: str) -> str:
         out = f"regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
