@@ -215,6 +215,19 @@ def test_encoder_equals_the_library(kind, file):
         assert ids[a:b].tolist() == e.library.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("kind,file,ids", [("byte", "byte_bpe_50k.json", [64, 220, 50256, 2124]), ("word", "word_bpe_49k.json", [320, 49407, 343])])
+def test_literals_of_added_tokens_are_the_tokens(kind, file, ids):
+    from tokenizers import Tokenizer
+
+    from tracelens.llm.tokens import Encoder
+
+    library = Tokenizer.from_file(vocabulary(file))
+    texts = ["a <|endoftext|> x", "plain text", "<|startoftext|>it's<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", "日 <|endoftext|>", "plain text"]
+    out, bounds = Encoder(vocabulary(file), kind).encode(texts)
+    got = [out[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert got[0] == ids and got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pack_covers_every_id_once(spark, odd, empty):
     path = vocabulary("byte_bpe_50k.json")
     rows = [(i, t) for i, t in enumerate(corpus(200))] + [(900, None), (901, "")]

@@ -4,7 +4,7 @@ Both vocabularies split a text by a fixed pattern before byte pairs are merged,
 piece.  Here a batch of texts is split at once with NumPy on code points, and the library encodes only the
 batch's distinct pieces, of which it has not seen most before; ids are gathered from that.  A text that
 holds anything the vectorised split is not known to match (code points from LIMIT, characters whose lower case is longer,
-text that is not in NFC where the normalizer composes it) goes to the library whole.
+text that is not in NFC where the normalizer composes it, a literal of an added token) goes to the library whole.
 """
 
 from __future__ import annotations
@@ -56,9 +56,9 @@ class Encoder:
 
         self.kind = kind
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.splitter = Tokenizer.from_file(path)  # takes BETWEEN as one token, which cuts what it encodes
-        self.between = self.splitter.token_to_id(BETWEEN)
+        # as the file says: literals of added tokens become those tokens; BETWEEN, being one, cuts what _learn() encodes
+        self.between = self.library.token_to_id(BETWEEN)
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self.odd = _odd_lower() if kind == "word" else np.zeros(LIMIT, bool)
         self.clear()
@@ -74,7 +74,7 @@ class Encoder:
         for lo in range(0, len(pieces), 20_000):
             part = pieces[lo : lo + 20_000]
             texts = [BETWEEN.join(part[i : i + 500]) + BETWEEN for i in range(0, len(part), 500)]
-            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.splitter.encode_batch_fast(texts, add_special_tokens=False)])
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.flatnonzero(ids == self.between)
             n = np.diff(ends, prepend=-1).astype(np.int32) - 1
             ids = ids[ids != self.between]
@@ -131,7 +131,7 @@ class Encoder:
             keep &= kind[start] != SPACE
         return start[keep], end[keep]
 
-    def _whole(self, texts: list[str], cps: np.ndarray, stops: np.ndarray) -> list[int]:
+    def _whole(self, texts: list[str], big: str, cps: np.ndarray, stops: np.ndarray) -> list[int]:
         """Texts that go to the library whole."""
         bad = cps >= LIMIT
         if self.kind == "word":
@@ -139,6 +139,9 @@ class Encoder:
         found = set(np.searchsorted(stops, np.flatnonzero(bad)).tolist())
         if self.kind == "word":
             found |= {i for i, t in enumerate(texts) if not unicodedata.is_normalized("NFC", t)}
+        lower = big.lower()
+        if any(a in lower for a in self.added):
+            found |= {i for i, t in enumerate(texts) if any(a in t.lower() for a in self.added)}
         return sorted(found)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +160,7 @@ class Encoder:
         stops = np.cumsum(size + 1) - 1
         big = "\n".join(texts) + "\n"
         cps = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
-        whole = self._whole(texts, cps, stops)
+        whole = self._whole(texts, big, cps, stops)
         if whole:
             own = {i: np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint16) for i in whole}
             ids, bounds = self._encode(["" if i in own else t for i, t in enumerate(texts)])
