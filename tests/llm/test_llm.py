@@ -88,6 +88,27 @@ def test_near_duplicates_on_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 6]
 
 
+@pytest.mark.parametrize("top", [8, 2**63 - 1])
+def test_rows_without_ids_are_documents(spark, top):
+    text, own = ("quick brown foxes jump over lazy dogs and sleep in the sun all day", "seven other words make up this text here")
+    rows = [(3, text, "en", "a"), (5, text, "en", "a"), (top, "one of the last", "en", "a"), (None, text, "en", "a"), (None, own, "en", "b"), (None, own, "en", "b"), (None, None, "en", None), (None, "", "en", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = [(r.doc_id, r.class_id, r.n_copies) for r in near.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted([(3, 3, 2), (5, 3, 2), (top, top, 0), (None, 3, 2), (None, None, 1), (None, None, 1), (None, None, 0), (None, None, 0)], key=str)
+    assert collections.Counter(r.text for r in near.one_of_each(docs).collect()) == {text: 1, "one of the last": 1, own: 1, None: 1, "": 1}
+
+
+def test_mixed_rows_without_ids_take_their_own_copies(spark):
+    rows = [(None if i % 2 else i, f"w{i} " + "w " * (i % 9), "en", "ab"[i % 3 > 0]) for i in range(400)] + [(7, "same id one", "en", "a"), (7, "same id two more", "en", "a")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    target = {r.source: r.target for r in mixing.mix(docs).collect()}
+    got = mixing.mixed(docs).collect()
+    taken, times = collections.Counter(), collections.Counter(r.text for r in got)
+    for r in got:
+        taken[r.source] += len(r.text.split())
+    assert max(times.values()) <= 2 and all(abs(taken[s] - target[s]) <= 20 for s in target)
+
+
 def test_mix_targets_and_takes(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(1, 60)), "en", rng.choice(["a", "b", "c", "d", None])) for i in range(3000)]

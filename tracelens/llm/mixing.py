@@ -56,7 +56,12 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     Null texts have size 0; a null source is a source, the last; a row of size 0 is taken 0 times unless
     its copies are certain.  Rows with equal ids share one draw and are ordered by size.  Reruns agree.
     """
-    base = C.saved(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("u")), "sizes")
+    return _mix(docs, [], F.col("doc_id"), share, most, weights, seed)
+
+
+def _mix(docs: DataFrame, key: list[str], drawn: Column, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """mix() with the columns `key`, which also order equal rows, and draws by `drawn`."""
+    base = C.saved(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), draw(drawn, seed).alias("u"), *key), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, share, most, weights)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -71,11 +76,11 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     cut = bins.withColumn("before", before).filter("before < rest").groupBy("source").agg(F.max(F.struct("bin", "before")).alias("c"))
     cut = C.saved(cut.select(F.col("source").alias("s"), F.col("c.bin").alias("last"), "c.before"), "cut")
     placed = ranked.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    inside = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    inside = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("rank", "doc_id", "size", *key).rowsBetween(W.unboundedPreceding, 0))
     at = placed.filter("bin = last").withColumn("more", (inside - F.col("size") / 2 <= F.col("rest")).cast("long"))
     rest = placed.filter("NOT (bin <=> last) OR bin IS NULL").withColumn("more", F.coalesce((F.col("bin") < F.col("last")).cast("long"), F.lit(0)))
     copies = (F.col("certain") + F.col("more")).cast("long")
-    return at.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return at.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *key)
 
 
 #: mix() of `documents` with the parameters above, in DuckDB's SQL.
@@ -96,7 +101,9 @@ SELECT doc_id, size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes it.  doc_id should be unique and not null."""
-    chosen = mix(docs, **parameters).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    times = docs.join(chosen, docs.doc_id.eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    """The rows of docs, all columns, each as often as the mix takes it.  Rows are told apart by a written number; those without an id have draws of their own."""
+    rows = C.saved(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    drawn = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("__row").cast("string")))
+    chosen = _mix(rows, ["__row"], drawn, **parameters).filter("copies > 0").select(F.col("__row").alias("__id"), F.col("copies").alias("__copies"))
+    times = rows.join(chosen, F.col("__row") == F.col("__id")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return times.select(*[F.col(f"`{c}`") for c in docs.columns])

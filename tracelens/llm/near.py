@@ -149,20 +149,52 @@ def _verified(threshold: float, width: int):
     return run, "node long, links long, other long"
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL, seed: int = SEED) -> DataFrame:
+def keyed(docs: DataFrame) -> tuple[DataFrame, int | None, int | None]:
+    """docs with __id, its doc_id as a long or, where that is null, a written number that no doc_id has; and the first and last of these."""
+    id_ = F.col("doc_id").cast("long")
+    named = docs.withColumn("__id", id_).filter("__id IS NOT NULL")
+    lost = C.saved(docs.filter(id_.isNull()).withColumn("__id", F.monotonically_increasing_id()), "unnamed")
+    last = lost.agg(F.max("__id")).first()[0]
+    if last is None:
+        return named, None, None
+    low, high = named.agg(F.min("__id"), F.max("__id")).first()
+    first = 0 if high is None else high + 1
+    if first + last >= 2**63:
+        first = low - 1 - last
+    if first < -(2**63):
+        raise ValueError("no numbers left for rows without an id")
+    return named.unionByName(lost.withColumn("__id", F.col("__id") + F.lit(first))), first, first + last
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies for each distinct doc_id of docs(doc_id long, text), and for each row whose doc_id is null.
+
+    As classes_of(); documents without an id count like others, and class_id is null where no member has one.
+    """
+    rows, first, last = keyed(docs.select("doc_id", "text"))
+    found = classes_of(rows.select(F.col("__id").alias("doc_id"), "text"), **parameters)
+    if first is None:
+        return found
+    found = C.saved(found, "classes")
+    name = F.when(~F.col("doc_id").between(first, last), F.col("doc_id"))
+    least = found.groupBy(F.col("class_id").alias("__class")).agg(F.min(name).alias("__least"))
+    return found.join(least, F.col("class_id") == F.col("__class")).select(name.alias("doc_id"), F.col("__least").alias("class_id"), "n_links", "n_copies")
+
+
+def classes_of(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """doc_id, class_id, n_links, n_copies for each distinct doc_id of docs(doc_id long, text).
 
     class_id: the least doc_id of the class; classes are the components of the links.  n_links: other word
     sequences in docs of similarity >= threshold; n_copies: other documents of the same word sequence.
     Nulls and empty texts are alone.  Repeated rows of a doc_id count once (the text of least digest
-    counts if they differ); rows whose doc_id is null have no name to report and are left out.  Other
-    columns are not looked at.  An empty table gives an empty result.
+    counts if they differ); doc_id must not be null here.  Other columns are not looked at.  An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     C.batches(spark)
     depth = stop_depth(threshold, trees, longest, recall)
     run, schema = _signed(width, trees, depth, seed)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = C.saved(base.mapInArrow(run, schema), "signatures")
     blank = (F.col("n_words") == 0) & (F.col("d1") == 0) & (F.col("d2") == 0)
     own = signed.withColumn("d2", F.when(blank, F.col("doc_id")).otherwise(F.col("d2")))
@@ -197,7 +229,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, all columns, of which doc_id is the least of its class; repeated rows of it once.  Null ids stay."""
-    kept = near_duplicates(docs, **parameters).filter("doc_id = class_id").select(F.col("doc_id").alias("__kept"))
-    named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """The rows of docs, all columns, of which doc_id is the least of its class; repeated rows of it once.  A row without an id is a document of its own."""
+    rows, _, _ = keyed(docs)
+    found = classes_of(rows.select(F.col("__id").alias("doc_id"), "text"), **parameters)
+    kept = found.filter("doc_id = class_id").select(F.col("doc_id").alias("__kept"))
+    return rows.join(kept, F.col("__id") == F.col("__kept"), "left_semi").dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
