@@ -119,6 +119,24 @@ def test_profile_reuses_what_is_done_and_reports_failures(spark, tmp_path):
         Profile(spark, f"file://{tmp_path}/q", Failing()).observe(m)
 
 
+def test_many_labels_are_mapped_to_themes(spark, tmp_path):
+    class Partly(StubClient):
+        def _theme_map(self, text):  # sixty labels a call, and never those that end in 9
+            labels = [x.removeprefix("- ") for x in text.partition("LABELS:\n")[2].splitlines()]
+            return "\n".join(f'- "{x.upper()}" → Theme {x[-1]} ' for x in [x for x in labels if x[-1] != "9"][:60])
+
+    p = Profile(spark, f"file://{tmp_path}/p", Partly())
+    rows = [("codex", i, "f", 0, f"label {i}") for i in range(130)]
+    spark.createDataFrame(rows[:50], p.LABELS).write.parquet(f"{p.folder}/labels")
+    assert p.theme() is None
+    spark.createDataFrame(rows, p.LABELS).write.mode("overwrite").parquet(f"{p.folder}/labels")
+    got = {r.label: r.theme for r in p.theme().collect()}
+    assert got == {f"label {i}": f"label {i}" if i % 10 == 9 else f"theme {i % 10}" for i in range(130)}
+    assert [u[:2] for u in p.usage] == [("theme_identify", 1), ("theme_map", 2), ("theme_map", 1), ("theme_map", 1)]
+    p.usage.clear()
+    assert {r.label: r.theme for r in p.theme().collect()} == got and not p.usage
+
+
 def test_sources(spark, tmp_path):
     from tracelens.sources import coding, people, sqlite
 

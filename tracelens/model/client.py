@@ -52,6 +52,13 @@ class StubClient:
                 out.append(f"{n}. pattern {int(hashlib.md5(body.encode()).hexdigest()[:4], 16) % 97}")
         return "\n".join(out)
 
+    def _theme_identify(self, text: str) -> str:
+        return "\n".join(f"THEME: theme {i}" for i in range(20))
+
+    def _theme_map(self, text: str) -> str:
+        labels = [line.removeprefix("- ") for line in text.partition("LABELS:\n")[2].splitlines()]
+        return "\n".join(f"{x} -> theme {int(hashlib.md5(x.encode()).hexdigest()[:4], 16) % 20}" for x in labels)
+
     def _summarize(self, text: str) -> str:
         return f"{len(text.splitlines())} lines"
 

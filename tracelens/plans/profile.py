@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parse import numbered_labels, observations
-from ..functions.text import fingerprint, is_empty, is_relevant, normal_label, observation_format, strip_code_fence, token_estimate
+from ..functions.parse import numbered_labels, observations, theme_map
+from ..functions.parse import themes as theme_lines
+from ..functions.text import fingerprint, is_empty, is_relevant, normal_label, observation_format, strip_code_fence, token_estimate, trim_space
 from ..model.client import Client, StubClient
 from ..model.stage import respond, work_root, written
 from ..operators import clusters as K
@@ -20,8 +21,10 @@ from ..operators.ordered import budget_prefix
 from ..operators.turns import HUMAN_SOURCES, chunks, is_human_source, turn_lines, turn_pairs
 
 KEY = ["source", "conv_id"]
-PROMPTS = {"observe": "List observations about how the owner thinks.", "observe_human": "List observations about the owner among peers.", "refine": "Keep what is distinctive.", "label": "Label each observation.", "summarize": "Summarise the cluster.", "thesis": "Outline every cluster.", "compose": "Write the document.", "learn": "Write the document."}
+PROMPTS = {"observe": "List observations about how the owner thinks.", "observe_human": "List observations about the owner among peers.", "refine": "Keep what is distinctive.", "label": "Label each observation.", "theme_identify": "Name 15 to 25 themes that the labels share, each on a line after THEME: .", "theme_map": "Assign each label to one of the themes: label -> theme.", "summarize": "Summarise the cluster.", "thesis": "Outline every cluster.", "compose": "Write the document.", "learn": "Write the document."}
 LABELS_A_CALL = 10
+#: More distinct labels than this are mapped to themes, in calls of so many.
+THEMED_FROM, THEMED_A_CALL = 50, 100
 
 
 class Profile:
@@ -100,6 +103,42 @@ class Profile:
         upsert(f"{self.folder}/labels", rows, [*KEY, "idx"])
         return self.table("labels", self.LABELS)
 
+    THEMES = "fp string, label string, theme string"
+
+    def theme(self) -> DataFrame | None:
+        """label, theme of lower-cased labels, if there are more than THEMED_FROM; labels that no round maps are themes themselves."""
+        known = self.table("labels", self.LABELS).filter("label != ''").agg(F.array_sort(F.collect_set("label")).alias("l"))
+        known = known.select("l", fingerprint(F.array_join("l", "\0"), F.lit(PROMPTS["theme_identify"]), F.lit(PROMPTS["theme_map"])).alias("fp"))
+        known = written(known, f"{self.folder}/work/known-{uuid.uuid4().hex[:8]}")
+        n, fp = known.select(F.size("l"), "fp").first()
+        if n <= THEMED_FROM:
+            return None
+        done = self.table("themes", self.THEMES).filter(F.col("fp") == fp)
+        if not done.isEmpty():
+            return done.select("label", "theme")
+        listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), "")
+        named = self._ask("theme_identify", known.select(F.lit("themes").alias("req_id"), F.lit(PROMPTS["theme_identify"]).alias("system"), listed("l").alias("input")))
+        named = named.select(theme_lines("text").alias("themes"))
+        if not named.first()["themes"]:
+            raise RuntimeError("theme_identify: no themes found")
+        left, mapped, turn = known.select("l"), None, 0
+        while n:
+            turn += 1
+            batch = left.select(F.posexplode("l").alias("i", "label")).groupBy(F.floor(F.col("i") / THEMED_A_CALL).alias("b")).agg(F.array_sort(F.collect_list("label")).alias("l"))
+            text = F.concat(F.lit("THEMES:\n"), F.array_join("themes", "\n"), F.lit("\n\nLABELS:\n"), listed("l"))
+            asked = batch.crossJoin(named).select(F.concat(F.lit(f"{turn}|"), F.col("b").cast("string")).alias("req_id"), F.lit(PROMPTS["theme_map"]).alias("system"), text.alias("input"))
+            got = self._ask("theme_map", asked).select(F.lit(turn).alias("turn"), "req_id", F.explode(theme_map("text")).alias("label", "theme"))
+            mapped = written(got if mapped is None else mapped.unionByName(got), f"{self.folder}/work/mapped-{uuid.uuid4().hex[:8]}")
+            rest = left.select(F.explode("l").alias("raw")).join(mapped.select("label").distinct(), F.lower("raw") == F.col("label"), "left_anti")
+            left = written(rest.agg(F.array_sort(F.collect_list("raw")).alias("l")), f"{self.folder}/work/left-{uuid.uuid4().hex[:8]}")
+            before, n = n, left.select(F.size("l")).first()[0]
+            if n == before:
+                break
+        last = mapped.groupBy("label").agg(F.max_by("theme", F.struct("turn", "req_id")).alias("theme"))
+        own = left.select(F.explode("l").alias("theme")).groupBy(F.lower("theme").alias("label")).agg(F.max("theme").alias("theme"))
+        rows = last.unionByName(own).select(F.lit(fp).alias("fp"), "label", F.lower(trim_space("theme")).alias("theme"))
+        return written(rows, f"{self.folder}/themes").select("label", "theme")
+
     VERSIONS = "source string, ts long, content string"
 
     def _version(self, ts: int, text: DataFrame) -> None:
@@ -115,10 +154,10 @@ class Profile:
         return done
 
     def clustered(self, messages: DataFrame, ts: int, limit: int = 0, least: int = K.LEAST_MEMBERS) -> dict:
-        """Observe, label, group, sample, summarise, outline, compose."""
+        """Observe, label, map labels to themes if there are many, group, sample, summarise, outline, compose."""
         done = self.observe(messages, limit)
         labels = self.label().select(*KEY, "idx", normal_label("label").alias("label"))
-        rows = K.clustered(K.themed(self.entries(), labels, None, [*KEY, "idx"]), least).withColumn("tok", token_estimate("text"))
+        rows = K.clustered(K.themed(self.entries(), labels, self.theme(), [*KEY, "idx"]), least).withColumn("tok", token_estimate("text"))
         rows = written(rows, f"{self.folder}/work/rows-{uuid.uuid4().hex[:8]}")
         sample = K.sampled(rows, [*KEY, "idx"], "tok")
         order = K.numbered(sample)
