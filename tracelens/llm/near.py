@@ -1,10 +1,10 @@
-"""Near duplicates by an n-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""Near duplicates by an n-gram Jaccard join: MinHash banding, then exact verification.
 
 A text's words (ASCII-lower-cased runs of letters and digits) give its set of shingles of five words.
-Equal word sequences are copies: they are one node from the start.  Every node has `trees` signatures; a
-tree is a sorted trie of signatures, and nodes that share a prefix of one are candidates.  The matched
-prefix is shortened from `longest` values until 1 - (1 - threshold ** depth) ** trees, the recall at the
-threshold itself, reaches `recall`.  The groups of equal prefixes in all trees together form candidate
+Equal word sequences are copies: they are one node from the start.  Every node has `trees` keys of
+`depth` MinHash values, and nodes that share a key are candidates.  The depth is fixed before any data are
+seen: the largest up to `longest` at which 1 - (1 - threshold ** depth) ** trees, the recall at the
+threshold itself, reaches `recall`.  The groups of equal keys in all trees together form candidate
 components (linear in the nodes: each group links its members to its least one).  Within a component every
 pair is verified on the exact shingle sets, in blocks of at most BLOCK texts, so links are whole and no row
 is made for each pair: blocks return link counts and a spanning forest.
