@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -12,18 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: Rows in an Arrow batch that goes to Python; with texts of 100 kB a batch is 50 MB.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch that goes to Python; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 _own_root: list[str] = []
 _tables: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); an own one only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); an own one only where that is unset and Spark is one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="tracelens-"))
     return _own_root[0]
@@ -64,8 +68,23 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
 
 
 def batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps the batches that go to Python small: their bytes grow with the texts."""
+    """Keeps the batches that go to Python small, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def lean(run):
+    """run(batches), and then what it has freed goes back to the system: Python workers outlive their tasks."""
+
+    def wrapped(parts):
+        yield from run(parts)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
 
 
 def width(spark: SparkSession) -> int:

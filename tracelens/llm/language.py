@@ -1,8 +1,8 @@
 """Language identification with a bit-sliced Bloom filter of character n-grams.
 
-A slot of the filter is a bit mask with one bit a language; an n-gram is in the filter of language l if
-bit l is set in the slots of both its hashes, so one AND of two slots returns all languages that contain
-it.  A text's score for l is the number of its n-grams (repeats counted) in l, less what the filter's
+A slot of the filter is a bit mask with one bit a language, in as many words of 64 bits as they need; an n-gram is in
+the filter of language l if bit l is set in the slots of both its hashes, so one AND of two slots returns all
+languages that contain it.  A text's score for l is the number of its n-grams (repeats counted) in l, less what the filter's
 false positives give by chance: (hits - n * fp) / (1 - fp).  The largest wins.
 
 Learning: the n-grams of at most LEARN labelled texts of each language (those of least hash of the id), whole, are
@@ -26,6 +26,8 @@ from . import words
 #: Labelled texts that teach a language at most.
 LEARN = 1500
 SIZES, SLOT_BITS, RATE, SHARPNESS = (2, 3, 4), 20, 2e-5, 1.6
+#: Languages at most: every 64 take 24 MB of the filter.  More are an error.
+MOST_LANGUAGES = 1024
 UNKNOWN = "und"
 
 
@@ -47,29 +49,34 @@ def letters_only(raw: bytes) -> np.ndarray:
 
 
 class Filter:
-    """The learned filter: `langs` in order, `slots` of masks, and each language's rate of false positives by size."""
+    """The learned filter: `langs` in order, for each size and 64 languages the `slots` of masks, and each language's rate of false positives by size."""
 
-    def __init__(self, langs: list[str], rates: dict[int, dict[int, dict[str, float]]]):
-        """rates: by size and n-gram (as an unsigned number), its rate in the languages that have it."""
+    def __init__(self, langs: list[str], rates: dict[int, dict[int, dict[str, float]]], common: str | None = None):
+        """rates: by size and n-gram (as an unsigned number), its rate in the languages that have it.  common: what a text without any known n-gram is taken for."""
         self.langs = sorted(langs)
-        if len(self.langs) > 64:
-            raise ValueError("at most 64 languages")
-        self.slots = {}
+        self.common = self.langs.index(common) if common is not None else 0
+        self.slots: dict[int, list[np.ndarray]] = {}
         self.fp = np.zeros((len(self.langs), len(SIZES)))
+        place = {lang: i for i, lang in enumerate(self.langs)}
         for at, size in enumerate(SIZES):
             found = rates.get(size, {})
-            every = np.array(sorted(found), np.uint64)
-            rate = np.array([[found[g].get(lang, 0.0) for g in sorted(found)] for lang in self.langs]).reshape(len(self.langs), len(every))
+            names = sorted(found)
+            every = np.array(names, np.uint64)
+            rate = np.zeros((len(self.langs), len(every)))
+            for k, gram in enumerate(names):
+                for lang, value in found[gram].items():
+                    rate[place[lang], k] = value
             inside = (rate >= RATE) & (rate >= SHARPNESS * rate.mean(0)) if len(self.langs) > 1 else rate > 0
-            slots = np.zeros(1 << SLOT_BITS, np.uint64)
-            for i in range(len(self.langs)):
-                gram = every[inside[i]]
-                for slot in self.places(gram):
-                    slots[slot] |= np.uint64(1 << i)
-            for i in range(len(self.langs)):
-                fill = float(((slots >> np.uint64(i)) & np.uint64(1)).mean())
-                self.fp[i, at] = fill**2
-            self.slots[size] = slots.astype(np.uint8) if len(self.langs) <= 8 else slots
+            self.slots[size] = []
+            for first in range(0, len(self.langs), 64):
+                part = range(first, min(first + 64, len(self.langs)))
+                slots = np.zeros(1 << SLOT_BITS, np.uint64)
+                for i in part:
+                    for slot in self.places(every[inside[i]]):
+                        slots[slot] |= np.uint64(1 << (i - first))
+                for i in part:
+                    self.fp[i, at] = float(((slots >> np.uint64(i - first)) & np.uint64(1)).mean()) ** 2
+                self.slots[size].append(slots.astype(np.uint8) if len(part) <= 8 else slots)
 
     @staticmethod
     def places(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +85,7 @@ class Filter:
     def scores(self, texts: list[str]) -> np.ndarray:
         """For each text and language: n-grams of the language per n-gram, corrected for false positives."""
         out = np.zeros((len(texts), len(self.langs)))
-        for lo, hi in words.slices(texts, 2_000_000):
+        for lo, hi in words.slices(texts):
             raw, bounds = words.lay_out(texts[lo:hi])
             data, keep = letters_only(b" " + raw + b"  ")
             place = np.zeros(len(keep) + 1, np.int64)
@@ -86,17 +93,17 @@ class Filter:
             data, bounds = data[keep], place[bounds]
             total = np.zeros(hi - lo)
             for at, size in enumerate(SIZES):
-                gram = ngrams(data, size)
-                one, two = self.places(gram)
-                mask = self.slots[size][one] & self.slots[size][two]
-                begin = np.minimum(bounds[:-1], len(mask))
-                n = np.maximum(np.minimum(bounds[1:], len(mask)) - begin, 0)
+                one, two = self.places(ngrams(data, size))
+                begin = np.minimum(bounds[:-1], len(one))
+                n = np.maximum(np.minimum(bounds[1:], len(one)) - begin, 0)
                 total += n
-                for i in range(len(self.langs)):
-                    hits = np.zeros(len(mask) + 1, np.int64)
-                    np.cumsum((mask >> mask.dtype.type(i)) & mask.dtype.type(1), out=hits[1:])
-                    got = hits[begin + n] - hits[begin]
-                    out[lo:hi, i] += (got - n * self.fp[i, at]) / (1 - self.fp[i, at])
+                for word, slots in enumerate(self.slots[size]):
+                    mask = slots[one] & slots[two]
+                    for i in range(64 * word, min(64 * word + 64, len(self.langs))):
+                        hits = np.zeros(len(mask) + 1, np.int64)
+                        np.cumsum((mask >> mask.dtype.type(i - 64 * word)) & mask.dtype.type(1), out=hits[1:])
+                        got = hits[begin + n] - hits[begin]
+                        out[lo:hi, i] += (got - n * self.fp[i, at]) / (1 - self.fp[i, at])
             out[lo:hi] /= np.maximum(total, 1)[:, None]
         return np.maximum(out, 0)
 
@@ -109,7 +116,7 @@ def _counted(parts):
         texts = part.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [texts[i] for i in np.flatnonzero(langs == lang)]
-            for lo, hi in words.slices(own, 2_000_000):
+            for lo, hi in words.slices(own):
                 raw = " ".join(["", *own[lo:hi], ""]).lower().encode("utf-8", "replace")
                 data, keep = letters_only(raw)
                 for size in SIZES:
@@ -122,12 +129,17 @@ def learn(labelled: DataFrame, limit: int = LEARN) -> Filter:
     """The filter of labelled(doc_id, text, lang), from at most `limit` whole texts a language; null texts and langs teach nothing."""
     C.batches(labelled.sparkSession)
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    # a language's share of bins first, so that no language's rows are ordered in one task
+    # a language's share of hashes first, so that no language's rows are ordered in one task
     rows = rows.select("lang", F.xxhash64("doc_id", F.lit(3)).alias("h"), "text")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not known:
+        return Filter([], {})
+    counts = labelled.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in known], "lang string, n long")
     near = rows.join(F.broadcast(counts), "lang").filter((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) * F.col("n") <= 1.2 * limit + 20)
     ranked = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= limit)
-    grams = ranked.select("lang", "text").mapInArrow(_counted, "lang string, size int, gram long, n long")
+    grams = ranked.select("lang", "text").mapInArrow(C.lean(_counted), "lang string, size int, gram long, n long")
     grams = C.saved(grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = grams.groupBy("lang", "size").agg(F.sum("n").alias("total"))  # a row for each language and size
     rated = grams.join(F.broadcast(totals), ["lang", "size"]).groupBy("size", "gram")
@@ -135,14 +147,16 @@ def learn(labelled: DataFrame, limit: int = LEARN) -> Filter:
     rates: dict[int, dict[int, dict[str, float]]] = {}
     for r in rated.filter(F.col("most") >= RATE).select("size", "gram", "rates").toLocalIterator():
         rates.setdefault(r["size"], {})[r["gram"] % 2**64] = {x["lang"]: x["rate"] for x in r["rates"]}
-    return Filter([r["lang"] for r in counts.collect()], rates)
+    common = max(sorted(known, key=lambda r: r["lang"]), key=lambda r: r["n"])["lang"]
+    return Filter([r["lang"] for r in known], rates, common)
 
 
 def identify(docs: DataFrame, model: Filter) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs(doc_id, text), and any further columns but text.
 
-    `und` with score 0 if the text is null or has no letter, or shows none of the languages' n-grams; else
-    score is the winner's part of all languages' scores.  Ties go to the first language by code point.
+    `und` with score 0 if the text is null or has no letter, or nothing was learned; else score is the winner's part
+    of all languages' scores.  Ties go to the first language by code point; a text with letters that shows none of
+    the languages' n-grams is taken, with score 0, for the language that has most labelled texts.
     """
     spark = docs.sparkSession
     C.batches(spark)
@@ -161,14 +175,15 @@ def identify(docs: DataFrame, model: Filter) -> DataFrame:
                 best, top = points.argmax(1), points.max(1)
             else:
                 best, top = np.zeros(len(letters), int), np.zeros(len(letters))
-            known = letters & (top > 0)
+            known = letters & bool(m.langs)
+            best = np.where(top > 0, best, m.common)
             langs = [m.langs[b] if k else UNKNOWN for b, k in zip(best, known)]
-            score = np.where(known, top / np.where(total > 0, total, 1), 0.0)
+            score = np.where(known & (top > 0), top / np.where(total > 0, total, 1), 0.0)
             kept = [part.column(i) for i in range(part.num_columns) if i != at]
             names = [n for i, n in enumerate(part.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(C.lean(run), schema)
 
 
 def held_out(docs: DataFrame):
@@ -187,7 +202,7 @@ def languages(docs: DataFrame, limit: int = LEARN) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, least: float = 0.0, limit: int = LEARN) -> DataFrame:
-    """The rows of docs, all columns, whose language is known with a score of more than `least`."""
+    """The rows of docs, all columns, whose language is known with a score of more than `least`: rows in none of the learned languages go."""
     model = learn(docs.filter(~held_out(docs)).select("doc_id", "text", "lang"), limit)
     own = docs.withColumn("__text", F.col("text").cast("string")).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("__text").alias("text"))
     kept = identify(own, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > least))

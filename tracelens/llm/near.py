@@ -1,15 +1,22 @@
-"""Near duplicates by an n-gram Jaccard join: MinHash banding, then exact verification.
-
-A text's words (ASCII-lower-cased runs of letters and digits) give its set of shingles of five words.
-Equal word sequences are copies: they are one node from the start.  Every node has `trees` keys of
-`depth` MinHash values, and nodes that share a key are candidates.  The depth is fixed before any data are
-seen: the largest up to `longest` at which 1 - (1 - threshold ** depth) ** trees, the recall at the
-threshold itself, reaches `recall`.  The groups of equal keys in all trees together form candidate
-components (linear in the nodes: each group links its members to its least one).  Within a component every
-pair is verified on the exact shingle sets, in blocks of at most BLOCK texts, so links are whole and no row
-is made for each pair: blocks return link counts and a spanning forest.
-
-Empty and null texts, and texts without a word whose strings differ, are alone in their class.
+"""Near duplicates by an n-gram Jaccard join: a MinHash LSH forest, then exact verification.
+
+A text's words (lower-cased runs of ASCII letters, digits and non-ASCII characters) give its set of shingles
+of five words.  Equal word sequences are copies: they are one node from the start.  A node has a label in each of
+`trees` tries, `longest` MinHash values whose bytes sort as the trie does; a label is matched by a prefix.
+
+The forest is read from the longest prefixes upwards.  At each depth the groups of equal prefixes that branch there
+(all groups, at the longest) give the candidates, and those are verified on their exact shingle sets.  A record
+shortens its prefixes until its recall is reached: a link of similarity s is found at depth d with probability
+p(s) = 1 - (1 - s ** d) ** trees, so the links found, each divided by p(s), tell how many there are; with one more
+assumed to lie at the threshold itself, the part that is found must reach `recall`.  A record that finds nothing
+goes on to the depth at which p(threshold) reaches it, the least; a record in a group of many copies stops at
+long prefixes.  A pair is looked at while either of its records goes on.
+
+A pair is verified once: at the longest prefix that it shares in any trie, in the first such trie.  A group of
+more than BLOCK texts is verified as pairs of blocks, with one product of matrices each; links are counted and
+joined by a spanning forest, so there is no row for each pair and no group is cut short.
+
+Empty and null texts are alone in their class, as are texts without a word unless their strings are equal.
 """
 
 from __future__ import annotations
@@ -23,12 +30,14 @@ from . import common as C
 from . import words
 
 THRESHOLD, SHINGLE, TREES, LONGEST, RECALL, SEED = 0.8, 5, 16, 8, 0.998, 20240501
-#: Texts and words of a block at most; a component of more is verified as pairs of blocks.
-BLOCK, BLOCK_WORDS = 512, 4_000_000
+#: Texts and words of a block at most; a group of more is verified as pairs of blocks.
+BLOCK, BLOCK_WORDS = 256, 2_000_000
+#: Bytes of a MinHash value in a label.
+VALUE = 2
 
 
 def stop_depth(threshold: float, trees: int, longest: int, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold shares one in some tree with the target recall."""
+    """The longest prefix at which a pair at the threshold shares one in some tree with the target recall; no record goes on to a shorter one."""
     for depth in range(longest, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
@@ -46,9 +55,7 @@ def signatures(texts: list[str | None], width: int, functions: int, seed: int) -
         h, bounds = words.words(part)
         n = np.diff(bounds)
         counts.append(n)
-        one = words.span_hashes(h, bounds[:-1], bounds[1:])
-        two = words.span_hashes(words.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds[:-1], bounds[1:])
-        digests.append(np.stack([one, two], 1))
+        digests.append(sequence_digests(h, bounds))
         each = np.where(n >= width, n - width + 1, np.minimum(n, 1))
         first = np.zeros(len(n) + 1, np.int64)
         np.cumsum(each, out=first[1:])
@@ -67,28 +74,35 @@ def signatures(texts: list[str | None], width: int, functions: int, seed: int) -
     return np.concatenate(digests), np.concatenate(counts), np.concatenate(mins)
 
 
-def _signed(width: int, trees: int, depth: int, seed: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def sequence_digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two hashes of each text's sequence of word hashes."""
+    one = words.span_hashes(h, bounds[:-1], bounds[1:])
+    two = words.span_hashes(words.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds[:-1], bounds[1:])
+    return np.stack([one, two], 1)
+
+
+def _signed(width: int, trees: int, longest: int, seed: int):
+    """doc_id, digest, count of words and label: the MinHash values of all tries, the high bytes of each, in the tries' order."""
+    schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_words", pa.int64()), ("label", pa.binary())])
 
     def run(parts):
         for part in parts:
             texts = part.column(1).to_pylist()
-            digest, n, mins = signatures(texts, width, trees * depth, seed)
-            at = np.arange(trees, dtype=np.int64)
-            starts = np.tile(at * depth, len(texts)) + np.repeat(np.arange(len(texts)) * trees * depth, trees)
-            keys = words.span_hashes(mins.ravel(), starts, starts + depth).view(np.int64) if len(texts) else np.zeros(0, np.int64)
+            digest, n, mins = signatures(texts, width, trees * longest, seed)
             for i in np.flatnonzero(n == 0):  # no words: by the string itself, or alone
-                t = (texts[i] or "").strip()
-                digest[i] = words.span_hashes(np.frombuffer(t.encode("utf-8", "replace"), np.uint8), np.array([0]), np.array([len(t.encode("utf-8", "replace"))]))[0] if t else 0
-            lists = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, trees, dtype=np.int32), pa.array(keys))
+                t = (texts[i] or "").strip().encode("utf-8", "replace")
+                digest[i] = words.span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0] if t else 0
+            raw = (mins >> np.uint32(32 - 8 * VALUE)).astype(">u2").tobytes()
+            size = trees * longest * VALUE
             d = digest.view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(n.astype(np.int64)), lists], schema=schema)
+            labels = pa.array([raw[i * size : (i + 1) * size] for i in range(len(texts))], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(n.astype(np.int64)), labels], schema=schema)
 
-    return run, "doc_id long, d1 long, d2 long, n_words long, keys array<long>"
+    return C.lean(run), "doc_id long, d1 long, d2 long, n_words long, label binary"
 
 
-def links_of(texts: list[str | None], side: np.ndarray, threshold: float, width: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Exact links among texts whose side is 2, or between sides 0 and 1: how many each has, and a spanning forest of them."""
+def similarities(texts: list[str | None], width: int) -> np.ndarray:
+    """Exact Jaccard similarities of the texts' shingle sets; empty sets are like nothing."""
     value, bounds = words.shingles(texts, width)
     n = len(texts)
     size = np.diff(bounds)
@@ -108,20 +122,14 @@ def links_of(texts: list[str | None], side: np.ndarray, threshold: float, width:
             m[doc[i:j], feature[i:j] - lo] = 1
             inter += m @ m.T
     union = size[:, None] + size[None, :] - inter
-    link = (inter >= threshold * union - 1e-6) & (size[:, None] > 0) & (size[None, :] > 0)
-    np.fill_diagonal(link, False)
-    link &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
-    parent = list(range(n))
+    return np.where(union > 0, inter / np.maximum(union, 1), 0.0)
 
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
+def spanning(link: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links; each of its rows is looked at once."""
     forest = []
-    todo = np.ones(n, bool)
-    for s in range(n):  # breadth first: each row of `link` is looked at once
+    todo = np.ones(len(link), bool)
+    for s in range(len(link)):
         if not todo[s]:
             continue
         todo[s] = False
@@ -132,21 +140,61 @@ def links_of(texts: list[str | None], side: np.ndarray, threshold: float, width:
             todo[new] = False
             forest += [(x, int(y)) for y in new]
             queue += new.tolist()
-    return link.sum(1), forest
+    return forest
 
 
-def _verified(threshold: float, width: int):
-    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+def first_shared(labels: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    """Which pairs of labels (texts, tries, values) are this trie's at this depth: they share no longer prefix in any trie, and this one in no earlier trie."""
+    n, trees, longest = labels.shape
+    out = np.ones((n, n), bool)
 
-    def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ids = table.column("node").to_pylist()
-        side = np.full(len(ids), 2) if i == j else (table.column("block").to_numpy() == j).astype(int)
-        count, forest = links_of(table.column("text").to_pylist(), side, threshold, width)
-        rows = [(ids[k], int(c), None) for k, c in enumerate(count) if c] + [(ids[x], 0, ids[y]) for x, y in forest]
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], schema=schema)
+    def same(t: int, d: int) -> np.ndarray:
+        _, key = np.unique(labels[:, t, :d], axis=0, return_inverse=True)
+        key = key.ravel()
+        return key[:, None] == key[None, :]
+
+    for t in range(tree):
+        out &= ~same(t, depth)
+    if depth < longest:
+        for t in range(trees):
+            out &= ~same(t, depth + 1)
+    return out
 
-    return run, "node long, links long, other long"
+
+def _verified(threshold: float, width: int, trees: int, longest: int, depth: int, least: int):
+    """Verifies a group's block or pair of blocks.  node, links, and the links divided by the chance to find them at each depth from `least` to this one; or node and a linked other."""
+    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("due", pa.list_(pa.float64()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, tree = (table.column(c)[0].as_py() for c in ("i", "j", "tree"))
+        ids, texts = table.column("node").to_numpy(), table.column("text").to_pylist()
+        h, bounds = words.words(texts)
+        # of repeated ids only the row with the node's own word sequence
+        own = sequence_digests(h, bounds)[:, 0].view(np.int64) == table.column("d1").to_numpy()
+        at = np.array(sorted({int(x): k for k, x in reversed(list(enumerate(ids))) if own[k]}.values()), np.int64)
+        ids, texts = ids[at], [texts[k] for k in at]
+        block, active = table.column("block").to_numpy()[at], table.column("active").to_numpy(zero_copy_only=False)[at]
+        raw = b"".join(table.column("label")[k].as_py() for k in at.tolist())
+        labels = np.frombuffer(raw, ">u2").reshape(len(at), trees, longest)
+        allowed = first_shared(labels, tree, depth) & (active[:, None] | active[None, :])
+        np.fill_diagonal(allowed, False)
+        if i != j:
+            allowed &= block[:, None] != block[None, :]
+        out: list[list] = [[], [], [], []]
+        if allowed.any():
+            like = similarities(texts, width)
+            link = allowed & (like >= threshold - 1e-6)
+            count = link.sum(1)
+            due = [np.where(link, 1 / np.maximum(1 - (1 - like.astype(np.float64) ** d) ** trees, 1e-9), 0).sum(1) for d in range(least, depth + 1)]
+            for k in np.flatnonzero(count).tolist():
+                for column, value in zip(out, (int(ids[k]), int(count[k]), None, [float(x[k]) for x in due])):
+                    column.append(value)
+            for x, y in spanning(link):
+                for column, value in zip(out, (int(ids[x]), 0, int(ids[y]), None)):
+                    column.append(value)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    return run, "node long, links long, other long, due array<double>"
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, int | None, int | None]:
@@ -192,34 +240,55 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHING
     """
     spark = docs.sparkSession
     C.batches(spark)
-    depth = stop_depth(threshold, trees, longest, recall)
-    run, schema = _signed(width, trees, depth, seed)
+    least = stop_depth(threshold, trees, longest, recall)
+    run, schema = _signed(width, trees, longest, seed)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = C.saved(base.mapInArrow(run, schema), "signatures")
     blank = (F.col("n_words") == 0) & (F.col("d1") == 0) & (F.col("d2") == 0)
     own = signed.withColumn("d2", F.when(blank, F.col("doc_id")).otherwise(F.col("d2")))
     one = own.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("d")).select("doc_id", "d.*")
-    nodes = own.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.countDistinct("doc_id").alias("n"))
-    nodes = C.saved(nodes, "nodes")
-    # least member of every group of equal prefixes that has two
-    heads = own.filter("n_words > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "keys", "n_words")).alias("m"))
-    heads = C.saved(heads.select(F.col("m.doc_id").alias("node"), "m.keys", "m.n_words"), "heads")
-    members = heads.select("node", F.posexplode("keys").alias("tree", "key"))
-    groups = members.groupBy("tree", "key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    edges = members.join(groups, ["tree", "key"]).select(F.col("head").alias("a"), F.col("node").alias("b"))
-    comps = C.components(edges)
-    # blocks of a component
-    sizes = comps.join(heads.select("node", "n_words"), "node").groupBy("label").agg(F.count("*").alias("m"), F.sum("n_words").alias("w"))
-    sizes = sizes.select("label", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("blocks"))
-    placed = comps.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = C.saved(placed, "placed")
-    texts = base.join(placed, base.doc_id == placed.node).select("node", "label", "block", "blocks", "text")
-    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "text")
-    run, schema = _verified(threshold, width)
-    found = C.saved(pairs.groupBy("label", "i", "j").applyInArrow(run, schema), "found")
-    counts = found.filter("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
-    linked = C.components(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    nodes = C.saved(one.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes")
+    heads = own.filter("n_words > 0").join(nodes, ["d1", "d2"]).filter("doc_id = node").groupBy("node", "d1", "d2").agg(F.first("label").alias("label"), F.first("n_words").alias("n_words"))
+    heads = C.saved(heads, "heads")
+    # the tries, as far as two nodes share the shortest prefix
+    size = longest * VALUE
+    members = heads.select("node", "n_words", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "label")
+    members = members.select("node", "n_words", "tree", F.substring("label", F.col("tree") * size + 1, F.lit(size)).alias("path"))
+    prefix = lambda d: F.substring("path", 1, d * VALUE)
+    groups = members.groupBy("tree", prefix(least).alias("key")).agg(F.count("*").alias("n")).filter("n > 1").select(F.col("tree").alias("t"), "key")
+    forest = C.saved(members.join(groups, (F.col("tree") == F.col("t")) & (prefix(least) == F.col("key"))).select("node", "n_words", "tree", "path"), "forest")
+    shared = forest.select("node").distinct()
+    texts = base.join(heads.join(shared, "node").withColumnRenamed("node", "head"), F.col("doc_id") == F.col("head"))
+    texts = C.saved(texts.select(F.col("head").alias("node"), "d1", "label", "text"), "texts")
+    found, stopped = [], None
+    for depth in range(longest, least - 1, -1):
+        at = forest.withColumn("key", prefix(depth))
+        if stopped is None:
+            at = at.withColumn("active", F.lit(True))
+        else:
+            at = at.join(stopped.withColumnRenamed("node", "done"), F.col("node") == F.col("done"), "left").withColumn("active", F.col("done").isNull()).drop("done")
+        longer = prefix(min(depth + 1, longest))
+        groups = at.groupBy("tree", "key").agg(
+            F.count("*").alias("n"), F.sum("n_words").alias("w"), F.max("active").alias("some"), F.min(longer).alias("low"), F.max(longer).alias("high"),
+            F.expr("bit_xor(xxhash64(node))").alias("who"), F.min("node").alias("first"), F.max("node").alias("last"),
+        ).filter((F.col("n") > 1) & F.col("some") & (F.lit(depth == longest) | (F.col("low") != F.col("high"))))
+        # a group of the same nodes in a later trie has no pair of its own
+        groups = groups.groupBy("who", "first", "last", "n", "w").agg(F.min(F.struct("tree", "key")).alias("g"))
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int")
+        groups = groups.select(F.col("g.tree").alias("t"), F.col("g.key").alias("k"), blocks.alias("blocks"))
+        placed = at.join(groups, (F.col("tree") == F.col("t")) & (F.col("key") == F.col("k")))
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.select(F.col("node").alias("x"), "tree", "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "active")
+        run, schema = _verified(threshold, width, trees, longest, depth, least)
+        pairs = placed.join(texts, F.col("x") == F.col("node")).select("tree", "key", "i", "j", "block", "active", "node", "d1", "label", "text")
+        found.append(C.saved(pairs.groupBy("tree", "key", "i", "j").applyInArrow(run, schema), f"found{depth}"))
+        if depth > least:
+            stopped = C.saved(_stopped(found, threshold, trees, least, depth, recall), f"stopped{depth}")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    counts = every.filter("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
+    linked = C.components(every.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = (
         nodes.join(linked.withColumnRenamed("label", "class_id"), "node", "left")
         .join(counts, "node", "left")
@@ -228,9 +297,24 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHING
     return one.join(classes, ["d1", "d2"]).select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"))
 
 
+def _stopped(found: list[DataFrame], threshold: float, trees: int, least: int, depth: int, recall: float) -> DataFrame:
+    """The nodes that have reached the recall at this depth, by the links found there and before."""
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    at_threshold = 1 - (1 - threshold**depth) ** trees
+    sums = every.filter("links > 0").groupBy("node").agg(F.sum("links").alias("n"), F.sum(F.get("due", F.lit(depth - least))).alias("due"))
+    return sums.filter((F.col("n") + at_threshold) / (F.col("due") + 1) >= recall).select("node")
+
+
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, all columns, of which doc_id is the least of its class; repeated rows of it once.  A row without an id is a document of its own."""
-    rows, _, _ = keyed(docs)
-    found = classes_of(rows.select(F.col("__id").alias("doc_id"), "text"), **parameters)
-    kept = found.filter("doc_id = class_id").select(F.col("doc_id").alias("__kept"))
-    return rows.join(kept, F.col("__id") == F.col("__kept"), "left_semi").dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each class of near duplicates of docs, all columns: that of least doc_id, the first of several, null ids last.
+
+    Every row is a document of its own, those without an id and those that share one too.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = C.saved(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("at")), "rows")
+    found = classes_of(rows.select(F.col("at").alias("doc_id"), "text"), **parameters).select(F.col("doc_id").alias("member"), "class_id")
+    named = found.join(rows.select("at", "id"), F.col("member") == F.col("at"))
+    kept = named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")).alias("first")).select(F.col("first.at").alias("kept"))
+    return rows.join(kept, F.col("at") == F.col("kept"), "left_semi").select("row.*")

@@ -9,6 +9,7 @@ Neighbours on the curve share sequences.
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,6 @@ from . import common as C
 from .tokens import encoder
 
 LENGTH, END, DIMENSIONS, BITS, SEED = 1024, 0, 3, 10, 11
-ROWS = 1024
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -52,9 +52,14 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+@cache
+def _directions(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((1 << 16, DIMENSIONS)).astype(np.float32)
+
+
 def curve_keys(ids: np.ndarray, bounds: np.ndarray, doc: np.ndarray, seed: int = SEED) -> np.ndarray:
     """30 bits of the curve and 23 of the document's hash, so that equal vectors do not make one key."""
-    directions = np.random.default_rng(seed).standard_normal((1 << 16, DIMENSIONS)).astype(np.float32)
+    directions = _directions(seed)
     n = np.diff(bounds)
     mean = np.zeros((len(n), DIMENSIONS))
     full = n > 0
@@ -88,9 +93,9 @@ def encoded(docs: DataFrame, path: str, kind: str, end: int) -> DataFrame:
                 schema=schema,
             )
 
-    C.batches(docs.sparkSession, ROWS)
+    C.batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return C.saved(base.mapInArrow(run, "row long, doc_id long, key long, n long, ids binary"), "ids")
+    return C.saved(base.mapInArrow(C.lean(run), "row long, doc_id long, key long, n long, ids binary"), "ids")
 
 
 def cuts_after(total: int, length: int) -> list[int]:

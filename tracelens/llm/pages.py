@@ -12,6 +12,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from functools import cache
 
 import pyarrow as pa
@@ -21,14 +22,19 @@ from pyspark.sql import functions as F
 from . import common as C
 
 PAGES, EPOCHS, SEED = 500, 12, 3
+#: Open elements that are told apart, as browsers bound them; what lies deeper belongs to the last of these.
+DEEPEST = 512
 #: Elements by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style template svg math iframe object noembed".split())
+RAW = set("script style template iframe noembed".split())
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav noscript ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 #: A start tag of these ends an open element of the set.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"button", "label", "option", "legend", "summary", "caption"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What a "<" may begin: a comment, a declaration, or a tag's name.
+MARKUP = re.compile(r"<(?:(?P<comment>!--)|(?P<declared>[!?])|(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*))")
+#: The rest of a tag: a quote counts as one after an equals sign.  Nothing is tried twice, so the work is that of the characters read.
+REST = re.compile(r"((?>[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -39,6 +45,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, int]]
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked, in_link, at, n = 0, 0, 0, len(page)
+    quoted = True  # until a tag does not end: from there on quotes don't count, so that no text is lost
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()  # raw elements that nothing closes any more
 
     def end() -> None:
         nonlocal linked
@@ -50,7 +59,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, int]]
         linked = 0
 
     while at < n:
-        m = TOKEN.search(page, at)
+        m = MARKUP.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
             parts.append(text)
@@ -58,18 +67,36 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, int]]
                 linked += len(text)
         if not m:
             break
-        at = m.end()
-        if not m[2]:
+        if m["comment"]:
+            at = page.find("-->", m.end())
+            at = n if at < 0 else at + 3
             continue
-        tag = m[2].lower()
+        rest = REST.match(page, m.end()) if quoted and m["tag"] else None
+        if rest:
+            at, attributes = rest.end(), rest[1]
+        else:
+            quoted = quoted and not m["tag"]
+            stop = page.find(">", m.end())
+            if stop < 0:  # not markup: the page's last "<" signs are text
+                parts.append(page[m.start() :])
+                break
+            at, attributes = stop + 1, page[m.end() : stop]
+        if not m["tag"]:
+            continue
+        tag, closing = m["tag"].lower(), bool(m["close"])
         if tag in RAW:
-            if not m[1] and not m[3].rstrip().endswith("/"):
+            if not closing and not attributes.rstrip().endswith("/") and tag not in endless:
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else n
+                if close:
+                    at = close.end()
+                elif tag in ("script", "style"):
+                    at = n
+                else:
+                    endless.add(tag)
             parts.append(" ")
             continue
         if tag == "a":
-            in_link = 0 if m[1] else 1
+            in_link = 0 if closing else 1
         if tag in VOID:
             if tag in ("br", "hr"):
                 parts.append(" ")
@@ -77,19 +104,21 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, int]]
         if tag not in BLOCK:
             continue
         end()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+        if closing:
+            while opened[tag]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
             continue
         close = IMPLIED.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        if stack and stack[-1][0] in close:
-            stack.pop()
+        for _ in range(2):
             if stack and stack[-1][0] in close:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
+        if len(stack) >= DEEPEST:
+            continue
         words: list[str] = []
-        for a in ATTRIBUTE.finditer(m[3]):
+        for a in ATTRIBUTE.finditer(attributes):
             name, value = a[1].lower(), (a[2] or "").strip("\"'")
             if name in ("hidden", "aria-hidden") and value.lower() not in ("false",):
                 words.append("hidden")
@@ -98,6 +127,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, int]]
             elif name in ("class", "id", "role"):
                 words += [w.lower() for w in WORD.findall(value)]
         stack.append((tag, tuple(words)))
+        opened[tag] += 1
     end()
     return out
 
@@ -303,7 +333,8 @@ def main_text(page: str | None, model: tuple[dict[str, float], list]) -> str:
 def extract(pages: DataFrame, model: tuple[dict[str, float], list] | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html): the main text of the whole html.
 
-    Null and empty html, and pages without content, give an empty text.  Repeated rows are read each.
+    Null and empty html, and pages without content, give an empty text.  Repeated rows are read each.  A tag that never
+    ends is read up to its first ">", and quotes count no more from there; the work is in proportion to the page.
     """
     spark = pages.sparkSession
     C.batches(spark)
@@ -316,4 +347,4 @@ def extract(pages: DataFrame, model: tuple[dict[str, float], list] | None = None
             texts = [main_text(h, shared.value) for h in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(C.lean(run), schema)

@@ -164,33 +164,48 @@ def chance(forest: list, features: Column) -> Column:
     return F.round(total / len(forest), 4)
 
 
-def _with_findings(docs: DataFrame, text: str, path: str, forest: list) -> DataFrame:
-    """Adds __pieces, what lies between candidates, and __found: start, stop, value, lead (what precedes the value in the match) and score of each."""
-    some = F.col(text).rlike(CANDIDATE)
-    cut = docs.withColumn("__match", F.when(some, F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))))
-    cut = cut.withColumn("__pieces", F.when(F.col("__match").isNotNull(), F.split(F.col(text), CANDIDATE, -1)))
-    place = F.aggregate(
-        F.sequence(F.lit(0), F.size("__match") - 1), F.expr("array(struct(0 AS at, 0 AS stop))"),
-        lambda a, i: F.concat(a, F.array(F.struct(
-            (F.element_at(a, -1)["stop"] + F.length(F.get("__pieces", i))).alias("at"),
-            (F.element_at(a, -1)["stop"] + F.length(F.get("__pieces", i)) + F.length(F.get("__match", i))).alias("stop"),
-        ))),
-    )
-    value = lambda m: F.regexp_replace(m, f"^{ASSIGNED}", "")
-    drawn = F.transform(F.slice(place, 2, F.size("__match")), lambda p, i: F.struct(
-        p["stop"].alias("stop"), value(F.get("__match", i)).alias("value"), F.get("__match", i).alias("match"),
-        F.get("__pieces", i).alias("left"), F.substring(F.get("__pieces", i + 1), 1, AFTER).alias("after"),
-    ))
-    cut = cut.withColumn("__drawn", F.when(F.col("__match").isNotNull(), drawn))
-    lead = lambda d: F.left(d["match"], F.length(d["match"]) - F.length(d["value"]))
-    before = lambda d: F.right(F.concat(F.right(d["left"], F.lit(BEFORE)), lead(d)), F.lit(BEFORE))
-    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    cut = cut.withColumn("__f", F.transform("__drawn", lambda d: feature_columns(d["value"], before(d), d["after"], where)))
-    cut = cut.withColumn("__score", F.transform("__f", lambda f: chance(forest, f)))
-    found = F.zip_with("__drawn", "__score", lambda d, s: F.struct(
-        (d["stop"] - F.length(d["value"])).alias("start"), d["stop"].alias("stop"), d["value"].alias("value"), lead(d).alias("lead"), s.alias("score"),
-    ))
-    return cut.withColumn("__found", found).drop("__match", "__drawn", "__f", "__score")
+def bound(value: Column, f) -> Column:
+    """f(value), with value worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def running(numbers: Column) -> Column:
+    """The sums up to and with each number: every round adds what lies twice as far back, so log2(n) rounds do."""
+    rounds = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.size(numbers).cast("double"))).cast("int")))
+    step = lambda a, r: F.transform(a, lambda x, i: x + F.coalesce(F.get(a, i - F.call_function("shiftleft", F.lit(1), r)), F.lit(0).cast("long")))
+    return F.when(F.size(numbers) > 0, F.aggregate(rounds, numbers, step)).otherwise(numbers)
+
+
+def findings(text: Column, path: Column, forest: list) -> Column:
+    """A struct of `pieces`, what lies between candidates, and `found`: start, stop, value, lead (what precedes the value in the match) and score of each; null without candidates.
+
+    Every step is done once a text or once a candidate, so the work is in proportion to the text.
+    """
+    cut = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("match"), F.split(text, CANDIDATE, -1).alias("pieces"))
+
+    def scored(d: Column) -> Column:
+        lead = F.left(d["match"], F.length(d["match"]) - F.length(d["value"]))
+        before = F.right(F.concat(F.right(d["left"], F.lit(BEFORE)), lead), F.lit(BEFORE))
+        return bound(feature_columns(d["value"], before, d["after"], path), lambda f: F.struct(
+            (d["stop"] - F.length(d["value"])).alias("start"), d["stop"].alias("stop"), d["value"].alias("value"), lead.alias("lead"), chance(forest, f).alias("score"),
+        ))
+
+    def whole(z: Column) -> Column:
+        sizes = F.transform(z["match"], lambda m, i: (F.length(m) + F.length(F.get(z["pieces"], i))).cast("long"))
+        drawn = lambda stops: F.transform(z["match"], lambda m, i: bound(F.struct(
+            F.get(stops, i).alias("stop"), F.regexp_replace(m, f"^{ASSIGNED}", "").alias("value"), m.alias("match"),
+            F.get(z["pieces"], i).alias("left"), F.substring(F.get(z["pieces"], i + 1), 1, AFTER).alias("after"),
+        ), scored))
+        return F.struct(z["pieces"].alias("pieces"), bound(running(sizes), drawn).alias("found"))
+
+    return F.when(text.rlike(CANDIDATE), bound(cut, whole))
+
+
+def _scanned(docs: DataFrame, text: str, path: str | None, forest: list | None) -> DataFrame:
+    """row (the columns of docs), text, and findings() as `own`."""
+    where = F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path else F.lit("")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), where.alias("path"))
+    return rows.select("row", "text", findings(F.col("text"), F.col("path"), forest or default_forest()).alias("own"))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", path: str | None = "source", forest: list | None = None, cutoff: float = CUTOFF) -> DataFrame:
@@ -198,17 +213,17 @@ def find_secrets(docs: DataFrame, text: str = "text", path: str | None = "source
 
     Null and empty texts have none; a null path is empty; ties and repeated rows are scanned each.
     """
-    own = docs.select("doc_id", F.col(text).cast("string").alias("text"), (F.col(path).cast("string") if path else F.lit("")).alias("path"))
-    found = _with_findings(own, "text", "path", forest or default_forest()).select("doc_id", F.posexplode("__found").alias("finding", "f"))
+    found = _scanned(docs, text, path, forest).select(F.col("row.doc_id").alias("doc_id"), F.posexplode("own.found").alias("finding", "f"))
     return found.select("doc_id", "finding", F.col("f.start").cast("long").alias("start"), F.col("f.stop").cast("long").alias("stop"), F.sha2("f.value", 256).alias("value_sha256"), F.length("f.value").cast("long").alias("n_chars"), "f.score", (F.col("f.score") >= cutoff).alias("is_secret"))
 
 
 def without_secrets(docs: DataFrame, text: str = "text", path: str | None = "source", forest: list | None = None, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of docs, all columns, with MASK in the text in place of each secret; n_chars, if there, counts the new text."""
-    path = path if path in docs.columns else None
-    own = _with_findings(docs, text, path, forest or default_forest())
-    told = F.zip_with("__pieces", "__found", lambda p, f: F.concat(p, F.coalesce(f["lead"], F.lit("")), F.coalesce(F.when(f["score"] >= cutoff, F.lit(MASK)).otherwise(f["value"]), F.lit(""))))
-    own = own.withColumn(text, F.when(F.exists("__found", lambda f: f["score"] >= cutoff), F.array_join(told, "")).otherwise(F.col(text)))
+    own = _scanned(docs, text, path if path in docs.columns else None, forest)
+    told = F.zip_with("own.pieces", "own.found", lambda p, f: F.concat(p, F.coalesce(f["lead"], F.lit("")), F.coalesce(F.when(f["score"] >= cutoff, F.lit(MASK)).otherwise(f["value"]), F.lit(""))))
+    secret = F.coalesce(F.exists("own.found", lambda f: f["score"] >= cutoff), F.lit(False))
+    own = own.select("row", secret.alias("secret"), F.when(secret, F.array_join(told, "")).otherwise(F.col("text")).alias("told"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {text: F.col("told")}
     if "n_chars" in docs.columns:
-        own = own.withColumn("n_chars", F.when(F.exists("__found", lambda f: f["score"] >= cutoff), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return own.select(*[F.col(f"`{c}`") for c in docs.columns])
+        columns["n_chars"] = F.when(F.col("secret"), F.length("told").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return own.select(*[c.alias(name) for name, c in columns.items()])

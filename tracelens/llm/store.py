@@ -5,8 +5,8 @@ zero, so equal passages make equal chunks wherever they stand.  A chunk is addre
 of its ids and stored once.  A store is a folder of three Parquet tables:
 
   chunks    digest, ids (uint16, little endian): each distinct chunk once
-  recipes   doc_id, start, n_tokens, digests, lengths, root: in ascending doc_id order, a document a row;
-            root is the Merkle root of its digests
+  recipes   doc_id, start, n_tokens, digests, ends, root: in ascending doc_id order, a document a row; ends are
+            the ids up to each chunk's end; root is the Merkle root of its digests
   manifest  range, n_docs, n_tokens, root: a Merkle root of the roots of each range of doc_ids
 
 Reading checks every chunk against its address, every recipe against its root and every range against the manifest; a mismatch fails the job.
@@ -31,7 +31,6 @@ from .words import mix
 
 WINDOW, MASK, LEAST, MOST = 8, 0x1FF, 128, 4096
 END = 1
-ROWS = 1024
 
 
 def cut(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
@@ -77,7 +76,7 @@ def address(raw: bytes) -> bytes:
 
 def _chunked(path: str, kind: str, end: int):
     """A row for each document (its recipe, key row) and for each chunk that this task sees first (key its address)."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("root", pa.binary()), ("ids", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("ends", pa.list_(pa.int64())), ("root", pa.binary()), ("ids", pa.binary())])
 
     def run(parts):
         coder = encoder(path, kind)
@@ -105,15 +104,14 @@ def _chunked(path: str, kind: str, end: int):
                         for column, value in zip(out, (1, d, None, None, None, None, None, piece)):
                             column.append(value)
                     last = e
-                lengths = np.diff(ends, prepend=0).tolist()
-                for column, value in zip(out, (0, row.to_bytes(8, "big"), doc, ends[-1], digests, lengths, merkle(digests), None)):
+                for column, value in zip(out, (0, row.to_bytes(8, "big"), doc, ends[-1], digests, ends, merkle(digests), None)):
                     column.append(value)
                 row += 1
             if len(seen) > 500_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return run, "kind int, key binary, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, ids binary"
+    return run, "kind int, key binary, doc_id long, n_tokens long, digests array<binary>, ends array<long>, root binary, ids binary"
 
 
 RANGE_ROOT = "sha2(concat_ws('', transform(array_sort(collect_list(struct(doc_id, start, hex(root) AS r))), x -> x.r)), 256)"
@@ -126,14 +124,14 @@ def write(docs: DataFrame, folder: str, path: str, kind: str = "word", end: int
     Other columns are not looked at.  An empty table makes an empty store.
     """
     spark = docs.sparkSession
-    C.batches(spark, ROWS)
+    C.batches(spark)
     run, schema = _chunked(path, kind, end)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = base.mapInArrow(run, schema)
+    rows = base.mapInArrow(C.lean(run), schema)
     # one row a chunk: tasks keep the first they see, so a chunk that is everywhere reaches the reducer once a task
     pool = C.saved(rows.dropDuplicates(["kind", "key"]), "pool")
     pool.filter("kind = 1").select(F.col("key").alias("digest"), "ids").write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    recipes = pool.filter("kind = 0").select("doc_id", "key", "n_tokens", "digests", "lengths", "root")
+    recipes = pool.filter("kind = 0").select("doc_id", "key", "n_tokens", "digests", "ends", "root")
     starts = C.with_running_sum(recipes.select("doc_id", "key", "n_tokens"), "doc_id", ["key"], "n_tokens", "start").select(F.col("key").alias("k"), "start")
     ordered = recipes.join(starts, F.col("key") == F.col("k")).drop("k", "key")
     ordered = ordered.repartitionByRange(C.width(spark), F.col("start")).sortWithinPartitions("start")
@@ -212,11 +210,10 @@ def digests_of(spark: SparkSession, folder: str) -> DataFrame:
 
     Every chunk is read and checked once; a document's CRC-32 is the xor of its chunks' ones, each shifted by the bytes after it, so chunks are not moved.
     """
-    C.batches(spark, ROWS)
+    C.batches(spark)
     chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "ids").mapInArrow(_checked, "digest binary, n long, crc long")
-    parts = recipes_of(spark, folder).select("doc_id", "start", F.posexplode(F.arrays_zip("digests", "lengths")).alias("i", "p"), "lengths")
-    after = F.aggregate(F.slice("lengths", F.col("i") + 2, F.size("lengths")), F.lit(0).cast("long"), lambda a, x: a + x)
-    parts = parts.select("doc_id", "start", F.col("p.digests").alias("d"), (after * 4).alias("after"))
+    parts = recipes_of(spark, folder).select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip("digests", "ends")).alias("p"))
+    parts = parts.select("doc_id", "start", F.col("p.digests").alias("d"), ((F.col("n_tokens") - F.col("p.ends")) * 4).alias("after"))
 
     def shifted(batches):
         for b in batches:

@@ -26,7 +26,7 @@ SPACE, LETTER, NUMBER, OTHER, BREAK = 0, 1, 2, 3, 4
 BETWEEN = "<|endoftext|>"
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Pieces that a process keeps; beyond, it starts anew.
-KEPT = 1_000_000
+KEPT = 500_000
 #: Pieces are known by a 64-bit hash of their code points; longer ones by a hash that no text can be made to collide on.
 SHORT = 64
 
@@ -146,7 +146,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         got: list[tuple[np.ndarray, np.ndarray]] = []
-        for lo, hi in words.slices(texts, 3_000_000):
+        for lo, hi in words.slices(texts, 2 * words.SLICE):
             got.append(self._encode([t or "" for t in texts[lo:hi]]))
         if not got:
             return np.zeros(0, np.uint16), np.zeros(1, np.int64)

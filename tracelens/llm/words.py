@@ -18,19 +18,26 @@ WORD_BYTE[128:] = True
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
     WORD_BYTE[_c] = True
 
+#: Characters of the texts that are worked on at once (or one longer text), and powers that a process keeps of a base.
+SLICE, POWERS = 500_000, 1 << 20
+
 _powers: dict[int, np.ndarray] = {}
 
 
+def _raised(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    np.multiply.accumulate(out, out=out)
+    return out
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2**64, kept and doubled on demand."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1024, n) if have is None else max(2 * len(have), n)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have[:n]
+    """base ** 0 .. base ** (n - 1) modulo 2**64; the first POWERS of them are kept, more are made anew."""
+    if n > POWERS:
+        return _raised(base, n)
+    if base not in _powers or len(_powers[base]) < n:
+        _powers[base] = _raised(base, min(POWERS, max(1 << 16, 2 * n)))
+    return _powers[base][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,7 +104,7 @@ def shingles(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, np.nd
     return value, np.searchsorted(doc, np.arange(len(counts) + 1))
 
 
-def slices(texts: list[str | None], most: int = 4_000_000):
+def slices(texts: list[str | None], most: int = SLICE):
     """Ranges of rows whose texts have `most` characters together at most, or are one text."""
     begin = size = 0
     for i, t in enumerate(texts):
