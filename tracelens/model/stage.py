@@ -16,9 +16,12 @@ _own: list[str] = []
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares; an own one where none is set."""
+    """The folder that the cluster shares; an own one where none is set and Spark is one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="tracelens-"))
         root = _own[0]
