@@ -31,7 +31,7 @@ from . import words
 
 THRESHOLD, SHINGLE, TREES, LONGEST, RECALL, SEED = 0.8, 5, 16, 8, 0.998, 20240501
 #: Texts and words of a block at most; a group of more is verified as pairs of blocks.
-BLOCK, BLOCK_WORDS = 256, 2_000_000
+BLOCK, BLOCK_WORDS = 512, 2_000_000
 #: Bytes of a MinHash value in a label.
 VALUE = 2
 
