@@ -1,8 +1,10 @@
 """I-Match fingerprints: the terms of a chosen inverse-document-frequency band, hashed over randomised lexicons.
 
-Terms are lower-cased runs of letters and digits.  Document frequencies are counted for 2 ** SLOT_BITS
-slots of the terms' hashes over all documents, so the lexicon is a bitmap of fixed size at every corpus size; a
-slot is in the lexicon if RARE <= df / N <= COMMON, that is ln(1 / COMMON) <= idf <= ln(1 / RARE).  A
+Terms are lower-cased runs of letters and digits, known by a 64-bit hash.  The document frequency of every term is
+counted over all documents; a term is in the lexicon if RARE <= df / N <= COMMON, that is ln(1 / COMMON) <= idf <=
+ln(1 / RARE).  The lexicon has at most 1 / RARE times as many terms as a document has on average, at every corpus size, so
+it is held as a bitmap of 2 ** SLOT_BITS slots of which few are taken; a term outside it is let in where it shares a
+slot, the part of the slots that are taken at most (100,000 terms: 5 %).  A
 document keeps its distinct terms in the lexicon (all its terms, if fewer than FEW are), sorts them, and
 hashes those of the whole lexicon and of each of its random subsets.  The subsets are drawn by the terms' own
 hash: 64 fine ones share the lexicon out, the coarse ones are unions of them, and nested ones are parts of them, so
@@ -19,7 +21,7 @@ from pyspark.sql import Window as W
 
 from . import common as C
 
-SLOT_BITS, RARE, COMMON, FEW = 20, 0.002, 0.2, 4
+SLOT_BITS, RARE, COMMON, FEW = 21, 0.002, 0.2, 4
 #: Bits of a term's hash that say which fine subset it is in; how many fine subsets a coarse one unites; and the bits
 #: that are zero in each nested subset: rates of 1/64, 1/16 and 1/4, and 1/256 and 1/1024, of the lexicon.
 FINE, UNITED, NESTED = 6, (4, 16), (2, 2)
@@ -36,13 +38,14 @@ def slot(term: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", rare: float = RARE, common: float = COMMON) -> DataFrame:
-    """One row, `lexicon`: a byte for each slot, '1' where its document frequency is in the band."""
+    """One row, `lexicon`: a byte for each slot, '1' where a term of the band is."""
     n = docs.count()
-    each = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-    kept = each.groupBy(slot(F.xxhash64("term")).alias("slot")).agg(F.count("*").alias("df")).filter(F.col("df").between(rare * n, common * n))
+    each = docs.select(F.explode(F.array_distinct(F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))).alias("term"))
+    kept = each.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df").between(rare * n, common * n)).select(slot(F.col("term")).alias("slot"))
     block = 12
-    filled = kept.groupBy(F.shiftright("slot", block).alias("block")).agg(F.collect_list(F.col("slot").bitwiseAND((1 << block) - 1)).alias("in"))
-    drawn = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit((1 << block) - 1).cast("long")), lambda i: F.when(F.array_contains("in", i), "1").otherwise("0")), "")
+    filled = kept.groupBy(F.shiftright("slot", block).alias("block")).agg(F.sort_array(F.collect_set(F.col("slot").bitwiseAND((1 << block) - 1).cast("int"))).alias("in"))
+    add = lambda s, at: F.struct(F.concat(s["row"], F.repeat(F.lit("0"), at - s["at"] - 1), F.lit("1")).alias("row"), at.alias("at"))
+    drawn = F.aggregate("in", F.struct(F.lit("").alias("row"), F.lit(-1).alias("at")), add, lambda s: F.concat(s["row"], F.repeat(F.lit("0"), F.lit((1 << block) - 1) - s["at"])))
     every = docs.sparkSession.range(0, 1 << (SLOT_BITS - block), 1, 1).withColumnRenamed("id", "b")
     rows = every.join(filled.select("block", drawn.alias("row")), F.col("b") == F.col("block"), "left")
     rows = rows.select(F.struct("b", F.coalesce("row", F.lit("0" * (1 << block))).alias("row")).alias("r"))
@@ -62,12 +65,12 @@ def kept_terms(texts: list[Column], bitmap: Column) -> Column:
     return F.transform(lists, keep)
 
 
-#: Hex digits of a part's hash, and what stands for a part without terms (no part's hash).
-DIGITS, NONE = 3, "---"
+#: Hex digits of a hash, of a fine or nested part's, and what stands for a part without terms (no part's hash).
+WHOLE, DIGITS, NONE = 16, 8, "--------"
 
 
-def _digest(hashed: Column) -> Column:
-    return F.lpad(F.hex(hashed.bitwiseAND((1 << 4 * DIGITS) - 1)), DIGITS, "0")
+def _digest(hashed: Column, digits: int = WHOLE) -> Column:
+    return F.lpad(F.hex(hashed if digits == 16 else hashed.bitwiseAND((1 << 4 * digits) - 1)), digits, "0")
 
 
 def _parts(terms: Column) -> Column:
@@ -78,7 +81,7 @@ def _parts(terms: Column) -> Column:
     n = 1 << FINE
     none = NONE + "."
     part = lambda t: (F.call_function("shiftright", t, F.lit(64 - FINE)) + (n >> 1)).cast("int")
-    closed = lambda s: F.when(s["at"] >= 0, F.concat(s["done"], _digest(s["h"]), F.lit("."))).otherwise(s["done"])
+    closed = lambda s: F.when(s["at"] >= 0, F.concat(s["done"], _digest(s["h"], DIGITS), F.lit("."))).otherwise(s["done"])
     start = F.struct(F.lit("").alias("done"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("h"))
 
     def add(s: Column, t: Column) -> Column:

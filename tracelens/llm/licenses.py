@@ -88,12 +88,24 @@ STATEMENT = (
 )
 
 
+def _plain(text: Column) -> Column:
+    """Lower case, without copyright statements, and anything but letters, digits and line feeds as one space."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), STATEMENT, " "), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def _spelled(plain: Column) -> Column:
+    for have, want in SPELLINGS:
+        plain = F.replace(plain, F.lit(have), F.lit(want))
+    return plain
+
+
+def _joined(plain: Column) -> Column:
+    return F.trim(_spelled(F.regexp_replace(plain, r"[ \n]+", " ")))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; null stays null."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), STATEMENT, " "), r"[^\p{L}\p{N}]+", " ")
-    for have, want in SPELLINGS:
-        out = F.replace(out, F.lit(have), F.lit(want))
-    return F.trim(out)
+    return _joined(_plain(text))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -108,19 +120,21 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     digest: of the whole canonical text (null if the text is null or its form is empty); license_id: the
     known licence with that digest, or null; notices: ids of the licences that single lines are, in order,
-    with commas, or empty.  Rows with equal ids share their notices.  Spark joins by hash and broadcasts
-    the known digests only while they are small.
+    with commas, or empty.  Rows with equal ids are documents each.  A text is brought to its form once; Spark
+    joins by hash and broadcasts the known digests only while they are small.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
-    form = canonical(F.col("text").cast("string"))
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    whole = own.select("doc_id", F.when(form != "", F.sha2(form, 256)).alias("digest"))
-    lines = own.select("doc_id", F.explode(F.split("text", "\n")).alias("text")).select("doc_id", form.alias("form")).filter("form != ''")
-    hits = lines.select("doc_id", F.sha2("form", 256).alias("d")).join(known, F.col("d") == F.col("digest"))
-    notices = hits.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices")).withColumnRenamed("doc_id", "__id")
-    named = whole.join(known.withColumnRenamed("digest", "__d"), F.col("digest") == F.col("__d"), "left")
-    joined = named.join(notices, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return joined.select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
+    plain = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _plain(F.col("text").cast("string")).alias("plain"))
+    forms = plain.select("doc_id", "row", _joined(F.col("plain")).alias("form"), F.transform(F.split(_spelled(F.col("plain")), "\n"), lambda x: F.trim(x)).alias("lines"))
+    lines = F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.sha2(x, 256)))
+    whole = F.struct(F.when(F.col("form") != "", F.sha2("form", 256)).alias("d"), F.lit(True).alias("whole"))
+    each = F.concat(F.array(whole), F.coalesce(F.transform(lines, lambda d: F.struct(d.alias("d"), F.lit(False).alias("whole"))), F.array().cast("array<struct<d: string, whole: boolean>>")))
+    found = forms.select("doc_id", "row", F.explode(each).alias("e")).select("doc_id", "row", "e.*").join(known, F.col("d") == F.col("digest"), "left")
+    found = found.filter(F.col("whole") | F.col("license_id").isNotNull()).groupBy("row", "doc_id")
+    return found.agg(
+        F.max(F.when(F.col("whole"), F.col("d"))).alias("digest"), F.max(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
+        F.array_join(F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",").alias("notices"),
+    ).drop("row")
 
 
 def oracle() -> str:
