@@ -61,11 +61,8 @@ def test_fill_matches_a_loop(spark):
                 used, chunk = 0, chunk + 1
             used += n
             want[key, pos] = chunk
-    got = {(r.k, r.pos): r.chunk for r in turns.fill_ordered(df, "k", ["pos"], "n", 100).collect()}
+    got = {(r.k, r.pos): r.chunk for r in turns.fill_ordered(df, ["k"], ["pos"], "n", 100).collect()}
     assert got == want
-    lists = df.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("l"))
-    for r in lists.select("k", "l", turns.fill(F.transform("l", lambda x: x["n"]), 100).alias("c")).collect():
-        assert [want[r.k, x.pos] for x in r.l] == r.c
 
 
 def test_upsert_merges_by_key(spark, tmp_path):
@@ -174,7 +171,7 @@ def test_sources(spark, tmp_path):
     files = spark.createDataFrame([(json.dumps(thread),)], "j string").select(F.from_json("j", people.THREAD).alias("t")).select("t.*")
     r = people.threads(files, "me", True).first()
     assert r.conversation_id == "o/r/pull/1" and [m.role for m in r.messages] == ["user", "user", "assistant", "user"]
-    assert r.messages[0].content.startswith(people.DESCRIBED) and r.messages[2].content == "[GitHub comment by @you]\n[f.py]\n@@\n\nwhy" and r.messages[3].content == "[review: approved]\ntwo"
+    assert r.messages[0].content.startswith(people.H.GENERATED) and r.messages[2].content == "[GitHub comment by @you]\n[f.py]\n@@\n\nwhy" and r.messages[3].content == "[review: approved]\ntwo"
 
     channel = {"team_id": "T", "channel_id": "C", "channel_name": "general", "owner_id": "U1", "users": {"U1": "Me"}, "messages": [{"user": "U1", "text": "x" * 30, "ts": f"{i}.0"} for i in range(10)] + [{"user": "U2", "text": "joined", "ts": "0.5", "subtype": "channel_join"}]}
     files = spark.createDataFrame([(json.dumps(channel),)], "j string").select(F.from_json("j", people.CHANNEL).alias("t")).select("t.*")
@@ -259,3 +256,66 @@ def test_service_answers_and_forms(spark):
     assert [one(spark, text.word_wrap("s", 9), s=s) for s in ("", "  ", "aa bb cc dd", "abcdefghijkl a")] == ["", "", "aa bb cc\ndd", "abcdefghijkl\na"]
     assert [one(spark, text.format_tokens(F.col("s").cast("long")), s=s) for s in ("0", "999", "1999")] == ["—", "999", "1k"]
     assert [one(spark, text.retry_after("s", F.lit("40"), F.lit(10)), s=s) for s in ("7", "x", None)] == [7, 30, 30]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from tracelens import cli
+
+    home, other = f"file://{tmp_path}/home", f"file://{tmp_path}/other"
+    rows = [(s, c, t, "user" if t % 2 == 0 else "assistant", f"{s} message {t} of conversation {c}, long enough to say something", c) for s in ("codex", "slack") for c in range(4) for t in range(6)]
+    spark.createDataFrame(rows, cli.MESSAGES).write.partitionBy("source").parquet(f"{home}/conversations")
+    run = lambda *a: (cli.main(["--home", home, *a], spark), capsys.readouterr().out)[1]
+    assert "slack" not in run("sources") and "slack" in run("add", "slack")
+    with pytest.raises(KeyError):
+        run("add", "no-such-source")
+    assert run("show") == "There is no document yet.\n"
+    assert "'processed': 8" in run("compose", "--method", "map-reduce")
+    assert "'processed': 0" in run("compose", "--method", "map-reduce")
+    assert run("show").startswith("# Profile") and run("show", "--diff").strip().endswith("lines")
+    assert "'processed': 8" in run("compose", "--reobserve", "--relabel")
+    first = run("ask", "why?")
+    assert first and run("ask", "and then?") and run("ask", "again?", "--new")
+    from tracelens.operators.sessions import Sessions
+
+    kept = Sessions(spark, f"{home}/sessions", None).rows().groupBy("id").count().collect()
+    assert sorted(r["count"] for r in kept) == [2, 4]
+    assert run("questions").count("\n") > 22
+    (tmp_path / "own").mkdir()
+    (tmp_path / "own" / "mine.md").write_text("What now?")
+    assert run("questions", "--dir", f"file://{tmp_path}/own") == "mine\tcustom\tWhat now?\n"
+    run("sync", other, "conversations", "observations")
+    assert spark.read.parquet(f"{other}/conversations").count() == len(rows)
+    assert run("remove", "slack") == "removed\n" and "slack" not in run("sources")
+    assert set(r.source for r in spark.read.parquet(f"{home}/profile/observations").collect()) == {"codex"}
+    (tmp_path / "plug").mkdir()
+    (tmp_path / "plug" / "a.json").write_text('{"conversation_id": "x", "messages": [{"role": "user", "content": "hello"}]}')
+    (tmp_path / "plug" / "b.json").write_text("{")
+    assert run("import", f"file://{tmp_path}/plug", "mine", "--type", "human") == "{'imported': 1, 'rejected': 1}\n"
+    assert "mine" in run("add", "mine")
+
+
+def test_answers_that_were_cut_short(spark, tmp_path):
+    from tracelens.model.client import Answer, StubClient
+    from tracelens.plans.profile import Profile
+
+    class Short(StubClient):
+        def answer(self, stage, system, text, max_tokens):
+            return Answer("x", 1, max_tokens, True)
+
+    p = Profile(spark, f"file://{tmp_path}/p", Short())
+    asked = spark.createDataFrame([("a", "s", "t")], "req_id string, system string, input string")
+    with pytest.raises(RuntimeError, match="cut short"):
+        p._ask("label", asked)
+    assert p._ask("theme_map", asked, cut=True).count() == 1
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    from tracelens.functions import text as T
+
+    df = spark.createDataFrame([("line\n" * 200_000,), ("```\na\n```\n" * 60_000,), ("x" * 1_000_000,), ("/a" * 400_000,), ("a.b-" * 250_000,), ("\n   " * 250_000,)], "t string")
+    began = time.time()
+    got = df.select(F.length(T.strip_code_blocks("t")).alias("n"), F.length(T.scrub("t")).alias("m")).collect()
+    assert got[0].n == 1_000_001 and got[1].n == 60_000 * 13 + 1
+    assert time.time() - began < 60

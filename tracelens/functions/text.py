@@ -69,14 +69,10 @@ def _halve(s: Column, start: Column, limit: int) -> Column:
 
 def strip_code_blocks(x) -> Column:
     """Fenced blocks become one line "[code block]"; an open one takes the rest.  Every kept line ends in a line feed."""
-    state = F.expr("struct(false AS inside, cast(array() AS array<string>) AS kept)")
-
-    def step(s: Column, line: Column) -> Column:
-        fence = F.startswith(trim_space(line), F.lit(FENCE))
-        shown = F.when(fence & ~s["inside"], F.array(F.lit("[code block]"))).when(fence | s["inside"], F.expr("cast(array() AS array<string>)")).otherwise(F.array(line))
-        return F.struct((fence != s["inside"]).alias("inside"), F.concat(s["kept"], shown).alias("kept"))
-
-    return F.aggregate(F.split(col(x), "\n"), state, step, lambda s: F.when(F.size(s["kept"]) > 0, F.concat(F.array_join(s["kept"], "\n"), F.lit("\n"))).otherwise(""))
+    # cut at the fence lines, every other part is inside; a part begins with the line feed before its first line
+    parts = F.split(F.concat(F.lit("\n"), col(x)), rf"\n(?:(?!\n){SPACE})*+{FENCE}[^\n]*+", -1)
+    shown = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).otherwise("\n[code block]")), "")
+    return bound(shown, lambda s: F.when(s == "", "").otherwise(F.concat(F.substring(s, F.lit(2), F.length(s)), F.lit("\n"))))
 
 
 def compress_assistant(x, limit: int = LONGEST_ASSISTANT_BYTES) -> Column:
@@ -167,7 +163,7 @@ def word_wrap(x, width: int, indent: str = "") -> Column:
     return F.aggregate(words, start, add, lambda acc: F.concat(acc["done"], acc["line"]))
 
 
-#: The character references of forms, in the order they are replaced.
+#: The character references of forms, in the order they are replaced; names, hosts and paths have bounds, so that the work is in proportion to the text.
 REFERENCES = [("&amp;", "&"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&apos;", "'")]
 
 
@@ -220,18 +216,18 @@ def chat_time(ts) -> Column:
     return F.timestamp_micros(secs * 1000000 + micros)
 
 
-#: Personal data and secrets by pattern and what stands for them, in the order they are replaced.
+#: Personal data and secrets by pattern and what stands for them, in the order they are replaced; names, hosts and paths have bounds, so that the work is in proportion to the text.
 SCRUBS = [
     (r"AKIA[0-9A-Z]{16}", "[AWS_KEY]"),
     (r"(?i)(secret[\w ]{0,20}[=:]\s*\"?)[A-Za-z0-9/+=]{40}", "$1[AWS_SECRET]"),
-    (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[TOKEN]"),
+    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[TOKEN]"),
     (r"\b(?:ghp|gho|ghs|github_pat)_[A-Za-z0-9_]{20,}", "[TOKEN]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
+    (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,63}", "[EMAIL]"),
     (r"https?://\S+[?&](?:token|key|sig|auth|access_token)=\S+", "[URL]"),
     (r"\b(PASSWORD|TOKEN)=\S+", "$1=[REDACTED_ENV]"),
     (r"\b\d{12}\b", "[ACCOUNT_ID]"),
     (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]"),
-    (r"(?:/[\w.-]+){2,}/([\w.-]+)", "$1"),
+    (r"(?:/[\w.-]+){2,64}/([\w.-]+)", "$1"),
 ]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import time
 from dataclasses import dataclass
@@ -70,6 +71,10 @@ class StubClient:
     def _prefer(self, text: str) -> str:
         return f"PREFERRED: {'AB'[int(hashlib.md5(text.encode()).hexdigest()[0], 16) % 2]}\nRATIONALE: by rule"
 
+    def _questions(self, text: str) -> str:
+        found = [{"id": f"q{i}", "category": "domain", "prompt": f"What about line {i}?"} for i in range(1, min(10, len(text.splitlines())) + 1)]
+        return f"Here:\n```json\n{json.dumps(found)}\n```"
+
     def _thesis(self, text: str) -> str:
         return "\n".join(line.removeprefix("### ") for line in text.splitlines() if line.startswith("### Cluster"))
 
@@ -119,3 +124,13 @@ def with_retry(call, limiter: Limiter, attempts: int = 5, base: float = 2.0, mos
         else:
             limiter.success()
             return out
+
+
+#: Requests a second that services take, at the start and at most, by service.
+RATES = {"code-core": (1.3, 1.4), "code-search": (0.45, 0.5), "chat-search": (0.5, 0.5), "chat-replies": (2.0, 2.0), "model-a": (60, 66), "model-b": (50, 166), "model": (20, 50)}
+
+
+def limiter_for(service: str, **more) -> Limiter:
+    """The limiter of a service; the smallest rate that it falls to is 1, or the service's own most."""
+    seed, most = RATES[service]
+    return Limiter(seed, most=most, **more)

@@ -43,3 +43,21 @@ def missing_from(outline: DataFrame, clusters: int, text: str = "text") -> DataF
     """Adds `missing`: the first i of 1..clusters whose "Cluster i" the text lacks, or null."""
     gone = F.filter(F.sequence(F.lit(1), F.lit(clusters)), lambda i: ~F.contains(F.col(text), F.concat(F.lit("Cluster "), i.cast("string"))))
     return outline.withColumn("missing", F.try_element_at(gone, F.lit(1)))
+
+
+def vocabulary(labels: DataFrame, label: str = "label") -> DataFrame:
+    """label: each label that is not empty, once."""
+    return labels.filter(F.coalesce(F.col(label), F.lit("")) != "").select(F.col(label).alias("label")).distinct()
+
+
+def label_prompt(system: str, words: DataFrame) -> DataFrame:
+    """One row, `system`: the prompt, and the labels in use, if there are any, in order."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("label")), lambda x: F.concat(F.lit("- "), x)), "\n")
+    return words.agg(F.concat(F.lit(system), F.when(F.count("*") > 0, F.concat(F.lit("\n\nLabels in use:\n"), listed)).otherwise("")).alias("system"))
+
+
+def summary_inputs(samples: DataFrame) -> DataFrame:
+    """cluster, input: what the model reads of each cluster's sample, in the sample's order."""
+    own = samples.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("mixed", "text"))).alias("s"))
+    told = F.array_join(F.transform("s", lambda x: F.concat(F.lit("---\n"), x["text"])), "\n")
+    return own.select("cluster", F.concat(F.lit("Cluster theme: "), "cluster", F.lit("\n\nObservations:\n"), told).alias("input"))

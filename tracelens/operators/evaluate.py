@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 #: USD per million tokens, input and output, by model family.
 PRICES = [
     ("claude-sonnet-4", 3.0, 15.0), ("claude-opus-4", 5.0, 25.0), ("gpt-4.1", 2.0, 8.0), ("gpt-4.1-mini", 0.4, 1.6), ("gpt-4.1-nano", 0.1, 0.4),
@@ -53,3 +55,10 @@ def priced(models: DataFrame, model: str = "model") -> DataFrame:
             price = F.when(F.col("__k") == p[0], F.lit(p[i])).otherwise(price)
         out = out.withColumn(name, price)
     return out.drop("__k")
+
+
+def summary_order(results: DataFrame, key: str) -> DataFrame:
+    """key, outcome (0: ours, 1: neither, 2: the baseline), place: results(key, preferred, ours_is_a) by outcome, then key."""
+    outcome = F.when(F.col("preferred") == "neither", 1).when((F.col("preferred") == "A") == F.col("ours_is_a"), 0).otherwise(2)
+    own = results.select(key, outcome.alias("outcome"), (-outcome).alias("__up"))
+    return ranked(own, "__up", [key], "place").select(key, "outcome", F.col("place").cast("int").alias("place"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,6 +38,53 @@ def upload_totals(compared: DataFrame, by: str = "source", size: str = "size_byt
     )
 
 
+def hits(rows: DataFrame, done: DataFrame, key: list[str], fingerprint: str = "fp") -> DataFrame:
+    """One row: hit, rows that are done under their fingerprint, and miss, the others."""
+    known = done.select(*key, F.col(fingerprint).alias("__old"))
+    hit = F.col("__old").eqNullSafe(F.col(fingerprint))
+    return rows.join(known, key, "left").agg(F.count_if(hit).alias("hit"), F.count_if(~hit).alias("miss"))
+
+
+def per_source(rows: DataFrame, count: str, size: str | None = None, by: str = "source") -> DataFrame:
+    """by, `count` rows, and the sum of `size` if it is given."""
+    return rows.groupBy(by).agg(F.count("*").alias(count), *([F.sum(size).alias("n_bytes")] if size else []))
+
+
+def remaining(rows: DataFrame, limit: int) -> DataFrame:
+    """One row: total, processed (limit at most; 0: all) and remaining rows."""
+    most = F.lit(limit).cast("long") if limit else F.count("*")
+    return rows.agg(F.count("*").alias("total"), F.least(most, F.count("*")).alias("processed")).withColumn("remaining", F.col("total") - F.col("processed"))
+
+
+def unfetched(listed: DataFrame, cached: DataFrame, key: list[str], updated: str = "updated_at") -> DataFrame:
+    """Listed rows that are not cached, or were updated after their cached copy."""
+    old = cached.groupBy(*key).agg(F.max(updated).alias("__at"))
+    return listed.join(old, key, "left").filter(F.col("__at").isNull() | (F.col("__at") < F.col(updated))).drop("__at")
+
+
+def search_segments(counts: DataFrame, most: int = 1000) -> DataFrame:
+    """first, last (months), n of counts(month, n): years, newest first, and a year of more than `most` hits by months; empty ones go.
+
+    For a search that shows `most` hits at most.  A month of more is a segment still.
+    """
+    year = F.trunc("month", "year")
+    years = counts.groupBy(year.alias("y")).agg(F.sum("n").alias("total"))
+    told = counts.join(years, year == F.col("y"))
+    cut = F.col("total") > most
+    first, last = F.when(cut, F.col("month")).otherwise(F.col("y")), F.when(cut, F.col("month")).otherwise(F.add_months("y", 11))
+    return told.groupBy(first.alias("first"), last.alias("last")).agg(F.sum("n").alias("n")).filter("n > 0").orderBy(F.desc("first"))
+
+
+def next_sync(states: DataFrame) -> DataFrame:
+    """Adds `since` (from when to search; null: all) and `then` (the state to keep) to states(identity, last_sync, user, started, complete).
+
+    Another identity makes the cache void; only a complete sync moves the state on, to when it started.
+    """
+    same = (F.coalesce("identity", F.lit("")) == "") | (F.col("identity") == F.col("user"))
+    since = F.when(same, F.col("last_sync"))
+    return states.withColumn("since", since).withColumn("void", ~same).withColumn("then", F.when(F.col("complete"), F.col("started")).otherwise(since))
+
+
 def rejects(rows: DataFrame, required: list[str]) -> DataFrame:
     """Adds `missing`: the first required column that is null or empty; null for rows that are good."""
     first = F.coalesce(*[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(c)) for c in required])
@@ -67,18 +116,49 @@ def latest(versions: DataFrame) -> DataFrame:
     return versions.filter(F.coalesce("content", F.lit("")) != "").agg(F.max("ts").alias("ts"), F.max_by("content", "ts").alias("content"))
 
 
+def _files(spark, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
+def settle(spark, path: str, by: str = "source") -> None:
+    """Finishes or drops what an upsert that was cut off has left beside the table: whole batches are written again, parts of one go."""
+    files, aside = _files(spark, path.rstrip("/") + "__next")
+    if not files.exists(aside):
+        return
+    for found in sorted(str(s.getPath()) for s in files.listStatus(aside)):
+        if exists(spark, f"{found}/_SUCCESS"):
+            spark.read.parquet(found).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+        files.delete(_files(spark, found)[1], True)
+
+
 def upsert(path: str, batch: DataFrame, key: list[str], by: str = "source") -> None:
     """Merges a batch into the Parquet table at path; only the partitions (`by`) it touches are rewritten.
 
-    The new partitions are written aside and read again, so the table is never read while it is overwritten.
+    The new partitions are first written whole to a folder of their own beside the table, so that the table is never
+    read while it is overwritten, and settle() can finish the work after a crash.  One writer at a time.
     """
     spark = batch.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if exists:
+    settle(spark, path, by)
+    if exists(spark, path):
         touched = [r[0] for r in batch.select(by).distinct().collect()]
         batch = merged(spark.read.parquet(path).filter(F.col(by).isin(touched)).select(*batch.columns), batch, key)
-    aside = path.rstrip("/") + "__next"
-    batch.write.mode("overwrite").parquet(aside)
-    done = spark.read.schema(batch.schema).parquet(aside)
-    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    batch.write.parquet(f"{path.rstrip('/')}__next/{uuid.uuid4().hex}")
+    settle(spark, path, by)
+
+
+def delete(spark, path: str, value: str | None = None, by: str = "source") -> bool:
+    """Deletes the table at path, or its rows of one value of the column that partitions it; says whether there were any."""
+    settle(spark, path, by)
+    files, at = _files(spark, path if value is None else f"{path.rstrip('/')}/{by}={quote(value)}")
+    return files.delete(at, True) if files.exists(at) else False
+
+
+def quote(value: str) -> str:
+    """A partition's value as its folder is named."""
+    return "".join(f"%{ord(c):02X}" if c in '"#%\'*/:=?\\{}[]^' or ord(c) < 32 or ord(c) == 127 else c for c in value)

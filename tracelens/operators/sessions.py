@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import col
 from ..model.client import Client
+from .incremental import exists
 
 #: Built-in sources, and whether one has to ask for them.
 BUILTIN = [("claude-code", False), ("codex", False), ("kiro", False), ("kiro-cli", False), ("opencode", False), ("github-issues", True), ("github-prs", True), ("slack", True)]
@@ -32,6 +34,26 @@ def active_sources(state: DataFrame) -> list[str]:
     return found or default_sources()
 
 
+def registry(spark: SparkSession) -> DataFrame:
+    """source, opt_in, place of the built-in sources."""
+    return spark.createDataFrame([(n, o, i) for i, (n, o) in enumerate(BUILTIN)], "source string, opt_in boolean, place int")
+
+
+def active(state: DataFrame) -> DataFrame:
+    """source: those of state(source), or the defaults where there is none."""
+    return state.sparkSession.createDataFrame([(n,) for n in active_sources(state)], "source string")
+
+
+def of_sources(rows: DataFrame, names: list[str], source: str = "source") -> DataFrame:
+    """Rows of the named sources; none named: all."""
+    return rows.filter(F.col(source).isin(names)) if names else rows
+
+
+def imported(rows: DataFrame, source: str = "source") -> DataFrame:
+    """source: the sources of rows that are not built in."""
+    return rows.select(F.col(source).alias("source")).distinct().join(registry(rows.sparkSession).select("source"), "source", "left_anti")
+
+
 def storage_key(source, conversation) -> Column:
     return F.concat(F.lit("conversations/"), col(source), F.lit("/"), col(conversation), F.lit(".json"))
 
@@ -65,32 +87,44 @@ def transfer_group(domain) -> Column:
 
 
 class Sessions:
-    """Sessions in a folder of Parquet: a row a turn, appended only after the answer came."""
+    """Sessions in a folder of Parquet: a row a turn, appended only after the answer came, with its time, so that the latest session is the one asked last."""
+
+    SCHEMA = "id string, seq long, role string, content string, at long"
 
-    SCHEMA = "id string, seq long, role string, content string"
+    def __init__(self, spark: SparkSession, folder: str, client: Client, clock=time.time_ns):
+        self.spark, self.folder, self.client, self.clock = spark, folder, client, clock
 
-    def __init__(self, spark: SparkSession, folder: str, client: Client):
-        self.spark, self.folder, self.client = spark, folder, client
+    def rows(self) -> DataFrame:
+        if not exists(self.spark, self.folder):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
 
     def turns(self, session: str) -> list[tuple[str, str]]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return []
-        rows = self.spark.read.schema(self.SCHEMA).parquet(self.folder).filter(F.col("id") == session).orderBy("seq").collect()
+        rows = self.rows().filter(F.col("id") == session).orderBy("seq").collect()
         return [(r["role"], r["content"]) for r in rows]
 
-    def ask(self, question: str, document: str, session: str | None = None) -> tuple[str, str]:
-        """(session, answer); an unknown session is an error; the system text is made of the document each time."""
+    def latest(self) -> str | None:
+        """The session that was asked last by someone who resumes; null times don't count."""
+        return self.rows().agg(F.max_by("id", "at")).first()[0]
+
+    def ask(self, question: str, document: str, session: str | None = None, resume: bool = False, new: bool = False) -> tuple[str, str]:
+        """(session, answer); an unknown session is an error; the system text is made of the document each time.
+
+        Without a session: the latest, if `resume` and there is one, else, or if `new`, a new one.  Only those who resume move the latest.
+        """
         if session is not None:
             past = self.turns(session)
             if not past:
                 raise KeyError(f"no session {session}")
         else:
-            session, past = str(uuid.uuid4()), []
+            session = self.latest() if resume and not new else None
+            past = self.turns(session) if session else []
+            session = session or str(uuid.uuid4())
         text = json.dumps([*past, ("user", question)], ensure_ascii=False)
         answer = self.client.answer("ask", document, text, 4096).text
-        new = [(session, len(past), "user", question), (session, len(past) + 1, "assistant", answer)]
-        self.spark.createDataFrame(new, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+        at = self.clock() if resume else None
+        rows = [(session, len(past), "user", question, at), (session, len(past) + 1, "assistant", answer, at)]
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
         return session, answer
 
 

@@ -42,45 +42,32 @@ def turn_lines(turns: DataFrame, human: Column) -> DataFrame:
     return turns.withColumn("line", turn_line(compress_assistant("assistant"), "human", human))
 
 
-def fill(sizes: Column, limit: int) -> Column:
-    """For each of an array of sizes the number of its chunk: a chunk ends before it would pass the limit."""
-    start = F.expr("struct(0L AS used, 0 AS chunk, cast(array() AS array<int>) AS out)")
-
-    def step(s: Column, n: Column) -> Column:
-        over = (s["used"] + n > limit) & (F.size(s["out"]) > 0)
-        chunk = s["chunk"] + F.when(over, 1).otherwise(0)
-        return F.struct(F.when(over, n).otherwise(s["used"] + n).alias("used"), chunk.alias("chunk"), F.concat(s["out"], F.array(chunk)).alias("out"))
-
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
-
-
 def chunks(lines: DataFrame, key: list[str] = ["conv_id"], limit: int = CHUNK_BYTES) -> DataFrame:
     """key, chunk, n, n_bytes, text: the lines (key, turn, line) of each conversation in chunks of at most `limit` bytes.
 
-    A line that is larger is a chunk of its own.  A conversation's lines are gathered in one row.
+    A line that is larger is a chunk of its own.
     """
-    gathered = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l"))
-    gathered = gathered.withColumn("c", fill(F.transform("l", lambda x: F.octet_length(x["line"]).cast("long")), limit))
-    each = gathered.select(*key, F.explode(F.arrays_zip("l", "c")).alias("e")).select(*key, "e.c", "e.l.turn", "e.l.line")
-    out = each.groupBy(*key, F.col("c").alias("chunk")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l"))
+    sized = lines.select(*key, "turn", "line", F.octet_length("line").cast("long").alias("bytes"))
+    each = fill_ordered(sized, key, ["turn"], "bytes", limit)
+    out = each.groupBy(*key, "chunk").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x["line"]), "")
     return out.select(*key, "chunk", "n", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
 
 
-def fill_ordered(rows: DataFrame, key: str, order: list[str], size: str, limit: int = CHANNEL_BYTES) -> DataFrame:
-    """Adds `chunk` to rows as fill() does, for keys of any number of rows: one pass over sorted rows that keeps two numbers.
+def fill_ordered(rows: DataFrame, key: list[str], order: list[str], size: str, limit: int = CHANNEL_BYTES) -> DataFrame:
+    """Adds `chunk` to rows: a chunk of a key ends before its sizes would pass the limit.
 
-    rows should hold the key, the order and the size alone; each key is one task's stream, never one batch.
+    One pass over sorted rows that keeps two numbers, for keys of any number of rows: each key is one task's stream, never one batch.
     """
-    sorted_rows = rows.repartition(F.col(key)).sortWithinPartitions(key, *order)
+    sorted_rows = rows.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key, *order)
     names = rows.columns
-    k, n = names.index(key), names.index(size)
+    keys, n = [names.index(k) for k in key], names.index(size)
 
     def run(parts):
         last, used, chunk, first = object(), 0, 0, True
         for part in parts:
             out = []
-            for who, m in zip(part.column(k).to_pylist(), part.column(n).to_pylist()):
+            for *who, m in zip(*[part.column(k).to_pylist() for k in keys], part.column(n).to_pylist()):
                 if who != last:
                     last, used, chunk, first = who, 0, 0, True
                 if used + m > limit and not first:
@@ -101,7 +88,7 @@ def channel_chunks(messages: DataFrame, limit: int = CHANNEL_BYTES) -> DataFrame
     owned = messages.filter(~F.col("noise")).groupBy("channel").agg(F.max((F.col("role") == "user").cast("int")).alias("owned")).filter("owned = 1")
     titles = messages.filter(trim_space("raw") != "").groupBy("channel").agg(F.min_by("raw", "pos").alias("title"))
     kept = messages.filter(~F.col("noise")).join(owned.select("channel"), "channel", "left_semi")
-    placed = fill_ordered(kept.select("channel", "pos", "ts", F.octet_length("content").cast("long").alias("bytes")), "channel", ["pos"], "bytes", limit)
+    placed = fill_ordered(kept.select("channel", "pos", "ts", F.octet_length("content").cast("long").alias("bytes")), ["channel"], ["pos"], "bytes", limit)
     out = placed.groupBy("channel", "chunk").agg(F.count("*").alias("n"), F.sum("bytes").alias("n_bytes"), F.min("ts").alias("created"), F.max("ts").alias("updated"))
     title = F.concat(F.when(F.col("chunk") > 0, F.format_string("[part %d] ", F.col("chunk") + 1)).otherwise(""), F.col("title"))
     return out.join(titles, "channel").select("channel", "chunk", title.alias("title"), "n", "n_bytes", "created", "updated")

@@ -107,8 +107,9 @@ def merged_messages(spark, sf_dir):
     return merged_roles(m, "conv_id", "turn").select("conv_id", "turn", "role", "content")
 
 
-@query("WITH a AS (SELECT event_type AS channel, min(event_id) AS lo, max(event_id) AS hi FROM events WHERE user_id % 25 = 0 GROUP BY event_type) SELECT e.event_id FROM events e JOIN a ON e.event_type = a.channel AND e.event_id BETWEEN a.lo - 5 AND a.hi + 5")
+@query("WITH t AS (SELECT event_type AS first FROM events ORDER BY event_type LIMIT 1), a AS (SELECT user_id AS channel, min(event_id) AS lo, max(event_id) AS hi FROM events, t WHERE event_type = first GROUP BY user_id) SELECT e.event_id FROM events e JOIN a ON e.user_id = a.channel AND e.event_id BETWEEN a.lo - 5 AND a.hi + 5")
 def near_activity(spark, sf_dir):
-    e = X.table(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), F.col("event_id").alias("ts"), "user_id")
-    found = e.filter("user_id % 25 = 0").withColumn("thread_ts", F.col("user_id"))
+    e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), F.col("event_id").alias("ts"), "event_type")
+    first = e.agg(F.min("event_type")).first()[0]
+    found = e.filter(F.col("event_type") == F.lit(first)).withColumn("thread_ts", F.col("ts"))
     return H.in_activity(e, H.channel_activity(found), 5).select(F.col("ts").alias("event_id"))

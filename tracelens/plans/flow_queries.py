@@ -9,6 +9,7 @@ from ..operators import clusters as C
 from ..operators import evaluate as E
 from ..operators import incremental as I
 from ..operators import ordered as O
+from ..operators import sessions as S
 from ..operators import turns as U
 from . import fixtures as X
 from .registry import query
@@ -100,13 +101,12 @@ def dispatch_buckets(spark, sf_dir):
 
 @query(V + "SELECT count(*) AS total, least(25, count(*)) AS processed, greatest(count(*) - 25, 0) AS remaining FROM entries e ANTI JOIN stored s USING (source, conv_id)")
 def remaining_counts(spark, sf_dir):
-    n = I.without(X.entries(spark, sf_dir), X.stored(spark, sf_dir), ["source", "conv_id"]).agg(F.count("*").alias("total"))
-    return n.select("total", F.least(F.lit(25).cast("long"), "total").alias("processed"), F.greatest(F.col("total") - 25, F.lit(0).cast("long")).alias("remaining"))
+    return I.remaining(I.without(X.entries(spark, sf_dir), X.stored(spark, sf_dir), ["source", "conv_id"]), 25)
 
 
-@query("WITH v AS (SELECT conv_id AS ts, CASE WHEN conv_id % 5 = 4 THEN '' ELSE text END AS content FROM conversations WHERE turn = 1) SELECT max(ts) AS ts, arg_max(content, ts) AS content FROM v WHERE content <> ''")
+@query("WITH v AS (SELECT conv_id * 1000 + turn AS ts, CASE WHEN conv_id % 5 = 4 THEN '' ELSE text END AS content FROM conversations) SELECT max(ts) AS ts, arg_max(content, ts) AS content FROM v WHERE content <> ''")
 def latest_version(spark, sf_dir):
-    v = X.table(spark, sf_dir, "conversations").filter("turn = 1").select(F.col("conv_id").alias("ts"), F.when(F.col("conv_id") % 5 == 4, "").otherwise(F.col("text")).alias("content"))
+    v = X.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ts"), F.when(F.col("conv_id") % 5 == 4, "").otherwise(F.col("text")).alias("content"))
     return I.latest(v)
 
 
@@ -124,7 +124,7 @@ def dedup_sessions(spark, sf_dir):
 
 @query(V + "SELECT DISTINCT label FROM obs")
 def label_vocabulary(spark, sf_dir):
-    return X.observations(spark, sf_dir).select("label").distinct()
+    return C.vocabulary(X.observations(spark, sf_dir))
 
 
 @query(V + "SELECT source, conv_id, CAST((row_number() OVER (PARTITION BY source, conv_id ORDER BY idx) - 1) // 3 AS INTEGER) AS batch, count(*) OVER (PARTITION BY source, conv_id) AS n, idx FROM obs")
@@ -191,18 +191,17 @@ def thesis_missing(spark, sf_dir):
 
 @query(V + _SAMPLED + " SELECT cluster, 'Cluster theme: ' || cluster || chr(10) || chr(10) || 'Observations:' || chr(10) || string_agg('---' || chr(10) || text, chr(10) ORDER BY mx) AS input FROM sampled GROUP BY cluster")
 def summary_inputs(spark, sf_dir):
-    s = _sampled(spark, sf_dir).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("mixed", "text"))).alias("s"))
-    return s.select("cluster", F.concat(F.lit("Cluster theme: "), "cluster", F.lit("\n\nObservations:\n"), F.array_join(F.transform("s", lambda x: F.concat(F.lit("---\n"), x["text"])), "\n")).alias("input"))
+    return C.summary_inputs(_sampled(spark, sf_dir))
 
 
 @query(V + "SELECT source, count(*) AS conversations, CAST(sum(size_bytes) AS BIGINT) AS n_bytes FROM entries GROUP BY source")
 def source_breakdown(spark, sf_dir):
-    return X.entries(spark, sf_dir).groupBy("source").agg(F.count("*").alias("conversations"), F.sum("size_bytes").alias("n_bytes"))
+    return I.per_source(X.entries(spark, sf_dir), "conversations", "size_bytes")
 
 
 @query(V + "SELECT source, count(*) AS observations FROM obs GROUP BY source")
 def obs_per_source(spark, sf_dir):
-    return X.observations(spark, sf_dir).groupBy("source").agg(F.count("*").alias("observations"))
+    return I.per_source(X.observations(spark, sf_dir), "observations")
 
 
 @query("WITH u AS (SELECT role AS stage, strlen(text) AS i, turn * 7 AS o FROM conversations) SELECT stage, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(round(sum(i * 3e-6 + o * 1.5e-5), 6) AS DOUBLE) AS cost FROM u GROUP BY ROLLUP (stage)")
@@ -213,23 +212,19 @@ def usage_rollup(spark, sf_dir):
 
 @query(V + "SELECT CAST(count_if(s.last_modified = e.last_modified) AS BIGINT) AS hit, CAST(count_if(s.last_modified IS DISTINCT FROM e.last_modified) AS BIGINT) AS miss FROM entries e LEFT JOIN stored s USING (source, conv_id)")
 def cache_hit_miss(spark, sf_dir):
-    old = X.stored(spark, sf_dir).withColumnRenamed("last_modified", "old")
-    j = X.entries(spark, sf_dir).join(old, ["source", "conv_id"], "left")
-    hit = F.col("old").eqNullSafe(F.col("last_modified"))
-    return j.agg(F.count_if(hit).alias("hit"), F.count_if(~hit).alias("miss"))
+    return I.hits(X.entries(spark, sf_dir), X.stored(spark, sf_dir), ["source", "conv_id"], "last_modified")
 
 
 @query(V + ", d AS (SELECT e.*, s.last_modified AS old FROM entries e LEFT JOIN stored s USING (source, conv_id)) SELECT source, count(*) AS discovered, CAST(count_if(old IS NULL OR last_modified > old) AS BIGINT) AS uploaded, CAST(count_if(NOT (old IS NULL OR last_modified > old)) AS BIGINT) AS skipped, CAST(coalesce(sum(size_bytes) FILTER (old IS NULL OR last_modified > old), 0) AS BIGINT) AS n_bytes FROM d GROUP BY source")
 def import_counts(spark, sf_dir):
     e = X.entries(spark, sf_dir).withColumnRenamed("last_modified", "updated_at")
     d = I.changed_since(e, X.stored(spark, sf_dir), ["source", "conv_id"])
-    up = F.col("status") != "same"
-    return d.groupBy("source").agg(F.count("*").alias("discovered"), F.count_if(up).alias("uploaded"), F.count_if(~up).alias("skipped"), F.coalesce(F.sum(F.when(up, F.col("size_bytes"))), F.lit(0)).cast("long").alias("n_bytes"))
+    return I.upload_totals(d).withColumnRenamed("bytes", "n_bytes")
 
 
 @query(V + "SELECT DISTINCT source FROM stored")
 def active_sources(spark, sf_dir):
-    return X.stored(spark, sf_dir).select("source").distinct()
+    return S.active(X.stored(spark, sf_dir))
 
 
 _CHAT = "SELECT conv_id, turn, role, CASE turn % 6 WHEN 0 THEN '' WHEN 1 THEN 'channel_join' WHEN 2 THEN 'bot_message' WHEN 3 THEN 'group_topic' ELSE 'thread_broadcast' END AS subtype, CASE WHEN conv_id % 9 = 0 THEN 'B1' ELSE '' END AS bot_id, CASE WHEN conv_id % 5 = 1 THEN ' <https://x.example.com/' || turn || '> ' ELSE text END AS text FROM conversations"
@@ -277,9 +272,9 @@ def review_comment_format(spark, sf_dir):
     return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body"))
 
 
-@query("SELECT event_type AS channel, min(event_id) AS first_ts, max(event_id) AS last_ts, list_sort(list(DISTINCT user_id)) AS threads FROM events WHERE user_id % 5 = 0 GROUP BY event_type")
+@query("SELECT event_type AS channel, min(event_id) AS first_ts, max(event_id) AS last_ts, list_sort(list(DISTINCT user_id)) AS threads FROM events GROUP BY event_type")
 def channel_activity(spark, sf_dir):
-    e = X.table(spark, sf_dir, "events").filter("user_id % 5 = 0")
+    e = X.table(spark, sf_dir, "events")
     return H.channel_activity(e.select(F.col("event_type").alias("channel"), F.col("event_id").alias("ts"), F.col("user_id").alias("thread_ts")))
 
 
@@ -360,8 +355,4 @@ def eval_preferences(spark, sf_dir):
 
 @query(f"WITH p AS (SELECT conv_id, CASE WHEN preferred = 'neither' THEN 1 WHEN (preferred = 'A') = ours_is_a THEN 0 ELSE 2 END AS outcome FROM ({_PREFERRED})) SELECT conv_id, outcome, CAST(row_number() OVER (ORDER BY outcome, conv_id) AS INTEGER) AS place FROM p")
 def eval_summary_order(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    p = _preferred(spark, sf_dir)
-    outcome = F.when(F.col("preferred") == "neither", 1).when((F.col("preferred") == "A") == F.col("ours_is_a"), 0).otherwise(2)
-    return p.select("conv_id", outcome.alias("outcome")).withColumn("place", F.row_number().over(W.orderBy("outcome", "conv_id")))
+    return E.summary_order(_preferred(spark, sf_dir), "conv_id")

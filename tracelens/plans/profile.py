@@ -10,21 +10,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parse import numbered_labels, observations, theme_map
+from ..functions.parse import json_array, numbered_labels, observations, theme_map
 from ..functions.parse import themes as theme_lines
 from ..functions.text import fingerprint, is_empty, is_relevant, normal_label, observation_format, strip_code_fence, token_estimate, trim_space
 from ..model.client import Client, StubClient
 from ..model.stage import respond, work_root, written
 from ..operators import clusters as K
-from ..operators.incremental import newest, stale, upsert
-from ..operators.ordered import budget_prefix
+from ..operators.incremental import delete, exists, newest, settle, stale, upsert, without
+from ..operators.ordered import budget_prefix, range_bounds, range_of
+from ..operators.sessions import first_diff
 from ..operators.turns import HUMAN_SOURCES, chunks, is_human_source, turn_lines, turn_pairs
 
 KEY = ["source", "conv_id"]
-PROMPTS = {"observe": "List observations about how the owner thinks.", "observe_human": "List observations about the owner among peers.", "refine": "Keep what is distinctive.", "label": "Label each observation.", "theme_identify": "Name 15 to 25 themes that the labels share, each on a line after THEME: .", "theme_map": "Assign each label to one of the themes: label -> theme.", "summarize": "Summarise the cluster.", "thesis": "Outline every cluster.", "compose": "Write the document.", "learn": "Write the document."}
+PROMPTS = {"observe": "List observations about how the owner thinks.", "observe_human": "List observations about the owner among peers.", "refine": "Keep what is distinctive.", "label": "Label each observation.", "theme_identify": "Name 15 to 25 themes that the labels share, each on a line after THEME: .", "theme_map": "Assign each label to one of the themes: label -> theme.", "summarize": "Summarise the cluster.", "thesis": "Outline every cluster.", "compose": "Write the document.", "learn": "Write the document.", "questions": "Ask ten questions that the document should help to answer, as a JSON array of objects with id, category and prompt."}
 LABELS_A_CALL = 10
 #: More distinct labels than this are mapped to themes, in calls of so many.
 THEMED_FROM, THEMED_A_CALL = 50, 100
+#: Bytes that one call takes in at most; more is an error, as the methods that gather everything need one call.
+ONE_CALL_BYTES = 64 << 20
 
 
 class Profile:
@@ -36,29 +39,41 @@ class Profile:
         self.usage: list[tuple] = []
 
     def table(self, name: str, schema: str) -> DataFrame:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        settle(self.spark, f"{self.folder}/{name}")
+        if exists(self.spark, f"{self.folder}/{name}"):
             return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
         return self.spark.createDataFrame([], schema)
 
-    def _ask(self, stage: str, requests: DataFrame, most: int = 4096) -> DataFrame:
-        """Responses of requests(req_id, system, input); a failed one fails the stage after the others are written."""
+    def _ask(self, stage: str, requests: DataFrame, most: int = 4096, cut: bool = False) -> DataFrame:
+        """Responses of requests(req_id, system, input); a failed one, or one that was cut short unless `cut` allows it, fails the stage after the others are written."""
         asked = requests.select("req_id", F.lit(stage).alias("stage"), "system", "input", F.lit(most).alias("max_tokens"))
         out = respond(asked, self.client, self.tasks, path=f"{self.folder}/calls/{stage}-{uuid.uuid4().hex[:8]}")
-        n, tokens_in, tokens_out, bad = out.agg(F.count("*"), F.sum("input_tokens"), F.sum("output_tokens"), F.min("error")).first()
+        n, tokens_in, tokens_out, bad, short = out.agg(F.count("*"), F.sum("input_tokens"), F.sum("output_tokens"), F.min("error"), F.count_if("truncated")).first()
         self.usage.append((stage, n, tokens_in or 0, tokens_out or 0))
         if bad:
             raise RuntimeError(f"{stage}: {bad}")
+        if short and not cut:
+            raise RuntimeError(f"{stage}: {short} answers were cut short at {most} tokens")
         return out
 
+    @staticmethod
+    def _bounded(rows: DataFrame, text: str) -> DataFrame:
+        size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        if size > ONE_CALL_BYTES:
+            raise ValueError(f"{size} bytes are more than one call takes in")
+        return rows
+
     OBSERVATIONS = "source string, conv_id long, fp string, items array<struct<quote:string,observation:string>>"
 
-    def observe(self, messages: DataFrame, limit: int = 0, again: bool = False, relevant: bool = True) -> dict:
-        """Observations of new and changed conversations (source, conv_id, turn, role, text, last_modified); a conversation without any keeps an empty row."""
+    def observe(self, messages: DataFrame, limit: int = 0, again: bool = False, relevant: bool = True, by_state: bool = True) -> dict:
+        """Observations of new and changed conversations (source, conv_id, turn, role, text, last_modified); a conversation without any keeps an empty row.
+
+        by_state=False: of those that have no row, whatever it was made under.
+        """
         seen = messages.groupBy(*KEY).agg(F.max("last_modified").alias("last_modified"))
         entries = seen.withColumn("fp", fingerprint("last_modified", F.lit(PROMPTS["observe"]), F.lit(PROMPTS["observe_human"]), F.lit(PROMPTS["refine"])))
         done = self.table("observations", self.OBSERVATIONS)
-        pending = entries if again else stale(entries, done, KEY)
+        pending = entries if again else stale(entries, done, KEY) if by_state else without(entries, done, KEY)
         total = pending.count()
         pending = written(newest(pending, limit, "last_modified", KEY), f"{self.folder}/work/pending-{uuid.uuid4().hex[:8]}")
         human = is_human_source("source")
@@ -84,8 +99,11 @@ class Profile:
 
     LABELS = "source string, conv_id long, fp string, idx int, label string"
 
-    def label(self) -> DataFrame:
-        """Labels of conversations whose observations changed, in calls of LABELS_A_CALL."""
+    def label(self, again: bool = False) -> DataFrame:
+        """Labels of conversations whose observations changed (all of them, if `again`), in calls of LABELS_A_CALL that are told the labels in use."""
+        if again:
+            delete(self.spark, f"{self.folder}/labels")
+        system = K.label_prompt(PROMPTS["label"], K.vocabulary(self.table("labels", self.LABELS)))
         own = self.entries()
         per = own.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("o"))
         per = per.withColumn("fp", fingerprint(F.array_join(F.transform("o", lambda x: x["text"]), "\0"), F.lit(PROMPTS["label"])))
@@ -93,7 +111,8 @@ class Profile:
         todo = stale(per, done, KEY)
         batch = todo.select(*KEY, "fp", F.posexplode("o").alias("i", "x")).withColumn("b", F.floor(F.col("i") / LABELS_A_CALL))
         calls = batch.groupBy(*KEY, "fp", "b").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("l"))
-        calls = calls.select(*KEY, "fp", "b", F.size("l").alias("n"), F.concat_ws("|", "source", F.col("conv_id").cast("string"), F.col("b").cast("string")).alias("req_id"), F.lit(PROMPTS["label"]).alias("system"), F.array_join(F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["x"]["text"])), "\n").alias("input"))
+        calls = calls.select(*KEY, "fp", "b", F.size("l").alias("n"), F.concat_ws("|", "source", F.col("conv_id").cast("string"), F.col("b").cast("string")).alias("req_id"), F.array_join(F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["x"]["text"])), "\n").alias("input"))
+        calls = calls.join(F.broadcast(system))  # one row
         calls = written(calls, f"{self.folder}/work/calls-{uuid.uuid4().hex[:8]}")
         if calls.isEmpty():
             return self.table("labels", self.LABELS)
@@ -127,7 +146,7 @@ class Profile:
             batch = left.select(F.posexplode("l").alias("i", "label")).groupBy(F.floor(F.col("i") / THEMED_A_CALL).alias("b")).agg(F.array_sort(F.collect_list("label")).alias("l"))
             text = F.concat(F.lit("THEMES:\n"), F.array_join("themes", "\n"), F.lit("\n\nLABELS:\n"), listed("l"))
             asked = batch.crossJoin(named).select(F.concat(F.lit(f"{turn}|"), F.col("b").cast("string")).alias("req_id"), F.lit(PROMPTS["theme_map"]).alias("system"), text.alias("input"))
-            got = self._ask("theme_map", asked).select(F.lit(turn).alias("turn"), "req_id", F.explode(theme_map("text")).alias("label", "theme"))
+            got = self._ask("theme_map", asked, cut=True).select(F.lit(turn).alias("turn"), "req_id", F.explode(theme_map("text")).alias("label", "theme"))
             mapped = written(got if mapped is None else mapped.unionByName(got), f"{self.folder}/work/mapped-{uuid.uuid4().hex[:8]}")
             rest = left.select(F.explode("l").alias("raw")).join(mapped.select("label").distinct(), F.lower("raw") == F.col("label"), "left_anti")
             left = written(rest.agg(F.array_sort(F.collect_list("raw")).alias("l")), f"{self.folder}/work/left-{uuid.uuid4().hex[:8]}")
@@ -139,30 +158,70 @@ class Profile:
         rows = last.unionByName(own).select(F.lit(fp).alias("fp"), "label", F.lower(trim_space("theme")).alias("theme"))
         return written(rows, f"{self.folder}/themes").select("label", "theme")
 
-    VERSIONS = "source string, ts long, content string"
+    VERSIONS = "source string, ts long, content string, diff string"
 
     def _version(self, ts: int, text: DataFrame) -> None:
-        row = text.select(F.lit("document").alias("source"), F.lit(ts).cast("long").alias("ts"), strip_code_fence("text").alias("content"))
+        row = text.select(F.lit("document").alias("source"), F.lit(ts).cast("long").alias("ts"), strip_code_fence("text").alias("content"), F.lit(None).cast("string").alias("diff"))
         upsert(f"{self.folder}/versions", row, ["source", "ts"])
 
-    def map_reduce(self, messages: DataFrame, ts: int, limit: int = 0) -> dict:
-        """Observe without the relevance filter, then one call over all observations."""
-        done = self.observe(messages, limit, relevant=False)
+    def show(self, ts: int | None = None) -> str | None:
+        """The document of a version, or of the latest that has one; none: None."""
+        found = self.versions().filter(F.coalesce("content", F.lit("")) != "")
+        found = found.filter(F.col("ts") == ts) if ts is not None else found
+        return found.agg(F.max_by("content", "ts")).first()[0]
+
+    def diff(self, ts: int | None = None) -> str | None:
+        """What a version (the latest) changed, asked for once and kept with it; the first needs no call; no version: None."""
+        rows = {r["ts"]: r for r in self.versions().orderBy(F.desc("ts")).filter(F.lit(ts is None) | (F.col("ts") <= F.lit(ts))).limit(2).collect()}
+        if not rows or (ts is not None and ts not in rows):
+            return None
+        last = max(rows)
+        if rows[last]["diff"] is None:
+            previous = rows[min(rows)]["content"] if len(rows) > 1 else None
+            told = first_diff(previous, rows[last]["content"], self.client).strip()
+            row = self.spark.createDataFrame([("document", last, rows[last]["content"], told)], self.VERSIONS)
+            upsert(f"{self.folder}/versions", row, ["source", "ts"])
+            return told
+        return rows[last]["diff"]
+
+    def remove(self, source: str) -> bool:
+        """Deletes the observations and labels of a source; says whether there were any."""
+        found = [delete(self.spark, f"{self.folder}/{name}", source) for name in ("observations", "labels")]
+        return any(found)
+
+    QUESTIONS = "source string, id string, category string, prompt string"
+
+    def questions(self, document: str) -> DataFrame:
+        """id, category, prompt of questions about a document, asked for once a document; none is an error."""
+        digest = self.spark.range(1).select(F.left(fingerprint(F.lit(document)), F.lit(16))).first()[0]
+        kept = self.table("questions", self.QUESTIONS).filter(F.col("source") == digest)
+        if kept.isEmpty():
+            got = self._ask("questions", self.spark.createDataFrame([("questions", PROMPTS["questions"], document)], "req_id string, system string, input string"))
+            rows = got.select(F.inline(F.from_json(json_array("text"), "array<struct<id:string,category:string,prompt:string>>"))).withColumn("source", F.lit(digest))
+            rows = written(rows.select("source", "id", "category", "prompt"), f"{self.folder}/work/questions-{uuid.uuid4().hex[:8]}")
+            if rows.isEmpty():
+                raise RuntimeError("questions: none were found in the answer")
+            upsert(f"{self.folder}/questions", rows, ["source", "id"])
+            kept = self.table("questions", self.QUESTIONS).filter(F.col("source") == digest)
+        return kept.drop("source")
+
+    def map_reduce(self, messages: DataFrame, ts: int, limit: int = 0, reobserve: bool = False, learn: bool = False) -> dict:
+        """Observe without the relevance filter, then one call over all observations; `learn`: only that call, over what there is."""
+        done = {"processed": 0, "remaining": 0} if learn else self.observe(messages, limit, reobserve, relevant=False, by_state=False)
         shown = self.entries().select(*KEY, "idx", observation_format(F.lit(None).cast("string"), "quote", "text").alias("x"))
-        whole = shown.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*KEY, "idx", "x"))), lambda r: r["x"]), "\n\n---\n\n").alias("input"))
+        whole = self._bounded(shown, "x").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*KEY, "idx", "x"))), lambda r: r["x"]), "\n\n---\n\n").alias("input"))
         self._version(ts, self._ask("compose", whole.select(F.lit("learn").alias("req_id"), F.lit(PROMPTS["learn"]).alias("system"), "input")))
         return done
 
-    def clustered(self, messages: DataFrame, ts: int, limit: int = 0, least: int = K.LEAST_MEMBERS) -> dict:
+    def clustered(self, messages: DataFrame, ts: int, limit: int = 0, least: int = K.LEAST_MEMBERS, reobserve: bool = False, relabel: bool = False) -> dict:
         """Observe, label, map labels to themes if there are many, group, sample, summarise, outline, compose."""
-        done = self.observe(messages, limit)
-        labels = self.label().select(*KEY, "idx", normal_label("label").alias("label"))
+        done = self.observe(messages, limit, reobserve)
+        labels = self.label(relabel).select(*KEY, "idx", normal_label("label").alias("label"))
         rows = K.clustered(K.themed(self.entries(), labels, self.theme(), [*KEY, "idx"]), least).withColumn("tok", token_estimate("text"))
         rows = written(rows, f"{self.folder}/work/rows-{uuid.uuid4().hex[:8]}")
         sample = K.sampled(rows, [*KEY, "idx"], "tok")
         order = K.numbered(sample)
-        inputs = sample.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("mixed", "text"))).alias("s"))
-        inputs = inputs.select(F.col("cluster").alias("req_id"), F.lit(PROMPTS["summarize"]).alias("system"), F.concat(F.lit("Cluster theme: "), "cluster", F.lit("\n\nObservations:\n"), F.array_join(F.transform("s", lambda x: F.concat(F.lit("---\n"), x["text"])), "\n")).alias("input"))
+        inputs = K.summary_inputs(sample).select(F.col("cluster").alias("req_id"), F.lit(PROMPTS["summarize"]).alias("system"), "input")
         summaries = self._ask("summarize", inputs).join(order, F.col("req_id") == F.col("cluster"))
         outline = summaries.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda r: F.concat(F.lit("### Cluster "), r["number"].cast("string"), F.lit("\n"), r["text"])), "\n\n").alias("input"))
         n = outline.first()["n"]
@@ -171,7 +230,9 @@ class Profile:
             gap = K.missing_from(thesis, n).first()["missing"]
             if gap:
                 raise RuntimeError(f"the outline lacks Cluster {gap}")
-            noise = budget_prefix(rows.filter("cluster IS NULL"), [], [F.col(c) for c in (*KEY, "idx")], "tok", K.NOISE_TOKENS, False, F.col(KEY[0]))
+            rest = rows.filter("cluster IS NULL")
+            coarse = F.struct(F.col(KEY[0]), range_of(F.col(KEY[1]), range_bounds(rest, KEY[1])).alias("range"))
+            noise = budget_prefix(rest, [], [F.col(c) for c in (*KEY, "idx")], "tok", K.NOISE_TOKENS, False, coarse)
             left = noise.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*KEY, "idx", "text"))), lambda r: r["text"]), "\n").alias("noise"))
             text = thesis.select(F.col("text").alias("thesis")).join(outline.select("input")).join(left)
             self._version(ts, self._ask("compose", text.select(F.lit("compose").alias("req_id"), F.lit(PROMPTS["compose"]).alias("system"), F.concat_ws("\n\n", "thesis", "input", "noise").alias("input"))))

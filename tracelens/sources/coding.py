@@ -32,7 +32,12 @@ def claude_code(spark: SparkSession, root: str) -> DataFrame:
 
     Assistant events without a stop reason are partial and go, as do events without text and tools.  Times are of all events.
     """
-    v = json_lines(spark, f"{root}/projects")
+    history = json_lines(spark, f"{root}").filter(F.col("path").endswith("/history.jsonl"))
+    return claude_sessions(json_lines(spark, f"{root}/projects"), history)
+
+
+def claude_sessions(v: DataFrame, history: DataFrame) -> DataFrame:
+    """claude_code() of the lines (path, line, v) of session files and of the history."""
     file = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
     v = v.withColumn("conversation_id", F.url_decode(file)).withColumn("parent_id", F.nullif(F.regexp_extract("path", r"([^/]+)/subagents/[^/]+$", 1), F.lit("")))
     v = v.withColumn("timestamp", get("v", "$.timestamp", "timestamp")).withColumn("content", get("v", "$.message.content", "variant"))
@@ -43,7 +48,7 @@ def claude_code(spark: SparkSession, root: str) -> DataFrame:
     m = m.filter((F.coalesce("content", F.lit("")) != "") | (F.size("tools") > 0))
     first = m.filter((F.col("role") == "user") & (trim_space("content") != "")).groupBy("conversation_id").agg(F.min_by("content", "line").alias("opening"))
     out = gathered(m, "conversation_id", ["line"]).join(times, "conversation_id").join(first, "conversation_id", "left")
-    h = json_lines(spark, f"{root}").filter(F.col("path").endswith("/history.jsonl")).select(get("v", "$.sessionId").alias("conversation_id"), get("v", "$.display").alias("display"), "line")
+    h = history.select(get("v", "$.sessionId").alias("conversation_id"), get("v", "$.display").alias("display"), "line")
     h = h.filter(F.coalesce("display", F.lit("")) != "").groupBy("conversation_id").agg(F.min_by("display", "line").alias("display"))
     out = out.join(h, "conversation_id", "left").withColumn("title", title_from(F.coalesce("display", "opening", F.lit(""))))
     return out.withColumn("source", F.lit("claude-code")).select(*COLUMNS)
@@ -54,7 +59,12 @@ def codex(spark: SparkSession, root: str) -> DataFrame:
 
     Events' texts, or response items' where a file has no events; the same id twice: the newer, then the longer.
     """
-    v = json_lines(spark, root).filter(F.col("path").rlike("/(sessions|archived_sessions)/"))
+    return codex_sessions(json_lines(spark, root))
+
+
+def codex_sessions(lines: DataFrame) -> DataFrame:
+    """codex() of the lines (path, line, v) of all files."""
+    v = lines.filter(F.col("path").rlike("/(sessions|archived_sessions)/"))
     v = v.select("path", "line", get("v", "$.timestamp", "timestamp").alias("timestamp"), get("v", "$.type").alias("type"), get("v", "$.payload", "variant").alias("p")).withColumn("kind", get("p", "$.type"))
     model = F.last(F.when(F.col("type") == "turn_context", get("p", "$.model")), ignorenulls=True).over(W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
     v = v.withColumn("model", model)
@@ -70,7 +80,7 @@ def codex(spark: SparkSession, root: str) -> DataFrame:
     cols = ["path", "line", "role", "content", "timestamp", "model", "tools"]
     m = events.select(*cols).unionByName(items.select(*cols)).filter(trim_space("content") != "").unionByName(calls.select(*cols))
     msgs = gathered(merged_roles(m, "path", "line"), "path", ["line"])
-    index = json_lines(spark, root).filter(F.col("path").endswith("/session_index.jsonl")).groupBy(get("v", "$.id").alias("iid")).agg(F.max_by(get("v", "$.thread_name"), "line").alias("named"), F.max_by(get("v", "$.updated_at", "timestamp"), "line").alias("indexed_at"))
+    index = lines.filter(F.col("path").endswith("/session_index.jsonl")).groupBy(get("v", "$.id").alias("iid")).agg(F.max_by(get("v", "$.thread_name"), "line").alias("named"), F.max_by(get("v", "$.updated_at", "timestamp"), "line").alias("indexed_at"))
     out = msgs.join(meta, "path").join(index, F.col("id") == F.col("iid"), "left").withColumn("conversation_id", F.coalesce("id", F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)))
     opening = F.try_element_at(F.filter("messages", lambda x: trim_space(x["content"]) != ""), F.lit(1))["content"]
     out = out.withColumn("title", F.coalesce(F.nullif("named", F.lit("")), title_from(opening), F.lit(""))).withColumn("updated_at", F.greatest("seen_at", "indexed_at"))
@@ -86,10 +96,15 @@ def kiro(spark: SparkSession, root: str) -> DataFrame:
     def whole(glob):
         return spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v")).filter("v IS NOT NULL")
 
-    index = whole("sessions.json").select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("s"))
+    return kiro_sessions(whole("sessions.json"), whole("*.json").filter(~F.col("path").endswith("/sessions.json")), whole("*.chat"))
+
+
+def kiro_sessions(listed: DataFrame, sessions: DataFrame, chats: DataFrame) -> DataFrame:
+    """kiro() of the files (path, v) that list sessions, hold them, and hold their chats."""
+    index = listed.select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("s"))
     index = index.select(get("s", "$.sessionId").alias("conversation_id"), get("s", "$.title").alias("title"), get("s", "$.workspaceDirectory").alias("project"), F.timestamp_millis(get("s", "$.dateCreated").try_cast("long")).alias("created_at"))
-    session = whole("*.json").filter(~F.col("path").endswith("/sessions.json")).select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("sid"), F.posexplode(F.try_variant_get("v", "$.history", "array<variant>")).alias("pos", "h"))
-    chats = whole("*.chat").select(get("v", "$.executionId").alias("eid"), get("v", "$.metadata.modelId").alias("model"), F.timestamp_millis(get("v", "$.metadata.endTime", "long")).alias("ended"), F.try_variant_get("v", "$.chat", "array<variant>").alias("chat"))
+    session = sessions.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("sid"), F.posexplode(F.try_variant_get("v", "$.history", "array<variant>")).alias("pos", "h"))
+    chats = chats.select(get("v", "$.executionId").alias("eid"), get("v", "$.metadata.modelId").alias("model"), F.timestamp_millis(get("v", "$.metadata.endTime", "long")).alias("ended"), F.try_variant_get("v", "$.chat", "array<variant>").alias("chat"))
     named = session.join(chats, get("h", "$.executionId") == F.col("eid")).groupBy("sid").agg(F.max_by(F.struct("chat", "model", "ended"), "pos").alias("c"))
     rows = named.select("sid", F.col("c.model").alias("model"), F.col("c.ended").alias("timestamp"), F.posexplode("c.chat").alias("line", "m"))
     text = trim_space(F.coalesce(get("m", "$.content"), F.lit("")))

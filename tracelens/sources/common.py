@@ -14,10 +14,13 @@ TITLE_BYTES = 100
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line, v: each line that is JSON, as a VARIANT, with its place in its file; other lines are skipped."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("line", "text")).filter(trim_space("text") != "")
-    return lines.select("path", "line", F.try_parse_json("text").alias("v")).filter("v IS NOT NULL")
+    """path, line, v: each line that is JSON, as a VARIANT, with its place in its file; other lines are skipped.
+
+    Large files are read in parts; a place is the part's offset and the row in it.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path).select(F.col("_metadata.file_path").alias("path"), place.alias("line"), F.col("value").alias("text"))
+    return lines.filter(trim_space("text") != "").select("path", "line", F.try_parse_json("text").alias("v")).filter("v IS NOT NULL")
 
 
 def get(v, path: str, kind: str = "string") -> Column:

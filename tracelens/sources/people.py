@@ -13,7 +13,6 @@ from .common import COLUMNS, NO_TOOLS, gathered
 
 THREAD = "owner string, repo string, number int, is_pr boolean, title string, body string, author string, created_at timestamp, updated_at timestamp, messages array<struct<author:string,body:string,created_at:timestamp,path:string,diff_hunk:string,review_state:string>>"
 CHANNEL = "team_id string, team_name string, channel_id string, channel_name string, owner_id string, messages array<struct<user:string,text:string,ts:string,thread_ts:string,subtype:string,bot_id:string>>, users map<string,string>, updated_at timestamp"
-DESCRIBED = "[Auto-generated PR description — not authored by the user]\n"
 
 
 def threads(files: DataFrame, user: str, pulls: bool) -> DataFrame:
@@ -28,7 +27,7 @@ def threads(files: DataFrame, user: str, pulls: bool) -> DataFrame:
         described = body.filter("coalesce(trim(body), '') <> ''").join(kept.select("conversation_id").distinct(), "conversation_id", "left_semi")
         kept = kept.unionByName(described)
     text = H.attributed("author", F.lit(user), "body")
-    text = F.when((F.col("pos") == -1) & F.lit(pulls), F.concat(F.lit(DESCRIBED), text)).otherwise(text)
+    text = F.when((F.col("pos") == -1) & F.lit(pulls), F.concat(F.lit(H.GENERATED), text)).otherwise(text)
     kept = kept.select("conversation_id", (F.col("pos") >= 0).alias("later"), "timestamp", "pos", F.when(own, "user").otherwise("assistant").alias("role"), text.alias("content"), F.lit(None).cast("string").alias("model"), F.expr(NO_TOOLS).alias("tools"))
     kept = kept.withColumn("at", F.coalesce("timestamp", F.lit(0).cast("timestamp")))
     order = ["later", "at", "pos"] if pulls else ["at", "pos"]
@@ -45,7 +44,7 @@ def channels(files: DataFrame, limit: int = CHANNEL_BYTES) -> DataFrame:
     owned = m.filter("NOT noise AND role = 'user'").select("channel").distinct()
     titles = m.filter("trim(raw) <> ''").groupBy("channel").agg(F.min_by("raw", "ts").alias("first"))
     kept = m.filter("NOT noise").join(owned, "channel", "left_semi")
-    placed = fill_ordered(kept.select("channel", "ts", F.octet_length("content").cast("long").alias("bytes")), "channel", ["ts"], "bytes", limit).drop("bytes")
+    placed = fill_ordered(kept.select("channel", "ts", F.octet_length("content").cast("long").alias("bytes")), ["channel"], ["ts"], "bytes", limit).drop("bytes")
     rows = kept.join(placed, ["channel", "ts"]).withColumn("conversation_id", F.concat_ws(":", "channel", F.col("chunk").cast("string")))
     rows = rows.withColumn("timestamp", chat_time("ts")).withColumn("model", F.lit(None).cast("string")).withColumn("tools", F.expr(NO_TOOLS))
     heads = rows.groupBy("conversation_id", "channel", "chunk").agg(F.min("timestamp").alias("created_at"), F.max("timestamp").alias("updated_at"), F.first("channel_name").alias("project")).join(titles, "channel")
@@ -62,7 +61,13 @@ def plugin(spark: SparkSession, folder: str, name: str, kind: str) -> tuple[Data
     if kind not in ("human", "ai"):
         raise ValueError(f"{name}: the type must be human or ai, not {kind!r}")
     raw = spark.read.schema(PLUGIN).option("multiLine", True).option("mode", "PERMISSIVE").json(folder, pathGlobFilter="*.json").withColumn("path", F.col("_metadata.file_path"))
-    raw = raw.withColumn("conversation_id", F.coalesce("conversation_id", "session_id"))
+    good, bad = plugin_rows(raw, name)
+    return good, bad.select("path", "_corrupt_record")
+
+
+def plugin_rows(raw: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) of rows as plugins write them; an id may go by its old name, an empty one is none."""
+    raw = raw.withColumn("conversation_id", F.coalesce(F.nullif("conversation_id", F.lit("")), "session_id"))
     good = F.col("_corrupt_record").isNull() & (F.coalesce("conversation_id", F.lit("")) != "")
     msgs = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["timestamp"].alias("timestamp"), m["model"].alias("model"), F.expr(NO_TOOLS).alias("tools")))
-    return raw.filter(good).withColumn("source", F.lit(name)).withColumn("messages", msgs).select(*COLUMNS), raw.filter(~good).select("path", "_corrupt_record")
+    return raw.filter(good).withColumn("source", F.lit(name)).withColumn("messages", msgs).select(*COLUMNS), raw.filter(~good)

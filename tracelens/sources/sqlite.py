@@ -45,8 +45,14 @@ def rows(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
 def opencode(spark: SparkSession, path: str) -> DataFrame:
     """Sessions with their project, messages by time and parts by time; texts joined, tools with input and output."""
     s = rows(spark, path, "SELECT s.id, s.title, s.parent_id, p.worktree, s.time_created, s.time_updated FROM session s JOIN project p ON p.id = s.project_id", "conversation_id string, title string, parent_id string, project string, created long, updated long")
-    m = rows(spark, path, "SELECT id, session_id, data, time_created FROM message", "mid string, conversation_id string, data string, at long").withColumn("v", F.try_parse_json("data"))
-    p = rows(spark, path, "SELECT id, message_id, data, time_created FROM part", "pid string, message_id string, data string, pat long").withColumn("w", F.try_parse_json("data"))
+    m = rows(spark, path, "SELECT id, session_id, data, time_created FROM message", "mid string, conversation_id string, data string, at long")
+    p = rows(spark, path, "SELECT id, message_id, data, time_created FROM part", "pid string, message_id string, data string, pat long")
+    return opencode_sessions(s, m, p)
+
+
+def opencode_sessions(s: DataFrame, m: DataFrame, p: DataFrame) -> DataFrame:
+    """opencode() of the rows of sessions with their project, messages and parts."""
+    m, p = m.withColumn("v", F.try_parse_json("data")), p.withColumn("w", F.try_parse_json("data"))
     tool = F.struct(get("w", "$.tool").alias("name"), F.to_json(get("w", "$.state.input", "variant")).alias("input"), F.to_json(get("w", "$.state.output", "variant")).alias("output"))
     parts = p.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("pat", "pid", get("w", "$.type").alias("kind"), get("w", "$.text").alias("text"), tool.alias("tool")))).alias("l"))
     text = F.array_join(F.transform(F.filter("l", lambda x: (x["kind"] == "text") & (F.coalesce(x["text"], F.lit("")) != "")), lambda x: x["text"]), "\n")
@@ -59,7 +65,13 @@ def opencode(spark: SparkSession, path: str) -> DataFrame:
 
 def kiro_cli(spark: SparkSession, path: str) -> DataFrame:
     """Conversations whose value is a history of prompts and responses; values that are no JSON are left out, all bad is an error."""
-    c = rows(spark, path, "SELECT key, conversation_id, value, created_at, updated_at FROM conversations_v2", "project string, conversation_id string, value string, created long, updated long").withColumn("v", F.try_parse_json("value"))
+    c = rows(spark, path, "SELECT key, conversation_id, value, created_at, updated_at FROM conversations_v2", "project string, conversation_id string, value string, created long, updated long")
+    return kiro_cli_sessions(c)
+
+
+def kiro_cli_sessions(c: DataFrame) -> DataFrame:
+    """kiro_cli() of the table's rows."""
+    c = c.withColumn("v", F.try_parse_json("value"))
     total, bad = c.agg(F.count("*"), F.count_if(F.col("v").isNull())).first()
     if total and total == bad:
         raise ValueError("no conversation could be read")
