@@ -26,7 +26,7 @@ SPACE, LETTER, NUMBER, OTHER, BREAK = 0, 1, 2, 3, 4
 BETWEEN = "<|endoftext|>"
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Pieces that a process keeps; beyond, it starts anew.
-KEPT = 500_000
+KEPT = 1_500_000
 #: Pieces are known by a 64-bit hash of their code points; longer ones by a hash that no text can be made to collide on.
 SHORT = 64
 
@@ -64,13 +64,21 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.place, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0  # sorted, and where each is
         self.begin = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int32)
         self.store = np.zeros(8192, np.uint16)
         self.used = 0
 
-    def _learn(self, pieces: list[str], keys: list[int]) -> None:
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each piece is, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.place[at], -1).astype(np.int64)
+
+    def _learn(self, pieces: list[str], keys: np.ndarray) -> None:
+        """Encodes new pieces; they follow the known ones in their order."""
         for lo in range(0, len(pieces), 20_000):
             part = pieces[lo : lo + 20_000]
             texts = [BETWEEN.join(part[i : i + 500]) + BETWEEN for i in range(0, len(part), 500)]
@@ -79,7 +87,7 @@ class Encoder:
             n = np.diff(ends, prepend=-1).astype(np.int32) - 1
             ids = ids[ids != self.between]
             assert len(n) == len(part)
-            at = len(self.known)
+            at = self.known
             while at + len(part) > len(self.begin):
                 self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
             total = len(ids)
@@ -89,7 +97,11 @@ class Encoder:
             self.begin[at : at + len(part)] = self.used + np.cumsum(n) - n
             self.store[self.used : self.used + total] = ids
             self.used += total
-            self.known.update(zip(keys[lo : lo + 20_000], range(at, at + len(part))))
+            self.known += len(part)
+        order = np.argsort(keys)
+        into = np.searchsorted(self.keys, keys[order])
+        first = self.known - len(pieces)
+        self.keys, self.place = np.insert(self.keys, into, keys[order]), np.insert(self.place, into, (first + order).astype(np.int32))
 
     def _starts(self, cps: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces begin, and where they end, in code points of texts with a break after each."""
@@ -146,7 +158,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         got: list[tuple[np.ndarray, np.ndarray]] = []
-        for lo, hi in words.slices(texts, 2 * words.SLICE):
+        for lo, hi in words.slices(texts, 4 * words.SLICE):
             got.append(self._encode([t or "" for t in texts[lo:hi]]))
         if not got:
             return np.zeros(0, np.uint16), np.zeros(1, np.int64)
@@ -173,17 +185,16 @@ class Encoder:
         for i in np.flatnonzero(end - start > SHORT).tolist():
             key[i] = hash(big[start[i] : end[i]]) & 0xFFFFFFFFFFFFFFFF
         piece, names = pd.factorize(key)
-        if len(self.known) + len(names) > KEPT:
+        if self.known + len(names) > KEPT:
             self.clear()
-        known, keys = self.known.get, names.tolist()
-        index = np.array([known(k, -1) for k in keys], np.int64)
+        index = self._find(names)
         missing = np.flatnonzero(index < 0)
         if len(missing):
             first = np.empty(len(names), np.int64)
             first[piece[::-1]] = np.arange(len(piece) - 1, -1, -1)
             at = first[missing]
-            self._learn([big[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())], names[missing].tolist())
-            index[missing] = [known(k, -1) for k in names[missing].tolist()]
+            index[missing] = self.known + np.arange(len(missing))
+            self._learn([big[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())], names[missing])
         index = index[piece]
         count = self.count[index].astype(np.int64)
         upto = np.cumsum(count)

@@ -19,7 +19,7 @@ for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
     WORD_BYTE[_c] = True
 
 #: Characters of the texts that are worked on at once (or one longer text), and powers that a process keeps of a base.
-SLICE, POWERS = 500_000, 1 << 20
+SLICE, POWERS = 500_000, 1 << 21
 
 _powers: dict[int, np.ndarray] = {}
 
