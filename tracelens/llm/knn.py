@@ -6,10 +6,11 @@ summary: its count, its radius R (the largest distance to the pivot p), the larg
 largest norm.  For a query q the scores of a group lie in q.p -+ |q| R, and within what the angles allow:
 |q| |x| cos(angle(q, p) -+ angle); the narrower of both counts.  So
   - groups with the largest lower bounds that together hold k vectors give a first bound for the k-th score,
-  - the query is solved in its home group, which raises the bound to a real k-th score,
+  - the query is solved in its home tile, which raises the bound to a real k-th score,
   - and it is sent only to groups whose upper bound reaches it.
-Groups are cut in blocks of BLOCK vectors and BLOCK queries; each pair of blocks is one product of matrices,
-exact in whole numbers.  How many groups a query is sent to is the data's doing: few if they form clusters, nearly
+Small groups that lie near each other are put together to tiles of BLOCK vectors, so a query is copied once a tile;
+larger ones are cut in blocks of BLOCK vectors, and what is sent to a tile in blocks of BLOCK queries.  Each pair of blocks
+is one product of matrices, exact in whole numbers.  How many groups a query is sent to is the data's doing: few if they form clusters, nearly
 all if they point in every direction of many dimensions, for then no bound by a group's summary is near its best score.
 """
 
@@ -115,6 +116,19 @@ def score_bounds(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, angle: n
     return down, np.nan_to_num(np.minimum(mid + slack, above), nan=np.inf, posinf=np.inf)
 
 
+def tiles_of(centers: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """The tile of each group, from 0: groups in the order of their pivots' main direction, as many as hold `most` vectors together, one at least."""
+    scale = np.abs(centers).max(initial=1.0)
+    middle = centers / scale - (centers / scale).mean(0)
+    along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]
+    tile, held, out = 0, 0, np.zeros(len(count), np.int64)
+    for i in np.argsort(along, kind="stable"):
+        if held and held + count[i] > most:
+            tile, held = tile + 1, 0
+        out[i], held = tile, held + count[i]
+    return out
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_column: str = "vec_id", vector_column: str = "embedding", scale: float = SCALE, pivots: int = PIVOTS, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query (id divisible by `every`) with all other rows.
 
@@ -144,11 +158,15 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_column: str = "
     placed = C.saved(data.mapInArrow(assign, "vec_id long, v array<double>, cell long, far double, wide double, norm double"), "placed")
     summary = placed.groupBy("cell").agg(F.count("*"), F.max("far"), F.max("wide"), F.min("norm"), F.max("norm")).collect()  # a row for each pivot at most
     cells, count, radius, angle, low, high = (np.array(c) for c in zip(*summary))
-    blocks = dict(zip(cells.tolist(), np.ceil(count / BLOCK).astype(int).tolist()))
-    queries = placed.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "cell")
+    tile = tiles_of(centers[cells], count, BLOCK)
+    blocks = np.ceil(np.bincount(tile, count) / BLOCK).astype(int).tolist()
+    home_of = dict(zip(cells.tolist(), tile.tolist()))
+    in_tile = F.element_at(F.lit([home_of.get(c, 0) for c in range(len(centers))]), (F.col("cell") + 1).cast("int")).cast("long")
+    tiled = placed.select("vec_id", "v", in_tile.alias("tile"))
+    queries = tiled.filter(F.col("vec_id") % every == 0)
 
-    def of_cell(numbers: dict):
-        return F.element_at(F.lit([numbers.get(c, 1) for c in range(len(centers))]), (F.col("cell") + 1).cast("int"))
+    def of_tile(numbers: list):
+        return F.element_at(F.lit(numbers), (F.col("tile") + 1).cast("int"))
 
     spot = lambda blocks: F.pmod(F.xxhash64("vec_id", F.lit(seed)), blocks).cast("int")
     upto = lambda blocks: F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
@@ -166,23 +184,27 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_column: str = "
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
     def solve(sent: DataFrame) -> DataFrame:
-        """sent, a work table: cell, vec_id, v, low; each block of a cell's queries with each block of its vectors."""
-        asked = {r["cell"]: math.ceil(r["count"] / BLOCK) for r in sent.groupBy("cell").count().collect()}  # a row for each pivot at most
-        left = sent.withColumn("part", spot(of_cell(asked))).withColumn("block", upto(of_cell(blocks)))
-        right = placed.select("cell", spot(of_cell(blocks)).alias("block"), F.col("vec_id").alias("id"), F.col("v").alias("x")).withColumn("part", upto(of_cell(asked)))
-        keys = ["cell", "block", "part"]
+        """sent, a work table: tile, vec_id, v, low; each block of a tile's queries with each block of its vectors."""
+        asked = {r["tile"]: math.ceil(r["count"] / BLOCK) for r in sent.groupBy("tile").count().collect()}  # a row for each pivot at most
+        parts = [asked.get(t, 0) for t in range(len(blocks))]
+        left = sent.withColumn("part", spot(of_tile(parts))).withColumn("block", upto(of_tile(blocks)))
+        right = tiled.filter(of_tile(parts) > 0).select("tile", spot(of_tile(blocks)).alias("block"), F.col("vec_id").alias("id"), F.col("v").alias("x")).withColumn("part", upto(of_tile(parts)))
+        keys = ["tile", "block", "part"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda key, q, x: local(key, q, x), "query_id long, vec_id long, score long")
 
     def first(found: DataFrame) -> DataFrame:
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
-    home = C.saved(first(solve(queries.select("cell", "vec_id", "v", F.lit(float("-inf")).alias("low")))), "home")
+    home = C.saved(first(solve(queries.select("tile", "vec_id", "v", F.lit(float("-inf")).alias("low")))), "home")
     real = home.filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
-    known = queries.join(real, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "cell", "kth")
+    known = queries.join(real, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "tile", "kth")
+
+    by_tile = np.argsort(tile, kind="stable")
+    begins = np.searchsorted(tile[by_tile], np.arange(len(blocks)))
 
     def send(parts):
-        schema = pa.schema([("cell", pa.int64()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("low", pa.float64())])
+        schema = pa.schema([("tile", pa.int64()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("low", pa.float64())])
         for part in parts:
             for lo in range(0, part.num_rows, 256):
                 some = part.slice(lo, 256)
@@ -195,9 +217,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_column: str = "
                 # the k-th score is a long, which a double holds within its rounding
                 kth = np.nan_to_num(some.column(3).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
                 reach = np.maximum(reach, kth - np.abs(kth) * 2.0**-50)
-                row, at = np.nonzero((up >= reach[:, None]) & (cells[None, :] != some.column(2).to_numpy()[:, None]))
-                yield pa.RecordBatch.from_arrays([pa.array(cells[at]), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row)), pa.array(reach[row])], schema=schema)
+                wanted = np.logical_or.reduceat((up >= reach[:, None])[:, by_tile], begins, axis=1)
+                wanted[np.arange(len(q)), some.column(2).to_numpy()] = False
+                row, at = np.nonzero(wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(at), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row)), pa.array(reach[row])], schema=schema)
 
-    sent = C.saved(known.mapInArrow(send, "cell long, vec_id long, v array<double>, low double"), "sent")
+    sent = C.saved(known.mapInArrow(send, "tile long, vec_id long, v array<double>, low double"), "sent")
     every_found = solve(sent).unionByName(home.select("query_id", "vec_id", "score"))
     return first(every_found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
