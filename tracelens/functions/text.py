@@ -237,3 +237,34 @@ def scrub(x) -> Column:
     for pattern, mark in SCRUBS:
         out = F.regexp_replace(out, pattern, mark)
     return out
+
+
+def form_action(x) -> Column:
+    """Where a page's first form is sent; null without one."""
+    return html_unescape(F.nullif(F.regexp_extract(col(x), r'(?is)<form\b[^>]*?\baction="([^"]*)"', 1), F.lit("")))
+
+
+def form_fields(x) -> Column:
+    """A map of the names and values of a page's input elements, the last of a name; without a value: empty."""
+    inputs = F.regexp_extract_all(col(x), F.lit(r"(?is)<input\b[^>]*>"), F.lit(0))
+    one = lambda i, name: F.regexp_extract(i, rf'(?is)\b{name}="([^"]*)"', 1)
+    named = F.filter(F.transform(inputs, lambda i: F.struct(one(i, "name").alias("key"), html_unescape(one(i, "value")).alias("value"))), lambda f: f["key"] != "")
+    last = F.filter(named, lambda f, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda g: g["key"] == f["key"]))
+    return F.map_from_entries(last)
+
+
+def resolved_url(base, ref) -> Column:
+    """A reference seen from a base: whole URLs as they are, others by scheme, root or folder; dot segments are not looked at."""
+    b, r = col(base), col(ref)
+    origin = F.regexp_extract(b, r"^(https?://[^/?#]*)", 1)
+    path = F.regexp_extract(b, r"^https?://[^/?#]*([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"^(.*/)", 1), F.lit("")), F.lit("/"))
+    return (
+        F.when(r.rlike("^https?://"), r).when(F.startswith(r, F.lit("//")), F.concat(F.regexp_extract(b, "^(https?:)", 1), r))
+        .when(F.startswith(r, F.lit("/")), F.concat(origin, r)).when(r.rlike("^[?]"), F.concat(origin, path, r)).when(r == "", F.regexp_replace(b, "#.*$", "")).otherwise(F.concat(origin, folder, r))
+    )
+
+
+def short_url(x) -> Column:
+    """At most 80 bytes, and three dots if it was longer."""
+    return byte_cut(x, 80)

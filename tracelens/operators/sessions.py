@@ -59,9 +59,25 @@ def storage_key(source, conversation) -> Column:
 
 
 def parsed_key(key) -> Column:
-    """source and conversation_id of a storage key; ids may hold slashes."""
+    """source and conversation_id of a storage key; ids may hold slashes.  Null for keys without both, and for ids that begin with a dot."""
     parts = F.split(F.regexp_replace(col(key), r"^conversations/", ""), "/", 2)
-    return F.struct(F.get(parts, F.lit(0)).alias("source"), F.regexp_replace(F.get(parts, F.lit(1)), r"\.json$", "").alias("conversation_id"))
+    source, conversation = F.get(parts, F.lit(0)), F.regexp_replace(F.get(parts, F.lit(1)), r"\.json$", "")
+    good = (F.size(parts) == 2) & (source != "") & (conversation != "") & ~F.startswith(conversation, F.lit("."))
+    return F.when(good, F.struct(source.alias("source"), conversation.alias("conversation_id")))
+
+
+def artifact_key(kind, source, conversation) -> Column:
+    """Where an artifact of a conversation is kept: observations by themselves, those of a method under its name."""
+    folder = F.when(col(kind) == "observations", F.lit("observations/")).otherwise(F.concat(F.lit("compose/"), col(kind), F.lit("/")))
+    return F.concat(folder, col(source), F.lit("/"), col(conversation), F.lit(".json"))
+
+
+def version_key(ts, part: str = "document") -> Column:
+    return F.concat(F.lit("versions/"), col(ts), F.lit(f"/{part}.md"))
+
+
+def thread_key(owner, repo, is_pull, number) -> Column:
+    return F.concat_ws("/", F.lit("threads"), col(owner), col(repo), F.when(col(is_pull), "pull").otherwise("issues"), F.concat(col(number).cast("string"), F.lit(".json")))
 
 
 def cache_key(url, accept) -> Column:
@@ -69,6 +85,29 @@ def cache_key(url, accept) -> Column:
     return F.left(F.sha2(F.concat_ws("\0", col(url), F.coalesce(col(accept), F.lit(""))), 256), F.lit(32))
 
 
+#: Headers of a response that are kept with it.
+KEPT_HEADERS = ["Link", "Content-Type"]
+
+
+def revalidated(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """Adds `if_none_match` to requests(key): the cached tag, or null."""
+    return requests.join(cache.select(F.col("key").alias("__k"), F.col("etag").alias("if_none_match")), F.col("key") == F.col("__k"), "left").drop("__k")
+
+
+def answered(responses: DataFrame, cache: DataFrame) -> DataFrame:
+    """responses(key, etag, status, headers, body) as they are used: one that says nothing has changed (304) is the cached one, where there is one."""
+    old = cache.select(F.col("key").alias("__k"), F.struct("etag", "status", "headers", "body").alias("__old"))
+    joined = responses.join(old, F.col("key") == F.col("__k"), "left")
+    kept = (F.col("status") == 304) & F.col("__old").isNotNull()
+    return joined.select("key", *[F.when(kept, F.col("__old")[c]).otherwise(F.col(c)).alias(c) for c in ("etag", "status", "headers", "body")])
+
+
+def cacheable(responses: DataFrame) -> DataFrame:
+    """The responses to keep: those of status 200 with a tag, with KEPT_HEADERS."""
+    kept = responses.filter((F.col("status") == 200) & (F.coalesce("etag", F.lit("")) != ""))
+    return kept.withColumn("headers", F.map_filter("headers", lambda k, v: k.isin(KEPT_HEADERS) & (F.coalesce(v, F.lit("")) != "")))
+
+
 def newest_kept(cache: DataFrame, most: int, modified: str = "modified", key: str = "key") -> DataFrame:
     """The cache without its oldest entries above `most`."""
     return cache.orderBy(F.desc(modified), key).limit(most)
