@@ -47,8 +47,8 @@ def stop_depth(threshold: float, trees: int, longest: int, recall: float) -> int
 def signatures(texts: list[str | None], width: int, functions: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text: its word sequence's digest (two halves), the count of its words, and MinHash values (uint32)."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 2**64, functions, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**64, functions, dtype=np.uint64)
+    a = rng.integers(0, 2**32, functions, dtype=np.uint32) | np.uint32(1)
+    b = rng.integers(0, 2**32, functions, dtype=np.uint32)
     digests, counts, mins = [], [], []
     for lo, hi in words.slices(texts):
         part = texts[lo:hi]
@@ -61,13 +61,16 @@ def signatures(texts: list[str | None], width: int, functions: int, seed: int) -
         np.cumsum(each, out=first[1:])
         doc = np.repeat(np.arange(len(n)), each)
         start = bounds[:-1][doc] + np.arange(len(doc)) - first[doc]
-        value = words.span_hashes(h, start, start + np.minimum(width, n)[doc])
+        value = (words.span_hashes(h, start, start + np.minimum(width, n)[doc]) >> np.uint64(32)).astype(np.uint32)
+        turned = np.empty_like(value)
         out = np.zeros((hi - lo, functions), np.uint32)
         full = np.flatnonzero(each)
         if len(full):
             at = first[:-1][full]
             for k in range(functions):
-                out[full, k] = np.minimum.reduceat((value * a[k] + b[k]) >> np.uint64(32), at)
+                np.multiply(value, a[k], out=turned)
+                np.add(turned, b[k], out=turned)
+                out[full, k] = np.minimum.reduceat(turned, at)
         mins.append(out)
     if not counts:
         return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros((0, functions), np.uint32)
@@ -82,7 +85,7 @@ def sequence_digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _signed(width: int, trees: int, longest: int, seed: int):
-    """doc_id, digest, count of words and label: the MinHash values of all tries, the high bytes of each, in the tries' order."""
+    """doc_id, digest, count of words and label: the MinHash values of all tries, the low bytes of each (the high ones of a long text's are zeros), in the tries' order."""
     schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_words", pa.int64()), ("label", pa.binary())])
 
     def run(parts):
@@ -92,7 +95,7 @@ def _signed(width: int, trees: int, longest: int, seed: int):
             for i in np.flatnonzero(n == 0):  # no words: by the string itself, or alone
                 t = (texts[i] or "").strip().encode("utf-8", "replace")
                 digest[i] = words.span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0] if t else 0
-            raw = (mins >> np.uint32(32 - 8 * VALUE)).astype(">u2").tobytes()
+            raw = (mins & np.uint32((1 << 8 * VALUE) - 1)).astype(">u2").tobytes()
             size = trees * longest * VALUE
             d = digest.view(np.int64).reshape(-1, 2)
             labels = pa.array([raw[i * size : (i + 1) * size] for i in range(len(texts))], pa.binary())
