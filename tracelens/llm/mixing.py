@@ -146,7 +146,8 @@ SELECT doc_id, size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it.  Rows are told apart by a written number; those without an id have draws of their own."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = C.saved(docs.select(row.alias("row"), "doc_id", "text", "source", F.monotonically_increasing_id().alias("at")), "rows")
+    rows = C.saved(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
+    own = rows.select("row.doc_id", "row.text", "row.source", "at")
     drawn = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("at").cast("string")))
-    chosen = _mix(rows, ["at"], drawn, **parameters).filter("copies > 0").select(F.col("at").alias("taken_at"), F.col("copies").alias("times"))
+    chosen = _mix(own, ["at"], drawn, **parameters).filter("copies > 0").select(F.col("at").alias("taken_at"), F.col("copies").alias("times"))
     return rows.join(chosen, F.col("at") == F.col("taken_at")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")

@@ -316,8 +316,8 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     Every row is a document of its own, those without an id and those that share one too.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = C.saved(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("at")), "rows")
-    found = classes_of(rows.select(F.col("at").alias("doc_id"), "text"), **parameters).select(F.col("doc_id").alias("member"), "class_id")
+    rows = C.saved(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("at")), "rows")
+    found = classes_of(rows.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")), **parameters).select(F.col("doc_id").alias("member"), "class_id")
     named = found.join(rows.select("at", "id"), F.col("member") == F.col("at"))
     kept = named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")).alias("first")).select(F.col("first.at").alias("kept"))
     return rows.join(kept, F.col("at") == F.col("kept"), "left_semi").select("row.*")
