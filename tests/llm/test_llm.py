@@ -339,6 +339,22 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd).count() == 8 and licenses.scan(empty).count() == 0
 
 
+def test_licenses_inside_longer_texts(spark):
+    mit, bsd = (next(t for i, t in licenses.KNOWN if i == name) for name in ("MIT", "BSD-3-Clause"))
+    gpl = (licenses.TEXTS / "GPL-2.0.txt").read_text()
+    broken = lambda t, mark: "\n".join(f"{mark} {' '.join(t.split()[i : i + 9])}" for i in range(0, len(t.split()), 9))
+    opening = " ".join(mit.split()[:9])
+    rows = [
+        f"/*\n{broken(mit, ' *')}\n */\nint main() {{}}", f"import os\n\n{broken(bsd, '#')}\n\nx = 1\n{broken(mit, '#')}", f"A book.\n\n{gpl}\n\nThe end.",
+        broken(mit, "#")[:-40] + " and more", f"{opening} {opening} {broken(mit, '//')} tail", broken(mit, "").rstrip(".") + "s", f"{opening}\n" * 20_000, "",
+    ]
+    want = ["MIT", "BSD-3-Clause,MIT", "GPL-2.0", "", "MIT", "", "", ""]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)) + [(99, None)], "doc_id long, text string")).collect()}
+    assert [got[i].notices for i in range(len(want))] == want and got[99].notices == "" and not any(r.license_id for r in got.values())
+    spots = licenses.known_spots(spark)
+    assert spots and not any(f" {o}" in p for o, _ in spots for p, _ in spots)
+
+
 def test_licenses_of_whole_texts(spark):
     text = lambda name: (licenses.TEXTS / f"{name}.txt").read_text()
     known = {i: t for i, t in licenses.KNOWN if len(t) > 200}

@@ -1,8 +1,9 @@
 """License scans by canonical digests: a text is a licence if its canonical form is that of a known one.
 
 The canonical form is lower case, without copyright statements, with equivalent spellings made one and
-anything but letters and digits as one space.  Whole texts, and each line of them as a text of its own (a
-notice), are hashed and joined to the digests of the known licences.  Everything is a DataFrame expression.
+anything but letters and digits as one space.  Whole texts, each line of them as a text of its own (a
+notice), and the passages that begin as a known licence does and have its length are hashed and joined to the
+digests of the known licences.  Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -115,20 +116,55 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+#: Characters of a form from which on a licence is looked for inside texts too, and of its opening.
+LONG, OPENING = 200, 40
+
+
+def known_spots(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> list[tuple[str, int]]:
+    """(opening, length) of the long canonical forms of known, or of the catalogue (a fixed table of some hundred rows).
+
+    A form that ends in another one (it has a title in front) is left out: whoever holds it holds the other.
+    An opening is as long as it must be to occur in the forms at their beginnings only.
+    """
+    known = catalogue() if known is None else known
+    rows = spark.createDataFrame([(t,) for _, t in known], "text string").select(canonical(F.col("text")).alias("form")).distinct()
+    forms = sorted(r.form for r in rows.filter(F.length("form") >= LONG).collect())
+    forms = [f for f in forms if not any(f != g and f.endswith(" " + g) for g in forms)]
+    spots = set()
+    for f in forms:
+        size = next((n for n in range(OPENING, len(f)) if not any(" " + f[:n] in g for g in forms)), len(f))
+        spots.add((f[:size], len(f)))
+    return sorted(spots)
+
+
+def _passages(form: Column, spots: list[tuple[str, int]]) -> Column:
+    """Digests of the passages of a form that begin as a known one and have its length; the form is cut at each opening, so its work is linear."""
+    if not spots:
+        return F.array().cast("array<string>")
+    parts = F.split(form, "(?<![^ ])(?=(?:" + "|".join(sorted({o for o, _ in spots})) + "))")
+    at = F.array(*[F.struct(F.lit(o).alias("opening"), F.lit(n).alias("n")) for o, n in spots])
+    fits = lambda p, s: F.startswith(p, s["opening"]) & F.substring(F.concat(p, F.lit(" ")), s["n"] + 1, F.lit(1)).eqNullSafe(" ")
+    each = F.transform(F.filter(parts, lambda p: F.length(p) >= LONG), lambda p: F.transform(F.filter(at, lambda s: fits(p, s)), lambda s: F.sha2(F.substring(p, F.lit(1), s["n"]), 256)))
+    return F.array_distinct(F.flatten(each))
+
+
+def scan(docs: DataFrame, known: DataFrame | None = None, spots: list[tuple[str, int]] | None = None) -> DataFrame:
     """doc_id, digest, license_id, notices for each row of docs(doc_id, text).
 
     digest: of the whole canonical text (null if the text is null or its form is empty); license_id: the
-    known licence with that digest, or null; notices: ids of the licences that single lines are, in order,
-    with commas, or empty.  Rows with equal ids are documents each.  A text is brought to its form once; Spark
+    known licence with that digest, or null; notices: ids of the licences that single lines are and that the
+    text holds whole (spots says where such may begin and end; by default those of the catalogue), in order, with
+    commas, or empty.  Rows with equal ids are documents each.  A text is brought to its form once; Spark
     joins by hash and broadcasts the known digests only while they are small.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
+    spots = spots if spots is not None else known_spots(docs.sparkSession)
     plain = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _plain(F.col("text").cast("string")).alias("plain"))
     forms = plain.select("doc_id", "row", _joined(F.col("plain")).alias("form"), F.transform(F.split(_spelled(F.col("plain")), "\n"), lambda x: F.trim(x)).alias("lines"))
     lines = F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.sha2(x, 256)))
     whole = F.struct(F.when(F.col("form") != "", F.sha2("form", 256)).alias("d"), F.lit(True).alias("whole"))
-    each = F.concat(F.array(whole), F.coalesce(F.transform(lines, lambda d: F.struct(d.alias("d"), F.lit(False).alias("whole"))), F.array().cast("array<struct<d: string, whole: boolean>>")))
+    parts = F.array_union(F.coalesce(lines, F.array().cast("array<string>")), F.coalesce(_passages(F.col("form"), spots), F.array().cast("array<string>")))
+    each = F.concat(F.array(whole), F.coalesce(F.transform(parts, lambda d: F.struct(d.alias("d"), F.lit(False).alias("whole"))), F.array().cast("array<struct<d: string, whole: boolean>>")))
     found = forms.select("doc_id", "row", F.explode(each).alias("e")).select("doc_id", "row", "e.*").join(known, F.col("d") == F.col("digest"), "left")
     found = found.filter(F.col("whole") | F.col("license_id").isNotNull()).groupBy("row", "doc_id")
     return found.agg(
@@ -148,12 +184,16 @@ def oracle() -> str:
 
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN)
+    held = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN if len(t) > LONG)
     return f"""
 WITH known AS (SELECT sha256({form('text')}) AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS v(license_id, text) GROUP BY 1),
 whole AS (SELECT doc_id, CASE WHEN {form('text')} <> '' THEN sha256({form('text')}) END AS digest FROM documents),
 lines AS (SELECT doc_id, {form('line')} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
-notices AS (SELECT doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notices
-            FROM lines JOIN known k ON sha256(form) = k.digest WHERE form <> '' GROUP BY doc_id)
+held AS (SELECT license_id, ' ' || {form('text')} || ' ' AS form FROM (VALUES {held}) AS v(license_id, text)),
+texts AS (SELECT doc_id, ' ' || {form('text')} || ' ' AS form FROM documents),
+hits AS (SELECT doc_id, k.license_id FROM lines JOIN known k ON sha256(form) = k.digest WHERE form <> ''
+         UNION SELECT doc_id, h.license_id FROM texts t JOIN held h ON contains(t.form, h.form)),
+notices AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM hits GROUP BY doc_id)
 SELECT w.doc_id, w.digest, k.license_id, coalesce(n.notices, '') AS notices
 FROM whole w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN notices n ON w.doc_id = n.doc_id
 """
