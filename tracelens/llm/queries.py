@@ -96,9 +96,21 @@ def op8_sql() -> str:
     return oracle()
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(C.documents(spark, sf_dir))
+
+
+def op11_sql() -> str:
+    from .quality import sql
+
+    return sql()
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op6_top_k, op7_token_store, op8_licenses, op9_main_text, op10_secrets, pipeline)
+    for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op6_top_k, op7_token_store, op8_licenses, op9_main_text, op10_secrets, op11_quality_rules, pipeline)
 }
 def op2_sql() -> str:
     from .mixing import SQL as sql
@@ -106,4 +118,4 @@ def op2_sql() -> str:
     return sql
 
 
-SQL: dict[str, str] = {"op2_mix_sources": op2_sql(), "op6_top_k": OP6_SQL, "op8_licenses": op8_sql()}
+SQL: dict[str, str] = {"op2_mix_sources": op2_sql(), "op6_top_k": OP6_SQL, "op8_licenses": op8_sql(), "op11_quality_rules": op11_sql()}
