@@ -108,9 +108,36 @@ def op11_sql() -> str:
     return sql()
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=moved)
+
+
+def op12_sql() -> str:
+    from .negatives import SQL as sql
+
+    return sql
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(C.documents(spark, sf_dir))
+
+
+def op13_sql() -> str:
+    from .divergence import SQL as sql
+
+    return sql
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op6_top_k, op7_token_store, op8_licenses, op9_main_text, op10_secrets, op11_quality_rules, pipeline)
+    for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprints, op4_languages, op5_pack, op6_top_k, op7_token_store, op8_licenses, op9_main_text, op10_secrets, op11_quality_rules, op12_hard_negatives, op13_source_divergence, pipeline)
 }
 def op2_sql() -> str:
     from .mixing import SQL as sql
@@ -118,4 +145,4 @@ def op2_sql() -> str:
     return sql
 
 
-SQL: dict[str, str] = {"op2_mix_sources": op2_sql(), "op6_top_k": OP6_SQL, "op8_licenses": op8_sql(), "op11_quality_rules": op11_sql()}
+SQL: dict[str, str] = {"op2_mix_sources": op2_sql(), "op6_top_k": OP6_SQL, "op8_licenses": op8_sql(), "op11_quality_rules": op11_sql(), "op12_hard_negatives": op12_sql(), "op13_source_divergence": op13_sql()}
