@@ -1,9 +1,10 @@
 """Secret scans: candidates by one pattern, false positives removed by a random forest, all as SQL expressions.
 
-A candidate is what follows an assignment to a secret-sounding name, or a run of 16 and more token
-characters with a digit.  The forest looks at its length, character transitions, dictionary coverage,
-the path and the neighbouring words.  It is grown on labelled findings (FINDINGS of them from
-labelled_findings(), or the caller's own) on the driver and becomes one CASE expression a tree; scanning runs no Python.
+A candidate is the value of an assignment to a secret-sounding name, a password in a URL, what follows Bearer or Basic, a block of
+a private key, or a run of 16 and more token characters with a digit; names, keywords and quotes before the value are its lead and
+are not scored.  The forest looks at length, character transitions, dictionary coverage, the path and the neighbouring words.  It is
+grown on labelled findings (FINDINGS of them from labelled_findings(), which scans labelled texts as a scan does, or the caller's own) on the
+driver and becomes one CASE expression a tree; scanning runs no Python.
 """
 
 from __future__ import annotations
@@ -19,15 +20,23 @@ from pyspark.sql import functions as F
 
 TREES, DEPTH, FINDINGS, SEED, CUTOFF = 15, 6, 6000, 5, 0.5
 BEFORE, AFTER, MASK = 48, 24, "[SECRET]"
-NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
-ASSIGNED = NAMES + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
-CANDIDATE = ASSIGNED + r"[^\s\"'<>]{6,}|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}"
+NAMES = r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+NAMED = NAMES + r"[A-Za-z0-9_-]{0,24}[\"']?\s{0,3}(?::=|=>|[:=])"
+ASSIGNED = NAMED + r"\s{0,3}[\"']?(?:(?i:bearer|basic|token)\s{1,3})?"
+IN_URL, BEARER = r"://[^\s:/@\"'<>]{0,64}:", r"(?<![A-Za-z])(?i:bearer|basic)\s{1,3}"
+#: What stands before the value in a candidate.
+LEAD = rf"^(?:{ASSIGNED}|{IN_URL}|{BEARER})(?=\S{{3}})"
+CANDIDATE = "|".join([
+    ASSIGNED + r"[^\s\"'<>&]{5,}[^\s\"'<>&;,.)\]}]", IN_URL + r"[^\s/@\"'<>]{3,128}(?=@)", BEARER + r"[A-Za-z0-9_.~+/-]{12,}={0,2}",
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]{20,}+-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{16})(?=[A-Za-z_+/-]*+[0-9])(?![A-Za-z0-9_-]{0,40}?" + NAMED + r")[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?",
+])
 #: Common words whose letters count as covered by a dictionary.
 DICTIONARY = "the and for with that this from have not are was you your key token secret password example test data value name user file path config default sample server client version build linux release module class function string number index table column image http https www html json yaml node main master branch feature update service account project public private local remote time date".split()
 NEAR = r"(?i)(secret|token|passw|pwd|api[_-]?key|auth|bearer|credential|private|access)"
-HARMLESS = r"(?i)(sha|md5|commit|checksum|digest|hash|uuid|guid|etag|integrity|revision|build|card|order|phone)"
-PLACEHOLDER = r"(?i)(example|xxxx|changeme|your|dummy|sample|placeholder|redacted|123456|abcdef|\$\{|\{\{|environ|getenv|\*\*\*)"
-PREFIX = r"^(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|sk-|AIza|eyJ|glpat-|npm_)"
+HARMLESS = r"(?i)(sha|md5|commit|checksum|digest|hash|uuid|guid|etag|integrity|revision|build|card|order|phone|tree|parent|index)"
+PLACEHOLDER = r"(?i)(example|xxxx|changeme|your|dummy|sample|placeholder|redacted|123456|abcdef|\$\{|\{\{|environ|getenv|\*\*\*|\.\.\.|^pass(word|wd)?$|^secret$)"
+PREFIX = r"^(AKIA|ASIA|gh[opsu]_|github_pat_|xox[abprs]-|[sr]k_live_|sk-|AIza|eyJ|glpat-|npm_|hf_|SG\.|ya29\.|-----BEGIN)"
 TEST_PATH = r"(?i)(test|example|sample|doc|fixture|mock|spec)"
 
 #: name: (pattern, of which text, how): n counts matches, r counts them for each character, b says whether there is one.
@@ -37,7 +46,10 @@ PATTERNS = {
     "vowel_consonant": ("(?i)[aeiou](?=[bcdfghjklmnpqrstvwxz])", "value", "r"), "separators": ("[-_/+=.:]", "value", "n"),
     "dictionary": ("(?i)(?:" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", "value", "n"),
     "hex": ("^[0-9A-Fa-f]+$", "value", "b"), "only_digits": ("^[0-9]+$", "value", "b"), "prefix": (PREFIX, "value", "b"),
+    "digest": (r"^(?i:sha|md5)", "value", "b"),
     "placeholder": (PLACEHOLDER, "value", "b"), "near": (NEAR, "before", "b"), "harmless": (HARMLESS, "before", "b"),
+    "wordy": ("[A-Za-z][a-z]{3,}", "value", "r"), "code": (r"[(\[{$%]|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$", "value", "b"), "path_like": (r"^[~.]{0,2}/|://", "value", "b"),
+    "named": (NAMES + r"[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?$", "before", "b"), "in_url": (r"://[^\s/@:]{0,64}:$", "before", "b"), "bearer": (r"(?i:bearer|basic)\s{1,3}$", "before", "b"),
     "assigned": (r"[:=]\s{0,3}[\"']?$", "before", "b"), "quoted": (r"^[\"']", "after", "b"), "test_path": (TEST_PATH, "path", "b"),
 }
 FEATURES = ["length", *PATTERNS]
@@ -67,48 +79,113 @@ def feature_columns(value: Column, before: Column, after: Column, path: Column)
     return F.struct(*columns)
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
-    """n findings (value, before, after, path, label) made by rule, about half of them secrets."""
-    rng = random.Random(seed)
+def cuts(text: str) -> list[tuple[str, str, str]]:
+    """(value, before, after) of each candidate of a text, as findings() has them."""
+    out, last, found = [], 0, list(re.finditer(CANDIDATE, text))
+    for m, following in zip(found, [*found[1:], None]):
+        value = re.sub(LEAD, "", m[0])
+        lead = m[0][: len(m[0]) - len(value)]
+        out.append((value, (text[last : m.start()][-BEFORE:] + lead)[-BEFORE:], text[m.end() : following.start() if following else len(text)][:AFTER]))
+        last = m.end()
+    return out
+
+
+def labelled_text(rng: random.Random) -> tuple[str, str, str | None]:
+    """A text made by rule, its path, and the secret that it holds, if any."""
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    hexes, base64, alnum = "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits
-    word = lambda: rng.choice([pick(string.ascii_lowercase, rng.randint(2, 9)), rng.choice(DICTIONARY), pick("éèàüößñ" + string.ascii_lowercase, 6)])
+    hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
+    own = lambda: pick(string.ascii_lowercase, rng.randint(2, 9))
+    known = lambda: rng.choice(DICTIONARY)
+    word = lambda: rng.choice([own, known, lambda: pick("éèàüößñ" + string.ascii_lowercase, 6)])()
     words = lambda: " ".join(word() for _ in range(rng.randint(0, 6)))
-    quote = lambda: rng.choice(['"', "'", "", '"'])
-    out = []
-    for _ in range(n):
-        path = rng.choice(["src0", "src7", "app/main.py", "config/prod.env", "deploy.yaml", "notes.txt", "tests/test_auth.py", "docs/example.md"])
-        q = quote()
-        secret = rng.random() < 0.5
-        if secret:
-            value = rng.choice([
-                lambda: pick(hexes, rng.choice([32, 40, 40, 64])), lambda: pick(base64, rng.choice([40, 44, 64])), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
-                lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: pick(alnum, rng.randint(20, 40)), lambda: pick(alnum + "!#%^*", rng.randint(9, 18)),
-                lambda: "eyJ" + pick(alnum, 30) + "." + pick(alnum, 40), lambda: pick(hexes, 40),
-            ])()
-            name = rng.choice(["token", "secret", "api_key", "password", "auth", "access_key", "client_secret", "db_password", "API_KEY", "apikey", "TOKEN"])
-            value = value.upper() if name.isupper() and rng.random() < 0.5 else value
-            before = f"{words()} {name}{rng.choice([' = ', '=', ': ', '\": '])}{q}"
-            if value[:4] in ("AKIA", "ghp_", "sk_l") and rng.random() < 0.3:
-                before = f"{words()} "
-            path = rng.choice(["src0", "src7", "app/main.py", "config/prod.env", "deploy.yaml", "notes.txt", path])
+
+    def name() -> str:
+        base = rng.choice(["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "auth_token", "secret_key", "client_secret", "secret_access_key", "private_key", "auth"])
+        parts = rng.choice([[], [], [own()], [known()], [own(), known()]]) + [base]
+        return rng.choice(["_".join(parts), "_".join(parts).upper(), "-".join(parts), "".join(p.title() for p in "_".join(parts).split("_"))])
+
+    def password() -> str:
+        made = [known(), own(), pick(string.digits, rng.randint(1, 4)), pick("!#%^*-_@"[:7], rng.randint(0, 2))]
+        rng.shuffle(made)
+        text = "".join(m.title() if rng.random() < 0.4 else m for m in made)
+        return text.replace("e", "3").replace("o", "0") if rng.random() < 0.5 else text
+
+    def secret() -> str:
+        return rng.choice([
+            lambda: pick(hexes, rng.choice([32, 40, 40, 64])), lambda: pick(alnum + "+/", rng.choice([40, 43, 64])), lambda: pick(alnum + "+/", 43) + "=", lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
+            lambda: rng.choice(["ghp_", "gho_", "npm_", "hf_"]) + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "_-", 35),
+            lambda: "glpat-" + pick(alnum, 20), lambda: pick(alnum, rng.randint(16, 40)), lambda: pick(alnum + "!#%^*", rng.randint(9, 18)), lambda: "eyJ" + pick(alnum, 30) + ".eyJ" + pick(alnum, 40) + "." + pick(alnum + "_-", 43), password, password,
+        ])()
+
+    def harmless() -> str:
+        """A value that is not a secret, whatever it is assigned to."""
+        return rng.choice([
+            lambda: rng.choice(["your_token_here_1", "changeme123", "xxxxxxxxxxxxxxxx1", "example-secret-1", "dummy_password1", "test1234567890", "<redacted>12", "********", "placeholder", "password", "secret-sample", "YOUR_API_KEY", "replace-me-please"]),
+            lambda: "${" + name().upper() + "}", lambda: "$" + name().upper(), lambda: "{{ " + name() + " }}", lambda: f'os.environ["{name().upper()}"]', lambda: f"getenv('{name().upper()}')", lambda: "process.env." + name().upper(),
+            lambda: rng.choice(["self", "request", "config", "settings", "args"]) + "." + name().lower(), lambda: rng.choice(["get", "read", "load", "make"]) + "_" + name().lower() + rng.choice(["()", "(x)", "(path);"]),
+            lambda: rng.choice(["get", "read", "load", "fetch"]) + name().replace("_", " ").title().replace(" ", "") + rng.choice(["()", "('db')", "(x);"]),
+            lambda: rng.choice(["None", "required", "string", "undefined", "optional", "deprecated", "boolean", "function", "bearer", "default"]) + rng.choice(["", ";", ","]), lambda: f"{known()} {known()} {own()}", lambda: rng.choice(["", "/", "./", "~/"]) + "/".join(rng.choice([known(), own()]) for _ in range(rng.randint(2, 5))) + rng.choice(["", ".txt", ".pem", ".json"]),
+            lambda: "-".join(rng.choice([known(), own()]) for _ in range(rng.randint(2, 4))), lambda: "https://" + own() + ".example.com/" + known(), lambda: pick(string.digits, rng.randint(2, 10)), lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 30)}.{rng.randint(0, 99)}", lambda: own() * 2, lambda: known() + known(),
+        ])()
+
+    def neutral() -> str:
+        """A run of token characters that is not a secret, with the words that tell so."""
+        return rng.choice([
+            lambda: rng.choice(["commit ", "sha1: ", "checksum=", "md5 = ", "digest: ", "sha256-", "revision ", "etag: ", "index ", "tree ", "parent ", "hash=", "build "]) + pick(hexes, rng.choice([32, 40, 64])),
+            lambda: rng.choice(["uuid ", "id=", "guid: ", "request_id=", "trace "]) + "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), lambda: pick(string.digits, rng.choice([16, 16, 18, 20])), lambda: "-".join(pick(string.digits, 4) for _ in range(4)),
+            lambda: "_".join(rng.choice([known(), own()]) for _ in range(rng.randint(3, 5))) + str(rng.randint(0, 99)), lambda: "/".join(rng.choice([known(), own()]) for _ in range(rng.randint(3, 5))) + "/v" + str(rng.randint(1, 9)),
+            lambda: known().title() + known().title() + own().title() + known().title() + str(rng.randint(1, 999)), lambda: "_" * rng.randint(8, 20) + str(rng.randint(1, 9)) + "=" * rng.randint(4, 20), lambda: f"20{rng.randint(10, 30)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}_{rng.randint(10, 59)}_{rng.randint(10, 59)}",
+            lambda: "sha512-" + pick(alnum + "+/", 86) + "==", lambda: own() + "://" + own() + ".example.com:" + pick(string.digits, 4) + "/" + known() + "@" + pick(string.digits, 3),
+        ])()
+
+    def assigned(value: str) -> str:
+        q = rng.choice(['"', "'", '"'])
+        return rng.choice([
+            lambda: f"{name()} = {q}{value}{q}", lambda: f"{name()}={q}{value}{q}", lambda: f"{name().upper()}={value}", lambda: f"export {name().upper()}={value}", lambda: f"{name()}: {value}", lambda: f'"{name()}": "{value}"',
+            lambda: f"--{name().lower()}={value}", lambda: f"{name()} => {q}{value}{q},", lambda: f"{name()} := {q}{value}{q}", lambda: f"?{known()}={own()}&{name()}={value}&{own()}={rng.randint(1, 99)}", lambda: f"{name().upper()}={value}",
+        ])()
+
+    def bearer(value: str) -> str:
+        return rng.choice(["Authorization: Bearer ", "authorization: bearer ", "Bearer ", '-H "Authorization: Bearer ', "Authorization: token ", "Basic "]) + value
+
+    def in_url(value: str) -> str:
+        return f"{rng.choice(['postgres', 'mysql', 'https', 'amqp', 'redis', 'mongodb+srv'])}://{rng.choice([own(), known(), ''])}:{value.replace('/', '_').replace('@', '_')}@{own()}.{rng.choice(['example.com', 'internal', 'local'])}:{rng.randint(80, 9999)}/{own()}"
+
+    path = rng.choice(["src0", "src7", "app/main.py", "config/prod.env", "deploy.yaml", "notes.txt", "tests/test_auth.py", "docs/example.md"])
+    kept = None
+    if rng.random() < 0.5:
+        kept = secret()
+        how = rng.random()
+        if how < 0.65:
+            middle = assigned(kept)
+        elif how < 0.78:
+            middle = bearer(kept)
+        elif how < 0.9:
+            kept = kept.replace("/", "_").replace("@", "_")
+            middle = in_url(kept)
+        elif how < 0.93:
+            kept = "-----BEGIN " + rng.choice(["RSA ", "EC ", "OPENSSH ", ""]) + "PRIVATE KEY-----\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(rng.randint(2, 6))) + "\n-----END PRIVATE KEY-----"
+            middle = kept
         else:
-            kind = rng.randint(0, 9)
-            value, before = {
-                0: lambda: (pick(hexes, rng.choice([32, 40, 64])), f"{words()} {rng.choice(['commit', 'sha1:', 'checksum', 'md5 =', 'digest:', 'sha256-', 'revision', 'etag: '])} "),
-                1: lambda: ("-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), f"{words()} {rng.choice(['uuid', 'id', 'guid:', 'request'])} "),
-                2: lambda: (pick(string.digits, rng.choice([16, 16, 18, 20])), f"{words()} "),
-                3: lambda: (rng.choice(["your_token_here_1", "changeme123", "xxxxxxxxxxxxxxxx1", "example-secret-1", "${API_KEY_1}", "<redacted>12", "os.environ[1]", "dummy_password1", "test1234567890"]), f"{words()} {rng.choice(['token', 'password', 'secret', 'api_key'])} = {q}"),
-                4: lambda: ("_".join(rng.choice(DICTIONARY) for _ in range(rng.randint(3, 5))) + str(rng.randint(0, 99)), f"{words()} "),
-                5: lambda: ("/".join(rng.choice(DICTIONARY) for _ in range(rng.randint(3, 5))) + "/v" + str(rng.randint(1, 9)), f"{words()} "),
-                6: lambda: (rng.choice(DICTIONARY).title() + rng.choice(DICTIONARY).title() + rng.choice(DICTIONARY).title() + str(rng.randint(1, 999)), f"{words()} "),
-                7: lambda: ("_" * rng.randint(8, 20) + str(rng.randint(1, 9)) + "=" * rng.randint(4, 20), f"{words()} "),
-                8: lambda: (rng.choice(["get_token()", "request.token", "self.secret", "None", "required", "string", "undefined"]) + rng.choice(["", ";", ",", ")"]), f"{words()} {rng.choice(['token', 'password', 'secret', 'auth'])}{rng.choice([' = ', ': '])}"),
-                9: lambda: (pick(hexes, 40), f"{words()} {rng.choice(['index', 'tree', 'parent', 'blob', 'object', 'from'])} "),
-            }[kind]()
-            q = q if before.endswith(q) and q else ""
-        out.append((value, before[-BEFORE:], (q + rng.choice(["", " ", "!!", ",", "\n", ";"]) + words())[:AFTER], path, int(secret)))
-    return out
+            kept = rng.choice(["AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(alnum, 36), "sk_live_" + pick(alnum, 24), "glpat-" + pick(alnum, 20)])
+            middle = kept
+    else:
+        middle = rng.choice([
+            lambda: assigned(harmless()), lambda: assigned(harmless()), neutral, neutral, lambda: bearer(rng.choice(["authentication", "authorization-code", "credentials", "token_required"])), lambda: in_url(rng.choice(["password", "pass", "secret", "changeme", "${DB_PASSWORD}", "example", "****", "PASSWORD"])),
+            lambda: f"{name()}_{rng.choice(['limit', 'count', 'length', 'ttl', 'timeout', 'min_size'])}{rng.choice(['=', ': ', ' = '])}{pick(string.digits, rng.randint(6, 9))}",
+            lambda: f"{name()}_{rng.choice(['name', 'file', 'path', 'url', 'type', 'header', 'method', 'class', 'hash_algo', 'ref'])}{rng.choice(['=', ': ', ' = '])}{harmless()}",
+        ])()
+    return words() + rng.choice([" ", "\n", " "]) + middle + rng.choice(["", " ", "!!", "\n", "\n", ".", " and "]) + words(), path, kept
+
+
+def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
+    """n findings (value, before, after, path, label) that a scan makes of labelled_text()s."""
+    rng = random.Random(seed)
+    out: list[tuple[str, str, str, str, int]] = []
+    while len(out) < n:
+        text, path, kept = labelled_text(rng)
+        out += [(value, before, after, path, int(kept is not None and (value in kept or kept in value))) for value, before, after in cuts(text)]
+    return out[:n]
 
 
 def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) -> tuple | float:
@@ -193,7 +270,7 @@ def findings(text: Column, path: Column, forest: list) -> Column:
     def whole(z: Column) -> Column:
         sizes = F.transform(z["match"], lambda m, i: (F.length(m) + F.length(F.get(z["pieces"], i))).cast("long"))
         drawn = lambda stops: F.transform(z["match"], lambda m, i: bound(F.struct(
-            F.get(stops, i).alias("stop"), F.regexp_replace(m, f"^{ASSIGNED}", "").alias("value"), m.alias("match"),
+            F.get(stops, i).alias("stop"), F.regexp_replace(m, LEAD, "").alias("value"), m.alias("match"),
             F.get(z["pieces"], i).alias("left"), F.substring(F.get(z["pieces"], i + 1), 1, AFTER).alias("after"),
         ), scored))
         return F.struct(z["pieces"].alias("pieces"), bound(running(sizes), drawn).alias("found"))
