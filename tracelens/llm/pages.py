@@ -1,8 +1,10 @@
 """Main text of web pages: a linear-chain conditional random field over the DOM's leaf blocks.
 
 A page is cut into leaf blocks: runs of text between the tags of block elements, each with its open elements.
-Features are ancestor tags, the words of their class, id and role attributes, and the text's length, link
-density and punctuation.  Two states, content or not; transitions depend on whether two blocks share their
+Features are ancestor tags, the names in their class, id and role attributes, and the text's length, link
+density and punctuation.  Names count apart for the nearest element that has any, for those around it, and for what stands around an
+article or main element; html and body have none.  Of a compound name the last word and the words before it count apart, and of
+"has-sidebar" or "no-ads" only that it is such a one.  Two states, content or not; transitions depend on whether two blocks share their
 container.  Trained on PAGES labelled pages that labelled_page() makes by rule (or the caller's own), decoded by Viterbi.
 """
 
@@ -35,12 +37,43 @@ ENDS_P = BLOCK - {"button", "label", "option", "legend", "summary", "caption"}
 MARKUP = re.compile(r"<(?:(?P<comment>!--)|(?P<declared>[!?])|(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*))")
 #: The rest of a tag: a quote counts as one after an equals sign.  Nothing is tried twice, so the work is that of the characters read.
 REST = re.compile(r"((?>[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: A name and its value, which is read with it, so that nothing in a value counts as a name.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, int]]:
-    """(tags, attribute words, text, characters in links) of each leaf block with text, in page order."""
+#: First words of names that say what a part has or does, not what it is.
+STATES = set("has have with without no not is are hide show enable enabled disable disabled js can uses use".split())
+
+
+def names_of(value: str) -> tuple[str, ...]:
+    """The names of a class, id or role attribute: "name" of a single word, "-name" of the last word of a compound, "name-" of the others."""
+    out: list[str] = []
+    for token in value.split():
+        words = [w.lower() for w in WORD.findall(token)]
+        if len(words) > 1 and words[0] in STATES:
+            out.append(words[0] + "-")
+        elif len(words) == 1:
+            out.append(words[0])
+        elif words:
+            out += [w + "-" for w in words[:-1]] + ["-" + words[-1]]
+    return tuple(out)
+
+
+def own_names(tag: str, attributes: str) -> tuple[str, ...]:
+    """The names of an element, and "hidden" if it isn't shown."""
+    out: list[str] = []
+    for a in ATTRIBUTE.finditer(attributes):
+        name, value = a[1].lower(), (a[2] or "").strip("\"'")
+        if name == "hidden" and value.lower() not in ("false", "until-found") or name == "aria-hidden" and value.lower() == "true":
+            out.append("hidden")
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            out.append("hidden")
+        elif name in ("class", "id", "role") and tag not in ("html", "body"):
+            out += names_of(value)
+    return tuple(out)
+
+
+def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[tuple[str, ...], ...], str, int]]:
+    """(tags, names of each, text, characters in links) of each leaf block with text, in page order."""
     out = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -54,7 +87,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, int]]
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(t for t, _ in stack), tuple(w for _, ws in stack for w in ws), text, linked))
+                out.append((tuple(t for t, _ in stack), tuple(ws for _, ws in stack), text, linked))
             parts.clear()
         linked = 0
 
@@ -117,16 +150,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, int]]
                 opened[stack.pop()[0]] -= 1
         if len(stack) >= DEEPEST:
             continue
-        words: list[str] = []
-        for a in ATTRIBUTE.finditer(attributes):
-            name, value = a[1].lower(), (a[2] or "").strip("\"'")
-            if name in ("hidden", "aria-hidden") and value.lower() not in ("false",):
-                words.append("hidden")
-            elif name == "style":
-                words += ["hidden"] if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) else []
-            elif name in ("class", "id", "role"):
-                words += [w.lower() for w in WORD.findall(value)]
-        stack.append((tag, tuple(words)))
+        stack.append((tag, own_names(tag, attributes)))
         opened[tag] += 1
     end()
     return out
@@ -135,10 +159,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, int]]
 def features(found: list) -> tuple[list[list[str]], list[int]]:
     """Features of each block, and whether it shares its container with the one before."""
     out, same, last = [], [], None
-    for tags, words, text, linked in found:
+    for tags, names, text, linked in found:
         f = ["1", "in:" + (tags[-1] if tags else "-")]
         f += {"a:" + t for t in tags}
-        f += {"w:" + w for w in words}
+        inside = max((i for i, t in enumerate(tags) if t in ("article", "main")), default=0)
+        named = [i for i, ws in enumerate(names) if ws]
+        f += {("own:" if i == named[-1] else "up:" if i >= inside else "out:") + w for i in named for w in names[i]}
+        if any("hidden" in ws for ws in names):
+            f.append("hidden")
         n = len(text)
         f.append(f"n:{min(9, int(math.log2(n + 1)))}")
         density = linked / max(1, n)
@@ -232,6 +260,18 @@ def labelled_page(rng: random.Random) -> str:
     link = lambda a=1, b=4: f'<a href="/{word()}">{words(a, b)}</a>'
     attr = lambda *names: (lambda v: rng.choice([f' class="{v}"', f' id="{v}"', f' class="{v} {word()}"', f' class="{word()}-{v}"']))(rng.choice(names))
     box = lambda tag, names, inside: f"<{tag}{attr(*names) if names else ''}>{inside}</{tag}>"
+    part = lambda: rng.choice(["sidebar", "header", "footer", "nav", "menu", "ads", "ad", "comments", "widget", "notice", "banner", "related", "share", "cookie", "popup", "search"])
+    state = lambda: rng.choice([f"{rng.choice(sorted(STATES))}-{part()}", f"{part()}-{rng.choice(['left', 'right', 'fixed', 'open', 'on', 'off', 'top', 'sticky', 'layout', 'enabled'])}"])
+    idle = lambda: rng.choice(["", "", "", f' title="{words(1, 4)}"', f' data-{word()}="{part()}"', f' lang="{word()}"', ' hidden="until-found"', f" onclick=\"{word()}('{part()}')\"", f' itemid="{part()}"', ' aria-hidden="false"', f' data-hidden="{rng.randint(0, 1)}"'])
+
+    def holder(tag, names, inside):
+        """What holds the article: its names may say what else the page has."""
+        given = [rng.choice(names)] if names and rng.random() < 0.8 else []
+        given = [rng.choice([g, g, f"{word()}-{g}", f"{g}-{word()}"]) for g in given] + [state() for _ in range(rng.choice([0, 0, 1, 2]))] + [word() for _ in range(rng.choice([0, 0, 1]))]
+        rng.shuffle(given)
+        named = f' class="{" ".join(given)}"' if given else ""
+        return f"<{tag}{rng.choice([named + idle(), idle() + named])}>{inside}</{tag}>"
+
     some = lambda f, a, b: "".join(f() for _ in range(rng.randint(a, b)))
     prose = lambda: f"<p>{para()}</p>" if rng.random() < 0.6 else para()
 
@@ -282,14 +322,14 @@ def labelled_page(rng: random.Random) -> str:
                 inner += rng.choice([advert, notice, side, form])()
         if rng.random() < 0.12:
             inner += rng.choice([comments, side, advert, lambda: f"<footer>{words(1, 6)}</footer>", lambda: box("div", ["share", "social", "tags"], some(link, 2, 4))])()
-        holder = rng.random()
-        if holder < 0.55:
-            inner = rng.choice([f"<article>{inner}</article>", box("article", ["post", "entry", "article", "story"], inner)])
-        elif holder < 0.75:
-            inner = rng.choice([f"<main>{inner}</main>", box("main", ["content", "main"], inner), f'<div role="main">{inner}</div>'])
+        how = rng.random()
+        if how < 0.55:
+            inner = rng.choice([f"<article{idle()}>{inner}</article>", holder("article", ["post", "entry", "article", "story"], inner)])
+        elif how < 0.75:
+            inner = rng.choice([f"<main{idle()}>{inner}</main>", holder("main", ["content", "main"], inner), f'<div role="main"{idle()}>{inner}</div>'])
         else:
-            inner = box(rng.choice(["div", "section", "td"]), ["content", "post-content", "entry", "article-body", "story", "main", "text", "body"], inner)
-        return rng.choice([inner, inner, f"<main>{inner}</main>", box("div", ["container", "wrapper", "page", "site"], inner), f"<div>{inner}</div>"])
+            inner = holder(rng.choice(["div", "section", "td"]), ["content", "post-content", "entry", "article-body", "story", "main", "text", "body", "post"], inner)
+        return rng.choice([inner, inner, f"<main>{inner}</main>", holder("div", ["container", "wrapper", "page", "site"], inner), f"<div>{inner}</div>"])
 
     before = [f() for f in (header, menu, notice, advert, form, side) if rng.random() < 0.45]
     after = [f() for f in (comments, side, advert, notice, form, menu) if rng.random() < 0.35]
@@ -297,18 +337,19 @@ def labelled_page(rng: random.Random) -> str:
     rng.shuffle(after)
     last = footer() if rng.random() < 0.85 else ""
     inner = "".join(before) + body() + "".join(after) + last
-    inner = rng.choice([inner, inner, box("div", ["wrapper", "page", "container", "site"], inner), f"<div>{inner}</div>"])
-    return f"<!DOCTYPE html><html><head><title>{words(1, 9)}</title><style>p{{}}</style></head><body>{inner}</body></html>"
+    inner = rng.choice([inner, inner, holder("div", ["wrapper", "page", "container", "site", "layout"], inner), f"<div>{inner}</div>"])
+    names = rng.choice(["", f' class="{state()} {state()}"', f' id="{part()}"'])
+    return f"<!DOCTYPE html><html{names}><head><title>{words(1, 9)}</title><style>p{{}}</style></head><body{names}>{inner}</body></html>"
 
 
 def labelled(page: str) -> tuple[list, list[int]]:
     """Blocks of a page that labelled_page() made, and whether each is content."""
     found, labels = [], []
-    for tags, words, text, linked in blocks(page):
+    for tags, names, text, linked in blocks(page):
         labels.append(int("\x02" in text or "\x03" in text))
         text = " ".join(text.replace("\x02", "").replace("\x03", "").split())
         if text:
-            found.append((tags, words, text, linked))
+            found.append((tags, names, text, linked))
         else:
             labels.pop()
     return found, labels
