@@ -115,7 +115,7 @@ def test_language_of_unknown_scripts(spark):
     assert 100 not in kept and 102 not in kept and {0, 25} <= kept
 
 
-def test_scores_are_those_of_exact_ngram_sets(monkeypatch):
+def test_scores_are_those_of_exact_ngram_sets(spark, monkeypatch):
     """With next to no false positives the filter counts as sets of n-grams do; more than 64 languages take several words."""
     rng = random.Random(1)
     langs = [f"l{i:03d}" for i in range(70)]
@@ -128,7 +128,8 @@ def test_scores_are_those_of_exact_ngram_sets(monkeypatch):
             for g in found:
                 grams[size][g][lang] = 1 / len(found)
     monkeypatch.setattr(language, "SHARPNESS", 0.0)
-    model = language.Filter(langs, grams)
+    rated = [(size, g - (1 << 64) if g >> 63 else g, langs.index(lang), rate) for size, found in grams.items() for g, each in found.items() for lang, rate in each.items()]
+    model = language.Filter(langs, language.united(spark.createDataFrame(rated, "size int, gram long, bit int, rate double"), len(langs)))
     assert all(len(s) == 2 for s in model.slots.values())
     texts = [" ".join(vocabulary[lang]) for lang in langs] + ["", "...", " ".join(vocabulary["l069"][:2] + vocabulary["l001"][:1])]
     got = model.scores(texts)
@@ -144,6 +145,19 @@ def test_scores_are_those_of_exact_ngram_sets(monkeypatch):
             assert np.abs(row - hits / n).max() < 0.1 and row.argmax() in np.flatnonzero(hits == hits.max())
 
 
+def test_two_hundred_languages(spark):
+    """The driver holds the packed filter alone: 8 MB for each size and 64 languages."""
+    rng = random.Random(6)
+    pools = {f"l{i:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(25)] for i in range(200)}
+    text = lambda ws: " ".join(rng.choice(ws) for _ in range(40))
+    rows = [(i, text(ws), lang, "s") for i, (lang, ws) in enumerate([x for x in pools.items() for _ in range(12)])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language.learn(docs.filter(~language.held_out(docs)))
+    assert len(model.langs) == 200 and sum(m.nbytes for ms in model.slots.values() for m in ms) <= 3 * 4 * 8 << 20
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs.select("doc_id", "text"), model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang, _ in rows]) > 0.97
+
+
 def test_top_k_with_large_numbers_and_short_vectors(spark):
     rows = [(0, [2.0**41, 1.0]), (50, [1.0, 2.0]), (1, [3.0]), (2, [1e30, -1.0]), (3, [-1e300, 0.5]), (4, [float("inf"), 0.0]), (5, None), (6, []), (7, [0.25, 0.5]), (7, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -197,7 +211,7 @@ def test_viterbi_and_training_against_enumeration():
         best = max(itertools.product((0, 1), repeat=n), key=value)
         assert value(pages.viterbi(score, same, move)) == pytest.approx(value(best))
     # one step of training moves the weights up the log-likelihood's gradient
-    found = [(("body", "p"), (), "Some words of a text, that ends.", 0), (("body", "nav", "ul", "li"), ("menu",), "Home", 4), (("body", "p"), (), "More of it.", 0)]
+    found = [(("body", "p"), (), "Some words of a text, that ends.", 0), (("body", "nav", "ul", "li"), ((), ("menu",), (), ()), "Home", 4), (("body", "p"), (), "More of it.", 0)]
     labels = [1, 0, 1]
     weight, move = pages.train([(found, labels)], epochs=1, rate=1e-3, decay=0.0)
     fs, same = pages.features(found)
@@ -243,10 +257,10 @@ def scanned(texts, paths, forest):
     for i, (t, path) in enumerate(zip(texts, paths)):
         last = 0
         for k, m in enumerate(re.finditer(secrets.CANDIDATE, t or "")):
-            value = re.sub(f"^{secrets.ASSIGNED}", "", m[0])
+            value = re.sub(secrets.LEAD, "", m[0])
             lead = m[0][: len(m[0]) - len(value)]
-            follows = re.search(secrets.CANDIDATE, t[m.end() :])
-            after = t[m.end() : m.end() + (follows.start() if follows else len(t))][: secrets.AFTER]
+            follows = re.compile(secrets.CANDIDATE).search(t, m.end())
+            after = t[m.end() : follows.start() if follows else len(t)][: secrets.AFTER]
             f = secrets.features_of(value, (t[last : m.start()][-secrets.BEFORE :] + lead)[-secrets.BEFORE :], after, path or "")
             out.append((i, k, m.end() - len(value), m.end(), round(sum(walk(tree, f) for tree in forest) / len(forest), 3)))
             last = m.end()
@@ -256,8 +270,11 @@ def scanned(texts, paths, forest):
 def test_secret_scan_against_trees_in_python(spark):
     forest = secrets.default_forest()
     made = secrets.labelled_findings(400, seed=77)
+    rng = random.Random(78)
+    whole = [secrets.labelled_text(rng)[:2] for _ in range(300)]
     texts = [f"{before}{value}{after}" for value, before, after, _, _ in made[:300]] + [" ".join(f"{b}{v}{a}" for v, b, a, _, _ in made[300:]), "", None, "é" * 50 + " token = 'abc123def456' ü"]
     paths = [p for _, _, _, p, _ in made[:300]] + ["src0", None, "x", None]
+    texts, paths = texts + [t for t, _ in whole], paths + [p for _, p in whole]
     df = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(zip(texts, paths))], "doc_id long, text string, source string")
     got = sorted((r.doc_id, r.finding, r.start, r.stop, round(r.score, 3)) for r in secrets.find_secrets(df).collect())
     want = scanned(texts, paths, forest)

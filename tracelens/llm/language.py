@@ -7,8 +7,8 @@ false positives give by chance: (hits - n * fp) / (1 - fp).  The largest wins.
 
 Learning: the n-grams of at most LEARN labelled texts of each language (those of least hash of the id), whole, are
 counted where the texts are; an n-gram enters a language if its rate there is at least RATE and at least
-SHARPNESS times the mean rate over the languages, so at most 1 / RATE n-grams of a language and size come to
-the driver.  Prediction reads whole texts, lower-cased.
+SHARPNESS times the mean rate over the languages.  The masks of slots are united on the executors; the driver gets the packed
+filter alone, whose size the languages set, and no n-gram.  Prediction reads whole texts, lower-cased.
 """
 
 from __future__ import annotations
@@ -48,35 +48,26 @@ def letters_only(raw: bytes) -> np.ndarray:
     return data, keep
 
 
+def mask_type(langs: int) -> type:
+    """The numbers that hold a bit for each of up to 64 languages."""
+    return np.uint8 if langs <= 8 else np.uint64
+
+
 class Filter:
     """The learned filter: `langs` in order, for each size and 64 languages the `slots` of masks, and each language's rate of false positives by size."""
 
-    def __init__(self, langs: list[str], rates: dict[int, dict[int, dict[str, float]]], common: str | None = None):
-        """rates: by size and n-gram (as an unsigned number), its rate in the languages that have it.  common: what a text without any known n-gram is taken for."""
-        self.langs = sorted(langs)
+    def __init__(self, langs: list[str], slots: dict[int, list[np.ndarray]] | None = None, common: str | None = None):
+        """langs in the order of their bits; slots: by size, an array of masks for each 64 languages.  common: what a text without any known n-gram is taken for."""
+        self.langs = langs
         self.common = self.langs.index(common) if common is not None else 0
-        self.slots: dict[int, list[np.ndarray]] = {}
+        empty = lambda: [np.zeros(1 << SLOT_BITS, mask_type(len(langs[i : i + 64]))) for i in range(0, len(langs), 64)]
+        self.slots = {size: (slots or {}).get(size) or empty() for size in SIZES}
         self.fp = np.zeros((len(self.langs), len(SIZES)))
-        place = {lang: i for i, lang in enumerate(self.langs)}
         for at, size in enumerate(SIZES):
-            found = rates.get(size, {})
-            names = sorted(found)
-            every = np.array(names, np.uint64)
-            rate = np.zeros((len(self.langs), len(every)))
-            for k, gram in enumerate(names):
-                for lang, value in found[gram].items():
-                    rate[place[lang], k] = value
-            inside = (rate >= RATE) & (rate >= SHARPNESS * rate.mean(0)) if len(self.langs) > 1 else rate > 0
-            self.slots[size] = []
-            for first in range(0, len(self.langs), 64):
-                part = range(first, min(first + 64, len(self.langs)))
-                slots = np.zeros(1 << SLOT_BITS, np.uint64)
-                for i in part:
-                    for slot in self.places(every[inside[i]]):
-                        slots[slot] |= np.uint64(1 << (i - first))
-                for i in part:
-                    self.fp[i, at] = float(((slots >> np.uint64(i - first)) & np.uint64(1)).mean()) ** 2
-                self.slots[size].append(slots.astype(np.uint8) if len(part) <= 8 else slots)
+            for i in range(len(self.langs)):
+                masks = self.slots[size][i // 64]
+                self.fp[i, at] = np.count_nonzero(masks & masks.dtype.type(1 << (i % 64))) / len(masks)
+        self.fp **= 2
 
     @staticmethod
     def places(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +126,41 @@ def learn(labelled: DataFrame, limit: int = LEARN) -> Filter:
     if len(known) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not known:
-        return Filter([], {})
+        return Filter([])
     counts = labelled.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in known], "lang string, n long")
     near = rows.join(F.broadcast(counts), "lang").filter((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) * F.col("n") <= 1.2 * limit + 20)
     ranked = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= limit)
     grams = ranked.select("lang", "text").mapInArrow(C.lean(_counted), "lang string, size int, gram long, n long")
     grams = C.saved(grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = grams.groupBy("lang", "size").agg(F.sum("n").alias("total"))  # a row for each language and size
-    rated = grams.join(F.broadcast(totals), ["lang", "size"]).groupBy("size", "gram")
-    rated = rated.agg(F.collect_list(F.struct("lang", (F.col("n") / F.col("total")).alias("rate"))).alias("rates"), F.max(F.col("n") / F.col("total")).alias("most"))
-    rates: dict[int, dict[int, dict[str, float]]] = {}
-    for r in rated.filter(F.col("most") >= RATE).select("size", "gram", "rates").toLocalIterator():
-        rates.setdefault(r["size"], {})[r["gram"] % 2**64] = {x["lang"]: x["rate"] for x in r["rates"]}
+    langs = sorted(r["lang"] for r in known)
+    order = labelled.sparkSession.createDataFrame(list(enumerate(langs)), "bit int, lang string")
+    rated = grams.join(F.broadcast(totals), ["lang", "size"]).join(F.broadcast(order), "lang").select("size", "gram", "bit", (F.col("n") / F.col("total")).alias("rate"))
+    slots = united(rated, len(langs))
     common = max(sorted(known, key=lambda r: r["lang"]), key=lambda r: r["n"])["lang"]
-    return Filter([r["lang"] for r in known], rates, common)
+    return Filter(langs, slots, common)
+
+
+def united(rated: DataFrame, langs: int) -> dict[int, list[np.ndarray]]:
+    """The masks of rated(size, gram, bit, rate), for each size and 64 languages, of the n-grams that enter a language.
+
+    A slot's bits are united before and after the shuffle; blocks of slots come to the driver packed, one after another.
+    """
+    by_gram = rated.groupBy("size", "gram").agg(F.sort_array(F.collect_list(F.struct("bit", "rate"))).alias("each"))
+    mean = F.aggregate("each", F.lit(0.0), lambda s, x: s + x["rate"]) / F.lit(float(langs))
+    enters = lambda x: (x["rate"] >= RATE) & (x["rate"] >= SHARPNESS * F.col("mean")) if langs > 1 else x["rate"] > 0
+    inside = by_gram.withColumn("mean", mean).select("size", "gram", F.explode(F.filter("each", enters)).alias("in"))
+    right = lambda x, n: F.call_function("shiftrightunsigned", x, F.lit(n)).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("in.bit") % 64)
+    places = F.explode(F.array(right(F.col("gram"), 64 - SLOT_BITS), right(F.col("gram"), 20)))
+    slots = inside.select("size", F.floor(F.col("in.bit") / 64).cast("int").alias("word"), mask.alias("mask"), places.alias("slot"))
+    slots = slots.groupBy("size", "word", "slot").agg(F.bit_or("mask").alias("mask"))
+    packed = slots.groupBy("size", "word", F.shiftright("slot", 12).alias("block")).agg(F.collect_list("slot").alias("slot"), F.collect_list("mask").alias("mask"))
+    types = [mask_type(min(64, langs - i)) for i in range(0, langs, 64)]
+    out = {size: [np.zeros(1 << SLOT_BITS, kind) for kind in types] for size in SIZES}
+    for r in packed.toLocalIterator():  # a row for each 4,096 slots
+        out[r["size"]][r["word"]][np.array(r["slot"])] = np.array(r["mask"], np.int64).view(np.uint64).astype(types[r["word"]])
+    return out
 
 
 def identify(docs: DataFrame, model: Filter) -> DataFrame:
