@@ -262,8 +262,8 @@ def test_commands(spark, tmp_path, capsys):
     from tracelens import cli
 
     home, other = f"file://{tmp_path}/home", f"file://{tmp_path}/other"
-    rows = [(s, c, t, "user" if t % 2 == 0 else "assistant", f"{s} message {t} of conversation {c}, long enough to say something", c) for s in ("codex", "slack") for c in range(4) for t in range(6)]
-    spark.createDataFrame(rows, cli.MESSAGES).write.partitionBy("source").parquet(f"{home}/conversations")
+    rows = [(s, str(c), t, "user" if t % 2 == 0 else "assistant", f"{s} message {t} of conversation {c}, long enough to say something", c) for s in ("codex", "slack") for c in range(4) for t in range(6)]
+    incremental.upsert(f"{home}/conversations", spark.createDataFrame(rows, cli.MESSAGES), ["source", "conv_id"])
     run = lambda *a: (cli.main(["--home", home, *a], spark), capsys.readouterr().out)[1]
     assert "slack" not in run("sources") and "slack" in run("add", "slack")
     with pytest.raises(KeyError):
@@ -290,7 +290,7 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "plug").mkdir()
     (tmp_path / "plug" / "a.json").write_text('{"conversation_id": "x", "messages": [{"role": "user", "content": "hello"}]}')
     (tmp_path / "plug" / "b.json").write_text("{")
-    assert run("import", f"file://{tmp_path}/plug", "mine", "--type", "human") == "{'imported': 1, 'rejected': 1}\n"
+    assert run("import", f"file://{tmp_path}/plug", "mine", "--type", "human") == "{'imported': 1, 'skipped': 0, 'rejected': 1}\n"
     assert "mine" in run("add", "mine")
 
 

@@ -1,6 +1,6 @@
 """The verbs on the command line: python -m tracelens.cli --home FOLDER VERB ...; conversations are the Parquet table FOLDER/conversations.
 
-Its rows are messages: source, conv_id, turn, role, text, last_modified.  A client is named as module:factory; without one, answers are made by rule.
+Its rows are messages: source, conv_id, turn, role, text, last_modified; FOLDER/kinds says which imported sources are people's.  A client is named as module:factory; without one, answers are made by rule.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from .model.client import StubClient
 from .operators import sessions as S
-from .operators.incremental import exists, settle, upsert
+from .operators.incremental import BUCKETS, exists, table_rows, upsert
+from .plans.evaluation import evaluate, report
 from .plans.profile import Profile
 from .plans.questions import custom, universal
 from .session import build
 from .sources.people import plugin
+from .sources.providers import BUILTIN, MESSAGES, store, upload
 
-MESSAGES = "source string, conv_id long, turn long, role string, text string, last_modified long"
-KEY = ["source", "conv_id", "turn"]
+KINDS = "source string, kind string"
 
 
 class App:
@@ -30,7 +31,15 @@ class App:
 
     def __init__(self, spark: SparkSession, home: str, client=None):
         self.spark, self.home = spark, home.rstrip("/")
-        self.profile = Profile(spark, f"{self.home}/profile", client)
+        self.profile = Profile(spark, f"{self.home}/profile", client, ids="string", human=self.human_sources())
+
+    def human_sources(self) -> list[str]:
+        """Imported sources that were declared to be people's; a row a source."""
+        return [r["source"] for r in table_rows(self.spark, f"{self.home}/kinds", KINDS).filter("kind = 'human'").collect()]
+
+    def upload(self, roots: dict[str, str], names: list[str] = []) -> dict:
+        """Reads sources from their roots and stores what is new; named ones must be readable."""
+        return upload(self.spark, self.home, roots, names)
 
     def _state(self) -> DataFrame:
         path = f"{self.home}/sources"
@@ -42,8 +51,7 @@ class App:
         return names
 
     def messages(self) -> DataFrame:
-        settle(self.spark, f"{self.home}/conversations")
-        return S.of_sources(self.spark.read.schema(MESSAGES).parquet(f"{self.home}/conversations"), self.sources())
+        return S.of_sources(table_rows(self.spark, f"{self.home}/conversations", MESSAGES), self.sources())
 
     def sources(self) -> list[str]:
         return S.active_sources(self._state())
@@ -52,7 +60,7 @@ class App:
         """Activates sources; unknown ones are an error unless they were imported."""
         stored = [r[0] for r in S.imported(self.spark.read.parquet(f"{self.home}/conversations")).collect()] if exists(self.spark, f"{self.home}/conversations") else []
         for n in names:
-            if n not in [b for b, _ in S.BUILTIN] + stored:
+            if n not in [b.name for b in BUILTIN] + stored:
                 raise KeyError(f"no source {n}")
         return self._keep([*self.sources(), *names])
 
@@ -76,22 +84,35 @@ class App:
         return self.profile.diff(ts) if diff else self.profile.show(ts)
 
     def import_folder(self, folder: str, name: str, kind: str) -> dict:
-        """Merges the conversations that a plugin has written; rejected files are counted."""
+        """Stores the conversations that a plugin has written, as far as they are new or were updated, keeps their kind, and activates the source."""
         good, bad = plugin(self.spark, folder, name, kind)
-        rows = good.select("source", F.xxhash64("conversation_id").alias("conv_id"), F.posexplode("messages").alias("turn", "m"), F.coalesce(F.unix_millis("updated_at"), F.lit(0)).alias("last_modified"))
-        rows = rows.select("source", "conv_id", F.col("turn").cast("long").alias("turn"), "m.role", F.col("m.content").alias("text"), "last_modified")
-        n = good.count()
-        if n:
-            upsert(f"{self.home}/conversations", rows, KEY)
-        return {"imported": n, "rejected": bad.count()}
+        totals = store(self.spark, f"{self.home}/conversations", good).first()
+        upsert(f"{self.home}/kinds", self.spark.createDataFrame([(name, kind)], KINDS), ["source"], buckets=1)
+        self._keep([*self.sources(), name])
+        self.profile = Profile(self.spark, f"{self.home}/profile", self.profile.client, ids="string", human=self.human_sources())
+        return {"imported": totals["uploaded"] if totals else 0, "skipped": totals["skipped"] if totals else 0, "rejected": bad.count()}
+
+    def import_again(self, folders: dict[str, str]) -> dict[str, dict]:
+        """import_folder() of every source that was imported before and has a folder."""
+        known = {r["source"]: r["kind"] for r in table_rows(self.spark, f"{self.home}/kinds", KINDS).collect()}
+        return {name: self.import_folder(folder, name, known[name]) for name, folder in folders.items() if name in known}
+
+    def evaluate(self, folder: str | None = None, seed: int = 42) -> DataFrame:
+        """evaluate() of the document over the built-in questions, those about it, and a folder's own; answers are kept and used again."""
+        document = self.show()
+        if not document:
+            raise ValueError("there is no document yet")
+        asked = self.questions().select("id", "category", "prompt")
+        asked = asked.unionByName(custom(self.spark, folder).select("id", "category", "prompt")) if folder else asked
+        return evaluate(self.profile, asked, document, seed=seed, answers=f"{self.home}/answers")
 
     def sync(self, other: str, names: list[str] = ["conversations"]) -> None:
         """Merges tables of this home into another's: what both have is taken from here, nothing is deleted there."""
-        keys = {"conversations": KEY, "observations": ["source", "conv_id"], "labels": ["source", "conv_id", "idx"], "versions": ["source", "ts"]}
+        keys = {"conversations": ["source", "conv_id"], "kinds": ["source"], "observations": ["source", "conv_id"], "labels": ["source", "conv_id", "idx"], "versions": ["source", "ts"]}
         for name in names:
-            at = name if name == "conversations" else f"profile/{name}"
+            at = name if name in ("conversations", "kinds") else f"profile/{name}"
             if exists(self.spark, f"{self.home}/{at}"):
-                upsert(f"{other.rstrip('/')}/{at}", self.spark.read.parquet(f"{self.home}/{at}"), keys[name])
+                upsert(f"{other.rstrip('/')}/{at}", self.spark.read.parquet(f"{self.home}/{at}").drop("bucket"), keys[name], buckets=1 if name == "kinds" else BUCKETS)
 
     def questions(self, folder: str | None = None) -> DataFrame:
         """The questions of an evaluation: a folder's own, or the built-in ones and those about the document."""
@@ -128,6 +149,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     c.add_argument("other")
     c.add_argument("names", nargs="*", default=["conversations"])
     v.add_parser("questions").add_argument("--dir")
+    c = v.add_parser("upload")
+    c.add_argument("names", nargs="*")
+    c.add_argument("--root", action="append", default=[], metavar="SOURCE=PATH")
+    c = v.add_parser("eval")
+    c.add_argument("--dir")
+    c.add_argument("--detail", action="store_true")
     a = p.parse_args(argv)
     client = None
     if a.client:
@@ -155,6 +182,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(app.import_folder(a.folder, a.name, a.kind))
     elif a.verb == "sync":
         app.sync(a.other, a.names)
+    elif a.verb == "upload":
+        print(app.upload(dict(r.split("=", 1) for r in a.root), a.names))
+    elif a.verb == "eval":
+        print("\n".join(report(app.evaluate(a.dir), a.detail)))
     else:
         for r in app.questions(a.dir).orderBy("category", "id").toLocalIterator():
             print(f"{r['id']}\t{r['category']}\t{r['prompt']}")

@@ -62,3 +62,22 @@ def summary_order(results: DataFrame, key: str) -> DataFrame:
     outcome = F.when(F.col("preferred") == "neither", 1).when((F.col("preferred") == "A") == F.col("ours_is_a"), 0).otherwise(2)
     own = results.select(key, outcome.alias("outcome"), (-outcome).alias("__up"))
     return ranked(own, "__up", [key], "place").select(key, "outcome", F.col("place").cast("int").alias("place"))
+
+
+#: The dimensions that are scored, in the order they are shown.
+DIMENSIONS = ["reasoning", "voice", "awareness"]
+
+
+def summary_grid(results: DataFrame, key: str = "id") -> DataFrame:
+    """place, id, mark, scores, verdict of results(id, base, ours, preferred, ours_is_a, error): ours first, then neither, base and errors, each by id.
+
+    scores has base>ours for each of DIMENSIONS, 0 where one is missing; rows with an error have none.
+    """
+    bad = F.col("error").isNotNull()
+    ours = (F.col("preferred") == "A") == F.col("ours_is_a")
+    outcome = F.when(bad, 3).when(F.coalesce("preferred", F.lit("neither")) == "neither", 1).when(ours, 0).otherwise(2)
+    value = lambda side, d: F.coalesce(F.try_element_at(F.col(side), F.lit(d)), F.lit(0)).cast("string")
+    scores = F.concat_ws("  ", *[F.concat(value("base", d), F.lit(">"), value("ours", d)) for d in DIMENSIONS])
+    told = results.select(F.col(key).cast("string").alias("id"), outcome.alias("outcome"), F.when(bad, "").otherwise(scores).alias("scores"), (-outcome).alias("__up"))
+    name = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), F.col("outcome") + 1)
+    return ranked(told, "__up", ["id"], "place").select(F.col("place").cast("int").alias("place"), "id", name("+~-!").alias("mark"), "scores", name(["ours", "neither", "base", "error"]).alias("verdict"))

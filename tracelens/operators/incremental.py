@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from .ordered import ranked
 
 
+#: Buckets of each partition of a table that takes updates, if its first batch names no other number.
+BUCKETS = 16
+
+
 def without(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not done."""
     return rows.join(done.select(*key), key, "left_anti")
@@ -126,39 +130,91 @@ def exists(spark, path: str) -> bool:
     return files.exists(at)
 
 
-def settle(spark, path: str, by: str = "source") -> None:
-    """Finishes or drops what an upsert that was cut off has left beside the table: whole batches are written again, parts of one go."""
+def forget(spark, path: str) -> bool:
+    """Deletes a file or folder; says whether there was one."""
+    files, at = _files(spark, path)
+    return files.delete(at, True)
+
+
+def subfolders(spark, path: str) -> list[str]:
+    """The names of the folders in a folder; none if it doesn't exist."""
+    files, at = _files(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()) if files.exists(at) else []
+
+
+def table_rows(spark, path: str, schema: str) -> DataFrame:
+    """The rows of a table that upsert() keeps, in the columns of the schema; a table that doesn't exist has none."""
+    settle(spark, path)
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.select(*spark.createDataFrame([], schema).columns)
+
+
+def settle(spark, path: str) -> None:
+    """Finishes or drops what an upsert that was cut off has left beside the table: partitions of a whole batch are moved in, parts of one go."""
     files, aside = _files(spark, path.rstrip("/") + "__next")
     if not files.exists(aside):
         return
     for found in sorted(str(s.getPath()) for s in files.listStatus(aside)):
         if exists(spark, f"{found}/_SUCCESS"):
-            spark.read.parquet(found).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+            for value in subfolders(spark, found):
+                for bucket in subfolders(spark, f"{found}/{value}"):
+                    at, to = (_files(spark, f"{root.rstrip('/')}/{value}/{bucket}")[1] for root in (found, path))
+                    files.delete(to, True)
+                    files.mkdirs(to.getParent())
+                    files.rename(at, to)
         files.delete(_files(spark, found)[1], True)
 
 
-def upsert(path: str, batch: DataFrame, key: list[str], by: str = "source") -> None:
-    """Merges a batch into the Parquet table at path; only the partitions (`by`) it touches are rewritten.
+def buckets_of(spark, path: str) -> int | None:
+    """In how many buckets each value's rows are dealt, as the folders say; None for a table that doesn't exist."""
+    for value in subfolders(spark, path):
+        for bucket in subfolders(spark, f"{path.rstrip('/')}/{value}"):
+            return int(bucket.rpartition("-")[2])
+    return None
 
-    The new partitions are first written whole to a folder of their own beside the table, so that the table is never
-    read while it is overwritten, and settle() can finish the work after a crash.  One writer at a time.
-    """
+
+def staged(path: str, batch: DataFrame, key: list[str], by: str = "source", buckets: int = BUCKETS) -> str:
+    """Writes the partitions of the table at path that a batch touches, as they will be, to a folder beside it, for settle(); the folder."""
     spark = batch.sparkSession
-    settle(spark, path, by)
+    known = buckets_of(spark, path)
+    if known is None and subfolders(spark, path):
+        raise ValueError(f"{path} has no buckets: it was not written by upsert()")
+    buckets = known or buckets
+    batch = batch.withColumn("bucket", F.format_string(f"%04d-{buckets}", F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(buckets)).cast("int")))
     if exists(spark, path):
-        touched = [r[0] for r in batch.select(by).distinct().collect()]
-        batch = merged(spark.read.parquet(path).filter(F.col(by).isin(touched)).select(*batch.columns), batch, key)
-    batch.write.parquet(f"{path.rstrip('/')}__next/{uuid.uuid4().hex}")
-    settle(spark, path, by)
+        touched = batch.select(F.col(by).cast("string"), "bucket").distinct().collect()  # a row for each partition
+        there = [t for t in (f"{path.rstrip('/')}/{by}={quote(value)}/bucket={bucket}" for value, bucket in touched) if exists(spark, t)]
+        if there:
+            old = spark.read.schema(batch.schema).option("basePath", path).parquet(*there).select(*batch.columns)
+            batch = merged(old, batch, key)
+    aside = f"{path.rstrip('/')}__next/{uuid.uuid4().hex}"
+    batch.repartition(by, "bucket").write.partitionBy(by, "bucket").parquet(aside)
+    return aside
+
+
+def upsert(path: str, batch: DataFrame, key: list[str], by: str = "source", buckets: int = BUCKETS) -> None:
+    """Merges a batch into the Parquet table at path: all rows of the batch's keys are replaced by the batch's.
+
+    The table is partitioned by `by` and by a hash of the key in `buckets`, which a table keeps from its first batch on.  Only
+    the partitions that the batch touches are read and written, once: whole to a folder beside the table, and then moved in, so that the
+    table is never read while it is overwritten, and settle() can finish the work after a crash.  One writer at a time.
+    """
+    settle(batch.sparkSession, path)
+    staged(path, batch, key, by, buckets)
+    settle(batch.sparkSession, path)
 
 
 def delete(spark, path: str, value: str | None = None, by: str = "source") -> bool:
     """Deletes the table at path, or its rows of one value of the column that partitions it; says whether there were any."""
-    settle(spark, path, by)
+    settle(spark, path)
     files, at = _files(spark, path if value is None else f"{path.rstrip('/')}/{by}={quote(value)}")
     return files.delete(at, True) if files.exists(at) else False
 
 
-def quote(value: str) -> str:
+def quote(value: str | None) -> str:
     """A partition's value as its folder is named."""
+    if value is None or value == "":
+        return "__HIVE_DEFAULT_PARTITION__"
     return "".join(f"%{ord(c):02X}" if c in '"#%\'*/:=?\\{}[]^' or ord(c) < 32 or ord(c) == 127 else c for c in value)

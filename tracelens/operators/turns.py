@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import compress_assistant, trim_space, turn_line
+from .spread import fill_spread
 
 #: Sources in which the other side are people.
 HUMAN_SOURCES = ["slack", "github-issues", "github-prs"]
@@ -79,16 +80,17 @@ def fill_ordered(rows: DataFrame, key: list[str], order: list[str], size: str, l
     return sorted_rows.mapInArrow(run, rows.schema.add("chunk", "integer"))
 
 
-def channel_chunks(messages: DataFrame, limit: int = CHANNEL_BYTES) -> DataFrame:
+def channel_chunks(messages: DataFrame, limit: int = CHANNEL_BYTES, spread: bool = False) -> DataFrame:
     """channel, chunk, title, n, n_bytes, created, updated of messages(channel, pos, ts, role, noise, content, raw).
 
     Noise is no content, but the title is the first raw text that is not blank, noise too; from the second chunk on
-    it says its part.  Channels without a message of their owner give none.
+    it says its part.  Channels without a message of their owner give none.  spread: a channel may be larger than one task takes (fill_spread()).
     """
     owned = messages.filter(~F.col("noise")).groupBy("channel").agg(F.max((F.col("role") == "user").cast("int")).alias("owned")).filter("owned = 1")
     titles = messages.filter(trim_space("raw") != "").groupBy("channel").agg(F.min_by("raw", "pos").alias("title"))
     kept = messages.filter(~F.col("noise")).join(owned.select("channel"), "channel", "left_semi")
-    placed = fill_ordered(kept.select("channel", "pos", "ts", F.octet_length("content").cast("long").alias("bytes")), ["channel"], ["pos"], "bytes", limit)
+    sized = kept.select("channel", "pos", "ts", F.octet_length("content").cast("long").alias("bytes"))
+    placed = (fill_spread if spread else fill_ordered)(sized, ["channel"], ["pos"], "bytes", limit)
     out = placed.groupBy("channel", "chunk").agg(F.count("*").alias("n"), F.sum("bytes").alias("n_bytes"), F.min("ts").alias("created"), F.max("ts").alias("updated"))
     title = F.concat(F.when(F.col("chunk") > 0, F.format_string("[part %d] ", F.col("chunk") + 1)).otherwise(""), F.col("title"))
     return out.join(titles, "channel").select("channel", "chunk", title.alias("title"), "n", "n_bytes", "created", "updated")

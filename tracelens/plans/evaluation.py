@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.parse import preference, scores
 from ..functions.text import fingerprint
 from ..model.stage import respond
-from ..operators.evaluate import blinded
-from ..operators.sessions import response_hits
+from ..operators.evaluate import DIMENSIONS, blinded, dimension_means, preferences, summary_grid, transfer
+from ..operators.incremental import table_rows, upsert
+from ..operators.sessions import response_hits, transfer_group
 from .profile import Profile
 
 JUDGE, PREFER = "Score both responses by dimension.", "Say which response you prefer, and why."
 
 
-def evaluate(profile: Profile, questions: DataFrame, document: str, cache: DataFrame | None = None, seed: int = 42) -> DataFrame:
+#: Answers that are kept: source is the same for all of them.
+ANSWERS = "source string, key string, fp string, response string"
+
+
+def evaluate(profile: Profile, questions: DataFrame, document: str, cache: DataFrame | None = None, seed: int = 42, answers: str | None = None) -> DataFrame:
     """id, category, base, ours (maps of scores), preferred, ours_is_a, rationale, error of questions(id, category, prompt).
 
-    Answers that the cache (key, fp, response) has under the same fingerprint are not asked for again; judges always are.
+    Answers that the cache (key, fp, response), or the table at the path `answers`, has under the same fingerprint are not asked
+    for again; new ones are kept there.  Judges always are asked.
     An error of any call marks the question's row; the others stay.
     """
     spark, client, tasks = profile.spark, profile.client, profile.tasks
@@ -26,6 +32,7 @@ def evaluate(profile: Profile, questions: DataFrame, document: str, cache: DataF
     asked = questions.withColumn("s", both).select("id", "prompt", "s.side", "s.system")
     asked = asked.withColumn("key", F.concat_ws("|", F.col("id").cast("string"), "side")).withColumn("fp", fingerprint("prompt", "system", F.lit(client.model)))
     known = cache if cache is not None else spark.createDataFrame([], "key string, fp string, response string")
+    known = known.unionByName(table_rows(spark, answers, ANSWERS).drop("source")) if answers else known
     asked = response_hits(asked, known)
 
     def call(rows: DataFrame, stage: str, system, text) -> DataFrame:
@@ -34,6 +41,10 @@ def evaluate(profile: Profile, questions: DataFrame, document: str, cache: DataF
 
     new = call(asked.filter("response IS NULL"), "answer", F.col("system"), F.col("prompt"))
     told = asked.join(new, F.col("key") == F.col("k"), "left").withColumn("answer", F.coalesce("response", "text"))
+    if answers:
+        fresh = told.filter("response IS NULL AND error IS NULL AND answer IS NOT NULL").select(F.lit("answers").alias("source"), "key", "fp", F.col("answer").alias("response"))
+        if not fresh.isEmpty():
+            upsert(answers, fresh, ["source", "key"])
     pair = told.groupBy("id").agg(F.max(F.when(F.col("side") == "base", F.col("answer"))).alias("b"), F.max(F.when(F.col("side") == "ours", F.col("answer"))).alias("o"), F.max("error").alias("e1"))
     pair = blinded(pair.join(questions, "id"), "id", seed).withColumn("key", F.col("id").cast("string"))
     a, b = F.when(F.col("ours_is_a"), F.col("o")).otherwise(F.col("b")), F.when(F.col("ours_is_a"), F.col("b")).otherwise(F.col("o"))
@@ -46,3 +57,23 @@ def evaluate(profile: Profile, questions: DataFrame, document: str, cache: DataF
         "id", "category", F.when(F.col("ours_is_a"), sb).otherwise(sa).alias("base"), F.when(F.col("ours_is_a"), sa).otherwise(sb).alias("ours"),
         p["preferred"].alias("preferred"), "ours_is_a", p["rationale"].alias("rationale"), F.coalesce("e1", "e2", "e3").alias("error"),
     )
+
+
+def report(results: DataFrame, detail: bool = False) -> list[str]:
+    """Lines that show an evaluation: a grid of the questions, means by dimension and by group, preferences; detail: why, for each question.
+
+    A row a question comes to the driver.
+    """
+    good = results.filter("error IS NULL")
+    rows = summary_grid(results).orderBy("place").collect()
+    width = max([len(r["id"]) for r in rows], default=0)
+    out = [f"  {r['mark']} {r['id']:<{width}}  {r['scores'] + '  ' if r['scores'] else ''}{r['verdict']}" for r in rows]
+    means = {r["dimension"]: r for r in dimension_means(good).collect()}
+    out += ["", *[f"  {d:<12} {means[d]['base']:.1f} {means[d]['ours']:.1f} {means[d]['delta']:+.1f}" for d in DIMENSIONS if d in means]]
+    groups = transfer(good.withColumn("group", transfer_group("category")), "id", "group").collect()
+    out += ["", *[f"  {r['group']:<12} {r['n']} {r['delta']:+.1f}" for r in sorted(groups, key=lambda r: r["group"])]]
+    p = preferences(good).first()
+    out += ["", f"preferred: ours {p['n_ours']}, base {p['n_base']}, neither {p['n_neither']}"]
+    if detail:
+        out += [line for r in good.orderBy("id").select("id", "category", "rationale").collect() for line in ("", f"{r['id']} ({r['category']})", f"  {r['rationale']}")]
+    return out

@@ -16,7 +16,7 @@ from ..functions.text import fingerprint, is_empty, is_relevant, normal_label, o
 from ..model.client import Client, StubClient
 from ..model.stage import respond, work_root, written
 from ..operators import clusters as K
-from ..operators.incremental import delete, exists, newest, settle, stale, upsert, without
+from ..operators.incremental import delete, newest, stale, table_rows, upsert, without
 from ..operators.ordered import budget_prefix, range_bounds, range_of
 from ..operators.sessions import first_diff
 from ..operators.turns import HUMAN_SOURCES, chunks, is_human_source, turn_lines, turn_pairs
@@ -33,16 +33,16 @@ ONE_CALL_BYTES = 64 << 20
 class Profile:
     """The pipelines' verbs over one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, client: Client | None = None, tasks: int | None = None):
-        self.spark, self.folder, self.client = spark, folder, client or StubClient()
+    def __init__(self, spark: SparkSession, folder: str, client: Client | None = None, tasks: int | None = None, ids: str = "long", human: list[str] = []):
+        """ids: the type of conv_id; human: imported sources whose other side are people, besides the built-in ones."""
+        self.spark, self.folder, self.client, self.ids = spark, folder, client or StubClient(), ids
+        self.human = is_human_source("source", F.col("source").isin(list(human)) if human else None)
+        self.OBSERVATIONS, self.LABELS = (s.replace("conv_id long", f"conv_id {ids}") for s in (self.OBSERVATIONS, self.LABELS))
         self.tasks = tasks or spark.sparkContext.defaultParallelism
         self.usage: list[tuple] = []
 
     def table(self, name: str, schema: str) -> DataFrame:
-        settle(self.spark, f"{self.folder}/{name}")
-        if exists(self.spark, f"{self.folder}/{name}"):
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        return self.spark.createDataFrame([], schema)
+        return table_rows(self.spark, f"{self.folder}/{name}", schema)
 
     def _ask(self, stage: str, requests: DataFrame, most: int = 4096, cut: bool = False) -> DataFrame:
         """Responses of requests(req_id, system, input); a failed one, or one that was cut short unless `cut` allows it, fails the stage after the others are written."""
@@ -63,6 +63,10 @@ class Profile:
             raise ValueError(f"{size} bytes are more than one call takes in")
         return rows
 
+    def _who(self, pattern: str) -> list:
+        """source and conv_id of a request's id; ids may hold bars, names of sources don't."""
+        return [F.regexp_extract("req_id", "(?s)" + pattern, 1).alias("source"), F.regexp_extract("req_id", "(?s)" + pattern, 2).cast(self.ids).alias("conv_id")]
+
     OBSERVATIONS = "source string, conv_id long, fp string, items array<struct<quote:string,observation:string>>"
 
     def observe(self, messages: DataFrame, limit: int = 0, again: bool = False, relevant: bool = True, by_state: bool = True) -> dict:
@@ -76,17 +80,17 @@ class Profile:
         pending = entries if again else stale(entries, done, KEY) if by_state else without(entries, done, KEY)
         total = pending.count()
         pending = written(newest(pending, limit, "last_modified", KEY), f"{self.folder}/work/pending-{uuid.uuid4().hex[:8]}")
-        human = is_human_source("source")
+        human = self.human
         turns = turn_lines(turn_pairs(messages.join(pending.select(*KEY), KEY, "left_semi"), KEY, human), human)
         asked = chunks(turns, KEY).withColumn("req_id", F.concat_ws("|", "source", F.col("conv_id").cast("string"), F.col("chunk").cast("string")))
         asked = asked.withColumn("system", F.when(human, PROMPTS["observe_human"]).otherwise(PROMPTS["observe"])).withColumnRenamed("text", "input")
-        found = self._ask("observe", asked).filter(~is_empty("text")).withColumn("p", F.split("req_id", r"\|"))
-        per = found.groupBy(F.get("p", F.lit(0)).alias("source"), F.get("p", F.lit(1)).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(F.struct(F.get("p", F.lit(2)).cast("int").alias("c"), "text"))).alias("t"))
+        found = self._ask("observe", asked).filter(~is_empty("text"))
+        per = found.groupBy(*self._who(r"^([^|]*)\|(.*)\|[^|]*$")).agg(F.array_sort(F.collect_list(F.struct(F.regexp_extract("req_id", r"\|([^|]*)$", 1).cast("int").alias("c"), "text"))).alias("t"))
         refine = per.select(F.concat_ws("|", "source", F.col("conv_id").cast("string")).alias("req_id"), F.lit(PROMPTS["refine"]).alias("system"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("input"))
-        kept = self._ask("refine", refine).withColumn("p", F.split("req_id", r"\|"))
+        kept = self._ask("refine", refine)
         items = observations("text")
         items = F.filter(items, lambda o: is_relevant(o["observation"])) if relevant else items
-        kept = kept.select(F.get("p", F.lit(0)).alias("source"), F.get("p", F.lit(1)).cast("long").alias("conv_id"), items.alias("items"))
+        kept = kept.select(*self._who(r"^([^|]*)\|(.*)$"), items.alias("items"))
         new = pending.join(kept, KEY, "left").select(*KEY, "fp", F.coalesce("items", F.expr("cast(array() AS array<struct<quote:string,observation:string>>)")).alias("items"))
         n = pending.count()
         if n:
@@ -231,7 +235,10 @@ class Profile:
             if gap:
                 raise RuntimeError(f"the outline lacks Cluster {gap}")
             rest = rows.filter("cluster IS NULL")
-            coarse = F.struct(F.col(KEY[0]), range_of(F.col(KEY[1]), range_bounds(rest, KEY[1])).alias("range"))
+            # a number that never falls along the ids: texts by their first bytes
+            along = F.col(KEY[1]) if self.ids == "long" else F.conv(F.rpad(F.hex(F.left(KEY[1], F.lit(6))), F.lit(12), F.lit("0")).substr(1, 12), 16, 10).cast("long")
+            rest = rest.withColumn("along", along)
+            coarse = F.struct(F.col(KEY[0]), range_of(F.col("along"), range_bounds(rest, "along")).alias("range"))
             noise = budget_prefix(rest, [], [F.col(c) for c in (*KEY, "idx")], "tok", K.NOISE_TOKENS, False, coarse)
             left = noise.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*KEY, "idx", "text"))), lambda r: r["text"]), "\n").alias("noise"))
             text = thesis.select(F.col("text").alias("thesis")).join(outline.select("input")).join(left)

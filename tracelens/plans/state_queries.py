@@ -69,8 +69,8 @@ def settled_upsert(spark, sf_dir):
     e = X.entries(spark, sf_dir).select("source", "conv_id", "size_bytes")
     I.upsert(path, e, ["source", "conv_id"])
     more = e.withColumn("size_bytes", F.col("size_bytes") + 1)
-    more.filter("source = 'codex'").write.parquet(f"{path}__next/{uuid.uuid4().hex}")
-    more.filter("source = 'kiro'").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}__next/{uuid.uuid4().hex}")
+    I.staged(path, more.filter("source = 'codex'"), ["source", "conv_id"])
+    I.forget(spark, f"{I.staged(path, more.filter("source = 'kiro'"), ['source', 'conv_id'])}/_SUCCESS")
     I.settle(spark, path)
     return spark.read.parquet(path).groupBy("source").agg(F.sum("size_bytes").alias("n_bytes"))
 

@@ -9,25 +9,67 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .common import COLUMNS, NO_TOOLS, gathered, get, title_from
 
 
+#: Ranges of row ids that a table is read in, if a reader names no other number.
+PARTS = 16
+
+
+def quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+class RowRange(InputPartition):
+    """Row ids from lo to hi; None: the whole query."""
+
+    def __init__(self, lo: int | None = None, hi: int | None = None):
+        self.lo, self.hi = lo, hi
+
+
 class SqliteReader(DataSourceReader):
     def __init__(self, options, schema):
-        self.path, self.query, self.names = options["path"], options["query"], schema.names
+        self.path, self.names = options["path"], schema.names
+        self.table, self.parts = options.get("table"), int(options.get("parts", PARTS))
+        self.columns = ", ".join(quoted(c) for c in options.get("columns", "").split(",")) if options.get("columns") else ", ".join(map(quoted, self.names))
+        self.query = options["query"] if not self.table else f"SELECT {self.columns} FROM {quoted(self.table)}"
 
-    def partitions(self):
-        return [InputPartition(0)]
+    def _open(self):
+        import sqlite3
 
-    def read(self, partition):
+        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+
+    def partitions(self):
+        """Ranges of row ids, cut from the smallest and the largest, which the file's index tells; queries, and tables without row ids, are one."""
         import sqlite3
 
-        con = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+        if not self.table:
+            return [RowRange()]
+        con = self._open()
+        try:
+            lo, hi = con.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
+        except sqlite3.OperationalError:
+            return [RowRange()]
+        finally:
+            con.close()
+        if lo is None or not isinstance(lo, int) or not isinstance(hi, int):
+            return [RowRange()]
+        cuts = sorted({lo + (hi + 1 - lo) * i // self.parts for i in range(self.parts)})
+        return [RowRange(a, b - 1) for a, b in zip(cuts, [*cuts[1:], hi + 1])]
+
+    def read(self, partition):
+        con = self._open()
         try:
-            yield from con.execute(self.query)
+            if partition.lo is None:
+                yield from con.execute(self.query)
+            else:
+                yield from con.execute(f"{self.query} WHERE rowid BETWEEN ? AND ?", (partition.lo, partition.hi))
         finally:
             con.close()
 
 
 class SqliteSource(DataSource):
-    """spark.read.format("sqlite").schema(...).option("query", ...).load(path): rows of one query, in one task."""
+    """spark.read.format("sqlite").schema(...).load(path): rows of option "table", with its "columns", in "parts" ranges of row ids, or of option "query" in one task.
+
+    The file must be where all executors can open it.
+    """
 
     @classmethod
     def name(cls):
@@ -38,15 +80,23 @@ class SqliteSource(DataSource):
 
 
 def rows(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
+    """Rows of a query, in one task."""
     spark.dataSource.register(SqliteSource)
     return spark.read.format("sqlite").schema(schema).option("path", path).option("query", query).load()
 
 
+def table(spark: SparkSession, path: str, name: str, columns: str, schema: str, parts: int = PARTS) -> DataFrame:
+    """The columns of a table, as the schema names them, in ranges of its row ids."""
+    spark.dataSource.register(SqliteSource)
+    return spark.read.format("sqlite").schema(schema).option("path", path).option("table", name).option("columns", columns).option("parts", parts).load()
+
+
 def opencode(spark: SparkSession, path: str) -> DataFrame:
     """Sessions with their project, messages by time and parts by time; texts joined, tools with input and output."""
-    s = rows(spark, path, "SELECT s.id, s.title, s.parent_id, p.worktree, s.time_created, s.time_updated FROM session s JOIN project p ON p.id = s.project_id", "conversation_id string, title string, parent_id string, project string, created long, updated long")
-    m = rows(spark, path, "SELECT id, session_id, data, time_created FROM message", "mid string, conversation_id string, data string, at long")
-    p = rows(spark, path, "SELECT id, message_id, data, time_created FROM part", "pid string, message_id string, data string, pat long")
+    s = table(spark, path, "session", "id,title,parent_id,project_id,time_created,time_updated", "conversation_id string, title string, parent_id string, project_id string, created long, updated long")
+    s = s.join(table(spark, path, "project", "id,worktree", "project_id string, project string"), "project_id").drop("project_id")
+    m = table(spark, path, "message", "id,session_id,data,time_created", "mid string, conversation_id string, data string, at long")
+    p = table(spark, path, "part", "id,message_id,data,time_created", "pid string, message_id string, data string, pat long")
     return opencode_sessions(s, m, p)
 
 
@@ -65,7 +115,7 @@ def opencode_sessions(s: DataFrame, m: DataFrame, p: DataFrame) -> DataFrame:
 
 def kiro_cli(spark: SparkSession, path: str) -> DataFrame:
     """Conversations whose value is a history of prompts and responses; values that are no JSON are left out, all bad is an error."""
-    c = rows(spark, path, "SELECT key, conversation_id, value, created_at, updated_at FROM conversations_v2", "project string, conversation_id string, value string, created long, updated long")
+    c = table(spark, path, "conversations_v2", "key,conversation_id,value,created_at,updated_at", "project string, conversation_id string, value string, created long, updated long")
     return kiro_cli_sessions(c)
 
 
