@@ -73,6 +73,8 @@ class App:
         at = time.time_ns() // 1_000_000 if at is None else at
         if method == "map-reduce":
             return self.profile.map_reduce(self.messages(), at, limit, reobserve, learn)
+        if method == "incremental":
+            return self.profile.incremental(self.messages(), at, limit, reobserve)
         if method != "clustering":
             raise ValueError(f"no method {method}")
         return self.profile.clustered(self.messages(), at, limit, reobserve=reobserve, relabel=relabel)
@@ -128,7 +130,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--client")
     v = p.add_subparsers(dest="verb", required=True)
     c = v.add_parser("compose")
-    c.add_argument("--method", default="clustering", choices=["clustering", "map-reduce"])
+    c.add_argument("--method", default="clustering", choices=["clustering", "map-reduce", "incremental"])
     c.add_argument("--limit", type=int, default=0)
     for flag in ("reobserve", "relabel", "learn"):
         c.add_argument(f"--{flag}", action="store_true")

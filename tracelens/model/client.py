@@ -75,6 +75,10 @@ class StubClient:
         found = [{"id": f"q{i}", "category": "domain", "prompt": f"What about line {i}?"} for i in range(1, min(10, len(text.splitlines())) + 1)]
         return f"Here:\n```json\n{json.dumps(found)}\n```"
 
+    def _update(self, text: str) -> str:
+        document, _, new = text.removeprefix("DOCUMENT:\n").partition("\n\nOBSERVATIONS:\n")
+        return "\n".join([*document.splitlines(), *new.splitlines()][-40:])
+
     def _thesis(self, text: str) -> str:
         return "\n".join(line.removeprefix("### ") for line in text.splitlines() if line.startswith("### Cluster"))
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..operators import redact as R
 from ..operators import turns as U
 from ..operators.evaluate import DIMENSIONS, summary_grid
 from ..operators.incremental import table_rows
+from ..sources import network as N
 from ..sources import providers as P
 from ..sources.common import COLUMNS, NO_TOOLS
 from . import fixtures as X
@@ -81,3 +84,53 @@ def eval_grid(spark, sf_dir):
     preferred = F.when(k % 3 == 0, "A").when(k % 3 == 1, "B").otherwise("neither")
     r = X.table(spark, sf_dir, "orders").select(k.alias("id"), both(0, DIMENSIONS).alias("base"), both(3, [DIMENSIONS[0], DIMENSIONS[2]]).alias("ours"), preferred.alias("preferred"), (F.col("o_custkey") % 2 == 0).alias("ours_is_a"), F.when(k % 11 == 0, "no answer").alias("error"))
     return summary_grid(r)
+
+
+_HITS = "h AS (SELECT o_orderkey AS number, o_orderdate AS day FROM orders WHERE o_orderstatus <> 'P')"
+
+
+@query(f"""WITH {_HITS}, s AS (SELECT *, count(*) OVER (PARTITION BY year(day)) AS ny, count(*) OVER (PARTITION BY year(day), month(day)) AS nm, count(*) OVER (PARTITION BY day) AS nd FROM h),
+c AS (SELECT *, CASE WHEN ny <= 250 THEN make_date(year(day), 1, 1) WHEN nm <= 250 THEN make_date(year(day), month(day), 1) ELSE CAST(day AS DATE) END AS first,
+    CASE WHEN ny <= 250 THEN make_date(year(day), 12, 31) WHEN nm <= 250 THEN last_day(day) ELSE CAST(day AS DATE) END AS last, ny > 250 AND nm > 250 AND nd > 250 AS cut FROM s)
+SELECT first, last, any_value(cut) AS cut, count(*) AS n, CAST(sum(number) AS BIGINT) AS numbers FROM c GROUP BY first, last""")
+def thread_search(spark, sf_dir):
+    """A search that shows 250 hits of those of each range: years, months or days, read in pages of 50."""
+    path = f"{fresh_folder(spark)}/hits"
+    o = X.table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
+    text = lambda s: F.lit(s)
+    hits = o.select(text("issues").alias("kind"), text("o").alias("owner"), text("r").alias("repo"), F.col("o_orderkey").cast("int").alias("number"), text("t").alias("title"), text("me").alias("author"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), F.col("o_orderdate").cast("date").alias("day"))
+    hits.write.parquet(path)
+    first, last = hits.agg(F.min("day"), F.max("day")).first()
+    found = N.search(spark, N.RecordedHits(path), "issues", "me", f"{first.year}-01-01", f"{last.year}-12-31", most=250, page=50)
+    return found.groupBy("first", "last").agg(F.first("cut").alias("cut"), F.count("*").alias("n"), F.sum(F.col("number").cast("long")).alias("numbers"))
+
+
+@query("""WITH m AS (SELECT 'c' || (conv_id % 12) AS channel, conv_id * 1000 + turn AS ts, CASE WHEN turn % 3 = 2 THEN conv_id * 1000 + turn - 2 END AS thread_ts, text FROM conversations)
+SELECT channel, count(*) AS n, count(thread_ts) AS n_replies, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(ts) AS BIGINT) AS times FROM m GROUP BY channel""")
+def channel_stream(spark, sf_dir):
+    """Every third message is a reply to the one two before.  Half of the messages are there when the stream first runs, the others when it is started again, and a third run finds nothing new."""
+    home = fresh_folder(spark)
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    ts = lambda x: x.cast("long").cast("string")
+    none = F.lit(None).cast("string")
+    reply = F.col("turn") % 3 == 2
+    m = X.table(spark, sf_dir, "conversations").withColumn("threads", F.count_if(reply).over(W.partitionBy("conv_id", F.floor(F.col("turn") / 3))))
+    m = m.select(F.concat(F.lit("c"), (F.col("conv_id") % 12).cast("string")).alias("channel"), ts(at).alias("ts"), F.when(reply, ts(at - 2)).alias("thread_ts"), F.col("role").alias("user"), "text", none.alias("subtype"), none.alias("bot_id"), F.when(reply, 0).otherwise(F.col("threads")).cast("long").alias("reply_count"))
+    half = m.agg(F.percentile_approx(F.col("ts").cast("long"), 0.5)).first()[0]
+    for part in (F.col("ts").cast("long") <= half, F.col("ts").cast("long") > half, F.lit(False)):
+        m.filter(part).write.mode("append").parquet(f"{home}/recorded")
+        N.follow(spark, N.RecordedChannels(f"{home}/recorded"), f"{home}/messages", f"{home}/checkpoint")
+    kept = table_rows(spark, f"{home}/messages", N.MESSAGE)
+    return kept.groupBy("channel").agg(F.count("*").alias("n"), F.count("thread_ts").alias("n_replies"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"), F.sum(F.col("ts").cast("long")).alias("times"))
+
+
+@query(r"""WITH t AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM benchmark) WHERE length(w) >= 8),
+w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS w FROM documents),
+n AS (SELECT doc_id, count(*) AS n_terms, sum(length(w)) AS chars FROM w JOIN t ON w.w = t.term GROUP BY doc_id)
+SELECT doc_id, coalesce(n_terms, 0) AS n_terms, length(text) - CAST(coalesce(chars, 0) AS BIGINT) + 6 * coalesce(n_terms, 0) AS n_chars FROM documents LEFT JOIN n USING (doc_id)""")
+def redacted_terms(spark, sf_dir):
+    """The long words of the benchmark as a user's terms, in all documents."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    terms = X.table(spark, sf_dir, "benchmark").select(words.alias("term")).filter(F.length("term") >= 8)
+    out = R.without_terms(X.table(spark, sf_dir, "documents").select("doc_id", "text"), terms)
+    return out.select("doc_id", "n_terms", F.length("text").cast("long").alias("n_chars"))

@@ -6,6 +6,7 @@ observations, labels and versions are kept in the folder and reused while their
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from ..operators.sessions import first_diff
 from ..operators.turns import HUMAN_SOURCES, chunks, is_human_source, turn_lines, turn_pairs
 
 KEY = ["source", "conv_id"]
-PROMPTS = {"observe": "List observations about how the owner thinks.", "observe_human": "List observations about the owner among peers.", "refine": "Keep what is distinctive.", "label": "Label each observation.", "theme_identify": "Name 15 to 25 themes that the labels share, each on a line after THEME: .", "theme_map": "Assign each label to one of the themes: label -> theme.", "summarize": "Summarise the cluster.", "thesis": "Outline every cluster.", "compose": "Write the document.", "learn": "Write the document.", "questions": "Ask ten questions that the document should help to answer, as a JSON array of objects with id, category and prompt."}
+PROMPTS = {"observe": "List observations about how the owner thinks.", "observe_human": "List observations about the owner among peers.", "refine": "Keep what is distinctive.", "label": "Label each observation.", "theme_identify": "Name 15 to 25 themes that the labels share, each on a line after THEME: .", "theme_map": "Assign each label to one of the themes: label -> theme.", "summarize": "Summarise the cluster.", "thesis": "Outline every cluster.", "compose": "Write the document.", "learn": "Write the document.", "update": "Change the document only where the observations give reason to, and keep it short.", "questions": "Ask ten questions that the document should help to answer, as a JSON array of objects with id, category and prompt."}
 LABELS_A_CALL = 10
 #: More distinct labels than this are mapped to themes, in calls of so many.
 THEMED_FROM, THEMED_A_CALL = 50, 100
@@ -40,6 +41,7 @@ class Profile:
         self.OBSERVATIONS, self.LABELS = (s.replace("conv_id long", f"conv_id {ids}") for s in (self.OBSERVATIONS, self.LABELS))
         self.tasks = tasks or spark.sparkContext.defaultParallelism
         self.usage: list[tuple] = []
+        self.run, self.metrics = ("", ""), []
 
     def table(self, name: str, schema: str) -> DataFrame:
         return table_rows(self.spark, f"{self.folder}/{name}", schema)
@@ -47,15 +49,33 @@ class Profile:
     def _ask(self, stage: str, requests: DataFrame, most: int = 4096, cut: bool = False) -> DataFrame:
         """Responses of requests(req_id, system, input); a failed one, or one that was cut short unless `cut` allows it, fails the stage after the others are written."""
         asked = requests.select("req_id", F.lit(stage).alias("stage"), "system", "input", F.lit(most).alias("max_tokens"))
-        out = respond(asked, self.client, self.tasks, path=f"{self.folder}/calls/{stage}-{uuid.uuid4().hex[:8]}")
-        n, tokens_in, tokens_out, bad, short = out.agg(F.count("*"), F.sum("input_tokens"), F.sum("output_tokens"), F.min("error"), F.count_if("truncated")).first()
-        self.usage.append((stage, n, tokens_in or 0, tokens_out or 0))
-        if bad:
-            raise RuntimeError(f"{stage}: {bad}")
-        if short and not cut:
-            raise RuntimeError(f"{stage}: {short} answers were cut short at {most} tokens")
+        seen: dict = {}
+        out = respond(asked, self.client, self.tasks, path=f"{self.folder}/calls/{stage}-{uuid.uuid4().hex[:8]}", metrics=seen)
+        self.usage.append((stage, seen["requests"], seen["input_tokens"], seen["output_tokens"]))
+        self.metrics.append((self.run[0], self.run[1], len(self.metrics), stage, *(seen[c] for c in ("requests", "bytes_in", "failed", "cut", "input_tokens", "output_tokens", "bytes_out", "ms"))))
+        if seen["error"]:
+            raise RuntimeError(f"{stage}: {seen['error']}")
+        if seen["cut"] and not cut:
+            raise RuntimeError(f"{stage}: {seen['cut']} answers were cut short at {most} tokens")
         return out
 
+    METRICS = "source string, run string, seq int, stage string, requests long, bytes_in long, failed long, cut long, input_tokens long, output_tokens long, bytes_out long, ms long"
+
+    @contextmanager
+    def _told(self, verb: str):
+        """Keeps what the stages of a run observed in the table run_metrics, of failed runs too; source is the verb."""
+        self.run, self.metrics = (verb, uuid.uuid4().hex[:12]), []
+        try:
+            yield
+        finally:
+            if self.metrics:
+                upsert(f"{self.folder}/run_metrics", self.spark.createDataFrame(self.metrics, self.METRICS).coalesce(1), ["source", "run"], buckets=1)  # a row a stage
+                self.metrics = []
+
+    def run_metrics(self) -> DataFrame:
+        """source (the verb), run, seq, stage, and what was observed of each stage of all runs."""
+        return self.table("run_metrics", self.METRICS)
+
     @staticmethod
     def _bounded(rows: DataFrame, text: str) -> DataFrame:
         size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -211,6 +231,10 @@ class Profile:
 
     def map_reduce(self, messages: DataFrame, ts: int, limit: int = 0, reobserve: bool = False, learn: bool = False) -> dict:
         """Observe without the relevance filter, then one call over all observations; `learn`: only that call, over what there is."""
+        with self._told("map_reduce"):
+            return self._map_reduce(messages, ts, limit, reobserve, learn)
+
+    def _map_reduce(self, messages: DataFrame, ts: int, limit: int, reobserve: bool, learn: bool) -> dict:
         done = {"processed": 0, "remaining": 0} if learn else self.observe(messages, limit, reobserve, relevant=False, by_state=False)
         shown = self.entries().select(*KEY, "idx", observation_format(F.lit(None).cast("string"), "quote", "text").alias("x"))
         whole = self._bounded(shown, "x").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*KEY, "idx", "x"))), lambda r: r["x"]), "\n\n---\n\n").alias("input"))
@@ -219,6 +243,10 @@ class Profile:
 
     def clustered(self, messages: DataFrame, ts: int, limit: int = 0, least: int = K.LEAST_MEMBERS, reobserve: bool = False, relabel: bool = False) -> dict:
         """Observe, label, map labels to themes if there are many, group, sample, summarise, outline, compose."""
+        with self._told("clustered"):
+            return self._clustered(messages, ts, limit, least, reobserve, relabel)
+
+    def _clustered(self, messages: DataFrame, ts: int, limit: int, least: int, reobserve: bool, relabel: bool) -> dict:
         done = self.observe(messages, limit, reobserve)
         labels = self.label(relabel).select(*KEY, "idx", normal_label("label").alias("label"))
         rows = K.clustered(K.themed(self.entries(), labels, self.theme(), [*KEY, "idx"]), least).withColumn("tok", token_estimate("text"))
@@ -245,6 +273,17 @@ class Profile:
             self._version(ts, self._ask("compose", text.select(F.lit("compose").alias("req_id"), F.lit(PROMPTS["compose"]).alias("system"), F.concat_ws("\n\n", "thesis", "input", "noise").alias("input"))))
         return {**done, "clusters": n}
 
+    def incremental(self, messages: DataFrame, ts: int, limit: int = 0, reobserve: bool = False) -> dict:
+        """Observe, then fold the observations that are new into the document, in order and some at a time."""
+        from .fold import fold
+
+        with self._told("incremental"):
+            done = self.observe(messages, limit, reobserve)
+            document, calls = fold(self, messages, PROMPTS["update"])
+            if calls:
+                self._version(ts, self.spark.createDataFrame([(document,)], "text string"))
+            return {**done, "updates": calls}
+
     def versions(self) -> DataFrame:
         return self.table("versions", self.VERSIONS)
 

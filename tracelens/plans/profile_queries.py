@@ -59,3 +59,29 @@ def pipeline_second_run_is_noop(spark, sf_dir):
     p.usage.clear()
     p.observe(_messages(spark, sf_dir))
     return spark.range(1).select(F.lit(sum(u[1] for u in p.usage)).cast("long").alias("calls"))
+
+
+@query(f"""{X.VIEWS}, n AS (SELECT count(DISTINCT conv_id) AS n FROM turns)
+SELECT 0 AS seq, 'observe' AS stage, n AS requests, 0::BIGINT AS failed, 100 * n AS input_tokens, 50 * n AS output_tokens FROM n
+UNION ALL SELECT 1, 'refine', n, 0, 100 * n, 50 * n FROM n UNION ALL SELECT 2, 'compose', 1, 0, 100, 50""")
+def run_metrics(spark, sf_dir):
+    """What was observed of each stage while a run wrote its answers."""
+    p = Profile(spark, fresh_folder(spark))
+    p.map_reduce(_messages(spark, sf_dir), 1)
+    return p.run_metrics().select("seq", "stage", "requests", "failed", "input_tokens", "output_tokens")
+
+
+_FOLDED = f"""{X.VIEWS}, e AS (SELECT source, conv_id, row_number() OVER (PARTITION BY source, conv_id ORDER BY idx) - 1 AS idx, trim(text) AS text FROM obs WHERE strlen(trim(text)) >= 20),
+o AS (SELECT *, row_number() OVER (ORDER BY conv_id DESC, source DESC, idx DESC) AS back FROM e)
+{_SAME.replace('1::BIGINT', '2::BIGINT')} (SELECT string_agg(text, chr(10) ORDER BY back DESC) AS doc FROM o WHERE back <= 40)"""
+
+
+@query(_FOLDED)
+def pipeline_incremental(spark, sf_dir):
+    """Two runs, the second with conversations that came later; the stand-in keeps the last forty lines of what was folded."""
+    p = Profile(spark, fresh_folder(spark))
+    m = _messages(spark, sf_dir)
+    half = m.agg(F.percentile_approx("conv_id", 0.5)).first()[0]
+    p.incremental(m.filter(F.col("conv_id") <= half), 1)
+    p.incremental(m, 2)
+    return p.versions().filter("ts = 2").select("ts", F.md5("content").alias("digest"), F.length("content").alias("n_chars"))
