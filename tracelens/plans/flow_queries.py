@@ -110,10 +110,11 @@ def latest_version(spark, sf_dir):
     return I.latest(v)
 
 
-@query(V + "SELECT source, conv_id, CASE WHEN conv_id % 2 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes FROM entries WHERE conv_id % 2 = 0 OR conv_id % 3 = 0")
+@query(V + "SELECT source, conv_id, CASE WHEN conv_id % 3 = 0 THEN size_bytes ELSE size_bytes + 1 END AS size_bytes FROM entries")
 def sync_merge(spark, sf_dir):
+    """A third is ours alone, a third theirs, and of what both have theirs counts."""
     e = X.entries(spark, sf_dir).select("source", "conv_id", "size_bytes")
-    return I.merged(e.filter("conv_id % 3 = 0"), e.filter("conv_id % 2 = 0").withColumn("size_bytes", F.col("size_bytes") + 1), ["source", "conv_id"])
+    return I.merged(e.filter("conv_id % 3 <> 1"), e.filter("conv_id % 3 <> 0").withColumn("size_bytes", F.col("size_bytes") + 1), ["source", "conv_id"])
 
 
 @query("SELECT id, conv_id, turn FROM (SELECT conv_id % 40 AS id, conv_id, turn, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY turn DESC, strlen(text) DESC, conv_id) AS n FROM conversations) WHERE n = 1")
@@ -278,10 +279,11 @@ def channel_activity(spark, sf_dir):
     return H.channel_activity(e.select(F.col("event_type").alias("channel"), F.col("event_id").alias("ts"), F.col("user_id").alias("thread_ts")))
 
 
-@query("WITH h AS (SELECT conv_id, turn, 'history' AS kind FROM conversations WHERE turn % 2 = 0), r AS (SELECT conv_id, turn, 'reply' AS kind FROM conversations WHERE turn % 3 = 0) SELECT * FROM h UNION ALL SELECT r.* FROM r ANTI JOIN h USING (conv_id, turn)")
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'reply' ELSE 'history' END AS kind FROM conversations")
 def thread_reply_merge(spark, sf_dir):
+    """A third is history alone, a third replies, and what is both counts as history."""
     m = X.table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    return H.with_replies(m.filter("turn % 2 = 0").withColumn("kind", F.lit("history")), m.filter("turn % 3 = 0").withColumn("kind", F.lit("reply")), ["conv_id", "turn"])
+    return H.with_replies(m.filter("turn % 3 <> 1").withColumn("kind", F.lit("history")), m.filter("turn % 3 <> 0").withColumn("kind", F.lit("reply")), ["conv_id", "turn"])
 
 
 @query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, CAST(c_custkey AS VARCHAR)) AS name FROM customer")

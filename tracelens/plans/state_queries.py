@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..model.client import StubClient
 from ..operators import clusters as C
@@ -16,9 +17,11 @@ from .questions import universal
 from .registry import query
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(o).lower()}, {i}::INTEGER)" for i, (n, o) in enumerate(S.BUILTIN)) + ") AS v(source, opt_in, place)")
+@query(X.VIEWS + ", r AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(o).lower()}, {i}::INTEGER)" for i, (n, o) in enumerate(S.BUILTIN)) + ") AS v(source, opt_in, place)) SELECT source, opt_in, place, count(conv_id) AS n, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS n_bytes FROM r LEFT JOIN entries USING (source) GROUP BY ALL")
 def source_registry(spark, sf_dir):
-    return S.registry(spark)
+    """The built-in sources with what is stored of each."""
+    stored = X.entries(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("n_bytes"))
+    return S.registry(spark).join(stored, "source", "left").fillna(0, ["n", "n_bytes"])
 
 
 @query(X.VIEWS + "SELECT * FROM entries WHERE source IN ('codex', 'slack')")
@@ -92,9 +95,13 @@ def version_diffs(spark, sf_dir):
     return p.versions().select("ts", "diff")
 
 
-@query("SELECT category, n::BIGINT AS n FROM (VALUES ('architecture', 4), ('tradeoff', 4), ('scoping', 4), ('meta', 4), ('failure', 3), ('people', 3)) AS v(category, n)")
+@query(X.VIEWS + ", v AS (SELECT * FROM (VALUES ('architecture', 4), ('tradeoff', 4), ('scoping', 4), ('meta', 4), ('failure', 3), ('people', 3)) AS v(category, n)), d AS (SELECT source, string_agg(text, chr(10) ORDER BY conv_id, idx) AS doc FROM obs GROUP BY source) SELECT source, category, n::BIGINT AS n, CAST(n * strlen(doc) AS BIGINT) AS n_bytes FROM v, d")
 def universal_questions(spark, sf_dir):
-    return universal(spark).groupBy("category").agg(F.count("*").alias("n"))
+    """The built-in questions, asked of a document of each source: calls and bytes of documents that they send."""
+    lines = F.array_sort(F.collect_list(F.struct("conv_id", "idx", "text")))
+    documents = X.observations(spark, sf_dir).groupBy("source").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("document"))
+    asked = universal(spark).join(documents)  # every question of every document is a call
+    return asked.groupBy("source", "category").agg(F.count("*").alias("n"), F.sum(F.octet_length("document")).cast("long").alias("n_bytes"))
 
 
 @query("SELECT 'q' || i AS id, 'domain' AS category FROM (SELECT unnest(range(1, CAST(least(10, count(*)) AS BIGINT) + 1)) AS i FROM conversations)")
@@ -108,15 +115,20 @@ def domain_questions(spark, sf_dir):
     return again.select("id", "category")
 
 
-@query("SELECT session::INTEGER AS session, seq::BIGINT AS seq, role FROM (VALUES (1, 0, 'user'), (1, 1, 'assistant'), (1, 2, 'user'), (1, 3, 'assistant'), (2, 0, 'user'), (2, 1, 'assistant'), (2, 2, 'user'), (2, 3, 'assistant'), (3, 0, 'user'), (3, 1, 'assistant')) AS v(session, seq, role)")
+@query("""WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations WHERE role = 'user'),
+t AS (SELECT conv_id, 2 * n AS seq, 'user' AS role, strlen(text) AS n_bytes FROM u UNION ALL SELECT conv_id, 2 * n + 1, 'assistant', strlen('1 lines') FROM u),
+last AS (SELECT max(conv_id) AS conv_id FROM u)
+SELECT CAST(conv_id AS VARCHAR) AS id, count(*) AS n_turns, max(seq) AS last_seq, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, conv_id = (SELECT conv_id FROM last) AS latest FROM t GROUP BY conv_id""")
 def session_turns(spark, sf_dir):
-    """Two questions in one session, a new one, another service's own, and the latest resumed."""
-    s = S.Sessions(spark, f"{fresh_folder(spark)}/sessions", StubClient(), iter(range(100)).__next__)
-    first, _ = s.ask("a", "doc", resume=True)
-    s.ask("b", "doc", resume=True)
-    second, _ = s.ask("c", "doc", None)
-    s.ask("d", "doc", second, resume=True)
-    third, _ = s.ask("e", "doc")
-    assert s.latest() == second and first != second != third
-    place = F.when(F.col("id") == first, 1).when(F.col("id") == second, 2).otherwise(3)
-    return s.rows().select(place.alias("session"), "seq", "role")
+    """The owners' messages as questions of sessions, a session a conversation, with answers of one line; the latest goes on when it is resumed, and a new one is left out."""
+    u = X.table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("n", (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).cast("long"))
+    asked = u.select(F.col("conv_id").cast("string").alias("id"), (2 * F.col("n")).alias("seq"), F.lit("user").alias("role"), F.col("text").alias("content"), (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("at"))
+    told = asked.select("id", (F.col("seq") + 1).alias("seq"), F.lit("assistant").alias("role"), F.lit("1 lines").alias("content"), "at")
+    folder = f"{fresh_folder(spark)}/sessions"
+    asked.unionByName(told).write.parquet(folder)
+    s = S.Sessions(spark, folder, StubClient(), iter(range(10**15, 10**15 + 9)).__next__)
+    latest = s.latest()
+    new, _ = s.ask("Anything else?", "document")
+    assert new != latest and s.latest() in (latest, new)
+    rows = s.rows().filter(F.col("id") != new)
+    return rows.groupBy("id").agg(F.count("*").alias("n_turns"), F.max("seq").alias("last_seq"), F.sum(F.octet_length("content")).cast("long").alias("n_bytes")).withColumn("latest", F.col("id") == latest)
