@@ -331,6 +331,69 @@ def test_store_round_trip(spark, tmp_path, odd, empty):
     assert store.stored(odd, path).count() == 8 and store.stored(empty, path).count() == 0
 
 
+def plain_fingerprint(terms):
+    """The fingerprint of sorted term hashes, made part by part."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    number = lambda v, seed=42: xxhash.xxh64_intdigest((v % (1 << 64)).to_bytes(8, "little"), seed % (1 << 64))
+
+    def chained(values):
+        h = 42
+        for v in values:
+            h = number(v, h)
+        return h
+
+    def parts(of):
+        out = []
+        for p in range(64):
+            own = [t for t in of if (t >> 58) + 32 == p]
+            h = None
+            for t in own:
+                h = number(t) if h is None else number(t, number(signed(h)))
+            out.append("--------" if h is None else f"{h & 0xFFFFFFFF:08X}")
+        return out
+
+    fine = parts(terms)
+    united = []
+    for n in imatch.UNITED:
+        for i in range(0, 64, n):
+            some = fine[i : i + n]
+            united.append("--------" if set(some) == {"--------"} else f"{xxhash.xxh64_intdigest(('.'.join(some) + '.').encode(), 42):016X}")
+    first = ["--------" if not terms else f"{chained(terms):016X}"]
+    one = [t for t in terms if (t >> 56) & 3 == 0]
+    two = [t for t in one if (t >> 54) & 3 == 0]
+    return ".".join([*first, *united, *fine, *parts(one), *parts(two)])
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    """Lexicon band, parts and likeness, recomputed term by term."""
+    import re
+
+    import xxhash
+
+    texts = [*corpus(60, 3), "", "one", "the the the", "Ünïcode wörds 12 34", None]
+    terms = lambda t: {(h - (1 << 64) if h >> 63 else h) for h in (xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\W_]+", (t or "").lower()))}
+    df = collections.Counter(x for t in texts for x in terms(t))
+    n = len(texts)
+    band = {x % (1 << imatch.SLOT_BITS) for x, k in df.items() if imatch.RARE * n <= k <= imatch.COMMON * n}
+    kept = lambda t: sorted(own if len(own := {x for x in terms(t) if x % (1 << imatch.SLOT_BITS) in band}) >= imatch.FEW else terms(t))
+
+    def like(a, b):
+        pairs = [(p, q) for p, q in zip(a.split("."), b.split(".")) if not p == q == "--------"]
+        return sum(p == q for p, q in pairs) / len(pairs) if pairs else 1.0
+
+    got = {r.doc_id: r for r in imatch.edited_and_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    told = [t or "" for t in texts]
+    for i, t in enumerate(told):
+        following = told[(i + 1) % n]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        own, other, after = (plain_fingerprint(kept(x)) for x in (t, edited, following))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own, other), (i, t[:40])
+        assert got[i].near_edited == pytest.approx(like(own, other)) and got[i].near_next == pytest.approx(like(own, after))
+
+
 def test_licenses(spark, odd, empty):
     mit = next(t for i, t in licenses.KNOWN if i == "MIT")
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper()), (2, "text\nReleased under the MIT Licence.\nLicensed under CC BY-NC 4.0"), (3, "MIT")]
@@ -377,6 +440,28 @@ def test_licenses_of_whole_texts(spark):
     assert got[100].notices == "MIT"
 
 
+def test_licenses_by_identifier(spark):
+    lines = ["// SPDX-License-Identifier: BSD-3-Clause", "# SPDX-License-Identifier: GPL-2.0-or-later", "/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-2-Clause */", " * SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "SPDX-License-Identifier: LicenseRef-Own", "SPDX-License-Identifier:"]
+    want = ["BSD-3-Clause", "GPL-2.0-or-later", "Apache-2.0,BSD-2-Clause,MIT", "GPL-2.0", "", ""]
+    whole = {i: t for i, t in licenses.KNOWN if i in ("Zlib", "BSL-1.0", "Unlicense") and len(t) > 200}
+    rows = [(i, f"first\n{x}\nlast") for i, x in enumerate(lines)] + [(10, f"zlib License\n\n(C) 2020 Someone\n\n{whole['Zlib']}"), (11, whole["BSL-1.0"].replace("Software, and", "Software,\n  and")), (12, whole["Unlicense"].replace("http:", "https:")), (13, f"/* {whole['Zlib']} */ int x;")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].notices for i in range(len(want))] == want
+    assert [got[i].license_id for i in (10, 11, 12, 13)] == ["Zlib", "BSL-1.0", "Unlicense", None] and got[13].notices == "Zlib"
+
+
+def test_license_sql_on_whole_texts(spark):
+    """The SQL, whose catalogue is the query's, on licences inside longer texts and on whole ones."""
+    con = pytest.importorskip("duckdb").connect()
+    texts = [p.read_text() for p in sorted(licenses.TEXTS.glob("*.txt"))]
+    rows = list(enumerate([*texts, *[f"Before it.\n\n{t}\n\nAfter it." for t in texts], *[t for _, t in licenses.KNOWN], "a\n" + "\n".join(t for _, t in licenses.KNOWN), "", None]))
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {d: (i, n) for d, _, i, n in con.execute(licenses.oracle()).fetchall()}
+    got = {r.doc_id: (r.license_id, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and all(got[len(texts) + k][1] for k in range(len(texts)))
+
+
 def test_main_text_held_out():
     model, rng = pages.default_model(), random.Random(99)
     wrong = total = 0

@@ -39,8 +39,24 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _WARRANTY.replace("OR COPYRIGHT HOLDERS ", "") + " For more information, please refer to <http://unlicense.org/>"),
 ]
 
+#: Identifiers that lines with the SPDX tag name.
+IDENTIFIERS = (
+    "0BSD AFL-2.1 AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 "
+    "BlueOak-1.0.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPAL-1.0 CPL-1.0 ECL-2.0 EFL-2.0 EPL-1.0 EPL-2.0 "
+    "EUPL-1.1 EUPL-1.2 GFDL-1.2-only GFDL-1.2-or-later GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later HPND ICU IPL-1.0 ISC JSON LGPL-2.0-only "
+    "LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OLDAP-2.8 OSL-3.0 "
+    "OpenSSL PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"
+).split()
+TAG = "SPDX-License-Identifier:"
+#: A licence alone has the id of its text; "or later" is one of its own.
+KNOWN += [(i.removesuffix("-only"), f"{TAG} {i}") for i in IDENTIFIERS if (i.removesuffix("-only"), f"{TAG} {i}") not in KNOWN]
+TAG_FORM = "spdx license identifier "
+
 #: How whole texts are headed, by id; and the address line that the GNU texts have had.
 TITLES = {
     "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
@@ -48,6 +64,9 @@ TITLES = {
     "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License", "Zero Clause BSD License", "0BSD"],
     "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng license"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"],
+    "Unlicense": ["The Unlicense", "UNLICENSE"],
 }
 TEXTS = Path(__file__).parent / "license_texts"
 ADDRESS = r"(?m)^ *51 Franklin Street, Fifth Floor, Boston, MA  ?02110-1301,? +USA *$"
@@ -148,6 +167,13 @@ def _passages(form: Column, spots: list[tuple[str, int]]) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
+def _tagged(line: Column) -> Column:
+    """The forms that a line's form stands for: itself, or, of an SPDX expression, each licence alone with the tag, without exceptions."""
+    expression = F.replace(F.substring(line, F.lit(len(TAG_FORM) + 1), F.length(line)), F.lit(" or later"), F.lit("\1"))  # the "or" of a name is none
+    alone = F.transform(F.split(expression, " (?:or|and) ", -1), lambda x: F.concat(F.lit(TAG_FORM), F.replace(F.regexp_replace(x, " with .*$", ""), F.lit("\1"), F.lit(" or later"))))
+    return F.when(F.startswith(line, F.lit(TAG_FORM)), alone).otherwise(F.array(line))
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, spots: list[tuple[str, int]] | None = None) -> DataFrame:
     """doc_id, digest, license_id, notices for each row of docs(doc_id, text).
 
@@ -161,7 +187,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None, spots: list[tuple[str,
     spots = spots if spots is not None else known_spots(docs.sparkSession)
     plain = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _plain(F.col("text").cast("string")).alias("plain"))
     forms = plain.select("doc_id", "row", _joined(F.col("plain")).alias("form"), F.transform(F.split(_spelled(F.col("plain")), "\n"), lambda x: F.trim(x)).alias("lines"))
-    lines = F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.sha2(x, 256)))
+    single = F.flatten(F.transform(F.filter("lines", lambda x: x != ""), _tagged))
+    lines = F.array_distinct(F.transform(single, lambda x: F.sha2(x, 256)))
     whole = F.struct(F.when(F.col("form") != "", F.sha2("form", 256)).alias("d"), F.lit(True).alias("whole"))
     parts = F.array_union(F.coalesce(lines, F.array().cast("array<string>")), F.coalesce(_passages(F.col("form"), spots), F.array().cast("array<string>")))
     each = F.concat(F.array(whole), F.coalesce(F.transform(parts, lambda d: F.struct(d.alias("d"), F.lit(False).alias("whole"))), F.array().cast("array<struct<d: string, whole: boolean>>")))
@@ -174,7 +201,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, spots: list[tuple[str,
 
 
 def oracle() -> str:
-    """The query's rows over `documents` as DuckDB SQL, as far as KNOWN and whole copyright lines go."""
+    """The query's rows over `documents` as DuckDB SQL: the whole catalogue, looked for in all texts, and whole copyright lines cut."""
 
     def form(x: str) -> str:
         out = f"regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
@@ -183,13 +210,15 @@ def oracle() -> str:
         return f"trim({out})"
 
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN)
-    held = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN if len(t) > LONG)
+    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in catalogue())
     return f"""
-WITH known AS (SELECT sha256({form('text')}) AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS v(license_id, text) GROUP BY 1),
+WITH forms AS MATERIALIZED (SELECT license_id, {form('text')} AS form FROM (VALUES {rows}) AS v(license_id, text)),
+known AS (SELECT sha256(form) AS digest, min(license_id) AS license_id FROM forms GROUP BY 1),
 whole AS (SELECT doc_id, CASE WHEN {form('text')} <> '' THEN sha256({form('text')}) END AS digest FROM documents),
-lines AS (SELECT doc_id, {form('line')} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
-held AS (SELECT license_id, ' ' || {form('text')} || ' ' AS form FROM (VALUES {held}) AS v(license_id, text)),
+whole_lines AS (SELECT doc_id, {form('line')} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+lines AS (SELECT doc_id, CASE WHEN starts_with(form, '{TAG_FORM}') THEN '{TAG_FORM}' || replace(regexp_replace(part, ' with .*$', ''), chr(1), ' or later') ELSE form END AS form
+          FROM (SELECT doc_id, form, unnest(CASE WHEN starts_with(form, '{TAG_FORM}') THEN regexp_split_to_array(replace(substr(form, {len(TAG_FORM) + 1}), ' or later', chr(1)), ' (or|and) ') ELSE [form] END) AS part FROM whole_lines)),
+held AS (SELECT DISTINCT license_id, ' ' || form || ' ' AS form FROM forms WHERE length(form) >= {LONG}),
 texts AS (SELECT doc_id, ' ' || {form('text')} || ' ' AS form FROM documents),
 hits AS (SELECT doc_id, k.license_id FROM lines JOIN known k ON sha256(form) = k.digest WHERE form <> ''
          UNION SELECT doc_id, h.license_id FROM texts t JOIN held h ON contains(t.form, h.form)),
