@@ -4,7 +4,7 @@ Terms are lower-cased runs of letters and digits, known by a 64-bit hash.  The d
 counted over all documents; a term is in the lexicon if RARE <= df / N <= COMMON, that is ln(1 / COMMON) <= idf <=
 ln(1 / RARE).  The lexicon has at most 1 / RARE times as many terms as a document has on average, at every corpus size, so
 it is held as a bitmap of 2 ** SLOT_BITS slots of which few are taken; a term outside it is let in where it shares a
-slot, the part of the slots that are taken at most (100,000 terms: 5 %).  A
+slot, the part of the slots that are taken at most (100,000 terms: 1.2 %).  A
 document keeps its distinct terms in the lexicon (all its terms, if fewer than FEW are), sorts them, and
 hashes those of the whole lexicon and of each of its random subsets.  The subsets are drawn by the terms' own
 hash: 64 fine ones share the lexicon out, the coarse ones are unions of them, and nested ones are parts of them, so
@@ -21,11 +21,12 @@ from pyspark.sql import Window as W
 
 from . import common as C
 
-SLOT_BITS, RARE, COMMON, FEW = 21, 0.002, 0.2, 4
+SLOT_BITS, RARE, COMMON, FEW = 23, 0.002, 0.2, 4
 #: Bits of a term's hash that say which fine subset it is in; how many fine subsets a coarse one unites; and the bits
 #: that are zero in each nested subset: rates of 1/64, 1/16 and 1/4, and 1/256 and 1/1024, of the lexicon.
 FINE, UNITED, NESTED = 6, (4, 16), (2, 2)
-ROWS_EACH = 1000
+#: Rows of a range of the order, and ranges at most.
+ROWS_EACH, RANGES = 1000, 1 << 15
 
 
 def words(text: Column) -> Column:
@@ -153,9 +154,9 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = C.quantile_bounds(own.select("key"), "key", ROWS_EACH)
+    bounds = C.quantile_bounds(own.select("key"), "key", ROWS_EACH, most=RANGES)
     firsts = own.groupBy(C.bucket_of(F.col("key"), bounds).alias("part")).agg(F.min("key").alias("first")).select("first")
-    firsts = sorted(r["first"] for r in firsts.collect())  # one a range, 4,096 at most
+    firsts = sorted(r["first"] for r in firsts.collect())  # one a range, RANGES at most
     bitmap = lexicon(own)
     if not firsts:
         firsts = [0]
