@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,51 +210,58 @@ def _add(x: float, y: float) -> float:
 
 def train(pages: list[tuple[list, list[int]]], epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-5, seed: int = SEED) -> tuple[dict[str, float], list]:
     """Weights and transitions that maximise the log-likelihood of labelled blocks, by AdaGrad page after page."""
-    weight: dict[str, float] = {}
-    square: dict[str, float] = {}
-    move = [[[0.0, 0.0], [0.0, 0.0]] for _ in range(2)]
-    msquare = [[[1e-8, 1e-8], [1e-8, 1e-8]] for _ in range(2)]
-    known = [(*features(found), labels) for found, labels in pages if found]
+    place: dict[str, int] = {}
+    known = []
+    for found, labels in pages:
+        if found:
+            fs, same = features(found)
+            flat = np.array([place.setdefault(f, len(place)) for x in fs for f in x])
+            sizes = np.array([len(x) for x in fs])
+            own, at = np.unique(flat, return_inverse=True)
+            known.append((flat, np.cumsum(sizes) - sizes, sizes, own, at, np.array(same), np.array(labels, float)))
+    weight, square = np.zeros(len(place)), np.full(len(place), 1e-8)
+    move, msquare = np.zeros((2, 2, 2)), np.full((2, 2, 2), 1e-8)
     rng = random.Random(seed)
     for _ in range(epochs):
         rng.shuffle(known)
-        for fs, same, labels in known:
-            score = [sum(weight.get(f, 0.0) for f in x) for x in fs]
-            n = len(score)
-            fwd = [(0.0, score[0])]
+        for flat, starts, sizes, own, at, same, labels in known:
+            score = np.add.reduceat(weight[flat], starts)
+            n, given, steps = len(score), score.tolist(), move.tolist()
+            fwd, bwd = [(0.0, given[0])], [(0.0, 0.0)] * n
             for t in range(1, n):
-                m = move[same[t]]
-                a, b = fwd[-1]
-                fwd.append((_add(a + m[0][0], b + m[1][0]), _add(a + m[0][1], b + m[1][1]) + score[t]))
-            bwd = [(0.0, 0.0)] * n
+                m, (a, b) = steps[same[t]], fwd[-1]
+                fwd.append((_add(a + m[0][0], b + m[1][0]), _add(a + m[0][1], b + m[1][1]) + given[t]))
             for t in range(n - 2, -1, -1):
-                m = move[same[t + 1]]
-                a, b = bwd[t + 1]
-                b += score[t + 1]
+                m, (a, b) = steps[same[t + 1]], bwd[t + 1]
+                b += given[t + 1]
                 bwd[t] = (_add(m[0][0] + a, m[0][1] + b), _add(m[1][0] + a, m[1][1] + b))
-            z = _add(*fwd[-1])
-            for t in range(n):
-                g = labels[t] - math.exp(fwd[t][1] + bwd[t][1] - z)
-                if abs(g) > 1e-4:
-                    for f in fs[t]:
-                        square[f] = square.get(f, 1e-8) + g * g
-                        weight[f] = weight.get(f, 0.0) * (1 - decay) + rate * g / math.sqrt(square[f])
-                if t:
-                    k = same[t]
-                    for i in (0, 1):
-                        for j in (0, 1):
-                            p = math.exp(fwd[t - 1][i] + move[k][i][j] + (score[t] if j else 0.0) + bwd[t][j] - z)
-                            g = (labels[t - 1] == i and labels[t] == j) - p
-                            msquare[k][i][j] += g * g
-                            move[k][i][j] += rate * g / math.sqrt(msquare[k][i][j])
-    return weight, move
+            z, f, b = _add(*fwd[-1]), np.array(fwd), np.array(bwd)
+            g = labels - np.exp(f[:, 1] + b[:, 1] - z)
+            slope = np.bincount(at, np.repeat(g, sizes), len(own))
+            square[own] += slope**2
+            weight[own] = weight[own] * (1 - decay) + rate * slope / np.sqrt(square[own])
+            if n > 1:
+                # the chance of each pair of states at each step, from and to
+                p = np.exp(f[:-1, :, None] + move[same[1:]] + (b[1:] + np.outer(score[1:], (0, 1)))[:, None, :] - z)
+                states = np.stack([1 - labels, labels], 1)
+                steep = states[:-1, :, None] * states[1:, None, :] - p
+                slope = np.stack([steep[same[1:] == k].sum(0) for k in (0, 1)])
+                msquare += slope**2
+                move += rate * slope / np.sqrt(msquare)
+    return {f: float(weight[i]) for f, i in place.items()}, move.tolist()
+
+
+@cache
+def _words(alphabet: str, n: int = 3000) -> list[str]:
+    rng = random.Random(f"{SEED}{alphabet}")
+    return ["".join(rng.choices(alphabet, k=rng.randint(1, 9))) for _ in range(n)]
 
 
 def labelled_page(rng: random.Random) -> str:
     """A page made by rule; text that is content stands between \x02 and \x03."""
-    alphabet = rng.choice(["etaoinshrdlu", "enirstaduhlä", "esaitnrulodé", "eaosrnidlcñó"])
-    word = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9)))
-    words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    pool = _words(rng.choice(["etaoinshrdlu", "enirstaduhlä", "esaitnrulodé", "eaosrnidlcñó"]))
+    word = lambda: rng.choice(pool)
+    words = lambda a, b: " ".join(rng.choices(pool, k=rng.randint(a, b)))
     sentence = lambda a=4, b=25: words(a, b).capitalize() + rng.choice([".", ".", ".", "?", "!", ",", "***", " &amp;&amp;", ""])
     para = lambda: " ".join(sentence() for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 8])))
     yes = lambda s: f"\x02{s}\x03"
