@@ -149,3 +149,42 @@ def test_upload_from_files_and_evaluation_by_verbs(spark, tmp_path, capsys):
     n = I.table_rows(spark, f"{home}/answers", "source string, key string, fp string, response string").count()
     asked = app.questions().count() + 1
     assert n == 2 * asked
+
+
+def test_sync_by_categories(spark, tmp_path):
+    app = cli.App(spark, f"file://{tmp_path}/a")
+    plugin_file(tmp_path / "made", "one", ["I prefer small changes", "fine", "and tests for all of them"], "2024-05-01T00:00:00Z")
+    app.import_folder(f"file://{tmp_path}/made", "reviews", "human")
+    app.compose("map-reduce", at=7)
+    with pytest.raises(KeyError):
+        app.sync(f"file://{tmp_path}/b", ["nothing"])
+    assert app.sync(f"file://{tmp_path}/b", ["conversations"]) == {"conversations": 1}
+    other = cli.App(spark, f"file://{tmp_path}/b")
+    assert other.human_sources() == ["reviews"] and other.show() is None and other.profile.entries().count() == 0
+    for _ in range(2):
+        assert app.sync(f"file://{tmp_path}/b") == {"conversations": 1, "observations": 1, "versions": 1}
+    assert other.show() == app.show() and other.profile.entries().count() == app.profile.entries().count() == 2
+    new = cli.App(spark, f"file://{tmp_path}/c")
+    assert new.sync(f"file://{tmp_path}/none", back=True) == {"conversations": 0, "observations": 0, "versions": 0}
+    assert new.sync(f"file://{tmp_path}/b", ["versions"], back=True) == {"versions": 1} and new.show() == app.show()
+
+
+def test_answers_in_pieces(spark, tmp_path):
+    from tracelens.model.client import Answer, StubClient, streamed
+    from tracelens.operators.sessions import Sessions
+
+    class Telling(StubClient):
+        def stream(self, stage, system, text, max_tokens, thinking):
+            assert (max_tokens, thinking) == (4096 + 16_000, 16_000)
+            yield "let me see", True
+            yield "It ", False
+            yield "depends.", False
+            yield Answer("", 3, 2)
+
+    told = []
+    s = Sessions(spark, f"file://{tmp_path}/s", Telling())
+    session, answer = s.ask("Well?", "doc", tell=lambda t, thought: told.append((t, thought)))
+    assert answer == "It depends." and told == [("let me see", True), ("It ", False), ("depends.", False)]
+    assert s.turns(session) == [("user", "Well?"), ("assistant", "It depends.")]
+    whole = []
+    assert streamed(StubClient(), "ask", "", "x", 10, lambda t, thought: whole.append((t, thought))).text == "1 lines" and whole == [("1 lines", False)]

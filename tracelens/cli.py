@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .model.client import StubClient
 from .operators import sessions as S
-from .operators.incremental import BUCKETS, exists, table_rows, upsert
+from .operators.incremental import BUCKETS, buckets_of, exists, settle, table_rows, upsert
 from .plans.evaluation import evaluate, report
 from .plans.profile import Profile
 from .plans.questions import custom, universal
@@ -79,8 +79,9 @@ class App:
             raise ValueError(f"no method {method}")
         return self.profile.clustered(self.messages(), at, limit, reobserve=reobserve, relabel=relabel)
 
-    def ask(self, question: str, new: bool = False) -> str:
-        return S.Sessions(self.spark, f"{self.home}/sessions", self.profile.client).ask(question, self.show() or "", resume=True, new=new)[1]
+    def ask(self, question: str, new: bool = False, tell=None) -> str:
+        """The answer; tell, if given, gets its pieces as they come."""
+        return S.Sessions(self.spark, f"{self.home}/sessions", self.profile.client).ask(question, self.show() or "", resume=True, new=new, tell=tell)[1]
 
     def show(self, diff: bool = False, ts: int | None = None) -> str | None:
         return self.profile.diff(ts) if diff else self.profile.show(ts)
@@ -108,13 +109,30 @@ class App:
         asked = asked.unionByName(custom(self.spark, folder).select("id", "category", "prompt")) if folder else asked
         return evaluate(self.profile, asked, document, seed=seed, answers=f"{self.home}/answers")
 
-    def sync(self, other: str, names: list[str] = ["conversations"]) -> None:
-        """Merges tables of this home into another's: what both have is taken from here, nothing is deleted there."""
-        keys = {"conversations": ["source", "conv_id"], "kinds": ["source"], "observations": ["source", "conv_id"], "labels": ["source", "conv_id", "idx"], "versions": ["source", "ts"]}
+    #: Tables of each category that sync() knows, with their keys; the first is the one that is counted.
+    CATEGORIES = {
+        "conversations": [("conversations", ["source", "conv_id"]), ("kinds", ["source"])],
+        "observations": [("profile/observations", ["source", "conv_id"]), ("profile/labels", ["source", "conv_id", "idx"])],
+        "versions": [("profile/versions", ["source", "ts"])],
+    }
+
+    def sync(self, other: str, names: list[str] = [], back: bool = False) -> dict[str, int]:
+        """Merges the named categories (none: all) of this home into another, or, back, of the other into this one; what both have is taken from
+        where it comes, nothing is deleted.  How many conversations, observed conversations and versions there were."""
         for name in names:
-            at = name if name in ("conversations", "kinds") else f"profile/{name}"
-            if exists(self.spark, f"{self.home}/{at}"):
-                upsert(f"{other.rstrip('/')}/{at}", self.spark.read.parquet(f"{self.home}/{at}").drop("bucket"), keys[name], buckets=1 if name == "kinds" else BUCKETS)
+            if name not in self.CATEGORIES:
+                raise KeyError(f"no category {name}")
+        here, there = (other.rstrip("/"), self.home) if back else (self.home, other.rstrip("/"))
+        out = {}
+        for name in names or self.CATEGORIES:
+            for i, (table, key) in enumerate(self.CATEGORIES[name]):
+                settle(self.spark, f"{here}/{table}")
+                rows = self.spark.read.parquet(f"{here}/{table}").drop("bucket") if exists(self.spark, f"{here}/{table}") else None
+                if i == 0:
+                    out[name] = rows.select(*key).distinct().count() if rows is not None else 0
+                if rows is not None and not rows.isEmpty():
+                    upsert(f"{there}/{table}", rows, key, buckets=buckets_of(self.spark, f"{here}/{table}") or BUCKETS)
+        return out
 
     def questions(self, folder: str | None = None) -> DataFrame:
         """The questions of an evaluation: a folder's own, or the built-in ones and those about the document."""
@@ -149,7 +167,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     c.add_argument("--type", dest="kind", default="ai")
     c = v.add_parser("sync")
     c.add_argument("other")
-    c.add_argument("names", nargs="*", default=["conversations"])
+    c.add_argument("names", nargs="*")
+    c.add_argument("--back", action="store_true", help="from the other home into this one")
     v.add_parser("questions").add_argument("--dir")
     c = v.add_parser("upload")
     c.add_argument("names", nargs="*")
@@ -166,7 +185,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.verb == "compose":
         print(app.compose(a.method, a.limit, a.reobserve, a.relabel, a.learn))
     elif a.verb == "ask":
-        print(app.ask(a.question, a.new))
+        app.ask(a.question, a.new, lambda piece, thinking: None if thinking else print(piece, end="", flush=True))
+        print()
     elif a.verb == "show":
         text = app.show(a.diff) or "There is no document yet."
         if a.output:
@@ -183,7 +203,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.verb == "import":
         print(app.import_folder(a.folder, a.name, a.kind))
     elif a.verb == "sync":
-        app.sync(a.other, a.names)
+        print("\n".join(f"{n} {name}" for name, n in app.sync(a.other, a.names, a.back).items()))
     elif a.verb == "upload":
         print(app.upload(dict(r.split("=", 1) for r in a.root), a.names))
     elif a.verb == "eval":

@@ -30,6 +30,31 @@ class Client(Protocol):
     def answer(self, stage: str, system: str, text: str, max_tokens: int) -> Answer: ...
 
 
+#: Tokens that a model may think for, besides those of its answer.
+THINKING = 16_000
+
+
+def streamed(client: Client, stage: str, system: str, text: str, max_tokens: int, tell, thinking: int = THINKING) -> Answer:
+    """The answer of a client, told in pieces as they come: tell(text, whether it is thought or said).
+
+    A client that streams has stream(stage, system, text, max_tokens, thinking), which yields such pairs and last an Answer, whose text is what
+    was said; max_tokens is for the answer alone.  One that does not is asked for its whole answer, which is one piece.
+    """
+    if not hasattr(client, "stream"):
+        answer = client.answer(stage, system, text, max_tokens)
+        tell(answer.text, False)
+        return answer
+    said = []
+    for piece in client.stream(stage, system, text, max_tokens + thinking, thinking):
+        if isinstance(piece, Answer):
+            return piece if piece.text else Answer("".join(said), piece.input_tokens, piece.output_tokens, piece.truncated)
+        words, thought = piece
+        if not thought:
+            said.append(words)
+        tell(words, thought)
+    return Answer("".join(said), 0, 0, True)  # it broke off
+
+
 class StubClient:
     """Answers by rule, the same for the same request; chosen by the request's stage, never by its prompt."""
 

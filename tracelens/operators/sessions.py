@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import col
-from ..model.client import Client
+from ..model.client import Client, streamed
 from .incremental import exists
 
 #: Built-in sources, and whether one has to ask for them.
@@ -146,8 +146,8 @@ class Sessions:
         """The session that was asked last by someone who resumes; null times don't count."""
         return self.rows().agg(F.max_by("id", "at")).first()[0]
 
-    def ask(self, question: str, document: str, session: str | None = None, resume: bool = False, new: bool = False) -> tuple[str, str]:
-        """(session, answer); an unknown session is an error; the system text is made of the document each time.
+    def ask(self, question: str, document: str, session: str | None = None, resume: bool = False, new: bool = False, tell=None) -> tuple[str, str]:
+        """(session, answer); an unknown session is an error; the system text is made of the document each time; tell gets the answer's pieces as they come.
 
         Without a session: the latest, if `resume` and there is one, else, or if `new`, a new one.  Only those who resume move the latest.
         """
@@ -160,7 +160,7 @@ class Sessions:
             past = self.turns(session) if session else []
             session = session or str(uuid.uuid4())
         text = json.dumps([*past, ("user", question)], ensure_ascii=False)
-        answer = self.client.answer("ask", document, text, 4096).text
+        answer = (streamed(self.client, "ask", document, text, 4096, tell) if tell else self.client.answer("ask", document, text, 4096)).text
         at = self.clock() if resume else None
         rows = [(session, len(past), "user", question, at), (session, len(past) + 1, "assistant", answer, at)]
         self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)

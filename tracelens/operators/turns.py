@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.text import compress_assistant, trim_space, turn_line
@@ -77,7 +78,7 @@ def fill_ordered(rows: DataFrame, key: list[str], order: list[str], size: str, l
                 out.append(chunk)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], names=[*names, "chunk"])
 
-    return sorted_rows.mapInArrow(run, rows.schema.add("chunk", "integer"))
+    return sorted_rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("chunk", T.IntegerType())]))
 
 
 def channel_chunks(messages: DataFrame, limit: int = CHANNEL_BYTES, spread: bool = False) -> DataFrame:

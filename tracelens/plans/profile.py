@@ -127,7 +127,8 @@ class Profile:
         """Labels of conversations whose observations changed (all of them, if `again`), in calls of LABELS_A_CALL that are told the labels in use."""
         if again:
             delete(self.spark, f"{self.folder}/labels")
-        system = K.label_prompt(PROMPTS["label"], K.vocabulary(self.table("labels", self.LABELS)))
+        # every call is told the labels in use, so together they must fit in one
+        system = K.label_prompt(PROMPTS["label"], self._bounded(K.vocabulary(self.table("labels", self.LABELS)), "label"))
         own = self.entries()
         per = own.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("o"))
         per = per.withColumn("fp", fingerprint(F.array_join(F.transform("o", lambda x: x["text"]), "\0"), F.lit(PROMPTS["label"])))
