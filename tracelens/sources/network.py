@@ -11,6 +11,7 @@ import datetime as dt
 import time
 from collections.abc import Iterator
 from typing import Protocol
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -229,11 +230,16 @@ def follow(spark: SparkSession, transport: Channels, path: str, checkpoint: str)
         stream.stop()
 
 
+def plain_path(path: str) -> str:
+    """A path as Arrow takes it: file URIs as local paths, others as they are."""
+    return urlparse(path).path if path.startswith("file:") else path
+
+
 class RecordedHits:
     """Hits that were recorded in Parquet at a path that Arrow can open: HIT, and the day of each."""
 
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = plain_path(path)
 
     def _found(self, kind, user, first, last):
         import pyarrow.compute as pc
@@ -261,7 +267,7 @@ class RecordedChannels:
     """Messages that were recorded in Parquet at a path that Arrow can open: channel, ts, thread_ts, user, text, subtype, bot_id, reply_count; rows with a thread_ts are replies."""
 
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = plain_path(path)
 
     def _rows(self, columns: list[str], asked=None) -> list[dict]:
         import pyarrow.dataset as ds
