@@ -188,3 +188,26 @@ def test_answers_in_pieces(spark, tmp_path):
     assert s.turns(session) == [("user", "Well?"), ("assistant", "It depends.")]
     whole = []
     assert streamed(StubClient(), "ask", "", "x", 10, lambda t, thought: whole.append((t, thought))).text == "1 lines" and whole == [("1 lines", False)]
+
+
+def test_two_documents_compared_blind(spark, tmp_path):
+    from tracelens.plans.evaluation import COMPARED, compare
+    from tracelens.plans.profile import Profile
+
+    p = Profile(spark, f"file://{tmp_path}/p")
+    seen = spark.createDataFrame([(i, f"observation {i}") for i in range(90)], "id long, text string")
+    one, two = (compare(p, a, b, seen, ["id"]) for a, b in (("first document", "second document"), ("second document", "first document")))
+    assert set(one["scores"]) == set(COMPARED) and one["differences"] and one["input_tokens"] == 200
+    # the same judgement whichever is ours
+    assert {d: (y, x) for d, (x, y) in one["scores"].items()} == two["scores"]
+    assert {compare(p, f"{i}", "x", seen, ["id"])["ours_is_a"] for i in range(6)} == {True, False}
+
+
+def test_context_of_corrections(spark):
+    from tracelens.operators.turns import turn_lines
+
+    code = "See:\n```py\nx = 1\n```\n" + "word " * 300
+    df = spark.createDataFrame([(code, "no, use y"), (code, "why " * 60)], "assistant string, human string")
+    kept, cut = [r.line for r in turn_lines(df, F.lit(False), preserve=True).collect()]
+    assert "x = 1" in kept and len(kept) > 1500 and "x = 1" not in cut and len(cut) < 900
+    assert "x = 1" not in turn_lines(df, F.lit(False)).first().line

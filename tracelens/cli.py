@@ -150,7 +150,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     c = v.add_parser("compose")
     c.add_argument("--method", default="clustering", choices=["clustering", "map-reduce", "incremental"])
     c.add_argument("--limit", type=int, default=0)
-    for flag in ("reobserve", "relabel", "learn"):
+    for flag in ("reobserve", "relabel", "learn", "preserve-context"):
         c.add_argument(f"--{flag}", action="store_true")
     c = v.add_parser("ask")
     c.add_argument("question")
@@ -183,6 +183,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         client = getattr(importlib.import_module(module), name)()
     app = App(spark or build("tracelens"), a.home, client or StubClient())
     if a.verb == "compose":
+        app.profile.preserve = a.preserve_context
         print(app.compose(a.method, a.limit, a.reobserve, a.relabel, a.learn))
     elif a.verb == "ask":
         app.ask(a.question, a.new, lambda piece, thinking: None if thinking else print(piece, end="", flush=True))

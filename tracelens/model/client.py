@@ -93,6 +93,11 @@ class StubClient:
         side = lambda i: " ".join(f"{d}={int(h[i + k], 16) % 6}" for k, d in enumerate(("reasoning", "voice", "awareness")))
         return f"RESPONSE_A: {side(0)}\nRESPONSE_B: {side(3)}"
 
+    def _compare(self, text: str) -> str:
+        side = lambda t: " ".join(f"{d}={int(hashlib.md5((d + t).encode()).hexdigest()[0], 16) % 6}" for d in ("coverage", "accuracy", "density", "voice", "actionability"))
+        a, b = text.partition("\n\nOBSERVATIONS:\n")[0].removeprefix("RESPONSE A:\n").split("\n\nRESPONSE B:\n")
+        return f"RESPONSE_A: {side(a)}\nRESPONSE_B: {side(b)}"
+
     def _prefer(self, text: str) -> str:
         return f"PREFERRED: {'AB'[int(hashlib.md5(text.encode()).hexdigest()[0], 16) % 2]}\nRATIONALE: by rule"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.text import compress_assistant, trim_space, turn_line
+from ..functions.text import byte_cut, compress_assistant, trim_space, turn_line
 from .spread import fill_spread
 
 #: Sources in which the other side are people.
@@ -39,9 +39,17 @@ def turn_pairs(messages: DataFrame, key: list[str] = ["conv_id"], human: Column
     return told.select(*key, "turn", "assistant", F.col("text").alias("human"))
 
 
-def turn_lines(turns: DataFrame, human: Column) -> DataFrame:
-    """Adds `line`: each turn as the model reads it, the assistant's text compressed."""
-    return turns.withColumn("line", turn_line(compress_assistant("assistant"), "human", human))
+#: An owner's message of fewer words is taken for a correction of what it answers, of which so many bytes are kept then.
+CORRECTION_WORDS, CONTEXT_BYTES = 50, 4000
+
+
+def turn_lines(turns: DataFrame, human: Column, preserve: bool = False, context: int = CONTEXT_BYTES) -> DataFrame:
+    """Adds `line`: each turn as the model reads it, the assistant's text compressed; preserve: what a short message answers stays with its code, up to `context` bytes."""
+    told = compress_assistant("assistant")
+    if preserve:
+        short = F.size(F.regexp_extract_all("human", F.lit(r"\S+"), F.lit(0))) < CORRECTION_WORDS
+        told = F.when(short, byte_cut(trim_space("assistant"), context)).otherwise(told)
+    return turns.withColumn("line", turn_line(told, "human", human))
 
 
 def chunks(lines: DataFrame, key: list[str] = ["conv_id"], limit: int = CHUNK_BYTES) -> DataFrame:

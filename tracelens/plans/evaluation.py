@@ -77,3 +77,31 @@ def report(results: DataFrame, detail: bool = False) -> list[str]:
     if detail:
         out += [line for r in good.orderBy("id").select("id", "category", "rationale").collect() for line in ("", f"{r['id']} ({r['category']})", f"  {r['rationale']}")]
     return out
+
+
+#: Dimensions of a comparison of two documents, and observations that ground it.
+COMPARED, GROUNDS = ["coverage", "accuracy", "density", "voice", "actionability"], 50
+COMPARE, DIFFER = "Score both documents by dimension, by the observations.", "Say which claims one document makes and the other does not."
+
+
+def compare(profile: Profile, ours: str, other: str, observations: DataFrame, key: list[str], seed: int = 42, most: int = GROUNDS) -> dict:
+    """Two documents, of two methods, judged blind: `scores` (dimension: (ours, other)), `differences` in words, `ours_is_a`, and the tokens that it took.
+
+    The judge sees `most` of observations(*key, text), those of least hash, so reruns see the same.
+    """
+    spark = profile.spark
+    some = observations.withColumn("mixed", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))).orderBy("mixed", *key).limit(most)
+    grounds = some.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mixed", "text"))), lambda x: x["text"]), "\n").alias("grounds"))
+    case = blinded(grounds.withColumn("id", F.md5(F.concat(F.lit(ours), F.lit("\0"), F.lit(other)))), "id", seed)
+    shown = F.concat(F.lit("RESPONSE A:\n"), F.when(F.col("ours_is_a"), F.lit(ours)).otherwise(F.lit(other)), F.lit("\n\nRESPONSE B:\n"), F.when(F.col("ours_is_a"), F.lit(other)).otherwise(F.lit(ours)), F.lit("\n\nOBSERVATIONS:\n"), "grounds")
+    stages = F.explode(F.array(F.struct(F.lit("compare").alias("stage"), F.lit(COMPARE).alias("system")), F.struct(F.lit("differ").alias("stage"), F.lit(DIFFER).alias("system"))))
+    asked = case.select("ours_is_a", shown.alias("input"), stages.alias("s")).select(F.col("s.stage").alias("req_id"), "s.stage", "s.system", "input", F.lit(4096).alias("max_tokens"))
+    metrics: dict = {}
+    said = {r["req_id"]: r for r in respond(asked, profile.client, profile.tasks, metrics=metrics).withColumn("a", scores("text", "A")).withColumn("b", scores("text", "B")).collect()}  # two rows
+    failed = [r["error"] for r in said.values() if r["error"]]
+    if failed:
+        raise RuntimeError(f"compare: {failed[0]}")
+    first = case.first()["ours_is_a"]
+    a, b = said["compare"]["a"], said["compare"]["b"]
+    mine, theirs = (a, b) if first else (b, a)
+    return {"scores": {d: (mine.get(d), theirs.get(d)) for d in COMPARED if d in mine and d in theirs}, "differences": said["differ"]["text"], "ours_is_a": first, "input_tokens": metrics["input_tokens"], "output_tokens": metrics["output_tokens"]}

@@ -33,6 +33,15 @@ def _lines(spark, sf_dir):
     return U.turn_lines(t, U.is_human_source("source"))
 
 
+_CONTEXT = _LINES.replace("CASE WHEN strlen(t) <= 500", "CASE WHEN len(regexp_extract_all(human, '\\S+')) < 50 THEN CASE WHEN strlen(t) <= 1200 THEN t ELSE left(t, list_max(list_filter(range(300, 1201), lambda k: strlen(left(t, k)) <= 1200))) || '...' END WHEN strlen(t) <= 500")
+
+
+@query(V + _CONTEXT + " SELECT source, conv_id, turn, line FROM lines")
+def turn_lines_in_context(spark, sf_dir):
+    """What a message of fewer than fifty words answers is kept up to 1,200 bytes."""
+    return U.turn_lines(X.turns(spark, sf_dir), U.is_human_source("source"), True, 1200).select("source", "conv_id", "turn", "line")
+
+
 @query(V + _LINES + " SELECT source, conv_id, turn, line FROM lines")
 def turn_lines(spark, sf_dir):
     return _lines(spark, sf_dir).select("source", "conv_id", "turn", "line")

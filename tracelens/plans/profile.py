@@ -34,9 +34,10 @@ ONE_CALL_BYTES = 64 << 20
 class Profile:
     """The pipelines' verbs over one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, client: Client | None = None, tasks: int | None = None, ids: str = "long", human: list[str] = []):
-        """ids: the type of conv_id; human: imported sources whose other side are people, besides the built-in ones."""
+    def __init__(self, spark: SparkSession, folder: str, client: Client | None = None, tasks: int | None = None, ids: str = "long", human: list[str] = [], preserve: bool = False):
+        """ids: the type of conv_id; human: imported sources whose other side are people, besides the built-in ones; preserve: as in turn_lines()."""
         self.spark, self.folder, self.client, self.ids = spark, folder, client or StubClient(), ids
+        self.preserve = preserve
         self.human = is_human_source("source", F.col("source").isin(list(human)) if human else None)
         self.OBSERVATIONS, self.LABELS = (s.replace("conv_id long", f"conv_id {ids}") for s in (self.OBSERVATIONS, self.LABELS))
         self.tasks = tasks or spark.sparkContext.defaultParallelism
@@ -101,7 +102,7 @@ class Profile:
         total = pending.count()
         pending = written(newest(pending, limit, "last_modified", KEY), f"{self.folder}/work/pending-{uuid.uuid4().hex[:8]}")
         human = self.human
-        turns = turn_lines(turn_pairs(messages.join(pending.select(*KEY), KEY, "left_semi"), KEY, human), human)
+        turns = turn_lines(turn_pairs(messages.join(pending.select(*KEY), KEY, "left_semi"), KEY, human), human, self.preserve)
         asked = chunks(turns, KEY).withColumn("req_id", F.concat_ws("|", "source", F.col("conv_id").cast("string"), F.col("chunk").cast("string")))
         asked = asked.withColumn("system", F.when(human, PROMPTS["observe_human"]).otherwise(PROMPTS["observe"])).withColumnRenamed("text", "input")
         found = self._ask("observe", asked).filter(~is_empty("text"))
@@ -151,7 +152,7 @@ class Profile:
 
     def theme(self) -> DataFrame | None:
         """label, theme of lower-cased labels, if there are more than THEMED_FROM; labels that no round maps are themes themselves."""
-        known = self.table("labels", self.LABELS).filter("label != ''").agg(F.array_sort(F.collect_set("label")).alias("l"))
+        known = self._bounded(self.table("labels", self.LABELS).filter("label != ''").select("label").distinct(), "label").agg(F.array_sort(F.collect_set("label")).alias("l"))
         known = known.select("l", fingerprint(F.array_join("l", "\0"), F.lit(PROMPTS["theme_identify"]), F.lit(PROMPTS["theme_map"])).alias("fp"))
         known = written(known, f"{self.folder}/work/known-{uuid.uuid4().hex[:8]}")
         n, fp = known.select(F.size("l"), "fp").first()
