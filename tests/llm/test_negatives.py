@@ -30,7 +30,7 @@ def plain(rows, every=100, positives=5, negatives=10, low=30, high=90):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [4096, 50])
+@pytest.mark.parametrize("block", [None, 50])
 def test_against_one_sort(spark, block):
     rows = vectors()
     got = sorted(map(tuple, N.hard_negatives(spark.createDataFrame(rows, SCHEMA), every=20, block=block).collect()))

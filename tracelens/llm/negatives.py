@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import common as C
-from .knn import BLOCK, EXACT, SCALE, matrix, products
+from .knn import EXACT, SCALE, matrix, products
 
 EVERY, POSITIVES, NEGATIVES, SEED = 100, 5, 10, 13
 #: A negative scores from LOW to HIGH of what the positive scores, in hundredths.
 LOW, HIGH = 30, 90
+#: Rows of a block, and anchors of a part: what is shuffled falls with both, so they are large where there are blocks for all tasks.
+LEAST_BLOCK, MOST_BLOCK = 4096, 32_768
 #: Anchors whose scores of a block are held at once.
-SLICE = 256
+SLICE = 64
 SCHEMA = "anchor_id long, rank int, positive_id long, negative_id long, positive_score long, negative_score long"
 
 
@@ -87,7 +89,7 @@ def within_limits(block: Block, anchors: pa.Table, k: int, low: int, high: int):
 
 def hard_negatives(
     vectors: DataFrame, every: int = EVERY, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, id_column: str = "vec_id",
-    vector_column: str = "embedding", label_column: str = "label", label: Column | None = None, scale: float = SCALE, block: int = BLOCK, seed: int = SEED,
+    vector_column: str = "embedding", label_column: str = "label", label: Column | None = None, scale: float = SCALE, block: int | None = None, seed: int = SEED,
 ) -> DataFrame:
     """anchor_id, rank, positive_id, negative_id, positive_score, negative_score: for each anchor (id divisible by `every`) and each of its positives
     (its best other rows of the same label) the best rows of other labels that score from low to high hundredths of the positive.
@@ -106,6 +108,7 @@ def hard_negatives(
         return spark.createDataFrame([], SCHEMA)
     if least < most:
         data = data.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("v"))))
+    block = block or min(MOST_BLOCK, max(LEAST_BLOCK, math.ceil(n / C.width(spark))))
     blocks, parts = math.ceil(n / block), math.ceil(asked / block)
     spot = lambda count: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
     copied = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
