@@ -58,10 +58,10 @@ class Block:
     def sorted(self, vectors: np.ndarray):
         """For each anchor its scores, best first, and the places of the rows; ties in the order of ids."""
         for lo in range(0, len(vectors), SLICE):
-            down = -products(vectors[lo : lo + SLICE], self.x)
+            down = ~products(vectors[lo : lo + SLICE], self.x)  # -score - 1, which no score is too small for
             order = np.argsort(down, axis=1, kind="stable")
             for row, at in zip(down, order):
-                yield -row[at], at
+                yield ~row[at], at
 
 
 def first_of_label(block: Block, anchors: pa.Table, k: int):
