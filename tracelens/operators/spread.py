@@ -64,7 +64,7 @@ def numbered(size: np.ndarray, before: int, limit: int, entry: int, begun: int)
 def fill_spread(rows: DataFrame, key: list[str], order: list[str], size: str, limit: int, ranges: int | None = None) -> DataFrame:
     """Adds `chunk` to rows as fill_ordered() does, with a key's rows spread over up to `ranges` tasks.
 
-    Rows are read four times from one written table.  Rows of one key that tie in `order` are put in the order of their sizes.
+    Rows are read five times from one written table.  Rows of one key that tie in `order` are put in the order of their sizes.
     """
     spark = rows.sparkSession
     ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -76,23 +76,28 @@ def fill_spread(rows: DataFrame, key: list[str], order: list[str], size: str, li
     sums = placed.groupBy(*by).agg(F.sum(size).cast("long").alias("bytes"))
     along = W.partitionBy("__who").orderBy("__part")  # a row for each range at most
     before = F.coalesce(F.sum("bytes").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = written(sums.select(*by, before.alias("before"), "bytes", F.lead("__part").over(along).alias("next"), F.row_number().over(along).alias("nth")), f"{root}/parts")
+    parts = sums.select(*by, before.alias("before"), "bytes", F.row_number().over(along).alias("nth")).withColumn("upto", (F.col("before") + F.col("bytes")) * 2)
+    parts = written(parts.withColumns({"next": F.lead("__part").over(along), "next_upto": F.lead("upto").over(along)}), f"{root}/parts")
     sized = placed.select(*by, "__at", F.col(size).cast("long").alias("size")).join(parts, by)
 
     def sizes(t: pa.Table) -> tuple[np.ndarray, int]:
         return t.column("size").to_numpy()[np.argsort(t.column("__at").to_numpy(), kind="stable")], t.column("before")[0].as_py()
 
     def leaving(key_, t: pa.Table) -> pa.Table:
-        """The thresholds at which chunks may leave a range."""
+        """The thresholds at which chunks may leave a range, with the next range where it holds the row that they lead to."""
         _, following, threshold = starts(*sizes(t), limit)
         out = np.unique(threshold[following == t.num_rows])
-        return pa.table({"__who": pa.array([key_[0].as_py()] * len(out), pa.string()), "__from": pa.array([key_[1].as_py()] * len(out), pa.int32()), "threshold": pa.array(out)})
+        later, upto = t.column("next")[0].as_py(), t.column("next_upto")[0].as_py()
+        same = lambda value, kind: pa.array([value] * len(out), kind)
+        return pa.table({"__who": same(key_[0].as_py(), pa.string()), "__from": same(key_[1].as_py(), pa.int32()), "threshold": pa.array(out), "__part": pa.array([later if x < upto else None for x in out.tolist()], pa.int32())})
 
-    ends = sized.filter("next IS NOT NULL").groupBy(*by).applyInArrow(lambda k, t: leaving(k, t), "__who string, __from int, threshold long")
+    ends = sized.filter("next IS NOT NULL").groupBy(*by).applyInArrow(lambda k, t: leaving(k, t), "__who string, __from int, threshold long, __part int")
     begin = parts.filter("nth = 1").select("__who", F.lit(BEGIN).cast("long").alias("threshold"), "__part")
-    bounds = parts.groupBy("__who").agg(F.array_sort(F.collect_list(F.struct("__part", ((F.col("before") + F.col("bytes")) * 2).alias("upto")))).alias("bounds"))
+    ends = written(ends, f"{root}/ends")
+    bounds = parts.groupBy("__who").agg(F.array_sort(F.collect_list(F.struct("__part", "upto"))).alias("bounds"))
     inside = F.get(F.filter("bounds", lambda b: (b["__part"] > F.col("__from")) & (b["upto"] > F.col("threshold"))), F.lit(0))  # the first later range that a threshold does not pass
-    reached = ends.join(bounds, "__who").select("__who", "threshold", inside["__part"].alias("__part")).filter("__part IS NOT NULL").distinct()
+    far = ends.filter("__part IS NULL").join(bounds, "__who").select("__who", "threshold", inside["__part"].alias("__part")).filter("__part IS NOT NULL")  # few pass a whole range
+    reached = ends.filter("__part IS NOT NULL").select("__who", "threshold", "__part").unionByName(far).distinct()
     entries = written(begin.unionByName(reached), f"{root}/entries")
 
     def stepping(key_, t: pa.Table, e: pa.Table) -> pa.Table:
