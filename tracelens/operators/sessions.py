@@ -90,7 +90,7 @@ KEPT_HEADERS = ["Link", "Content-Type"]
 
 
 def revalidated(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Adds `if_none_match` to requests(key): the cached tag, or null."""
+    """Adds `if_none_match` to requests(key): the cached tag, or null.  The cache has a row a key."""
     return requests.join(cache.select(F.col("key").alias("__k"), F.col("etag").alias("if_none_match")), F.col("key") == F.col("__k"), "left").drop("__k")
 
 

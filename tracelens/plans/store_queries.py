@@ -71,10 +71,10 @@ def artifact_keys(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    """Every second page is cached; of those every third has not changed; others come with a tag but every fifth."""
+    """Every second page is cached; of those every third has not changed; others come with a tag but every fifth.  Pages may share a URL, so each is asked for under an Accept of its own."""
     p, i = X.table(spark, sf_dir, "pages"), F.col("page_id")
     headers = lambda kind: F.create_map(F.lit("Content-Type"), F.lit(kind), F.lit("Link"), F.lit(""), F.lit("Date"), F.lit("d"))
-    key = S.cache_key("url", F.lit(None).cast("string")).alias("key")
+    key = S.cache_key("url", F.concat(F.lit("page/"), i.cast("string"))).alias("key")
     cache = p.filter(i % 2 == 0).select(key, F.concat(F.lit("t"), i.cast("string")).alias("etag"), F.lit(200).alias("status"), F.create_map(F.lit("Content-Type"), F.lit("old")).alias("headers"), F.concat(F.lit("old "), i.cast("string")).alias("body"))
     same = i % 3 == 0
     tag = F.when(same, None).when(i % 5 == 0, "").otherwise(F.concat(F.lit("n"), i.cast("string")))
