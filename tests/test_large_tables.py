@@ -1,8 +1,11 @@
 """What shows only in larger tables: keys that repeat, plans that adaptive execution changes, and work that grows faster than the rows."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from test_queries import plain
 
+from tracelens.operators import sessions as S
 from tracelens.plans import QUERIES, SQL
 
 
@@ -29,3 +32,16 @@ def shared_urls(spark, tmp_path_factory):
 def test_requests_of_pages_that_share_a_url(spark, shared_urls):
     got, want = against_sql(spark, shared_urls, "etag_requests", ["pages"])
     assert len(want) == 42 and got == want
+
+
+def test_answers_of_pages_that_share_a_url(spark, shared_urls):
+    got, want = against_sql(spark, shared_urls, "etag_answers", ["pages"])
+    assert len(want) == 42 and got == want
+
+
+def test_responses_of_one_key_stay_apart(spark):
+    headers = F.create_map(F.lit("Link"), F.lit("x"))
+    cache = spark.createDataFrame([("k", "t", 200, "old")], "key string, etag string, status int, body string").withColumn("headers", headers)
+    said = spark.createDataFrame([("k", None, 304, "a", 1), ("k", "n", 200, "b", 2), ("other", None, 304, "c", 3)], "key string, etag string, status int, body string, request int").withColumn("headers", headers)
+    got = {r.request: (r.key, r.etag, r.status, r.body) for r in S.answered(said, cache).collect()}
+    assert got == {1: ("k", "t", 200, "old"), 2: ("k", "n", 200, "b"), 3: ("other", None, 304, "c")}

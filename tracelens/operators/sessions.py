@@ -95,11 +95,14 @@ def revalidated(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def answered(responses: DataFrame, cache: DataFrame) -> DataFrame:
-    """responses(key, etag, status, headers, body) as they are used: one that says nothing has changed (304) is the cached one, where there is one."""
+    """responses(key, etag, status, headers, body) as they are used: one that says nothing has changed (304) is the cached one, where there is one.
+
+    Each response stays a row with its other columns, so responses of one key need no join to be told apart.  The cache has a row a key.
+    """
     old = cache.select(F.col("key").alias("__k"), F.struct("etag", "status", "headers", "body").alias("__old"))
     joined = responses.join(old, F.col("key") == F.col("__k"), "left")
     kept = (F.col("status") == 304) & F.col("__old").isNotNull()
-    return joined.select("key", *[F.when(kept, F.col("__old")[c]).otherwise(F.col(c)).alias(c) for c in ("etag", "status", "headers", "body")])
+    return joined.withColumns({c: F.when(kept, F.col("__old")[c]).otherwise(F.col(c)) for c in ("etag", "status", "headers", "body")}).drop("__k", "__old")
 
 
 def cacheable(responses: DataFrame) -> DataFrame:
