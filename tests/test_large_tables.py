@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_queries import plain
 
 from tracelens.operators import sessions as S
+from tracelens.operators import turns as U
 from tracelens.plans import QUERIES, SQL
 
 
@@ -45,3 +46,30 @@ def test_responses_of_one_key_stay_apart(spark):
     said = spark.createDataFrame([("k", None, 304, "a", 1), ("k", "n", 200, "b", 2), ("other", None, 304, "c", 3)], "key string, etag string, status int, body string, request int").withColumn("headers", headers)
     got = {r.request: (r.key, r.etag, r.status, r.body) for r in S.answered(said, cache).collect()}
     assert got == {1: ("k", "t", 200, "old"), 2: ("k", "n", 200, "b"), 3: ("other", None, 304, "c")}
+
+
+@pytest.mark.parametrize("small", ["-1", "20k"])
+def test_chunks_of_a_channel_whose_join_is_planned_anew(spark, small):
+    """Where adaptive execution makes a broadcast join of the join with the owned channels, or splits a skewed one, a channel stays one stream."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": small, "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        i = F.col("id")
+        m = spark.range(0, 4000, 1, 8).select(F.when(i % 10 < 8, "hot").otherwise(F.concat(F.lit("c"), (i % 10).cast("string"))).alias("channel"), i.alias("pos"), i.alias("ts"), F.lit("user").alias("role"), F.lit(False).alias("noise"), F.repeat(F.lit("x"), (i % 37).cast("int")).alias("content"), F.lit("t").alias("raw"))
+        got = {(r.channel, r.chunk): (r.n, r.n_bytes, r.created) for r in U.channel_chunks(m, 500).collect()}
+        rows = U.channel_chunks(m, 500).count()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want: dict = {}
+    for channel in ("hot", "c8", "c9"):
+        chunk = used = 0
+        for x in range(4000):
+            if ("hot" if x % 10 < 8 else f"c{x % 10}") == channel:
+                if used + x % 37 > 500:
+                    used, chunk = 0, chunk + 1
+                n, b, first = want.get((channel, chunk), (0, 0, x))
+                want[channel, chunk], used = (n + 1, b + x % 37, first), used + x % 37
+    assert got == want and rows == len(want)

@@ -68,23 +68,25 @@ def fill_ordered(rows: DataFrame, key: list[str], order: list[str], size: str, l
     """Adds `chunk` to rows: a chunk of a key ends before its sizes would pass the limit.
 
     One pass over sorted rows that keeps two numbers, for keys of any number of rows: each key is one task's stream, never one batch.
+    The rows are numbered by a window, as a plan keeps a key's rows together for that.  It does not for repartition(): where rows come from
+    a join by the key the shuffle is left out, and adaptive execution may then read the join's partitions in pieces.
     """
-    sorted_rows = rows.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key, *order)
+    sorted_rows = rows.withColumn("__row", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
     names = rows.columns
-    keys, n = [names.index(k) for k in key], names.index(size)
+    n = names.index(size)
 
     def run(parts):
-        last, used, chunk, first = object(), 0, 0, True
+        used, chunk = 0, 0
         for part in parts:
             out = []
-            for *who, m in zip(*[part.column(k).to_pylist() for k in keys], part.column(n).to_pylist()):
-                if who != last:
-                    last, used, chunk, first = who, 0, 0, True
-                if used + m > limit and not first:
+            for row, m in zip(part.column(len(names)).to_pylist(), part.column(n).to_pylist()):
+                if row == 1:
+                    used, chunk = 0, 0
+                elif used + m > limit:
                     used, chunk = 0, chunk + 1
-                used, first = used + m, False
+                used += m
                 out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], names=[*names, "chunk"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(out, pa.int32())], names=[*names, "chunk"])
 
     return sorted_rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("chunk", T.IntegerType())]))
 
