@@ -73,3 +73,54 @@ def test_chunks_of_a_channel_whose_join_is_planned_anew(spark, small):
                 n, b, first = want.get((channel, chunk), (0, 0, x))
                 want[channel, chunk], used = (n + 1, b + x % 37, first), used + x % 37
     assert got == want and rows == len(want)
+
+
+def test_pages_of_recorded_hits_are_read_once(spark, tmp_path, monkeypatch):
+    """A day's pages and a month's counts take one read each, and only of the month's files; the hits come in the service's order."""
+    import datetime as dt
+
+    import pyarrow.dataset as ds
+
+    from tracelens.sources import network as N
+
+    day = F.date_add(F.lit("2020-01-30").cast("date"), (F.col("id") % 5).cast("int"))
+    hits = spark.range(1000).select(F.lit("issues").alias("kind"), F.lit("o").alias("owner"), F.lit("r").alias("repo"), F.col("id").cast("int").alias("number"), F.lit("t").alias("title"), F.lit("me").alias("author"), day.cast("timestamp").alias("updated_at"), day.alias("day"))
+    N.record_hits(hits, f"file://{tmp_path}/hits")
+    hits.write.parquet(f"file://{tmp_path}/plain")
+    asked = []
+    real = ds.FileSystemDataset.to_table
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def to_table(self, **how):
+            asked.append(sorted({f.path.split("month=")[1][:7] for f in self.inner.get_fragments(how["filter"]) if "month=" in f.path}))
+            return real(self.inner, **how)
+
+        def count_rows(self, **how):
+            return self.inner.count_rows(**how)
+
+    for name in ("hits", "plain"):
+        asked.clear()
+        r = N.RecordedHits(f"file://{tmp_path}/{name}")
+        opened = ds.dataset
+        monkeypatch.setattr(ds, "dataset", lambda *a, opened=opened, **b: Watched(opened(*a, **b)))
+        found = N.segments(lambda a, b, r=r: r.count("issues", "me", a, b), dt.date(2020, 1, 1), dt.date(2020, 12, 31), 50)
+        rows = [x for s in found for k in range(1, 6) for x in r.page("issues", "me", s.first, s.last, k, 50)]
+        monkeypatch.setattr(ds, "dataset", opened)
+        assert [s.hits for s in found] == [200] * 5 and [x[3] for x in rows] == sorted(range(1000), key=lambda i: (-(i % 5), i))
+        assert len(asked) == 12 + 5  # each month's days, five days' pages
+        assert name == "plain" or all(len(m) <= 1 for m in asked)
+
+
+def test_segments_are_read_together():
+    import datetime as dt
+
+    from tracelens.sources import network as N
+
+    day = dt.date(2020, 1, 1)
+    found = [N.Segment(day, day, 1 + i % 7) for i in range(3000)]
+    parts = N.together(found, 64, 100)
+    assert [s for p in parts for s in p.segments] == found and 64 < len(parts) < 200 and all(p.share == len(parts) for p in parts)
+    assert all(sum(s.hits for s in p.segments) <= 100 for p in parts) and len(N.together(found[:5], 64)) == 5 and N.together([]) == []

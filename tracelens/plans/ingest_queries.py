@@ -99,7 +99,7 @@ def thread_search(spark, sf_dir):
     o = X.table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
     text = lambda s: F.lit(s)
     hits = o.select(text("issues").alias("kind"), text("o").alias("owner"), text("r").alias("repo"), F.col("o_orderkey").cast("int").alias("number"), text("t").alias("title"), text("me").alias("author"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), F.col("o_orderdate").cast("date").alias("day"))
-    hits.write.parquet(path)
+    N.record_hits(hits, path)
     first, last = hits.agg(F.min("day"), F.max("day")).first()
     found = N.search(spark, N.RecordedHits(path), "issues", "me", f"{first.year}-01-01", f"{last.year}-12-31", most=250, page=50)
     return found.groupBy("first", "last").agg(F.first("cut").alias("cut"), F.count("*").alias("n"), F.sum(F.col("number").cast("long")).alias("numbers"))

@@ -1,12 +1,13 @@
 """Sources behind an interface that answers in pages: a search that shows only so many hits, and channels that grow.
 
 Both are Python data sources over a transport, which is pickled to the tasks: a client of a service, or what was recorded of one.
-The search is cut in ranges of days that show all their hits, each read by a task of its own.  Channels are a stream whose offsets are
+The search is cut in ranges of days that show all their hits, of which each task reads some.  Channels are a stream whose offsets are
 the last message of each, so Spark's checkpoint is the state of the sync.
 """
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 import time
 from collections.abc import Iterator
@@ -22,6 +23,10 @@ from ..operators.incremental import first_of, upsert
 
 #: Hits that a search shows at most, and hits of a page.
 MOST_HITS, PAGE = 1000, 100
+#: Hits of an Arrow batch, at least.
+BATCH = 1000
+#: Tasks that a search is read by at least, if it has as many segments, and hits of a task of several segments at most.
+TASKS, TASK_HITS = 64, 50_000
 #: Seconds before the last known message from which a channel is read again, and seconds to wait where a service doesn't say how many.
 OVERLAP, WAIT = 300, 5.0
 HIT = "kind string, owner string, repo string, number int, title string, author string, updated_at timestamp"
@@ -85,34 +90,71 @@ def segments(count, first: dt.date, last: dt.date, most: int = MOST_HITS) -> lis
     return [s for a, b in calendar_parts(first, last) for s in segments(count, a, b, most)]
 
 
+class Segments(InputPartition):
+    """What one task reads, of so many tasks."""
+
+    def __init__(self, segments: list[Segment]):
+        self.segments, self.share = segments, 1
+
+
+def together(found: list[Segment], tasks: int = TASKS, most: int = TASK_HITS) -> list[Segments]:
+    """Segments side by side as one task each, as long as they have at most a share of `tasks` in all hits, and at most `most`."""
+    out, held, room = [], 0, min(most, sum(s.hits for s in found) / tasks)
+    for s in found:
+        if not out or held + s.hits > room:
+            out, held = [*out, Segments([])], 0
+        out[-1].segments.append(s)
+        held += s.hits
+    for part in out:
+        part.share = len(out)
+    return out
+
+
 class SearchReader(DataSourceReader):
     def __init__(self, transport, options):
         self.transport, self.kind, self.user = transport, options["kind"], options["user"]
         self.first, self.last = dt.date.fromisoformat(options["first"]), dt.date.fromisoformat(options["last"])
         self.most, self.size = int(options.get("most", MOST_HITS)), int(options.get("page", PAGE))
         self.rate = float(options["rate"]) if "rate" in options else None
-        self.share = 1
 
-    def partitions(self) -> list[Segment]:
+    def partitions(self) -> list[Segments]:
         limiter = Limiter(self.rate, min(1.0, self.rate), self.rate) if self.rate else None
         count = lambda a, b: patient(lambda: self.transport.count(self.kind, self.user, a, b), limiter)
-        found = segments(count, self.first, self.last, self.most)
-        for s in found:
-            s.share = len(found)
-        return found
-
-    def read(self, segment: Segment) -> Iterator[tuple]:
-        """Pages until one is not full; each task has its share of the rate."""
-        rate = self.rate / segment.share if self.rate else None
+        return together(segments(count, self.first, self.last, self.most))
+
+    def read(self, part: Segments) -> Iterator:
+        """The segments' hits as Arrow batches; each task has its share of the rate."""
+        rate = self.rate / part.share if self.rate else None
         limiter = Limiter(rate, min(1.0, rate), rate) if rate else None
-        page = 0
+        for segment in part.segments:
+            yield from self._pages(segment, limiter)
+
+    def _pages(self, segment: Segment, limiter: Limiter | None) -> Iterator:
+        """Pages until one is not full."""
+        import pyarrow as pa
+
+        kinds = [pa.string()] * 3 + [pa.int32()] + [pa.string()] * 2 + [pa.timestamp("us", "UTC")]
+        names = [c.split()[0] for c in HIT.split(", ")]
+        own = [("first", segment.first, pa.date32()), ("last", segment.last, pa.date32()), ("cut", segment.cut, pa.bool_())]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            *plain, at = zip(*rows)
+            at = [t if t is None or t.tzinfo else t.astimezone() for t in at]
+            found = [pa.array(c, k) for c, k in zip([*plain, at], kinds)] + [pa.repeat(pa.scalar(v, k), len(rows)) for _, v, k in own]
+            return pa.RecordBatch.from_arrays(found, names=[*names, *(n for n, *_ in own)])
+
+        page, held = 0, []
         while page * self.size < segment.hits:
             page += 1
             rows = patient(lambda: self.transport.page(self.kind, self.user, segment.first, segment.last, page, self.size), limiter)  # noqa: B023
-            for r in rows:
-                yield (*r, segment.first, segment.last, segment.cut)
+            held += rows
+            if len(held) >= BATCH:
+                yield batch(held)
+                held = []
             if len(rows) < self.size:
                 break
+        if held:
+            yield batch(held)
 
 
 class SearchSource(DataSource):
@@ -235,32 +277,70 @@ def plain_path(path: str) -> str:
     return urlparse(path).path if path.startswith("file:") else path
 
 
+def record_hits(hits: DataFrame, path: str) -> None:
+    """Writes hits (HIT, day) for RecordedHits: a folder a month, files sorted by day, so that a range of days is found without the others."""
+    parts = max(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), hits.sparkSession.sparkContext.defaultParallelism)
+    dated = hits.withColumn("month", F.date_format("day", "yyyy-MM")).repartitionByRange(parts, "month", "day", F.xxhash64("number"))
+    dated.sortWithinPartitions("month", "day").write.partitionBy("month").parquet(path)
+
+
 class RecordedHits:
-    """Hits that were recorded in Parquet at a path that Arrow can open: HIT, and the day of each."""
+    """Hits that were recorded in Parquet at a path that Arrow can open: HIT, and the day of each; in folders by month (record_hits()) or as they come.
+
+    The files are listed once, the days of a month are counted together, and the hits of the range that was asked last are kept in their
+    order, so its pages are read and sorted once.
+    """
 
     def __init__(self, path: str):
         self.path = plain_path(path)
+        self._open()
+
+    def _open(self):
+        self._set, self._asked, self._hits, self._days = None, None, None, {}
+
+    def __getstate__(self):
+        return {"path": self.path}
+
+    def __setstate__(self, state):
+        self.path = state["path"]
+        self._open()
 
     def _found(self, kind, user, first, last):
+        import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
 
-        day = pc.field("day")
-        return ds.dataset(self.path, format="parquet"), (pc.field("kind") == kind) & (pc.field("author") == user) & (day >= first) & (day <= last)
+        if self._set is None:
+            self._set = ds.dataset(self.path, format="parquet", partitioning=ds.partitioning(pa.schema([("month", pa.string())]), flavor="hive"))
+        day, month = pc.field("day"), pc.field("month")
+        asked = (pc.field("kind") == kind) & (pc.field("author") == user) & (day >= first) & (day <= last)
+        dated = month.is_null() | (month >= f"{first:%Y-%m}") & (month <= f"{last:%Y-%m}")  # files outside of a month's folder have none
+        return self._set, asked & dated
 
     def count(self, kind: str, user: str, first: dt.date, last: dt.date) -> int:
-        hits, asked = self._found(kind, user, first, last)
-        return hits.count_rows(filter=asked)
+        if (first.year, first.month) != (last.year, last.month):
+            hits, asked = self._found(kind, user, first, last)
+            return hits.count_rows(filter=asked)
+        month = (kind, user, first.year, first.month)
+        if month not in self._days:
+            end = first.replace(day=calendar.monthrange(first.year, first.month)[1])
+            hits, asked = self._found(kind, user, first.replace(day=1), end)
+            self._days[month] = {d["values"]: d["counts"] for d in hits.to_table(columns=["day"], filter=asked).column("day").value_counts().to_pylist()}
+        return sum(n for day, n in self._days[month].items() if first <= day <= last)
 
     def page(self, kind: str, user: str, first: dt.date, last: dt.date, page: int, size: int) -> list[tuple]:
         import pyarrow as pa
 
-        hits, asked = self._found(kind, user, first, last)
         names = [c.split()[0] for c in HIT.split(", ")]
-        some = hits.to_table(columns=names, filter=asked).sort_by([("updated_at", "descending"), ("number", "ascending")]).slice((page - 1) * size, size)
-        at = names.index("updated_at")
-        some = some.set_column(at, "updated_at", some.column(at).cast(pa.timestamp("us"), safe=False).cast(pa.timestamp("us", "UTC")))
-        return [tuple(r[n] for n in names) for r in some.to_pylist()]
+        if self._asked != (kind, user, first, last):
+            hits, asked = self._found(kind, user, first, last)
+            found = hits.to_table(columns=names, filter=asked).sort_by([("updated_at", "descending"), ("number", "ascending")])
+            at = names.index("updated_at")
+            self._hits = found.set_column(at, "updated_at", found.column(at).cast(pa.timestamp("us"), safe=False)).combine_chunks()
+            self._asked = (kind, user, first, last)
+        some = self._hits.slice((page - 1) * size, size)
+        *plain, at = (some.column(n).to_pylist() for n in names)
+        return list(zip(*plain, [t and t.replace(tzinfo=dt.timezone.utc) for t in at]))
 
 
 class RecordedChannels:
