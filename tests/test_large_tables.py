@@ -124,3 +124,23 @@ def test_segments_are_read_together():
     parts = N.together(found, 64, 100)
     assert [s for p in parts for s in p.segments] == found and 64 < len(parts) < 200 and all(p.share == len(parts) for p in parts)
     assert all(sum(s.hits for s in p.segments) <= 100 for p in parts) and len(N.together(found[:5], 64)) == 5 and N.together([]) == []
+
+
+def test_replies_of_a_channel_are_read_once(spark, tmp_path, monkeypatch):
+    """The replies of all threads of a channel take one read, and a reader of another channel does not see them."""
+    from tracelens.sources import network as N
+
+    schema = "channel string, ts string, thread_ts string, user string, text string, subtype string, bot_id string, reply_count long"
+    rows = [(c, f"{100 * t + k}.5", f"{100 * t}.0" if k else None, "u", f"{c}{t}-{k}", None, None, 0 if k else 3) for c in "ab" for t in range(50) for k in range(4)]
+    N.record_messages(spark.createDataFrame(rows, schema), f"file://{tmp_path}/recorded")
+    r, read = N.RecordedChannels(f"file://{tmp_path}/recorded"), []
+    real = N.RecordedChannels._rows
+    monkeypatch.setattr(N.RecordedChannels, "_rows", lambda self, *a: read.append(a) or real(self, *a))
+    assert r.latest() == {"a": "4903.5", "b": "4903.5"}
+    for c in "ab":
+        read.clear()
+        threads = r.threads(c, "0", "99999")
+        got = [x[3] for t in sorted(set(threads), key=float) for x in r.replies(c, t)]
+        assert got == [f"{c}{t}-{k}" for t in range(50) for k in range(1, 4)] and len(threads) == 150 and len(read) == 1
+        assert list(r.replies(c, "7.0")) == [] and r.threads(c, "4901", "4902.5") == ["4900.0"] * 2
+        assert sorted(x[3] for x in r.history(c, "0", "99999")) == sorted(f"{c}{t}-0" for t in range(50))

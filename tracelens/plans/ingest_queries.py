@@ -118,7 +118,7 @@ def channel_stream(spark, sf_dir):
     m = m.select(F.concat(F.lit("c"), (F.col("conv_id") % 12).cast("string")).alias("channel"), ts(at).alias("ts"), F.when(reply, ts(at - 2)).alias("thread_ts"), F.col("role").alias("user"), "text", none.alias("subtype"), none.alias("bot_id"), F.when(reply, 0).otherwise(F.col("threads")).cast("long").alias("reply_count"))
     half = m.agg(F.percentile_approx(F.col("ts").cast("long"), 0.5)).first()[0]
     for part in (F.col("ts").cast("long") <= half, F.col("ts").cast("long") > half, F.lit(False)):
-        m.filter(part).write.mode("append").parquet(f"{home}/recorded")
+        N.record_messages(m.filter(part), f"{home}/recorded")
         N.follow(spark, N.RecordedChannels(f"{home}/recorded"), f"{home}/messages", f"{home}/checkpoint")
     kept = table_rows(spark, f"{home}/messages", N.MESSAGE)
     return kept.groupBy("channel").agg(F.count("*").alias("n"), F.count("thread_ts").alias("n_replies"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"), F.sum(F.col("ts").cast("long")).alias("times"))

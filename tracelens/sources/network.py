@@ -343,41 +343,84 @@ class RecordedHits:
         return list(zip(*plain, [t and t.replace(tzinfo=dt.timezone.utc) for t in at]))
 
 
+def record_messages(messages: DataFrame, path: str) -> None:
+    """Adds messages for RecordedChannels: files sorted by channel and thread, so that few hold a channel."""
+    parts = max(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), messages.sparkSession.sparkContext.defaultParallelism)
+    messages.repartitionByRange(parts, "channel", "thread_ts", "ts").sortWithinPartitions("channel", "thread_ts", "ts").write.mode("append").parquet(path)
+
+
 class RecordedChannels:
-    """Messages that were recorded in Parquet at a path that Arrow can open: channel, ts, thread_ts, user, text, subtype, bot_id, reply_count; rows with a thread_ts are replies."""
+    """Messages that were recorded in Parquet at a path that Arrow can open: channel, ts, thread_ts, user, text, subtype, bot_id, reply_count; rows with a thread_ts are replies.
+
+    A task's channel is read once: its replies are kept sorted by thread, so that those of a thread are a slice.
+    """
 
     def __init__(self, path: str):
         self.path = plain_path(path)
+        self._of, self._replies, self._threads = None, None, {}
+
+    def __getstate__(self):
+        return {"path": self.path}
+
+    def __setstate__(self, state):
+        self.__init__(state["path"])
 
-    def _rows(self, columns: list[str], asked=None) -> list[dict]:
+    def _rows(self, columns: list[str], asked=None):
         import pyarrow.dataset as ds
 
-        return ds.dataset(self.path, format="parquet").to_table(columns=columns, filter=asked).to_pylist()
+        return ds.dataset(self.path, format="parquet").scanner(columns=columns, filter=asked).to_batches()
 
     def latest(self) -> dict[str, str]:
+        """Of each file's batch and channel the last whole second, and of its messages the last; one message a channel is kept."""
+        import pyarrow.compute as pc
+
         out: dict[str, str] = {}
-        for r in self._rows(["channel", "ts"]):
-            if r["channel"] not in out or seconds_of(out[r["channel"]]) < seconds_of(r["ts"]):
-                out[r["channel"]] = r["ts"]
+        for b in self._rows(["channel", "ts"]):
+            for channel in pc.unique(b.column("channel")).drop_null().to_pylist():
+                ts = b.column("ts").filter(pc.equal(b.column("channel"), channel)).drop_null()
+                whole = pc.cast(pc.replace_substring_regex(ts, r"\..*", ""), "int64")
+                last = max(ts.filter(pc.equal(whole, pc.max(whole))).to_pylist(), key=seconds_of, default=None)
+                if last is not None and (channel not in out or seconds_of(out[channel]) < seconds_of(last)):
+                    out[channel] = last
         return out
 
     COLUMNS = ["ts", "thread_ts", "user", "text", "subtype", "bot_id", "reply_count"]
 
-    def threads(self, channel: str, oldest: str, latest: str) -> list[str]:
+    def _kept(self, channel: str):
+        """The channel's replies by thread, and where each thread's begin and end."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
-        replies = self._rows(["ts", "thread_ts"], (pc.field("channel") == channel) & pc.field("thread_ts").is_valid())
-        return [r["thread_ts"] for r in replies if seconds_of(oldest) <= seconds_of(r["ts"]) <= seconds_of(latest)]
+        if self._of != channel:
+            asked = (pc.field("channel") == channel) & pc.field("thread_ts").is_valid()
+            batches = list(self._rows(self.COLUMNS, asked))
+            self._replies = pa.Table.from_batches(batches).sort_by([("thread_ts", "ascending"), ("ts", "ascending")]).combine_chunks() if batches else None
+            runs = pc.run_end_encode(self._replies.column("thread_ts").combine_chunks()) if batches and self._replies.num_rows else None
+            runs = runs.chunk(0) if isinstance(runs, pa.ChunkedArray) else runs
+            ends = runs.run_ends.to_pylist() if runs is not None else []
+            self._threads = dict(zip(runs.values.to_pylist() if runs is not None else [], zip([0, *ends], ends)))
+            self._of = channel
+        return self._replies, self._threads
+
+    def threads(self, channel: str, oldest: str, latest: str) -> list[str]:
+        replies, threads = self._kept(channel)
+        if not threads:
+            return []
+        low, high = seconds_of(oldest), seconds_of(latest)
+        return [t for ts, t in zip(replies.column("ts").to_pylist(), replies.column("thread_ts").to_pylist()) if low <= seconds_of(ts) <= high]
 
     def history(self, channel: str, oldest: str, latest: str) -> Iterator[tuple]:
         import pyarrow.compute as pc
 
-        for r in self._rows(self.COLUMNS, (pc.field("channel") == channel) & pc.field("thread_ts").is_null()):
-            if seconds_of(oldest) <= seconds_of(r["ts"]) <= seconds_of(latest):
-                yield tuple(r[c] for c in self.COLUMNS)
+        low, high = seconds_of(oldest), seconds_of(latest)
+        for b in self._rows(self.COLUMNS, (pc.field("channel") == channel) & pc.field("thread_ts").is_null()):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if low <= seconds_of(row[0]) <= high:
+                    yield row
 
     def replies(self, channel: str, thread_ts: str) -> Iterator[tuple]:
-        import pyarrow.compute as pc
-
-        for r in self._rows(self.COLUMNS, (pc.field("channel") == channel) & (pc.field("thread_ts") == thread_ts)):
-            yield tuple(r[c] for c in self.COLUMNS)
+        replies, threads = self._kept(channel)
+        begin, end = threads.get(thread_ts, (0, 0))
+        if end > begin:
+            some = replies.slice(begin, end - begin)
+            yield from zip(*(some.column(c).to_pylist() for c in self.COLUMNS))
