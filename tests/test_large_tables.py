@@ -144,3 +144,43 @@ def test_replies_of_a_channel_are_read_once(spark, tmp_path, monkeypatch):
         assert got == [f"{c}{t}-{k}" for t in range(50) for k in range(1, 4)] and len(threads) == 150 and len(read) == 1
         assert list(r.replies(c, "7.0")) == [] and r.threads(c, "4901", "4902.5") == ["4900.0"] * 2
         assert sorted(x[3] for x in r.history(c, "0", "99999")) == sorted(f"{c}{t}-0" for t in range(50))
+
+
+def test_fold_makes_calls_in_stretches(spark, tmp_path, monkeypatch):
+    """What Spark writes for a fold does not grow with its calls; a call that fails keeps those before it, and its metrics."""
+    from tracelens.model.client import StubClient
+    from tracelens.plans import fold
+    from tracelens.plans.profile import Profile
+
+    rows = [("codex", c, t, "user" if t % 2 == 0 else "assistant", f"message {t} of conversation {c}, long enough to say something", c) for c in range(40) for t in range(8)]
+    m = spark.createDataFrame(rows, "source string, conv_id long, turn long, role string, text string, last_modified long")
+    want = [f"message {t} of conversation {c}, long enough to say something" for c in range(40) for t in range(0, 8, 2)]
+    monkeypatch.setattr(fold, "FIRST_BATCH", 10)
+    kept = []
+    real = fold.upsert
+    monkeypatch.setattr(fold, "upsert", lambda *a, **b: kept.append(a[0]) or real(*a, **b))
+
+    class Failing(StubClient):
+        def _update(self, text):
+            if "message 0 of conversation 30," in text.partition("OBSERVATIONS:")[2]:
+                raise OSError("cut off")
+            return "```\n" + super()._update(text) + "\n```"
+
+    p = Profile(spark, f"file://{tmp_path}/p", Failing())
+    with pytest.raises(RuntimeError, match="cut off"):
+        p.incremental(m, 1)
+    assert len(kept) == 2 and p.table("folded", "source string").count() == 120
+    found = p.run_metrics().filter("stage = 'update'").agg(F.sum("requests"), F.sum("failed"), F.sum("bytes_in") > 0).first()
+    assert tuple(found) == (13, 1, True)
+    kept.clear()
+    monkeypatch.setattr(fold, "STRETCH_ROWS", 25)  # the rest in two stretches
+    last = Profile(spark, f"file://{tmp_path}/p")
+    assert last.incremental(m, 2)["updates"] == 4 and last.show().splitlines() == want[-40:] and len(kept) == 4
+
+
+def test_fences_of_one_text(spark):
+    from tracelens.functions.text import strip_code_fence, unfenced
+
+    texts = ["a", " a\n", "```", "```x\nb\n```", "\u3000```\nb\n\n``` \n", "```b```", "``` b", "a\n```", "```\n```\nb", "\x1fa", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip_code_fence("t").alias("s")).collect()
+    assert all(unfenced(r.t) == r.s for r in rows)

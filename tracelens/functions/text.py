@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x0B\u0085\p{Z}]"
+#: The characters of SPACE.
+BLANKS = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 FENCE = "```"
 
 #: What counts as an empty answer, placeholders, and how answers without content begin.
@@ -102,6 +104,14 @@ def strip_code_fence(x) -> Column:
     return F.when(F.startswith(t, F.lit(FENCE)), trim_space(F.regexp_replace(trim_space(body), f"{FENCE}$", ""))).otherwise(t)
 
 
+def unfenced(text: str) -> str:
+    """strip_code_fence() of one text."""
+    t = text.strip(BLANKS)
+    if not t.startswith(FENCE):
+        return t
+    return t.partition("\n")[2].strip(BLANKS).removesuffix(FENCE).strip(BLANKS) if "\n" in t else t.removesuffix(FENCE).strip(BLANKS)
+
+
 def is_empty(x) -> Column:
     """Blank, or one of EMPTY; null is empty."""
     t = trim_space(F.coalesce(col(x), F.lit("")))

@@ -14,6 +14,8 @@ from .client import Client, Limiter, Throttled, with_retry
 
 REQUEST = "req_id string, stage string, system string, input string, max_tokens int"
 RESPONSE = "req_id string, text string, input_tokens long, output_tokens long, truncated boolean, error string"
+#: Requests a second of a stage, to begin with.
+RATE_A_SECOND = 20.0
 _own: list[str] = []
 
 
@@ -49,7 +51,7 @@ def told() -> list[Column]:
     ]
 
 
-def respond(requests: DataFrame, client: Client, tasks: int, rate: float = 20.0, path: str | None = None, metrics: dict | None = None) -> DataFrame:
+def respond(requests: DataFrame, client: Client, tasks: int, rate: float = RATE_A_SECOND, path: str | None = None, metrics: dict | None = None) -> DataFrame:
     """Answers each request (REQUEST) once and writes the answers; errors are a column, successes stay.
 
     Largest first over `tasks` partitions; the rate is divided by them, as each has a limiter of its own.  metrics is filled with what

@@ -60,6 +60,17 @@ class Profile:
             raise RuntimeError(f"{stage}: {seen['cut']} answers were cut short at {most} tokens")
         return out
 
+    def asked_in_turn(self, stage: str, calls: list, most: int) -> None:
+        """Keeps what was observed of calls that one task made in turn, a row each (fold.CALLS); fails as _ask() does."""
+        for c in calls:
+            failed, cut = int(c["error"] is not None), int(c["truncated"])
+            self.usage.append((stage, 1, c["input_tokens"], c["output_tokens"]))
+            self.metrics.append((self.run[0], self.run[1], len(self.metrics), stage, 1, c["bytes_in"], failed, cut, c["input_tokens"], c["output_tokens"], c["bytes_out"], c["ms"]))
+            if failed:
+                raise RuntimeError(f"{stage}: {c['error']}")
+            if cut:
+                raise RuntimeError(f"{stage}: 1 answers were cut short at {most} tokens")
+
     METRICS = "source string, run string, seq int, stage string, requests long, bytes_in long, failed long, cut long, input_tokens long, output_tokens long, bytes_out long, ms long"
 
     @contextmanager
